@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .quality_rules import op5_quality_rules
+from .secret_scan import op10_secret_scan
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE = {
