@@ -5,8 +5,12 @@ from __future__ import annotations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .quality_rules import op5_quality_rules
 from .secret_scan import op10_secret_scan
+from .substring_dedup import op2_substring_dedup
+from .suffix_array_dedup import op3_suffix_array_dedup
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
