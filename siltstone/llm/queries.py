@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .quality_rules import op5_quality_rules
 from .secret_scan import op10_secret_scan
@@ -11,6 +12,7 @@ from .suffix_array_dedup import op3_suffix_array_dedup
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
