@@ -6,6 +6,7 @@ from .bpe import op4_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .quality_rules import op5_quality_rules
 from .secret_scan import op10_secret_scan
+from .simhash import op9_simhash
 from .substring_dedup import op2_substring_dedup
 from .suffix_array_dedup import op3_suffix_array_dedup
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
 }
 
