@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .html_extract import op6_html_extract
 from .quality_rules import op5_quality_rules
 from .secret_scan import op10_secret_scan
 from .simhash import op9_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_extract": op6_html_extract,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
