@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op4_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_extract import op6_html_extract
+from .license_scan import OP1_SQL, op1_license_scan
+from .mixing import op8_mixing
 from .quality_rules import op5_quality_rules
 from .secret_scan import op10_secret_scan
 from .simhash import op9_simhash
@@ -12,16 +16,23 @@ from .substring_dedup import op2_substring_dedup
 from .suffix_array_dedup import op3_suffix_array_dedup
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_html_extract": op6_html_extract,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE = {
+    "op1_license_scan": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
