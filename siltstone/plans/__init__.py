@@ -1 +1,6 @@
+"""The registered queries."""
 
+from . import number_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
