@@ -1,17 +1,21 @@
 """Repeated windows of a corpus: the engine of operators 2 and 3.
 
-A window is removed where an equal one starts earlier.  Three exchanges, none of
-which carries a suffix in full:
+A window is removed where an equal one starts earlier.  Suffixes are grouped by prefix (the seed, a few
+symbols long); three exchanges, none of which carries a suffix in full:
 
 1. Every task finds the anchors of its texts (:mod:`.anchors`) and settles copies
    it can see itself: of equal (seed, context) only the first leaves the task, the
    others are covered by it.  So a group of copies reaches the exchange once per
    batch, not once per copy.
 2. Anchors meet by seed.  Equal contexts: all but the first are covered.  A seed
-   with several contexts leaves the first of each context *pending*.
+   with several contexts leaves the first of each context *pending*.  The sorted
+   anchors stream by, so a large group costs no memory.
 3. Pending anchors (about a tenth) fetch their context from the text and meet by
-   seed again; their windows are compared one by one, and an equal window that
-   starts earlier covers them.
+   seed again.  The contexts that meet are a shard: its suffix array or suffix
+   tree (:mod:`.suffix`) gives the windows that are equal, and one that starts
+   earlier covers the others.  A seed with over ``group_rows`` pending contexts is
+   too wide a prefix for one task: its windows travel one by one, grouped by all
+   their symbols instead, after each batch has settled its own.
 
 Spans go back to their documents by id.  The text is shuffled once: both joins
 read the same exchange.
@@ -29,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import find_anchors, mix, prefix_hash, range_hash
-from .common import materialise, text_or_empty
+from .common import materialise, spread_join, text_or_empty
+from .suffix import byte_window_classes, word_window_classes
 
 #: Symbols handled at once; numpy arrays of this length stay in the CPU's caches.
 BATCH = 1 << 20
@@ -43,12 +48,13 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 @dataclass(frozen=True)
 class Search:
-    """unit: "byte" or "word".  other_doc: an equal window counts only in a document with a smaller id."""
+    """unit: "byte" or "word".  other_doc: an equal window counts only in a document with a smaller id.  group_rows: contexts that one task may gather by prefix."""
 
     unit: str
     window: int
     seed: int
     other_doc: bool
+    group_rows: int = 200_000
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,25 +194,55 @@ SETTLED = pa.schema([("doc", pa.int64()), ("span", pa.int64()), ("key", pa.int64
 SETTLED_SQL = "doc long, span long, key long, at int, size int"
 
 
+def _head(search: Search, doc, at, first_doc, first_at):
+    return (doc > first_doc) if search.other_doc else (doc > first_doc) | ((doc == first_doc) & (at > first_at))
+
+
 def context_settler(search: Search):
-    """Anchors by seed -> spans (size -1) and pending anchors (size >= 0)."""
+    """Anchors sorted by (key, context, doc, at) -> spans (size -1) and pending anchors (size >= 0).
+
+    What is held between batches is the head of the last context, how many
+    contexts its key has had, and the uncovered rows of a key's first context
+    until a second one is met (one row, or those of one document).
+    """
+
+    def waiting(doc, key, at, size):
+        return _batch(SETTLED, doc, np.zeros(len(doc), np.int64), key, at.astype(np.int32), size.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, FOUND.names):
-            key, context, doc, at, size = (t.column(k).to_numpy() for k in range(5))
+        last_key = last_context = first_doc = first_at = contexts = 0  # contexts: of last_key so far
+        held: list[tuple] = []
+        for batch in batches:
+            key, context, doc, at, size = (batch.column(k).to_numpy() for k in range(5))
             span = size < 0
             spans = [(doc[span], context[span])]
-            key, context, doc, at, size = (x[~span] for x in (key, context, doc, at.astype(np.int64), size))
+            key, context, doc, at, size = (x[~span] for x in (key, context, doc, at.astype(np.int64), size.astype(np.int64)))
             if len(key):
-                order, new, covered = _settle(search, key, context, doc, at)
-                k = key[order]
-                group = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
-                several = np.bincount(group, weights=new)[group] > 1
-                gone = order[covered]
-                spans.append(_runs(doc[gone], at[gone] - (size[gone] >> 8), at[gone] + (size[gone] & 255)))
-                wait = order[several & ~covered]
-                if len(wait):
-                    yield _batch(SETTLED, doc[wait], np.zeros(len(wait), np.int64), key[wait], at[wait].astype(np.int32), size[wait])
+                new_key = np.concatenate(([not contexts or key[0] != last_key], key[1:] != key[:-1]))
+                new_context = new_key | np.concatenate(([not contexts or context[0] != last_context], context[1:] != context[:-1]))
+                if held and (new_key[0] or new_context.any() and not new_key[: np.argmax(new_context) + 1].any()):
+                    if not new_key[0]:  # the held key has a second context
+                        yield waiting(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
+                # Place of each row's context head; -1: the head of the batch before.
+                head = np.maximum.accumulate(np.where(new_context, np.arange(len(key)), -1))
+                covered = _head(search, doc, at, np.where(head < 0, first_doc, doc[head]), np.where(head < 0, first_at, at[head]))
+                group = np.cumsum(new_key)  # 0: the key of the batch before
+                count = np.bincount(group, new_context, minlength=group[-1] + 1)
+                if not new_key[0]:
+                    count[0] += contexts
+                several = count[group] > 1
+                stay = ~covered
+                lone = stay & ~several & (group == group[-1])  # the last key may still get a second context
+                if (stay & several).any():
+                    k = stay & several
+                    yield waiting(doc[k], key[k], at[k], size[k])
+                if lone.any():
+                    held.append((doc[lone], key[lone], at[lone], size[lone]))
+                spans.append(_runs(doc[covered], at[covered] - (size[covered] >> 8), at[covered] + (size[covered] & 255)))
+                if head[-1] >= 0:
+                    first_doc, first_at = doc[head[-1]], at[head[-1]]
+                last_key, last_context, contexts = key[-1], context[-1], int(count[-1])
             d, s = (np.concatenate(x) for x in zip(*spans, strict=True))
             if len(d):
                 yield _batch(SETTLED, d, s, d, np.zeros(len(d), np.int32), np.full(len(d), -1, np.int32))
@@ -218,38 +254,63 @@ PENDING = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()
 PENDING_SQL = "key long, doc long, at int, size int, body binary"
 
 
+def word_codes(symbols: np.ndarray) -> np.ndarray:
+    return (symbols >> np.uint64(32)).astype(np.uint32)
+
+
 def context_fetcher(search: Search):
-    """(doc, text, [(key, at, size)]) -> pending anchors with their context: its bytes, or a hash per window of words."""
+    """(doc, text, [(key, at, size, wide)]) -> pending anchors with their symbols (bytes, or 32-bit codes of words).
+
+    A wide anchor is taken apart into its windows, each keyed by the hash of all
+    its symbols; the batch settles copies among them, and the spans it finds
+    travel along as rows with size -1 whose body is the end.
+    """
+    width = 1 if search.unit == "byte" else 4
+
+    def bodies(key, doc, at, size, buffer, start, n) -> pa.RecordBatch:
+        ends = np.cumsum(n)
+        take = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(start, n)
+        data = np.ascontiguousarray(buffer[take]).view(np.uint8)
+        cuts = np.concatenate(([0], ends * width)).astype(np.int32)
+        body = pa.BinaryArray.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), body], schema=PENDING)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column(1))
             pending = batch.column(2)
-            counts = np.diff(pending.offsets.to_numpy())
-            row = np.repeat(np.arange(len(ids)), counts)
-            fields = pending.flatten()
-            key, at, size = (fields.field(k).to_numpy() for k in range(3))
-            left, right = size >> 8, size & 255
+            row = np.repeat(np.arange(len(ids)), np.diff(pending.offsets.to_numpy()))
+            key, at, size, wide = (pending.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            left, right = size.astype(np.int64) >> 8, size.astype(np.int64) & 255
             for i, j in in_parts(offsets):
-                lo, hi = np.searchsorted(row, [i, j])
-                if lo == hi:
+                part = np.arange(*np.searchsorted(row, [i, j]))
+                if not len(part):
                     continue
-                r, part = row[lo:hi], slice(lo, hi)
-                if search.unit == "byte":
-                    buffer, start = data, offsets[r] + at[part] - left[part]
-                    n = left[part] + right[part]
-                else:
-                    symbols, cuts = symbols_of(search, data, offsets[i : j + 1])
-                    h = prefix_hash(symbols)
-                    first = np.arange(len(symbols) - search.window + 1)
-                    buffer = range_hash(h, first, first + search.window).view(np.uint8)
-                    start = 8 * (cuts[r - i] + at[part] - left[part])
-                    n = 8 * (left[part] + right[part] - search.window + 1)
-                ends = np.cumsum(n)
-                take = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(start, n)
-                body = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(buffer[take])])
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(ids[r]), pa.array(at[part]), pa.array(size[part]), body], schema=PENDING)
+                symbols, cuts = symbols_of(search, data, offsets[i : j + 1])
+                buffer = data[offsets[i] : offsets[j]] if search.unit == "byte" else word_codes(symbols)
+                narrow, broad = part[~wide[part]], part[wide[part]]
+                if len(narrow):
+                    r = narrow
+                    yield bodies(key[r], ids[row[r]], at[r], size[r], buffer, cuts[row[r] - i] + at[r] - left[r], left[r] + right[r])
+                if len(broad):
+                    n = left[broad] + right[broad] - search.window + 1
+                    ends = np.cumsum(n)
+                    of = np.repeat(broad, n)
+                    start = np.arange(ends[-1]) - np.repeat(ends - n, n) + at[of] - left[of]
+                    where = cuts[row[of] - i] + start
+                    whole = range_hash(prefix_hash(symbols), where, where + search.window).view(np.int64)
+                    d = ids[row[of]]
+                    order, _, covered = _settle(search, whole, whole, d, start)
+                    o = order[~covered]
+                    full = np.full(len(o), search.window, np.int64)
+                    yield bodies(whole[o], d[o], start[o], full, buffer, where[o], full)
+                    gone = order[covered]
+                    gd, span = _runs(d[gone], start[gone], start[gone] + search.window)
+                    if len(gd):
+                        ends8 = np.ascontiguousarray(span & 0xFFFFFFFF).view(np.uint8)
+                        body = pa.BinaryArray.from_buffers(pa.binary(), len(gd), [None, pa.py_buffer(np.arange(0, 8 * len(gd) + 1, 8, dtype=np.int32)), pa.py_buffer(ends8)])
+                        yield pa.RecordBatch.from_arrays([pa.array(mix(gd.view(np.uint64)).view(np.int64)), pa.array(gd), pa.array((span >> 32).astype(np.int32)), pa.array(np.full(len(gd), -1, np.int32)), body], schema=PENDING)
 
     return run
 
@@ -258,29 +319,29 @@ SPANS = pa.schema([("doc", pa.int64()), ("span", pa.int64())])
 
 
 def window_settler(search: Search):
-    """Pending anchors by seed -> spans of their windows that start earlier elsewhere."""
+    """Pending anchors by prefix -> spans of their windows that start earlier elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_key(batches, PENDING.names):
-            key, doc, at, size = (t.column(k).to_numpy() for k in range(4))
+            doc, at, size = (t.column(k).to_numpy() for k in range(1, 4))
             body = t.column(4).combine_chunks()
             body = body.chunks[0] if isinstance(body, pa.ChunkedArray) else body
+            settled = np.flatnonzero(size < 0)
+            if len(settled):
+                end = np.array([int.from_bytes(body[int(k)].as_py(), "little") for k in settled])
+                yield _batch(SPANS, doc[settled], at[settled].astype(np.int64) << 32 | end)
+                live = np.flatnonzero(size >= 0)
+                doc, at, size, body = doc[live], at[live], size[live], body.take(pa.array(live))
             data, offsets = text_buffers(body)
             left, right = size.astype(np.int64) >> 8, size.astype(np.int64) & 255
-            n = left + right - search.window + 1  # windows of each anchor
-            ends = np.cumsum(n)
-            row = np.repeat(np.arange(len(key)), n)
-            nth = np.arange(ends[-1]) - np.repeat(ends - n, n)
-            start = (at - left)[row] + nth
+            n = left + right - search.window + 1  # windows of each context
+            row = np.repeat(np.arange(len(doc)), n)
+            start = (at - left)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             if search.unit == "byte":
-                h = prefix_hash(BYTE_CODE[data[offsets[0] : offsets[-1]]])
-                s = (offsets[:-1] - offsets[0])[row] + nth
-                value = range_hash(h, s, s + search.window)
+                number = byte_window_classes(data, offsets, search.window)
             else:
-                value = data[offsets[0] : offsets[-1]].view(np.uint64) if offsets[0] % 8 == 0 else np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint64)
-            value = mix(value ^ mix(key.view(np.uint64))[row]).view(np.int64)
-            zero = np.zeros(len(value), np.int64)
-            order, _, covered = _settle(search, value, zero, doc[row], start)
+                number = word_window_classes(np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint32), (offsets - offsets[0]) // 4, search.window)
+            order, _, covered = _settle(search, number, number, doc[row], start)
             gone = order[covered]
             d, span = _runs(doc[row[gone]], start[gone], start[gone] + search.window)
             if len(d):
@@ -355,9 +416,15 @@ def remove_repeats(docs: DataFrame, search: Search, id_col: str = "doc_id", text
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), text_or_empty(text_col).alias("text"))
     found = rows.mapInArrow(anchor_finder(search), FOUND_SQL)
-    settled = found.repartition("key").sortWithinPartitions("key").mapInArrow(context_settler(search), SETTLED_SQL)
+    settled = found.repartition("key").sortWithinPartitions("key", "context", "doc", "at").mapInArrow(context_settler(search), SETTLED_SQL)
     settled = materialise(settled, "settled")
-    waiting = settled.where("size >= 0").groupBy("doc").agg(F.collect_list(F.struct("key", "at", "size")).alias("pending"))
+    waiting = settled.where("size >= 0").select("doc", "key", "at", "size")
+    wide = waiting.groupBy("key").count().where(F.col("count") > search.group_rows).select("key").withColumn("wide", F.lit(True))
+    if wide.isEmpty():
+        waiting = waiting.withColumn("wide", F.lit(False))
+    else:
+        waiting = spread_join(waiting, wide, ["key"], "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    waiting = waiting.groupBy("doc").agg(F.collect_list(F.struct("key", "at", "size", "wide")).alias("pending"))
     pending = rows.join(waiting, "doc").select("doc", "text", "pending").mapInArrow(context_fetcher(search), PENDING_SQL)
     late = pending.repartition("key").sortWithinPartitions("key").mapInArrow(window_settler(search), SPAN_SQL)
     spans = settled.where("size < 0").select("doc", "span").unionByName(late).groupBy("doc").agg(F.collect_list("span").alias("spans"))

@@ -1,4 +1,19 @@
-"""Operator 2: words covered by a 13-word window that also starts in an earlier document."""
+"""Operator 2, substring dedup: words covered by a window that also starts in an earlier document.
+
+Prefix-partitioned suffix trees: suffixes are split by a prefix of a few words
+into groups that one task can hold; a prefix with too many suffixes is
+lengthened to the whole window.  Each group's tree is its sorted suffixes; the
+internal nodes of depth ``length`` or more are its repeats, and a repeat is
+removed from every document but the one of smallest id.
+
+Only suffixes at content-chosen anchors are shuffled (a fifth of all; no repeat
+is missed by that), and only those whose prefix is met with several contexts
+carry words (:mod:`.repeats`).
+
+Edge cases: a null text has no words; texts of fewer words than ``length`` keep
+all; null ids come after all others; rows that repeat an id count as one
+document; an empty table gives an empty result; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +23,7 @@ from .repeats import Search, remove_repeats
 
 
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, n_spans, kept_sha256 (and kept_text); ``length`` up to 255 words."""
+    """doc_id, n_words, n_removed, n_spans, kept_sha256 (and kept_text); ``length`` from 2 to 255 words."""
     out = remove_repeats(docs, Search("word", length, max(1, min(5, length // 2)), other_doc=True), id_col, text_col, with_text)
     return out.withColumnRenamed("n_units", "n_words")
 

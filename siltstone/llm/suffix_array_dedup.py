@@ -1,4 +1,22 @@
-"""Operator 3: bytes covered by a 100-byte string that starts earlier."""
+"""Operator 3, suffix-array dedup: bytes covered by a 100-byte string that starts earlier.
+
+Induced sorting: the contexts that meet in a task are one shard; its suffixes
+are classified as smaller or larger than their right neighbours, the substrings
+between leftmost-smaller positions are sorted and named, the names are ranked,
+and the shard's suffix array is induced in linear time (:mod:`.suffix`).
+Permuted common prefixes of ``length`` or more tie equal windows together; all
+but the one that starts first are removed.
+
+A suffix array over all bytes of the corpus would shuffle every suffix (eight
+bytes and more for each byte of text), so only suffixes at content-chosen
+anchors are shuffled, and only contexts whose prefix is met with several
+contexts reach a shard; no repeat is missed by that (:mod:`.repeats`).
+
+Edge cases: a null text is empty; texts shorter than ``length`` keep all bytes;
+null ids come after all others; rows that repeat an id count as one document;
+kept text is decoded with U+FFFD where a removed run cuts a character (the digest
+is of the bytes); an empty table gives an empty result; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +24,9 @@ from pyspark.sql import DataFrame
 
 from .repeats import Search, remove_repeats
 
-BYTES = Search("byte", 100, 24, other_doc=False)
-
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text); ``length`` from 32 to 255."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text); ``length`` from 16 to 255."""
     out = remove_repeats(docs, Search("byte", length, min(24, length // 2), other_doc=False), id_col, text_col, with_text)
     return out.withColumnRenamed("n_units", "n_bytes")
 

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
+from siltstone.llm.repeats import FOUND, Search, context_settler, remove_repeats
 from siltstone.llm.substring_dedup import remove_repeated_words
 from siltstone.llm.suffix_array_dedup import remove_repeated_bytes
 
@@ -73,6 +75,40 @@ def test_words(spark, seed):
     assert {k: (v, expect[k]) for k, v in got.items() if v != expect[k]} == {} and len(got) == len(expect)
 
 
+@pytest.mark.parametrize("unit", ["byte", "word"])
+def test_wide_prefixes(spark, unit):
+    docs = corpus(5)
+    frame = spark.createDataFrame([(*d, "clash", 1) for d in docs], SCHEMA).repartition(6)
+    byte = unit == "byte"
+    search = Search(unit, 100 if byte else 13, 24 if byte else 5, other_doc=not byte, group_rows=1)
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["kept_sha256"]) for r in remove_repeats(frame, search).collect()}
+    expect = brute_bytes(docs, 100) if byte else brute_words(docs, 13)
+    assert got == {k: (v[0], v[1], v[-1]) for k, v in expect.items()}
+
+
+@pytest.mark.parametrize("other_doc", [True, False])
+def test_contexts_stream_over_batches(other_doc):
+    rng = random.Random(8)
+    rows = sorted({(rng.randint(0, 6), rng.randint(0, 3), rng.randint(0, 5), rng.randint(0, 30)) for _ in range(120)})
+    search = Search("byte", 100, 24, other_doc)
+
+    def settle(size):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        out = context_settler(search)(pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))] + [pa.array([100] * len(p), pa.int32())], schema=FOUND) for p in parts)
+        found = [r for b in out for r in b.to_pylist()]
+        return sorted((r["doc"], r["key"], r["at"]) for r in found if r["size"] >= 0)
+
+    heads = {}
+    for k, c, d, a in rows:
+        heads.setdefault((k, c), (d, a))
+    contexts = {}
+    for k, c in heads:
+        contexts.setdefault(k, set()).add(c)
+    free = lambda k, c, d, a: d == heads[k, c][0] if other_doc else (d, a) == heads[k, c]
+    want = sorted((d, k, a) for k, c, d, a in rows if len(contexts[k]) > 1 and free(k, c, d, a))
+    assert settle(1000) == settle(7) == settle(1) == want
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert remove_repeated_bytes(empty).count() == 0 and remove_repeated_words(empty).count() == 0
