@@ -10,10 +10,10 @@ from .html_extract import op6_html_extract
 from .license_scan import OP1_SQL, op1_license_scan
 from .mixing import op8_mixing
 from .quality_rules import op5_quality_rules
-from .secret_scan import op10_secret_scan
+from .secret_scan import OP10_SQL, op10_secret_scan
 from .simhash import op9_simhash
-from .substring_dedup import op2_substring_dedup
-from .suffix_array_dedup import op3_suffix_array_dedup
+from .substring_dedup import OP2_SQL, op2_substring_dedup
+from .suffix_array_dedup import OP3_SQL, op3_suffix_array_dedup
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -31,7 +31,10 @@ QUERIES = {
 
 ORACLE = {
     "op1_license_scan": OP1_SQL,
+    "op2_substring_dedup": OP2_SQL,
+    "op3_suffix_array_dedup": OP3_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op10_secret_scan": OP10_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:

@@ -18,10 +18,12 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, spread_join, text_or_empty
+from .common import keep, let, spread_join, text_or_empty
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -98,10 +100,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", "owner", "repo",
         _all_spans(text, lower, BASE, 0).alias("base"), _all_spans(text, lower, FURTHER, len(BASE)).alias("further"),
     )
-    # Values leave as digests: the table in the shared folder holds no secret.
+    # Values leave as digests: the cached table holds no secret.
     hide = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value")))
     rows = rows.select("doc_id", "owner", "repo", hide(F.col("base")).alias("base"), hide(F.col("further")).alias("further"))
-    rows = materialise(rows, "secrets").withColumn("key", F.sha2(F.concat_ws("|", _spell(F.col("base")), _spell(F.col("further")), "owner"), 256))
+    rows = keep(rows).withColumn("key", F.sha2(F.concat_ws("|", _spell(F.col("base")), _spell(F.col("further")), "owner"), 256))
     spans = rows.where((F.size("base") > 0) | (F.size("further") > 0)).select(
         "doc_id", "owner", "repo", "key", F.explode(F.concat("base", "further")).alias("s")
     ).select("doc_id", "owner", "repo", "key", "s", F.col("s.value").alias("value"))
@@ -129,3 +131,36 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
     return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql_spans(rank: int, pattern: str, group: int, least: int) -> str:
+    """A list of spans in SQL; letters of the first pattern in either case are spelled out, for RE2 folds more than ASCII."""
+    if pattern.startswith("(?i)"):
+        head, tail = pattern[4:].split(")", 1)
+        pattern = re.sub(r"[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", head) + ")" + tail
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    length = "coalesce(list_sum(list_transform({0}, lambda y: length(y))), 0)"
+    start = f"({length.format(f'string_split_regex(text, {quoted})[1:i]')} + {length.format(f'regexp_extract_all(text, {quoted})[1:i - 1]')})::INT"
+    rows = f"""list_transform(range(1, len(regexp_extract_all(text, {quoted})) + 1), lambda i: {{'start': {start}, 'rank': {rank},
+      'end': ({start} + length(regexp_extract_all(text, {quoted})[i]))::INT, 'value': regexp_extract_all(text, {quoted}, {group})[i]}})"""
+    return f"list_filter({rows}, lambda z: length(z['value']) >= {least})"
+
+
+def _sql() -> str:
+    lists = lambda kinds, first: "list_concat(" + ", ".join(_sql_spans(first + k, p, g, n) for k, (_, p, g, n, _) in enumerate(kinds)) + ")"
+    spell = "list_transform(list_sort({0}), lambda z: (" + repr(KINDS) + ")[z['rank'] + 1] || ':' || z['start'] || ':' || z['end'])"
+    text = lambda x: f"coalesce(array_to_string({spell.format(x)}, ','), '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, source, lang, coalesce(text, '') AS text FROM documents),
+s AS (SELECT doc_id, owner, {lists(BASE, 0)} AS base, {lists(FURTHER, len(BASE))} AS further FROM d),
+v AS (SELECT doc_id, owner, unnest(list_concat(base, further)) AS z FROM s),
+o AS (SELECT z['value'] AS value, count(DISTINCT owner) AS owners FROM v GROUP BY 1),
+j AS (SELECT doc_id, list(DISTINCT z) FILTER (WHERE owners <= 3) AS live, list(DISTINCT z) FILTER (WHERE owners > 3) AS copied FROM v JOIN o ON z['value'] = o.value GROUP BY doc_id)
+SELECT s.doc_id, len(list_filter(base, lambda z: z['rank'] = 0)) AS n_assign, len(list_filter(base, lambda z: z['rank'] = 1)) AS n_access, len(list_filter(base, lambda z: z['rank'] = 2)) AS n_hex,
+       sha256({text("base")}) AS base_sha256, {text("list_concat(base, list_filter(coalesce(live, []), lambda z: z['rank'] >= 3))")} AS spans,
+       coalesce(len(live), 0) AS n_live, coalesce(len(copied), 0) AS n_copied
+FROM s LEFT JOIN j USING (doc_id)
+"""
+
+
+OP10_SQL = _sql()

@@ -30,3 +30,17 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP2_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+p AS (SELECT *, string_agg(word, ' ') OVER w AS win, count(*) OVER w AS n FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+m AS (SELECT win, min(doc_id) AS first FROM p WHERE n = 13 GROUP BY win),
+h AS (SELECT p.*, CASE WHEN n = 13 AND first < doc_id THEN 1 ELSE 0 END AS hit FROM p LEFT JOIN m USING (win)),
+c AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM h),
+e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 AS opens FROM c)
+SELECT d.doc_id, count(word) AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN e USING (doc_id) GROUP BY d.doc_id
+"""

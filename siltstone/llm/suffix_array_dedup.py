@@ -33,3 +33,17 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+u AS (SELECT doc_id, n, x, unnest(range(1, n + 1)) AS pos FROM t),
+p AS (SELECT doc_id, pos, substr(x, 2 * pos - 1, 2) AS b, CASE WHEN pos <= n - 99 THEN md5(substr(x, 2 * pos - 1, 200)) END AS win FROM u),
+m AS (SELECT win, min((doc_id, pos)) AS first FROM p WHERE win IS NOT NULL GROUP BY win),
+h AS (SELECT doc_id, pos, b, CASE WHEN first < (doc_id, pos) THEN 1 ELSE 0 END AS hit FROM p LEFT JOIN m USING (win)),
+c AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM h),
+e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 AS opens FROM c)
+SELECT d.doc_id, count(b) AS n_bytes, coalesce(sum(gone), 0)::BIGINT AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+       sha256(unhex(coalesce(string_agg(b, '' ORDER BY pos) FILTER (WHERE gone = 0), ''))) AS kept_sha256
+FROM documents d LEFT JOIN e USING (doc_id) GROUP BY d.doc_id
+"""
