@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 
+_kept: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a narrow table that is read more than once; a lost executor's part is computed again.
+
+    Disk takes what memory can't hold.  :func:`release` drops all of them.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(df)
+    return df
+
+
+def release() -> None:
+    """Drop what :func:`keep` holds, once the results that read it are written."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by a table in the shared folder; survives lost executors."""
     spark = df.sparkSession

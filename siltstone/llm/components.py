@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from .common import materialise, spread_join
 
 
+ROWS_PER_FILE = 1_000_000
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One star step over directed pairs (u, v)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -27,11 +30,15 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) of every node that has an edge (a, b); label: the least node of its component."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs, before = materialise(pairs, "edges"), None
+    pairs = materialise(pairs, "edges")
+    before = (pairs.count(), None)
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, small=False)
-        pairs = materialise(_star(large, small=True), "edges")
+        pairs = _star(large, small=True)
+        if before:  # as many files as the edges need
+            pairs = pairs.coalesce(1 + before[0] // ROWS_PER_FILE)
+        pairs = materialise(pairs, "edges")
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break

@@ -5,8 +5,8 @@ abstains (0).  Expectation-maximisation over the table of vote patterns (at
 most 3 ** rules rows, whatever the corpus size) estimates how each rule votes on
 good and on bad texts, and the posterior probability of good quality replaces
 an all-rules-must-pass filter.  Counting is one narrow pass of built-in
-expressions; no text is shuffled, and the counts are written once to the shared
-folder, so the estimate and the verdict read the same small table.
+expressions; no text is shuffled, and the narrow table of counts is cached, so the
+estimate and the verdict read the same rows.
 
 Edge cases: a null or empty text has no words and fails the base rule; null ids
 are kept as they are; repeated rows are judged alike; an empty table fits
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, materialise, strip_spaces, text_or_empty
+from .common import SPACE_CLASS, keep, let, strip_spaces, text_or_empty
 
 #: Frequent short words of the corpus languages, as written in running text.
 STOP_WORDS = [
@@ -177,7 +177,7 @@ def judge(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    counts = materialise(text_counts(docs, id_col, text_col), "quality")
+    counts = keep(text_counts(docs, id_col, text_col))
     return judge(counts, threshold)
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spread_join, text_or_empty
+from .common import keep, spread_join, text_or_empty
 from .components import components
 from .repeats import _by_key, text_buffers
 
@@ -168,11 +168,11 @@ def near_edges(prints: DataFrame, distance: int, groups: int) -> DataFrame:
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, groups: int = 7) -> DataFrame:
     """doc_id, fingerprint, component_id (least doc_id reachable), group_size of every row."""
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "prints")
-    classes = materialise(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    rows = keep(fingerprints(docs, id_col, text_col, shingle))
+    classes = keep(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     labels = components(near_edges(classes.select("print"), distance, groups))
     named = classes.join(labels, classes["print"] == labels["node"], "left").select("print", "least", "n", F.coalesce("label", "print").alias("label"))
-    named = materialise(named, "named")
+    named = keep(named)
     names = named.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
     of_print = spread_join(named.select("print", "label"), names, ["label"], "inner").select("print", "component_id", "group_size")
     return spread_join(rows, of_print, ["print"], "inner").select(
