@@ -24,14 +24,14 @@ are kept by :func:`mix_sources`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialise, text_or_empty
+from .common import SPACE_CLASS, keep, text_or_empty
 
 DOMAINS = ["good", "poor", "toxic"]
 #: Share of the mix by domain.  The base domain is kept whole; the others are cut to their share, never raised.
@@ -41,35 +41,112 @@ FEATURES = 1 << 16
 FIT_ROWS = 20_000
 
 
+#: Standard errors by which a word's share must differ between domains.
+LEAST_Z = 5.0
+
+
 def label_domain() -> Column:
     """Index in DOMAINS of a row of the labels table."""
-    return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).cast("double")
+    return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
 
 
 def hashed_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds _words and n_tokens: lower-case words without outer punctuation, and the number of words."""
+    """Adds n_tokens (words) and _f: the distinct hashed words, in lower case without .,;:!? around them."""
     words = F.filter(F.split(F.lower(text_or_empty(text_col)), SPACE_CLASS + r"|[.,;:!?]"), lambda w: w != "")
-    return docs.withColumn("_words", words).withColumn("n_tokens", F.size("_words").cast("long"))
+    slots = F.array_distinct(F.transform("_words", lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int")))
+    rows = docs.withColumn("_words", words).withColumn("n_tokens", F.size("_words").cast("long"))
+    return rows.withColumn("_f", slots).drop("_words")
+
+
+def class_scores(weights: np.ndarray, slots: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Scores of documents whose features are slots[offsets[d]:offsets[d + 1]]; the last column of weights is the bias."""
+    out = np.repeat(weights[:, -1:], len(offsets) - 1, axis=1).astype(np.float64)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        for k in range(len(weights)):
+            out[k, full] += np.add.reduceat(weights[k, slots], offsets[full], dtype=np.float64)
+    return out
+
+
+def softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(axis=0))
+    return e / e.sum(axis=0)
+
+
+def telling(slots: np.ndarray, offsets: np.ndarray, label: np.ndarray, classes: int, least: float = LEAST_Z) -> np.ndarray:
+    """Which features differ between a class and the rest by ``least`` standard errors: words met by chance in few rows say nothing."""
+    owner, n, out = np.repeat(np.arange(len(label)), np.diff(offsets)), len(label), np.zeros(FEATURES, bool)
+    every = np.bincount(slots, minlength=FEATURES)
+    for k in range(classes):
+        inside = label == k
+        m = int(inside.sum())
+        if 0 < m < n:
+            mine = np.bincount(slots, inside[owner], FEATURES)
+            share = every / n
+            error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / m + 1 / (n - m)))
+            out |= np.abs(mine / m - (every - mine) / (n - m)) >= least * error
+    return out & (every >= 5)
+
+
+def fit_classifier(slots: np.ndarray, offsets: np.ndarray, label: np.ndarray, classes: int, rounds: int = 120, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarray:
+    """Multinomial logistic regression on binary features, full batches, with moment-scaled steps; classes x (features + bias)."""
+    useful = telling(slots, offsets, label, classes)
+    used = useful[slots]
+    offsets = np.concatenate(([0], np.cumsum(used)))[offsets]
+    slots = slots[used]
+    weights, first, second = (np.zeros((classes, FEATURES + 1)) for _ in range(3))
+    owner, n = np.repeat(np.arange(len(label)), np.diff(offsets)), max(1, len(label))
+    for t in range(1, rounds + 1):
+        error = softmax(class_scores(weights, slots, offsets))
+        error[label, np.arange(len(label))] -= 1
+        slope = np.stack([np.append(np.bincount(slots, e[owner], FEATURES), e.sum()) for e in error]) / n + ridge * weights
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+        weights -= rate / (1 + t / rounds) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+    return weights.astype(np.float32)
+
+
+def _train(table: pa.Table) -> pa.Table:
+    """The labelled rows (FIT_ROWS at most) in one task -> the weights."""
+    table = table.sort_by([("_id", "ascending")]).combine_chunks()
+    lists = table.column("_f").combine_chunks()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    label = table.column("_label").to_numpy().astype(np.int64)
+    weights = fit_classifier(lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0], label, len(DOMAINS))
+    for k in set(range(len(DOMAINS))) - set(label.tolist()):  # a domain without labelled rows is never predicted
+        weights[k] = 0
+        weights[k, -1] = -1e4
+    return pa.table({"weights": pa.array([weights.tobytes()], pa.binary())})
+
+
+def _predict(weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            p = softmax(class_scores(weights, lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]))
+            flat = pa.array(p.T.ravel())
+            cuts = pa.array(np.arange(len(offsets), dtype=np.int32) * len(weights))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(cuts, flat)], names=["_id", "n_tokens", "p"])
+
+    return run
 
 
 def predict_domains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_tokens, p (array of domain probabilities): a narrow table in the shared folder."""
-    tf = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_words", outputCol="features")
+    """_id, n_tokens, p (array of domain probabilities): a narrow cached table."""
     marked = labels.select(F.col(id_col).alias("_id"), label_domain().alias("_label")).where("_id is not null").groupBy("_id").agg(F.max("_label").alias("_label"))
     # The rows of least hash: a fixed random choice, alike on every run.
     marked = marked.orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS)
     narrow = docs.select(F.col(id_col).alias("_key"), F.col(text_col))
-    rows = narrow.join(F.broadcast(marked), F.col("_key") == F.col("_id")).select(F.col(text_col), F.col("_label").alias("label"))  # FIT_ROWS rows at most
-    train = materialise(tf.transform(hashed_words(rows, text_col)).select("features", "label"), "train")
-    present = sorted(int(r[0]) for r in train.select("label").distinct().collect())  # one row per domain
-    out = hashed_words(docs.select(F.col(id_col).alias("_id"), F.col(text_col)), text_col)
-    if len(present) < 2:
-        fixed = [1.0 if k == (present or [0])[0] else 0.0 for k in range(len(DOMAINS))]
-        return materialise(out.select("_id", "n_tokens", F.array(*[F.lit(x) for x in fixed]).alias("p")), "domains")
-    model = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-4).fit(train)
-    p = model.setProbabilityCol("_p").transform(tf.transform(out)).select("_id", "n_tokens", vector_to_array("_p").alias("p"))
-    p = p.withColumn("p", F.concat("p", F.array_repeat(F.lit(0.0), F.lit(len(DOMAINS)) - F.size("p"))))
-    return materialise(p, "domains")
+    rows = hashed_words(narrow.join(F.broadcast(marked), F.col("_key") == F.col("_id")), text_col)  # FIT_ROWS rows at most
+    found = rows.select("_id", "_label", "_f", F.lit(0).alias("_g")).groupBy("_g").applyInArrow(_train, "weights binary").collect()  # one row of FEATURES numbers per domain
+    if found:
+        weights = np.frombuffer(found[0]["weights"], np.float32).reshape(len(DOMAINS), -1)
+    else:  # nothing is labelled: all documents belong to the base domain
+        weights = np.zeros((len(DOMAINS), FEATURES + 1), np.float32)
+        weights[1:, -1] = -1e4
+    out = hashed_words(docs.select(F.col(id_col).alias("_id"), F.col(text_col)), text_col).select("_id", "n_tokens", "_f")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return keep(out.mapInArrow(_predict(weights), f"_id {kind}, n_tokens long, p array<double>"))
 
 
 def targets(totals: np.ndarray, weights: dict[str, float]) -> np.ndarray:
