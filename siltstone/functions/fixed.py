@@ -81,3 +81,65 @@ STRETCH = [(0.0, 0.02), (0.3, 0.22), (0.5, 0.42), (0.65, 0.62), (0.8, 0.82), (0.
 
 # Weights of coverage, co-occurrence and prior by kind of hypothesis.
 TYPE_WEIGHTS = {"unexplored": (0.45, 0.30, 0.25), "link": (0.25, 0.45, 0.30), "contra": (0.20, 0.30, 0.50)}
+
+# Property word -> search words.
+PROPERTY_SEARCH = {
+    "选择性": ["selectivity", "separation factor"], "容量": ["capacity", "uptake", "loading"], "吸附": ["adsorption", "uptake", "capture"],
+    "焓": ["isosteric heat", "qst", "enthalpy"], "再生": ["regeneration", "working capacity", "energy"], "稳定性": ["stability", "degradation", "cyclability"],
+    "扩散": ["diffusion", "kinetics"], "催化": ["catalysis", "tof", "conversion", "activity"], "效率": ["efficiency"],
+    "能耗": ["energy penalty", "regeneration energy"], "循环": ["cyclability", "cycle"],
+}
+DEFAULT_SEARCH = ["adsorption", "capacity", "selectivity"]
+
+# Property word -> equivalent keys.
+PROPERTY_KEYS = {
+    "选择性": ["selectivity", "separation factor", "选择性"], "容量": ["capacity", "uptake", "loading", "容量"], "吸附": ["adsorption", "uptake", "capture", "吸附"],
+    "焓": ["isosteric heat", "qst", "enthalpy", "吸附热", "等量吸附热"], "热": ["qst", "enthalpy", "heat", "吸附热"], "再生": ["regeneration", "working capacity", "energy", "再生"],
+    "稳定性": ["stability", "degradation", "cyclability", "稳定"], "扩散": ["diffusion", "kinetics", "扩散"], "催化": ["catalysis", "tof", "conversion", "activity", "催化"],
+    "效率": ["efficiency", "效率"], "能耗": ["energy penalty", "regeneration energy", "能耗"], "循环": ["cyclability", "cycle", "循环"],
+    "湿态": ["humid", "humidity", "water", "rh", "湿度", "湿"], "保持率": ["retention", "keep", "retain", "保持率", "衰减"], "密度": ["density", "浓度", "密度"],
+    "oms": ["oms", "open metal site", "open metal", "金属位点", "配位不饱和"], "缺陷": ["defect", "缺陷"], "杂质": ["impurity", "no2", "so2", "杂质"],
+    "no2": ["no2", "nitrogen dioxide"], "so2": ["so2", "sulfur dioxide"],
+}
+
+# Symbols of the elements.
+ELEMENTS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
+    "Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn"
+).split()
+FORMULA = r"(?<![A-Za-z0-9])(?:[A-Z][a-z]?(?:\d+(?:\.\d+)?|x|y|z|')?)+(?![A-Za-z0-9])"
+
+# Entities of a query: the first hit of each class counts.
+QUERY_ENTITIES = {
+    "material": r"(?i)\b[A-Z][a-z]?[0-9]*(?:[A-Z][a-z]?[0-9]*)+\b",
+    "property": r"(?i)\b(?:band gap|conductivity|thermal conductivity|electrical conductivity|mechanical strength|hardness|catalytic activity|stability|efficiency|PCE|power conversion efficiency|figure of merit|ZT|carrier mobility|Seebeck coefficient|capacity|energy density|power density|corrosion resistance|adsorption capacity|selectivity|conversion rate|yield|degradation|phase transition|magnetic)\b",
+    "method": r"(?i)\b(?:DFT|density functional theory|molecular dynamics|MD|Monte Carlo|MCTS|genetic algorithm|Bayesian optimization|machine learning|deep learning|neural network|GNN|graph neural network|transfer learning|active learning|high-throughput|combinatorial|sol-gel|hydrothermal|CVD|PVD|ALD|MBE|sputtering|electrodeposition|XRD|TEM|SEM|AFM|XPS|NMR|Raman|FTIR)\b",
+}
+
+# Entities of a document by class.
+DOCUMENT_ENTITIES = {
+    "materials": [
+        r"\b[A-Z][a-z]?[0-9]*(?:[A-Z][a-z]?[0-9]*)+(?:\b|_)", r"(?i)\b(?:perovskite|MOF|zeolite|graphene|MXene|TMD|HEA|COF|QD)\b", r"(?i)\b(?:metal-organic framework|covalent organic framework)\b",
+        r"(?i)\b(?:oxide|sulfide|nitride|carbide|alloy|ceramic|polymer|composite)\b", r"(?i)\b(?:ZIF-\d+|UiO-\d+|MIL-\d+|HKUST-\d+|IRMOF-\d+)\b",
+    ],
+    "properties": [
+        r"(?i)\b(?:band gap|conductivity|resistivity|capacitance|dielectric|permittivity)\b", r"(?i)\b(?:thermal conductivity|thermal expansion|specific heat|heat capacity)\b",
+        r"(?i)\b(?:figure of merit|ZT|Seebeck coefficient|carrier mobility|carrier concentration)\b", r"(?i)\b(?:adsorption capacity|uptake|permeability|permeance|separation factor)\b",
+        r"(?i)\b(?:stability|degradation|lifetime|durability|cyclability|coulombic efficiency)\b",
+    ],
+    "methods": [
+        r"(?i)\b(?:DFT|density functional theory|HF|CCSD|MP2|GW approximation)\b", r"(?i)\b(?:molecular dynamics|MD simulation|Monte Carlo|MCTS|kinetic Monte Carlo)\b",
+        r"(?i)\b(?:machine learning|deep learning|neural network|CNN|GNN|random forest|SVM)\b", r"(?i)\b(?:XRD|XPS|TEM|SEM|STEM|AFM|STM|NMR|EPR|FTIR|Raman|XANES|EXAFS)\b",
+        r"(?i)\b(?:CVD|PVD|ALD|MBE|sputtering|electrodeposition)\b", r"(?i)\b(?:Bayesian optimization|genetic algorithm|active learning|transfer learning)\b",
+    ],
+}
+
+# Evidence codes, most specific first.
+EVIDENCE_CODES = [
+    r"(?i)\bTE\d+(?:\s*[/,;]\s*TE?\d+)*", r"(?i)\bp\d+(?:\s*[,;]\s*p\d+)*", r"\b10\.\d{4,}/[A-Za-z0-9.\-_()/]+", r"\bPhysRev[A-Za-z.]+\.[\d.]+", r"\bs\d{5}-[\w\-]+",
+    r"\b\d{4}\.\d{4,5}[vV]\d\b", r"\b\d{4}-\d{4}/[a-z0-9]+\b", r"\b[a-z]{2,8}\.\d{5,}[a-z]?\b", r"\b[a-z]{2,8}\.\d{4}[a-z]?\b", r"\b[0-9a-f]{20,}\b", r"\b[A-Z]{2,4}\d{2,}\b",
+]
+
+# A window of values: two numbers and a unit, or two numbers before a word that says so.
+WINDOW_UNIT = r"(?i)(\d+(?:\.\d+)?)\s*[-–—~～至到]\s*(\d+(?:\.\d+)?)\s*(?:kJ/mol|kJ mol|kJ·mol|kcal/mol|J/mol|kWh/kg|mmol/g|mmol/cm3|mol/kg|mg/g|wt%|m2/g|bar|kPa|MPa|K|%|eV|h|min)"
+WINDOW_WORD = r"(?i)(\d+(?:\.\d+)?)\s*[-–—~～至到]\s*(\d+(?:\.\d+)?)\s*(?=窗口|区间|范围|甜点|window|range|sweet)"

@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import col
+from .entities import matches_any, property_keys
+from .text import col, let, match_key, material_keys
 
 
 def _words(x: Column) -> Column:
@@ -135,3 +136,52 @@ def composition_bonus(x: Column) -> Column:
 def empty_evidence(canonical: Column) -> Column:
     """A stable score in [0.10, 0.22] from the MD5 of the parameters' canonical text."""
     return 0.10 + 0.12 * ((F.conv(F.substring(F.md5(canonical), 1, 6), 16, 10).cast("long") % 1000) / 1000)
+
+
+def coverage(materials: Column, text: Column) -> Column:
+    """M17, first signal: share of materials that the text names, by key."""
+    t, low = match_key(text), F.lower(text)
+    hit = F.filter(materials, lambda m: F.contains(low, F.lower(m)) | matches_any(material_keys(m), t))
+    return F.size(hit) / F.greatest(F.size(materials), F.lit(1))
+
+
+def together(materials: Column, prop: Column, text: Column) -> Column:
+    """M17, second signal: of the paragraphs that name a material, the share that names the property."""
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda p: F.trim(p) != ""), lambda p: F.struct(F.lower(p).alias("low"), match_key(p).alias("key")))
+    keys = F.flatten(F.transform(materials, lambda m: F.concat(material_keys(m), F.array(match_key(m)))))
+    wanted = property_keys(prop)
+
+    def share(ps: Column) -> Column:
+        both = F.filter(ps, lambda p: F.contains(p["low"], F.lower(prop)) | matches_any(wanted, p["key"]))
+        return F.when(F.size(ps) > 0, F.size(both) / F.size(ps)).otherwise(0.0)
+
+    named = F.filter(lines, lambda p: matches_any(keys, p["key"]) | F.exists(materials, lambda m: F.contains(p["low"], F.lower(m))))
+    return let(named, share)
+
+
+def evidence_score(materials: Column, prop: Column, text: Column, value: Column, known: Column, kind: Column, window: Column, bonus: Column) -> Column:
+    """struct(coverage, cooccurrence, numerical, window, score) of a candidate.
+
+    Harmonic mean of the three signals, 0.6 to 0.4 with the window where the
+    hypothesis has one, mapped to 0.05 .. 0.90, bonuses added, stretched.
+    """
+    w = type_weights(kind)
+    c, t, n = coverage(materials, text), together(materials, prop, text), literature_prior(value, known)
+    fused = harmonic([(c, w["coverage"]), (t, w["cooccurrence"]), (n, w["prior"])])
+    inside = trapezoid(value, window["lo"], window["hi"])
+    fused = F.when(window.isNotNull(), 0.60 * fused + 0.40 * inside).otherwise(fused)
+    return F.struct(
+        c.alias("coverage"), t.alias("cooccurrence"), n.alias("numerical"), F.when(window.isNotNull(), inside).alias("window"), stretch(F.least(0.05 + 0.85 * fused + bonus, F.lit(1.0))).alias("score")
+    )
+
+
+def temperature_bonus(t: Column) -> Column:
+    """M18."""
+    return F.when(t.between(273, 373), 0.05).when((t > 373) & (t <= 500), 0.02).otherwise(0.0)
+
+
+def diversity_bonus(point: Column, explored: Column, most: float = 0.10) -> Column:
+    """M8: distance to the nearest explored point (arrays already scaled to 0..1) over 0.3, times ``most``; ``most`` without any."""
+    distance = lambda q: F.sqrt(F.aggregate(F.zip_with(point, q, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    near = F.array_min(F.transform(explored, distance))
+    return F.when(F.size(explored) > 0, most * F.least(near / 0.3, F.lit(1.0))).otherwise(most)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, ngrams
+from ..session import cut
 
 
 def first_wins(frame: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
@@ -76,7 +77,7 @@ def dedupe_papers(papers: DataFrame, order_col: str = "ord", least: float = 0.9)
     pairs = similar_titles(plain, heads.unionByName(plain), least).where("b < a and similarity > " + str(least)).select("a", "b")
     # 0: open, 1: survives, 2: merged.  Heads with a DOI survive from the start.
     state = heads.select("id", F.lit(1).alias("state"), F.col("id").alias("into")).unionByName(plain.select("id", F.lit(0).alias("state"), F.col("id").alias("into")))
-    state, pairs = state.checkpoint(), pairs.checkpoint()
+    state, pairs = cut(state), cut(pairs)
     while True:
         near = pairs.join(state.withColumnRenamed("id", "b"), "b").groupBy("a").agg(
             F.min(F.when(F.col("state") == 1, F.col("b"))).alias("live"), F.min(F.when(F.col("state") == 0, F.col("b"))).alias("open")
@@ -84,7 +85,7 @@ def dedupe_papers(papers: DataFrame, order_col: str = "ord", least: float = 0.9)
         settled = F.when(F.col("live").isNotNull() & (F.col("open").isNull() | (F.col("live") < F.col("open"))), 2).when(F.col("open").isNull(), 1).otherwise(0)
         step = state.join(near.withColumnRenamed("a", "id"), "id", "left")
         now = F.when(F.col("state") != 0, F.col("state")).otherwise(settled)
-        state = step.select("id", now.alias("state"), F.when((F.col("state") == 0) & (now == 2), F.col("live")).otherwise(F.col("into")).alias("into")).checkpoint()
+        state = cut(step.select("id", now.alias("state"), F.when((F.col("state") == 0) & (now == 2), F.col("live")).otherwise(F.col("into")).alias("into")))
         if not state.where("state = 0").limit(1).count():
             break
     return with_doi.where("id <> into").select("id", "into").unionByName(state.select("id", "into"))

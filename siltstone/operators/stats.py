@@ -219,6 +219,44 @@ def bayes_line(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     )
 
 
+def bayes_factor(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Log Bayes factor of a line against a constant, its band and the factor (saturated at e^100).
+
+    Both models share the prior's shape and rate, so gamma functions cancel and
+    two determinants and two rates are left: closed forms of six sums.
+    """
+    g = points.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(_c(x)).alias("_x"), F.sum(_c(y)).alias("_y"), F.sum(_c(x) * _c(x)).alias("_xx"), F.sum(_c(x) * _c(y)).alias("_xy"),
+        F.sum(_c(y) * _c(y)).alias("_yy"), F.stddev_pop(_c(x)).alias("_dx"), F.stddev_pop(_c(y)).alias("_dy"),
+    )
+    sx, sy = (F.when(F.col(d) > 0, F.col(d)).otherwise(1.0) for d in ("_dx", "_dy"))
+    g = g.withColumns({"_p1": 1 / F.pow(20 * sy / sx, 2), "_p2": 1 / F.pow(20 * sy, 2), "_m": F.col("_y") / F.col("n"), "_b0": sy * sy / 2})
+    p1, p2, m = F.col("_p1"), F.col("_p2"), F.col("_m")
+    a11, a12, a22, b1, b2 = F.col("_xx") + p1, F.col("_x"), F.col("n") + p2, F.col("_xy"), F.col("_y") + p2 * m
+    det, base = a11 * a22 - a12 * a12, F.col("_yy") + p2 * m * m
+    line = base - (a22 * b1 * b1 - 2 * a12 * b1 * b2 + a11 * b2 * b2) / det
+    flat = base - b2 * b2 / a22
+    rate = lambda q: F.greatest(F.col("_b0") + 0.5 * q, F.lit(1e-12))
+    volume = 0.5 * (F.ln(p1 * p2) - F.ln(det)) - 0.5 * (F.ln(p2) - F.ln(a22))
+    log_bf = volume - (2 + F.col("n") / 2) * (F.ln(rate(line)) - F.ln(rate(flat)))
+    v = F.col("log_bf")
+    band = F.when(v >= 3, "strong line").when(v >= 1, "moderate line").when(v >= 0, "weak line").when(v > -1, "weak constant").when(v > -3, "moderate constant").otherwise("strong constant")
+    return g.select(*keys, "n", log_bf.alias("log_bf")).withColumns({"band": band, "factor": F.exp(F.least(F.greatest(v, F.lit(-100.0)), F.lit(100.0)))})
+
+
+def mode(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """The most frequent value per group; of equals the one met first."""
+    n = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
+    return n.groupBy(*keys).agg(F.max_by(F.struct(value, "n"), F.struct(F.col("n"), -F.col("_first"))).alias("m")).select(*keys, "m.*")
+
+
+def diagnostics(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Line, adjusted r2, cross-validation and number of influential points in one row per group."""
+    line = ols(points, keys, x, y).withColumn("adjusted_r2", adjusted_r2(F.col("r2"), F.col("n"), 2))
+    cook = cooks_distance(points, keys, x, y).groupBy(*keys).agg(F.count_if("influential").alias("n_influential"))
+    return line.join(leave_one_out(points, keys, x, y).drop("n"), keys, "left").join(cook, keys, "left")
+
+
 def one_sample(values: DataFrame, keys: list[str], value: str, mean: float) -> DataFrame:
     """T statistic against ``mean``, Cohen's d, and the counts of the sign test."""
     g = values.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count_if(F.col(value) > mean).alias("above"), F.count_if(F.col(value) < mean).alias("below"))

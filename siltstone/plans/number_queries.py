@@ -268,6 +268,21 @@ def bayes_moments(t: Tables) -> DataFrame:
     return fit.select("p_brand", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("dof", 6).alias("dof"))
 
 
+@query("""WITH g AS (SELECT p_brand, count(*)::DOUBLE AS n, sum(p_size)::DOUBLE AS sx, sum(p_retailprice) AS sy, sum(p_size * p_size)::DOUBLE AS xx, sum(p_size * p_retailprice) AS xy, sum(p_retailprice * p_retailprice) AS yy, stddev_pop(p_size) AS dx, stddev_pop(p_retailprice) AS dy FROM part GROUP BY 1),
+a AS (SELECT *, 1 / (20 * dy / dx) ** 2 AS p1, 1 / (20 * dy) ** 2 AS p2, sy / n AS m, dy * dy / 2 AS b0 FROM g), b AS (SELECT *, (xx + p1) * (n + p2) - sx * sx AS det, sy + p2 * m AS b2, yy + p2 * m * m AS base FROM a),
+q AS (SELECT *, base - ((n + p2) * xy * xy - 2 * sx * xy * b2 + (xx + p1) * b2 * b2) / det AS line, base - b2 * b2 / (n + p2) AS flat FROM b)
+SELECT p_brand, round(0.5 * (ln(p1 * p2) - ln(det)) - 0.5 * (ln(p2) - ln(n + p2)) - (2 + n / 2) * (ln(b0 + 0.5 * line) - ln(b0 + 0.5 * flat)), 5) AS log_bf FROM q""")
+def bayes_factor(t: Tables) -> DataFrame:
+    """R21."""
+    return stats.bayes_factor(t.part, ["p_brand"], "p_size", "p_retailprice").select("p_brand", F.round("log_bf", 5).alias("log_bf"))
+
+
+@query("""WITH n AS (SELECT p_brand, p_type, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, f) AS r FROM n) SELECT p_brand, p_type, n FROM r WHERE r = 1""")
+def dominant_value(t: Tables) -> DataFrame:
+    """A9."""
+    return stats.mode(t.part, ["p_brand"], "p_type", "p_partkey")
+
+
 @query("""SELECT c_nationkey, count(*) AS n, round(avg(c_acctbal), 4) AS mean, round(stddev_samp(c_acctbal), 4) AS sd, round((avg(c_acctbal) - 4000) / stddev_samp(c_acctbal) * sqrt(count(*)), 6) AS t, round((avg(c_acctbal) - 4000) / stddev_samp(c_acctbal), 6) AS cohens_d,
  count(*) FILTER (WHERE c_acctbal > 4000) AS above, count(*) FILTER (WHERE c_acctbal < 4000) AS below FROM customer GROUP BY 1""")
 def t_stat(t: Tables) -> DataFrame:

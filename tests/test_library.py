@@ -116,7 +116,6 @@ def test_claims(spark):
 
 def test_dedupe_order(spark):
     rows = [(1, "A study of band gaps in lead halides", "10.1/a"), (2, "A study of band gaps in lead halides!", None), (3, "Other words entirely here", None), (4, "A study of band gaps in lead halides", "10.1/b"), (5, "other words entirely here", ""), (6, "x", "https://doi.org/10.1/A")]
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     got = {r["id"]: r["into"] for r in resolve.dedupe_papers(spark.createDataFrame(rows, "ord long, title string, doi string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3, 6: 1}
 
@@ -185,3 +184,28 @@ def test_discovery(spark):
     assert r["verdict"] == "candidate_better" and r["r2_curve"] > 0.999
     rows = spark.createDataFrame([(1, 0.8, 0.2, "pending"), (2, 0.4, 0.8, "inconclusive"), (3, 0.6, 0.6, "pending")], "id long, confidence double, plausibility double, validation_status string")
     assert [x["validation_status"] for x in discovery.settle(rows).orderBy("id").collect()] == ["contested", "underexplored", "pending"]
+
+
+def test_entities(spark):
+    from siltstone.functions import entities as e
+
+    v = lambda c: value(spark, c)
+    assert v(e.property_keywords(F.lit("CO2 容量"))) == ["capacity", "co2", "loading", "uptake"] and v(e.property_keywords(F.lit(""))) == ["adsorption", "capacity", "selectivity"]
+    assert v(e.property_keys(F.lit("缺陷")))[:2] == ["缺陷", "defect"]
+    assert [x["name"] for x in v(e.formulas(F.lit("Bi₂Te3 and PV101 with MAPbI3, NiO NiO and HKUST")))] == ["Bi2Te3", "NiO"]
+    q = v(e.query_entities(F.lit("band gap of TiO2 by DFT")))
+    assert (q["property"], q["method"]) == ("band gap", "DFT") and q["material"] is not None
+    assert v(e.document_entities(F.lit("TiO2 perovskite and Band Gap"), "materials")) == ["TiO2", "perovskite"] and v(e.document_entities(F.lit("Band Gap"), "properties")) == ["band gap"]
+    assert v(e.evidence_codes(F.lit("see TE113/TE126, p24 and 10.1234/ab.c"))) == ["TE113", "TE126", "p24", "10.1234/ab.c"]
+    assert v(e.evidence_order(F.array(F.lit("2020.1"), F.lit("p2"), F.lit("TE1")))) == ["TE1", "p2", "2020.1"]
+    assert v(e.paper_ids(F.lit("p12, 10.1234/x, **ID:** abc"))) == ["p12", "10.1234/x", "abc"]
+    w = v(e.window_of(F.lit("2016-2020 and 25-40 kJ/mol"), F.lit("1-2 K")))
+    assert (w["lo"], w["hi"]) == (25.0, 40.0) and v(e.window_of(F.lit("10-20 区间")))["hi"] == 20.0 and v(e.window_of(F.lit("none"))) is None
+    assert v(e.result_summary(F.array(*[F.lit(x) for x in "abcdefg"]))) == "a | b | c | d | e (+2 more)"
+    assert v(e.claim_semantics(F.lit("at 50 % RH"))) == "humidity" and v(e.evidence_class(F.lit("p12: x"))) == "papers" and v(e.is_placeholder(F.lit("your-key")))
+    s = v(scores.evidence_score(F.array(F.lit("Ni-MOF")), F.lit("容量"), F.lit("NiMOF has capacity 4.5\nother"), F.lit(4.5), F.array(F.lit(4.5)), F.lit("x"), F.lit(None).cast("struct<lo:double,hi:double>"), F.lit(0.0)))
+    assert (s["coverage"], s["cooccurrence"], s["numerical"]) == (1.0, 1.0, 1.0) and s["score"] == pytest.approx(0.93)
+    assert v(scores.diversity_bonus(F.array(F.lit(0.0)), F.array(F.array(F.lit(0.3))))) == pytest.approx(0.1)
+    p = spark.createDataFrame([("a", float(k), 2.0 * k + (k % 2)) for k in range(12)], "g string, x double, y double")
+    assert stats.bayes_factor(p, ["g"], "x", "y").first()["band"] == "strong line"
+    assert stats.diagnostics(p, ["g"], "x", "y").first()["adjusted_r2"] > 0.98
