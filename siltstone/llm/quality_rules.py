@@ -162,7 +162,11 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rules: list[str], ite
     return model
 
 
-def judge(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
+#: Least probability of being good: a text goes only if bad is a thousand times as likely.
+THRESHOLD = 0.001
+
+
+def judge(counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """base_failed, p_good and kept beside the counts; the model is fitted on all rows of ``counts``."""
     votes = rule_votes()
     rules = list(votes)
@@ -176,7 +180,7 @@ def judge(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     counts = keep(text_counts(docs, id_col, text_col))
     return judge(counts, threshold)
 
