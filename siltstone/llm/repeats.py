@@ -318,6 +318,15 @@ def context_fetcher(search: Search):
 SPANS = pa.schema([("doc", pa.int64()), ("span", pa.int64())])
 
 
+def later(search: Search, number, doc, row, start) -> np.ndarray:
+    """Which windows are not the first of their number: number, start and row (of doc) by window."""
+    _, place = np.unique(doc, return_inverse=True)
+    at = place[row].astype(np.int64) << 32 | start
+    first = np.full(int(number.max()) + 1 if len(number) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(first, number, at)
+    return at >> 32 > first[number] >> 32 if search.other_doc else at > first[number]
+
+
 def window_settler(search: Search):
     """Pending anchors by prefix -> spans of their windows that start earlier elsewhere."""
 
@@ -341,8 +350,7 @@ def window_settler(search: Search):
                 number = byte_window_classes(data, offsets, search.window)
             else:
                 number = word_window_classes(np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint32), (offsets - offsets[0]) // 4, search.window)
-            order, _, covered = _settle(search, number, number, doc[row], start)
-            gone = order[covered]
+            gone = np.flatnonzero(later(search, number, doc, row, start))
             d, span = _runs(doc[row[gone]], start[gone], start[gone] + search.window)
             if len(d):
                 yield _batch(SPANS, d, span)

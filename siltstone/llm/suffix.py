@@ -89,7 +89,7 @@ def doubled_ranks(rank: np.ndarray, depth: int) -> np.ndarray:
     while span < depth and n and int(rank.max()) < n - 1:
         key = rank * (n + 1)
         key[: n - span] += rank[span:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         fresh = np.empty(n, np.int64)
         fresh[order] = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
@@ -114,7 +114,7 @@ def induced_suffix_array(s: np.ndarray, symbols: int, depth: int) -> np.ndarray:
     name = np.empty(len(leftmost), np.int64)
     name[place] = np.cumsum(np.concatenate(([0], differs)))
     rank = doubled_ranks(name, depth // 2 + 1)  # such a substring moves on by two symbols at least
-    return induce(s, small, leftmost[np.argsort(rank, kind="stable")], symbols)
+    return induce(s, small, leftmost[np.argsort(rank)], symbols)
 
 
 def _laid_out(codes: np.ndarray, offsets: np.ndarray, shift: int, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def word_window_classes(codes: np.ndarray, offsets: np.ndarray, window: int) ->
     if len(where) < 2:
         return np.zeros(len(where), np.int64)
     rank = doubled_ranks(s, window)[where]
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     at = where[order]
     equal, live = np.ones(len(at) - 1, bool), np.arange(len(at) - 1)
     for k in range(window):
