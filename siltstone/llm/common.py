@@ -61,6 +61,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 
+def only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is in the one column of ``ids`` (null matches null), with all their columns, whatever their names."""
+    name = f"_only_{uuid.uuid4().hex}"
+    return docs.join(ids.toDF(name), docs[id_col].eqNullSafe(F.col(name)), "left_semi")
+
+
 _kept: list[DataFrame] = []
 
 

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, strip_spaces, text_or_empty
+from .common import only, spread_join, strip_spaces, text_or_empty
 
 
 TWO_63, TWO_64 = f"{1 << 63}BD", f"{1 << 64}BD"
@@ -58,8 +58,7 @@ def keeper(rank: str) -> Column:
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    return only(docs, exact_groups(docs, id_col, text_col).where("kept").select("doc_id").distinct(), id_col)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ are kept by :func:`mix_sources`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -205,9 +206,12 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WE
 def mix_sources(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, with all their columns."""
     chosen = mix_rates(docs, labels, id_col=id_col, text_col=text_col, **parameters).where("copies > 0")
-    chosen = chosen.groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    chosen = chosen.groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    mark = uuid.uuid4().hex  # names that no column has
+    chosen = chosen.toDF(f"id_{mark}", f"copies_{mark}")
+    joined = docs.join(chosen, docs[id_col].eqNullSafe(F.col(f"id_{mark}")))
+    repeated = F.explode(F.array_repeat(F.lit(0), F.col(f"copies_{mark}").cast("int"))).alias(f"copy_{mark}")
+    return joined.select(*[docs[c] for c in docs.columns], repeated).drop(f"copy_{mark}")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, keep, let, strip_spaces, text_or_empty
+from .common import SPACE_CLASS, keep, let, only, strip_spaces, text_or_empty
 
 #: Frequent short words of the corpus languages, as written in running text.
 STOP_WORDS = [
@@ -188,7 +188,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that pass, with all their columns; rows that repeat an id are judged together (one bad row drops them)."""
     verdict = score_quality(docs, id_col, text_col).groupBy("doc_id").agg(F.min("kept").alias("_kept")).where("_kept")
-    return docs.join(verdict.select(F.col("doc_id").alias("_id")), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    return only(docs, verdict.select("doc_id"), id_col)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, spread_join, text_or_empty
+from .common import keep, only, spread_join, text_or_empty
 from .components import components
 from .repeats import _by_key, text_buffers
 
@@ -182,8 +182,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distan
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """One row of each component stays (the least id), with all its columns."""
-    kept = link(docs, id_col, text_col, **parameters).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    return only(docs, link(docs, id_col, text_col, **parameters).where("doc_id <=> component_id").select("doc_id").distinct(), id_col)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

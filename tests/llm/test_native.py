@@ -76,6 +76,17 @@ def test_counts_match_brute_force(docs):
         assert not (g["kept"] and g["base_failed"])
 
 
+def test_clashing_names(spark, docs):
+    from siltstone.llm import mixing, simhash
+
+    odd = docs.selectExpr("*", "1 as _id", "2 as _keep", "3 as _copies", "4 as _h", "5 as _text", "6 as p", "7 as rate", "8 as print", "9 as key", "'x' as owner", "0 as n_words", "0 as doc", "0 as copies")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for f in (exact_dedup.drop_exact_copies, quality_rules.keep_good, simhash.drop_near_copies, lambda d: mixing.mix_sources(d, labels)):
+        out = f(odd)
+        assert out.columns == odd.columns and out.count() <= odd.count()
+    assert secret_scan.scan_secrets(odd).count() == odd.count() == quality_rules.score_quality(odd).count()
+
+
 def test_votes_separate_good_from_bad():
     rules = ["a", "b", "c"]
     patterns = [((1, 1, 1), 600), ((1, 0, 1), 200), ((-1, -1, 1), 80), ((-1, -1, -1), 60), ((1, -1, 1), 30)]
