@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import find_anchors, mix, prefix_hash, range_hash
-from .common import materialise, spread_join, text_or_empty
+from .common import keep, spread_join, text_or_empty
 from .suffix import byte_window_classes, word_window_classes
 
 #: Symbols handled at once; numpy arrays of this length stay in the CPU's caches.
@@ -425,7 +425,7 @@ def remove_repeats(docs: DataFrame, search: Search, id_col: str = "doc_id", text
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), text_or_empty(text_col).alias("text"))
     found = rows.mapInArrow(anchor_finder(search), FOUND_SQL)
     settled = found.repartition("key").sortWithinPartitions("key", "context", "doc", "at").mapInArrow(context_settler(search), SETTLED_SQL)
-    settled = materialise(settled, "settled")
+    settled = keep(settled)
     waiting = settled.where("size >= 0").select("doc", "key", "at", "size")
     wide = waiting.groupBy("key").count().where(F.col("count") > search.group_rows).select("key").withColumn("wide", F.lit(True))
     if wide.isEmpty():
