@@ -220,8 +220,8 @@ def context_settler(search: Search):
             if len(key):
                 new_key = np.concatenate(([not contexts or key[0] != last_key], key[1:] != key[:-1]))
                 new_context = new_key | np.concatenate(([not contexts or context[0] != last_context], context[1:] != context[:-1]))
-                if held and (new_key[0] or new_context.any() and not new_key[: np.argmax(new_context) + 1].any()):
-                    if not new_key[0]:  # the held key has a second context
+                if held and new_context.any():
+                    if not new_key[: np.argmax(new_context) + 1].any():  # the held key has a second context
                         yield waiting(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
                 # Place of each row's context head; -1: the head of the batch before.

@@ -86,10 +86,11 @@ def test_wide_prefixes(spark, unit):
     assert got == {k: (v[0], v[1], v[-1]) for k, v in expect.items()}
 
 
+@pytest.mark.parametrize("keys", [6, 60])
 @pytest.mark.parametrize("other_doc", [True, False])
-def test_contexts_stream_over_batches(other_doc):
+def test_contexts_stream_over_batches(other_doc, keys):
     rng = random.Random(8)
-    rows = sorted({(rng.randint(0, 6), rng.randint(0, 3), rng.randint(0, 5), rng.randint(0, 30)) for _ in range(120)})
+    rows = sorted({(rng.randint(0, keys), rng.randint(0, 3), rng.randint(0, 5), rng.randint(0, 30)) for _ in range(120)})
     search = Search("byte", 100, 24, other_doc)
 
     def settle(size):
@@ -106,7 +107,7 @@ def test_contexts_stream_over_batches(other_doc):
         contexts.setdefault(k, set()).add(c)
     free = lambda k, c, d, a: d == heads[k, c][0] if other_doc else (d, a) == heads[k, c]
     want = sorted((d, k, a) for k, c, d, a in rows if len(contexts[k]) > 1 and free(k, c, d, a))
-    assert settle(1000) == settle(7) == settle(1) == want
+    assert settle(1000) == want and settle(7) == want and settle(3) == want and settle(1) == want
 
 
 def test_edges(spark):
