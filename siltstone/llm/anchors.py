@@ -4,8 +4,7 @@ Two equal windows of ``window`` symbols contain the same seeds (``seed``
 symbols), so they agree on the least seed by any fixed order: its start is an
 anchor in both.  A corpus is searched for repeated windows through the suffixes
 that start at anchors, 2 / (window - seed + 2) of all suffixes, and no repeat is
-missed.  Seeds in ``heavy`` sort last: a window takes one only if all its seeds
-are heavy, so frequent text does not collect the suffixes around it.
+missed.
 """
 
 from __future__ import annotations
@@ -16,9 +15,8 @@ import numpy as np
 
 _MASK = (1 << 64) - 1
 #: Base of the polynomial hash (5 modulo 8: differences of powers lose few bits) and its inverse modulo 2^64.
-_BASE = 0x9E3779B97F4A7C15 - 0
+_BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_TOP = np.uint64(1 << 63)
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -82,18 +80,15 @@ class Anchors:
     doc: np.ndarray
 
 
-def find_anchors(symbols: np.ndarray, offsets: np.ndarray, window: int, seed: int, heavy: np.ndarray | None = None) -> Anchors:
-    """Anchors of the documents symbols[offsets[d]:offsets[d + 1]]; heavy is sorted."""
+def find_anchors(symbols: np.ndarray, offsets: np.ndarray, window: int, seed: int) -> Anchors:
+    """Anchors of the documents symbols[offsets[d]:offsets[d + 1]]."""
     n, width = len(symbols), window - seed + 1
     none = np.zeros(0, np.int64)
     if n < window:
         return Anchors(none, none.astype(np.uint64), none, none, none.astype(np.uint64), none)
     h = prefix_hash(symbols)
     seeds = seed_hashes(h, seed)
-    rank = (seeds >> np.uint64(1)) | np.uint64(1)
-    if heavy is not None and len(heavy):
-        at = np.minimum(np.searchsorted(heavy, seeds), len(heavy) - 1)
-        rank[heavy[at] == seeds] |= _TOP
+    rank = seeds | np.uint64(1)  # never 0, which marks windows that don't count
     least = _sliding(rank, width, np.minimum)  # least[p]: of window p
     lengths = np.diff(offsets)
     for cut in offsets[1:-1]:  # windows that cross the end of a document
