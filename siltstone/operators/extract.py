@@ -267,7 +267,10 @@ def pairs_of_text(text: str, x_units: set[str] | None = None, y_units: set[str]
     tables, rest = tables_of(text)
     found = [p for t in tables for p in pairs_of_table(t, x_units, y_units)]
     found += [p for s in _SENTENCE.split(rest) if s and s.strip() for p in pairs_of_sentence(s, x_units, y_units)]
-    return list({(p[0], p[1], p[2], p[3], p[5]): p for p in reversed(found)}.values())[::-1]
+    first: dict[tuple, tuple] = {}
+    for p in found:
+        first.setdefault((p[0], p[1], p[2], p[3], p[5]), p)
+    return list(first.values())
 
 
 PAIR_SQL = "x double, y double, x_unit string, y_unit string, context string, source string, pair int"

@@ -209,3 +209,23 @@ def test_entities(spark):
     p = spark.createDataFrame([("a", float(k), 2.0 * k + (k % 2)) for k in range(12)], "g string, x double, y double")
     assert stats.bayes_factor(p, ["g"], "x", "y").first()["band"] == "strong line"
     assert stats.diagnostics(p, ["g"], "x", "y").first()["adjusted_r2"] > 0.98
+
+
+def test_json_repair(spark):
+    from siltstone.functions.json_repair import repair_json, repaired_json
+
+    assert repair_json('x ```json\n{"a": "b\nc", "d": [1, 2,],}\n``` y') == '{"a": "b\\nc", "d": [1, 2]}'
+    assert repair_json('{"a": [1, {"b": "c') == '{"a": [1, {"b": "c"}]}' and repair_json("no") is None and repair_json(None) is None and repair_json("{]") is None
+    rows = spark.createDataFrame([('[1,]',), (None,)], "t string").select(repaired_json("t").alias("j")).collect()
+    assert [r["j"] for r in rows] == ["[1]", None]
+
+
+def test_literature_points(spark):
+    table = "## Data on several materials in one table\n| Material | T (K) | Capacity (mmol/g) |\n|---|---|---|\n" + "\n".join(f"| m{t} | {t} | {9 - t / 100} |" for t in (200, 300, 400, 200))
+    text = table + "\n## More data in sentences about it\nAt 500 K the uptake was 3.1 mmol/g. At 600 K the uptake was 2.0 mmol/g. Heat was 30 kJ/mol at 300 K."
+    docs = spark.createDataFrame([(1, text), (2, "At 300 K the uptake was 1.0 mmol/g.")], "id long, text string")
+    p = discovery.literature_points(docs, "id", "text", "CO2 uptake capacity").orderBy("block", "pair").collect()
+    assert [(r["doc"], r["x"], r["y"], r["provenance"], r["y_unit"]) for r in p] == [
+        (1, 200.0, 7.0, "table", "mmol/g"), (1, 300.0, 6.0, "table", "mmol/g"), (1, 400.0, 5.0, "table", "mmol/g"), (1, 500.0, 3.1, "explicit", "mmol/g"), (1, 600.0, 2.0, "explicit", "mmol/g"),
+    ]
+    assert [(r["tier"], r["n"]) for r in discovery.tiered_fit(discovery.literature_points(docs, "id", "text", "capacity")).collect()] == [("A", 3)]
