@@ -140,23 +140,33 @@ def empty_evidence(canonical: Column) -> Column:
 
 def coverage(materials: Column, text: Column) -> Column:
     """M17, first signal: share of materials that the text names, by key."""
-    t, low = match_key(text), F.lower(text)
-    hit = F.filter(materials, lambda m: F.contains(low, F.lower(m)) | matches_any(material_keys(m), t))
-    return F.size(hit) / F.greatest(F.size(materials), F.lit(1))
+
+    def share(t: Column) -> Column:
+        hit = F.filter(materials, lambda m: F.contains(t["low"], F.lower(m)) | matches_any(material_keys(m), t["key"]))
+        return F.size(hit) / F.greatest(F.size(materials), F.lit(1))
+
+    return let(F.struct(F.lower(text).alias("low"), match_key(text).alias("key")), share)
 
 
 def together(materials: Column, prop: Column, text: Column) -> Column:
     """M17, second signal: of the paragraphs that name a material, the share that names the property."""
+    # What every paragraph is held against is bound once.
+    bound = F.struct(
+        F.flatten(F.transform(materials, lambda m: F.concat(material_keys(m), F.array(match_key(m))))).alias("keys"), F.transform(materials, F.lower).alias("names"),
+        property_keys(prop).alias("wanted"), F.lower(prop).alias("prop"),
+    )
     lines = F.transform(F.filter(F.split(text, "\n"), lambda p: F.trim(p) != ""), lambda p: F.struct(F.lower(p).alias("low"), match_key(p).alias("key")))
-    keys = F.flatten(F.transform(materials, lambda m: F.concat(material_keys(m), F.array(match_key(m)))))
-    wanted = property_keys(prop)
 
-    def share(ps: Column) -> Column:
-        both = F.filter(ps, lambda p: F.contains(p["low"], F.lower(prop)) | matches_any(wanted, p["key"]))
-        return F.when(F.size(ps) > 0, F.size(both) / F.size(ps)).otherwise(0.0)
+    def share(s: Column) -> Column:
+        named = F.filter(lines, lambda p: matches_any(s["keys"], p["key"]) | F.exists(s["names"], lambda m: F.contains(p["low"], m)))
+
+        def part(ps: Column) -> Column:
+            both = F.filter(ps, lambda p: F.contains(p["low"], s["prop"]) | matches_any(s["wanted"], p["key"]))
+            return F.when(F.size(ps) > 0, F.size(both) / F.size(ps)).otherwise(0.0)
+
+        return let(named, part)
 
-    named = F.filter(lines, lambda p: matches_any(keys, p["key"]) | F.exists(materials, lambda m: F.contains(p["low"], F.lower(m))))
-    return let(named, share)
+    return let(bound, share)
 
 
 def evidence_score(materials: Column, prop: Column, text: Column, value: Column, known: Column, kind: Column, window: Column, bonus: Column) -> Column:
@@ -165,14 +175,19 @@ def evidence_score(materials: Column, prop: Column, text: Column, value: Column,
     Harmonic mean of the three signals, 0.6 to 0.4 with the window where the
     hypothesis has one, mapped to 0.05 .. 0.90, bonuses added, stretched.
     """
-    w = type_weights(kind)
-    c, t, n = coverage(materials, text), together(materials, prop, text), literature_prior(value, known)
-    fused = harmonic([(c, w["coverage"]), (t, w["cooccurrence"]), (n, w["prior"])])
-    inside = trapezoid(value, window["lo"], window["hi"])
-    fused = F.when(window.isNotNull(), 0.60 * fused + 0.40 * inside).otherwise(fused)
-    return F.struct(
-        c.alias("coverage"), t.alias("cooccurrence"), n.alias("numerical"), F.when(window.isNotNull(), inside).alias("window"), stretch(F.least(0.05 + 0.85 * fused + bonus, F.lit(1.0))).alias("score")
-    )
+    signals = F.struct(
+        coverage(materials, text).alias("c"), together(materials, prop, text).alias("t"), literature_prior(value, known).alias("n"), type_weights(kind).alias("w"),
+        F.when(window.isNotNull(), trapezoid(value, window["lo"], window["hi"])).alias("inside"),
+    )
+
+    def judged(s: Column) -> Column:
+        w = s["w"]
+        fused = harmonic([(s["c"], w["coverage"]), (s["t"], w["cooccurrence"]), (s["n"], w["prior"])])
+        fused = F.coalesce(0.60 * fused + 0.40 * s["inside"], fused)
+        score = let(F.least(0.05 + 0.85 * fused + bonus, F.lit(1.0)), stretch)
+        return F.struct(s["c"].alias("coverage"), s["t"].alias("cooccurrence"), s["n"].alias("numerical"), s["inside"].alias("window"), score.alias("score"))
+
+    return let(signals, judged)
 
 
 def temperature_bonus(t: Column) -> Column:
