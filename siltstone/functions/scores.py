@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -91,6 +91,33 @@ def literature_prior(v: Column, values: Column) -> Column:
     return F.when((v <= 0) | v.isNull() | (F.size(values) == 0), 0.0).otherwise(F.least(0.6 / (1 + near) + 0.4 * share, F.lit(1.0)))
 
 
+def prior_among_others(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Adds prior and nearest: :func:`literature_prior` and the least relative distance, given the positive values of the group's other rows.
+
+    Equal values of a group are one entry with a count, and are judged once.
+    """
+    w = Window.partitionBy(group).orderBy(value)
+    seen = rows.where(F.col(value) > 0).groupBy(group, value).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(w))
+    known = seen.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("y"), "n", "upto"))).alias("_known"), (F.sum("n") - 1).alias("_m"))
+    v, own, m = F.col(value), F.col("upto"), F.col("_m")
+
+    def ranked(r: Column) -> Column:
+        r = r + F.when(r >= own, 1).otherwise(0)
+        return F.get(F.filter("_known", lambda k: k["upto"] >= r), F.lit(0))["y"]
+
+    relative = lambda k: F.abs(v - k["y"]) / F.greatest(F.abs(k["y"]), F.lit(1e-6))
+    weight = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, k: s + k["n"])
+    judged = seen.join(known, group).withColumn("_mid", (ranked(F.floor((m + 1) / 2)) + ranked(F.floor(m / 2) + 1)) / 2)
+    others = F.filter(F.transform("_known", lambda k: F.struct(k["y"].alias("y"), (k["n"] - F.when(k["y"] == v, 1).otherwise(0)).alias("n"))), lambda k: k["n"] > 0)
+    judged = judged.withColumn("_others", others)
+    guard = F.filter("_others", lambda k: (k["y"] >= F.col("_mid") * 0.02) & (k["y"] <= F.col("_mid") * 50))
+    judged = judged.withColumn("_kept", F.when(F.size(guard) > 0, guard).otherwise(F.col("_others")))
+    share = weight(F.filter("_kept", lambda k: relative(k) <= 0.25)) / weight(F.col("_kept"))
+    prior = F.when(F.size("_others") == 0, 0.0).otherwise(F.least(0.6 / (1 + F.array_min(F.transform("_kept", relative))) + 0.4 * share, F.lit(1.0)))
+    judged = judged.select(group, value, prior.alias("prior"), F.array_min(F.transform("_others", relative)).alias("nearest"))
+    return rows.join(judged, [group, value], "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
+
+
 def median_of(values: Column) -> Column:
     """Median of an array: the mean of the middle two of an even number."""
     s, n = F.array_sort(values), F.size(values)

@@ -22,6 +22,51 @@ def band_matches(claims: DataFrame, evidence: DataFrame, slack: float = 0.10) ->
     return c.join(e, ["unit", "_b"]).where("value between _lo and _hi").drop("_b", "_lo", "_hi")
 
 
+OCTAVE = 1 << 20  # finest cells in a doubling of the value
+CELL_BITS, LEVELS = 3, 11  # a cell of one level holds eight of the level below
+
+
+def band_totals(claims: DataFrame, evidence: DataFrame, slack: float = 0.10) -> DataFrame:
+    """Claim -> n_match and least item of its :func:`band_matches`, without a row for each match.
+
+    Values lie in logarithmic cells, nested by eights.  A band is its two end
+    cells, where values are compared, and the largest cells between them, where
+    the logarithm's order decides and a total is read; a claim meets some tens
+    of totals however many items match.
+    """
+    key = lambda v: F.floor(F.log2(v) * OCTAVE).cast("long")
+    values = evidence.where("value > 0").groupBy("unit", key(F.col("value")).alias("_key"), "value").agg(F.count(F.lit(1)).alias("_n"), F.min("item").alias("_item"))
+    cells = values.groupBy("unit", "_key").agg(F.sum("_n").alias("_n"), F.min("_item").alias("_item"))
+    at = F.array(*[F.struct(F.lit(j).alias("level"), F.shiftright("_key", CELL_BITS * j).alias("cell")) for j in range(LEVELS)])
+    totals = cells.select("unit", F.explode(at).alias("_at"), "_n", "_item").groupBy("unit", "_at").agg(F.sum("_n").alias("_n"), F.min("_item").alias("_item"))
+    c = claims.where("lo > 0 and hi >= lo").select("claim", "unit", (F.col("lo") * (1 - slack)).alias("_lo"), (F.col("hi") * (1 + slack)).alias("_hi"))
+    c = c.withColumns({"_a": key(F.col("_lo")), "_b": key(F.col("_hi"))})
+    ends = c.withColumn("_key", F.explode(F.array_distinct(F.array("_a", "_b")))).join(values, ["unit", "_key"]).where("value between _lo and _hi")
+    inside = c.select("claim", "unit", F.explode(_cover(F.col("_a") + 1, F.col("_b"))).alias("_at")).join(totals, ["unit", "_at"])
+    both = ends.select("claim", "_n", "_item").unionByName(inside.select("claim", "_n", "_item"))
+    return both.groupBy("claim").agg(F.sum("_n").alias("n_match"), F.min("_item").alias("item"))
+
+
+def _cover(start: Column, end: Column) -> Column:
+    """The fewest cells (level, cell) that make up the finest cells start .. end - 1."""
+
+    def cells(a: Column, b: Column, level: int) -> Column:
+        run = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(run, lambda x: F.struct(F.lit(level).alias("level"), x.alias("cell")))
+
+    up = lambda j: -F.shiftright(-start, CELL_BITS * j)
+    down = lambda j: F.shiftright(end, CELL_BITS * j)
+    out = []
+    for j in range(LEVELS):
+        a, b = up(j), down(j)
+        if j + 1 < LEVELS:
+            left, right = F.shiftleft(up(j + 1), CELL_BITS), F.shiftleft(down(j + 1), CELL_BITS)
+            out += [cells(a, F.when(left < right, left).otherwise(b), j), cells(F.when(left < right, right).otherwise(b), b, j)]
+        else:
+            out.append(cells(a, b, j))
+    return F.concat(*out)
+
+
 def first_match(claims: DataFrame, matches: DataFrame, order: list[Column]) -> DataFrame:
     """Every claim with its first match in order (null if none)."""
     best = matches.groupBy("claim").agg(F.min_by("item", F.struct(*order)).alias("item"))
@@ -34,9 +79,9 @@ def claim_status(claims: DataFrame, evidence: DataFrame, slack: float = 0.15) ->
     "The nearest value is over half away" is "no value lies in the half band",
     a second band join: no unit's values are gathered in one place.
     """
-    found = band_matches(claims, evidence, slack).groupBy("claim").agg(F.count(F.lit(1)).alias("n_match"))
+    found = band_totals(claims, evidence, slack).select("claim", "n_match")
     middle = (F.col("lo") + F.col("hi")) / 2
-    near = band_matches(claims.withColumns({"lo": middle, "hi": middle}), evidence, 0.5).select("claim").distinct().withColumn("_near", F.lit(True))
+    near = band_totals(claims.withColumns({"lo": middle, "hi": middle}), evidence, 0.5).select("claim", F.lit(True).alias("_near"))
     units = evidence.where("value > 0").select("unit").distinct().withColumn("_met", F.lit(True))
     out = claims.join(found, "claim", "left").join(near, "claim", "left").join(units, "unit", "left")
     n = F.coalesce("n_match", F.lit(0))

@@ -110,18 +110,18 @@ def _claims(t: Tables) -> DataFrame:
 
 
 def _evidence(t: Tables) -> DataFrame:
-    e = t.lineitem.where("l_orderkey < 400").join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    e = t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return e.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.col("p_brand").alias("unit"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("value"))
 
 
 @query(f"""WITH c AS ({CLAIMS}), e AS ({EVIDENCE}), m AS (SELECT claim, count(*) AS n_match, min(item) AS item FROM c JOIN e USING (unit) WHERE value BETWEEN lo * 0.9 AND hi * 1.1 GROUP BY claim)
 SELECT c.claim, coalesce(m.item, -1) AS item, coalesce(n_match, 0) AS n_match FROM c LEFT JOIN m USING (claim)""")
 def claim_band_join(t: Tables) -> DataFrame:
-    """First match of each claim within ten per cent.  (Evidence: the orders numbered below 400, a fixed part of the catalogue.)"""
+    """First match of each claim within ten per cent, and how many there are."""
     c = _claims(t)
-    m = claims.band_matches(c, _evidence(t), 0.10)
-    first = claims.first_match(c, m, [F.col("item")]).select("claim", F.coalesce("item", F.lit(-1)).alias("item"))
-    return first.join(m.groupBy("claim").agg(F.count(F.lit(1)).alias("n_match")), "claim", "left").withColumn("n_match", F.coalesce("n_match", F.lit(0)))
+    m = claims.band_totals(c, _evidence(t), 0.10)
+    return c.select("claim").join(m, "claim", "left").select("claim", F.coalesce("item", F.lit(-1)).alias("item"), F.coalesce("n_match", F.lit(0)).alias("n_match"))
+
 
 
 STATUS = f"""WITH c AS ({CLAIMS}), e AS ({EVIDENCE}), m AS (SELECT claim, count(*) FILTER (WHERE value BETWEEN lo * 0.85 AND hi * 1.15) AS n_match, min(abs(value - (lo + hi) / 2) / ((lo + hi) / 2)) AS far FROM c JOIN e USING (unit) GROUP BY claim),
@@ -148,11 +148,9 @@ j AS (SELECT p_partkey, x, ks, list_aggregate(ks, 'median') AS med FROM v JOIN k
 SELECT p_partkey, round(least(0.6 / (1 + list_min(list_transform(gs, lambda y: abs(x - y) / greatest(abs(y), 1e-6)))) + 0.4 * len(list_filter(gs, lambda y: abs(x - y) / greatest(abs(y), 1e-6) <= 0.25)) / len(gs), 1.0), 6) AS prior,
  round(list_min(list_transform(ks, lambda y: abs(x - y) / greatest(abs(y), 1e-6))), 6) AS nearest FROM g""")
 def literature_prior(t: Tables) -> DataFrame:
-    """Prior of a price given the known prices of its brand."""
-    v = t.part.where("p_partkey < 500").select("p_partkey", "p_brand", F.col("p_retailprice").alias("x"))
-    known = t.part.where("p_partkey >= 1500").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_retailprice")).alias("ks"))
-    near = F.array_min(F.transform("ks", lambda k: F.abs(F.col("x") - k) / F.greatest(F.abs(k), F.lit(1e-6))))
-    return v.join(known, "p_brand").select("p_partkey", F.round(scores.literature_prior(F.col("x"), F.col("ks")), 6).alias("prior"), F.round(near, 6).alias("nearest"))
+    """Prior of each part's price given the prices of the other parts of its brand."""
+    at = t.part.select("p_partkey", "p_brand", F.col("p_retailprice").alias("x"))
+    return scores.prior_among_others(at, "p_brand", "x").select("p_partkey", F.round("prior", 6).alias("prior"), F.round("nearest", 6).alias("nearest"))
 
 
 @query("""WITH s AS (SELECT c_custkey, (c_acctbal + 1000) / 11003 AS s, (c_custkey % 100) / 99.0 AS u FROM customer)

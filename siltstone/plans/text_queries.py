@@ -221,7 +221,7 @@ SELECT name, list_sort(list(DISTINCT word)) AS words FROM h JOIN (SELECT pid, t
 def paragraph_cooccurrence(t: Tables) -> DataFrame:
     """A6."""
     p = t.documents.select(F.col("doc_id").alias("pid"), text.tokenize("text", unicode=False).alias("tokens"))
-    names = t.benchmark.where("item_id < 5").select(F.explode(text.tokenize("text", unicode=False)).alias("name"))
+    names = t.benchmark.select(F.explode(text.tokenize("text", unicode=False)).alias("name"))
     words = t.spark.createDataFrame([(w,) for w in ("license", "idiot", "scum", "token", "trash")], "word string")
     return graph.cooccurrence(p, names, words)
 
