@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, keep, text_or_empty
+from .common import SPACE_CLASS, keep, let, text_or_empty
 
 DOMAINS = ["good", "poor", "toxic"]
 #: Share of the mix by domain.  The base domain is kept whole; the others are cut to their share, never raised.
@@ -170,7 +170,13 @@ def rate_of(gradients: list[np.ndarray], max_rate: float, ridge: float, step: fl
     return F.aggregate(g, F.lit(1.0), move)
 
 
-def fit_rates(rows: DataFrame, weights: dict[str, float], max_rate: float = 1.0, ridge: float = 1e-3, step: float = 1.0, iterations: int = 25, tolerance: float = 1e-3) -> tuple[Column, np.ndarray, np.ndarray]:
+def dealt(rate: Column, snap: float) -> Column:
+    """The rate that copies are dealt by: one for rows without tokens and for those of the base domain within ``snap`` of it."""
+    base = F.get("p", F.lit(0)) >= F.array_max("p")
+    return F.when((F.col("n_tokens") == 0) | (base & (F.abs(rate - 1) <= snap)), 1.0).otherwise(rate)
+
+
+def fit_rates(rows: DataFrame, weights: dict[str, float], max_rate: float = 1.0, ridge: float = 1e-3, step: float = 1.0, iterations: int = 25, tolerance: float = 1e-3, snap: float = 0.0) -> tuple[Column, np.ndarray, np.ndarray]:
     """(rate column, totals reached, totals aimed at) over rows of n_tokens and p."""
     size = len(DOMAINS)
     total = lambda r: [F.sum(r * F.col("n_tokens") * F.get("p", F.lit(k))) for k in range(size)]
@@ -185,20 +191,18 @@ def fit_rates(rows: DataFrame, weights: dict[str, float], max_rate: float = 1.0,
         if np.abs(now - aim).sum() <= tolerance * aim.sum():
             break
         gradients.append(solve @ (now - aim))
-        r = rate_of(gradients, max_rate, ridge, step)
+        r = let(rate_of(gradients, max_rate, ridge, step), lambda x: dealt(x, snap))
         now = np.array([x or 0.0 for x in rows.agg(*[c.alias(f"c{k}") for k, c in enumerate(total(r))]).first()], float)
-    return rate_of(gradients, max_rate, ridge, step), now, aim
+    return let(rate_of(gradients, max_rate, ridge, step), lambda x: dealt(x, snap)), now, aim
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", max_rate: float = 1.0, snap: float = 0.25) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate, copies of every row."""
     rows = predict_domains(docs, labels, id_col, text_col)
-    rate, _, _ = fit_rates(rows, weights, max_rate)
-    whole = F.round("rate")
-    snapped = F.when(F.abs(F.col("rate") - whole) <= snap, whole).otherwise(F.col("rate"))
+    rate, _, _ = fit_rates(rows, weights, max_rate, snap=snap)
     unit = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
-    copies = (F.floor(snapped) + F.when(unit < snapped - F.floor(snapped), 1).otherwise(0)).cast("long")
-    return rows.withColumn("rate", F.round(F.when(F.col("n_tokens") == 0, 1.0).otherwise(rate), 6)).select(
+    copies = (F.floor("rate") + F.when(unit < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
+    return rows.withColumn("rate", F.round(rate, 6)).select(
         F.col("_id").alias("doc_id"), "n_tokens", *[F.round(F.get("p", F.lit(k)), 6).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies.alias("copies")
     )
 
