@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import let, text_or_empty
 
 MAX_KNOWN = 10_000
 
@@ -58,7 +58,7 @@ def canonical(text: Column) -> Column:
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null if that is empty."""
-    return F.when(canonical(text) != "", F.sha2(canonical(text), 256))
+    return let(canonical(text), lambda c: F.when(c != "", F.sha2(c, 256)))
 
 
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,13 +71,12 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col:
     rows = [(r["digest"], r["license"]) for r in table.collect()]  # MAX_KNOWN rows at most
     lookup = F.create_map(*[F.lit(x) for r in rows for x in r]) if rows else F.create_map().cast("map<string,string>")
     text = text_or_empty(text_col)
-    # A line as long as the longest known text, blown up by punctuation, is still looked at; every known text names a licence or a mark.
-    longest = 4 * max([len(body) for _, body in known], default=0)
+    # Length says nothing: canonical forms drop copyright lines and punctuation.  Every known text names a licence or a mark.
     marks = r"(?i)licen[cs]e|permission|spdx|\bcc0?\b|copyright|redistribut|warrant"
     plain = all(_marked(body) for _, body in known)
-    may_match = F.length(text) <= longest
-    whole = F.when(may_match & text.rlike(marks) if plain else may_match, F.try_element_at(lookup, digest(text)))
-    candidate = lambda x: (F.length(x) <= longest) & (x.rlike(marks) if plain else F.lit(True))
+    named = F.try_element_at(lookup, digest(text))
+    whole = F.when(text.rlike(marks), named) if plain else named
+    candidate = lambda x: x.rlike(marks) if plain else F.lit(True)
     lines = F.filter(F.transform(F.filter(F.split(text, "\n"), candidate), lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())
     found = F.when(text.rlike(marks), lines).otherwise(F.array().cast("array<string>")) if plain else lines
     return docs.select(F.col(id_col).alias("doc_id"), whole.alias("license"), found.alias("_found")).select(
