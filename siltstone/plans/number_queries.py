@@ -88,15 +88,15 @@ def positional_left_join(t: Tables) -> DataFrame:
     return o.join(best, "pos", "left").select("o_orderkey", "pos", "best")
 
 
-def with_position(rows: DataFrame, key: str, width: int = 1 << 12) -> DataFrame:
-    """0-based position of each row by a unique integer key: rank inside a bucket of keys plus the rows of smaller buckets."""
+def with_position(rows: DataFrame, key: str, width: int = 1 << 12, group: tuple[str, ...] = ()) -> DataFrame:
+    """0-based position of each row (of its group, which has no nulls) by a unique integer key: rank inside a bucket of keys plus the rows of smaller buckets."""
     from pyspark.sql import Window
 
     b = rows.withColumn("_b", F.floor(F.col(key) / width))
-    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per bucket
-    inside = b.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1)
-    return inside.join(before.select("_b", "_before"), "_b").withColumn("pos", F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")
+    counts = b.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per bucket
+    inside = b.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_b").orderBy(key)) - 1)
+    return inside.join(before.select(*group, "_b", "_before"), [*group, "_b"]).withColumn("pos", F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")
 
 
 # --- claims: parts claim a price range by brand; line items are evidence ---

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scores, text
 from ..operators import graph, quality, resolve, retrieval, windows
+from .number_queries import with_position
 from .registry import Tables, query
 
 STOP = ", ".join(f"'{w}'" for w in fixed.STOPWORDS)
@@ -111,7 +112,7 @@ s AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.g, b.g)) / (le
 SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.2""")
 def trigram_similarity(t: Tables) -> DataFrame:
     """Pairs of passages by 3-gram Jaccard, through rare-gram prefixes."""
-    b = t.benchmark.select(F.col("item_id").alias("id"), F.left("text", F.lit(60)).alias("title"))
+    b = t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("title"))
     return resolve.similar_titles(b, b, 0.2).where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -251,7 +252,7 @@ def rollup_counts(t: Tables) -> DataFrame:
 @query("""SELECT doc_id, 'SPR-' || lang || '-' || printf('%02d', row_number() OVER (PARTITION BY lang ORDER BY doc_id)) AS label FROM documents WHERE n_chars > 3000""")
 def positional_labels(t: Tables) -> DataFrame:
     """T9."""
-    rows = t.documents.where("n_chars > 3000").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    rows = with_position(t.documents.select("doc_id", "lang", F.coalesce("lang", F.lit("")).alias("_g")), "doc_id", group=("_g",)).withColumn("r", F.col("pos") + 1)
     label = F.concat(F.lit("SPR-"), "lang", F.lit("-"), F.lpad(F.col("r").cast("string"), F.greatest(F.length(F.col("r").cast("string")), F.lit(2)), F.lit("0")))
     return rows.select("doc_id", label.alias("label"))
 

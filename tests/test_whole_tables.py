@@ -79,3 +79,15 @@ def test_names_of_all_passages(spark, tables):
             for n in w & names:
                 want.setdefault(n, set()).update(w & marks)
     assert {n: set(r["words"]) for n, r in got(spark, "paragraph_cooccurrence", "name").items()} == want
+
+
+def test_whole_texts(spark, tables):
+    docs, passages = tables["documents"], tables["benchmark"]
+    distinct = got(spark, "ordered_distinct", "doc_id")
+    assert {i: r["n"] for i, r in distinct.items()} == {i: len({w for w in x.split(" ") if w}) for i, x in zip(docs.doc_id, docs.text, strict=True)}
+    grams = {i: {x[k : k + 3] for k in range(len(x) - 2)} for i, x in zip(passages.item_id, passages.text, strict=True)}
+    want = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in grams for b in grams if a < b}
+    pairs = {(r["a"], r["b"]): r["similarity"] for r in plans.QUERIES["trigram_similarity"](spark, SF).collect()}
+    assert pairs == {k: pytest.approx(s, abs=1e-6) for k, s in want.items() if s >= 0.2}
+    numbered = docs.sort_values("doc_id").groupby("lang").cumcount() + 1
+    assert {i: r["label"] for i, r in got(spark, "positional_labels", "doc_id").items()} == {docs.doc_id[k]: f"SPR-{docs.lang[k]}-{n:02d}" for k, n in numbered.items()}
