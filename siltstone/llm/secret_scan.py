@@ -3,9 +3,10 @@
 Spans come from built-in expressions alone: a text is split at a pattern, and
 the lengths of the pieces and of the matches give every start and end in code
 points.  Values of all spans are hashed and counted over the corpus by distinct
-repositories and owners.  A value that many owners share is a copied example; a
-value that few owners hold looks live.  Spans of the further kinds are reported
-only when they look live; base spans always stay.
+repositories and owners.  A value that many owners share, or that many
+repositories hold whoever owns them, is a copied example; a value that few
+owners hold in few repositories looks live.  Spans of the further kinds are
+reported only when they look live; base spans always stay.
 
 Only spans are shuffled, never texts: (hash, owner, repository) is pre-aggregated
 before the shuffle, and a hot value is split by adaptive execution when the
@@ -43,6 +44,8 @@ FURTHER = [
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}", 0, 80, ["private key"]),
     ("url_password", r"://[A-Za-z0-9._%+-]+:([A-Za-z0-9._%+!$*-]{8,})@", 1, 8, ["://"]),
 ]
+#: A value that looks live has this many owners and repositories at most.
+MAX_OWNERS, MAX_REPOS = 3, 8
 KINDS = [k[0] for k in BASE + FURTHER]
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
@@ -84,11 +87,12 @@ def _spell(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """Per document: counts and digest of the base spans, all spans, and how many of them look live or are widely copied.
 
     ``owner_col`` and ``repo_cols`` name the owner and the repository of a row;
-    a value held by at most ``max_owners`` owners looks live.
+    a value held by at most ``max_owners`` owners in at most ``max_repos``
+    distinct repositories looks live.
     """
     text = F.col("_text")
     rows = docs.select(
@@ -112,7 +116,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"))
         .groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
     )
-    live = F.col("owners") <= max_owners
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     judged = spread_join(spans, held, ["value"], "inner").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
         F.collect_set(F.when(live, F.col("s"))).alias("live"), F.collect_set(F.when(~live, F.col("s"))).alias("copied")
     )
@@ -151,11 +155,11 @@ def _sql() -> str:
     spell = "list_transform(list_sort({0}), lambda z: (" + repr(KINDS) + ")[z['rank'] + 1] || ':' || z['start'] || ':' || z['end'])"
     text = lambda x: f"coalesce(array_to_string({spell.format(x)}, ','), '')"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, source, lang, coalesce(text, '') AS text FROM documents),
-s AS (SELECT doc_id, owner, {lists(BASE, 0)} AS base, {lists(FURTHER, len(BASE))} AS further FROM d),
-v AS (SELECT doc_id, owner, unnest(list_concat(base, further)) AS z FROM s),
-o AS (SELECT z['value'] AS value, count(DISTINCT owner) AS owners FROM v GROUP BY 1),
-j AS (SELECT doc_id, list(DISTINCT z) FILTER (WHERE owners <= 3) AS live, list(DISTINCT z) FILTER (WHERE owners > 3) AS copied FROM v JOIN o ON z['value'] = o.value GROUP BY doc_id)
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, {{'source': source, 'lang': lang}} AS repo, coalesce(text, '') AS text FROM documents),
+s AS (SELECT doc_id, owner, repo, {lists(BASE, 0)} AS base, {lists(FURTHER, len(BASE))} AS further FROM d),
+v AS (SELECT doc_id, owner, repo, unnest(list_concat(base, further)) AS z FROM s),
+o AS (SELECT z['value'] AS value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM v GROUP BY 1),
+j AS (SELECT doc_id, list(DISTINCT z) FILTER (WHERE owners <= {MAX_OWNERS} AND repos <= {MAX_REPOS}) AS live, list(DISTINCT z) FILTER (WHERE owners > {MAX_OWNERS} OR repos > {MAX_REPOS}) AS copied FROM v JOIN o ON z['value'] = o.value GROUP BY doc_id)
 SELECT s.doc_id, len(list_filter(base, lambda z: z['rank'] = 0)) AS n_assign, len(list_filter(base, lambda z: z['rank'] = 1)) AS n_access, len(list_filter(base, lambda z: z['rank'] = 2)) AS n_hex,
        sha256({text("base")}) AS base_sha256, {text("list_concat(base, list_filter(coalesce(live, []), lambda z: z['rank'] >= 3))")} AS spans,
        coalesce(len(live), 0) AS n_live, coalesce(len(copied), 0) AS n_copied

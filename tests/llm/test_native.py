@@ -120,3 +120,12 @@ def test_owner_frequency_separates_examples(spark):
     got = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs).collect()}
     assert got[0]["spans"] == "github:47:91" and got[0]["n_live"] == 1 and got[0]["n_copied"] == 1
     assert all(got[i]["spans"] == "" and got[i]["n_copied"] == 1 for i in range(1, 6))
+
+
+def test_repository_frequency_separates_examples(spark):
+    """One owner with a value in many repositories: a copied example; in a few: live."""
+    many, few = "gh" + "p_" + "Q7x9" * 10, "gh" + "p_" + "Z1y2" * 10
+    docs = spark.createDataFrame([(i, f"t {many}" + (f" {few}" if i < 3 else ""), f"r{i}", "owner") for i in range(40)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs).collect()}
+    assert all((got[i]["n_live"], got[i]["n_copied"]) == (int(i < 3), 1) for i in range(40))
+    assert got[0]["spans"] == "github:47:91" and got[9]["spans"] == ""
