@@ -11,10 +11,18 @@ step needs only the vector of expected domain totals: one aggregate over a narro
 table (tokens and probabilities), and a rate is a fold over the gradients so far,
 so no rate is ever shuffled or collected.
 
-Rates become whole copies: the whole part, and one more copy when the hash of
-the id falls below the fraction; rates within ``snap`` of a whole number are
-that number, so a confident document is not thinned by the noise of its
-probabilities.
+Documents that most likely belong to the base domain and whose rate is within
+``snap`` of one have rate one, so a confident document is not thinned by the
+noise of its probabilities; the fit knows that and moves the others.  Rates
+become whole copies by error diffusion: each task carries the tokens by domain
+that it owes, and a document gets the whole number next to its rate that leaves
+the least debt.  So the copies, not just the rates, meet the targets, up to about
+one document a task.
+
+Targets that the rates can't reach (too few labelled rows to tell the domains
+apart, say) are missed by the copies as well: :func:`mix_report` has tokens,
+targets and what rates and copies reach, and a warning names the domains that
+rates miss by over a twentieth.
 
 Edge cases: null and empty texts have no tokens and rate 1; a domain without
 labelled rows has probability 0; without labels of two domains every document
@@ -24,6 +32,7 @@ are kept by :func:`mix_sources`.
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Iterator
 
@@ -196,15 +205,65 @@ def fit_rates(rows: DataFrame, weights: dict[str, float], max_rate: float = 1.0,
     return let(rate_of(gradients, max_rate, ridge, step), lambda x: dealt(x, snap)), now, aim
 
 
+def copy_dealer(aim: np.ndarray):
+    """(_id, n_tokens, p, rate) -> the same and whole copies, by error diffusion over the rows of a task.
+
+    What is owed counts by domain in shares of its target.  The first fraction
+    met is drawn by the hash of the id, so a task with few rows has no leaning.
+    """
+    scale = 1.0 / np.maximum(aim, 1e-6 * max(aim.sum(), 1.0)) ** 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owed, drawn = np.zeros(len(aim)), set()
+        for batch in batches:
+            n, rate, chance = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 3, 4))
+            p = batch.column(2).flatten().to_numpy().reshape(len(n), -1)
+            least = np.floor(rate + 1e-9)
+            copies = least.astype(np.int64)
+            for i in np.flatnonzero((rate - least > 1e-9) & (n > 0)).tolist():
+                tokens, part = n[i] * p[i], rate[i] - least[i]
+                kind = int(p[i].argmax())
+                if kind not in drawn:
+                    drawn.add(kind)
+                    more = chance[i] < part
+                else:
+                    more = ((owed + tokens * (part - 1)) ** 2 * scale).sum() < ((owed + tokens * part) ** 2 * scale).sum()
+                owed += tokens * (part - more)
+                copies[i] += more
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(copies)], names=["_id", "n_tokens", "p", "rate", "copies"])
+
+    return run
+
+
+def _mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str, text_col: str, max_rate: float, snap: float) -> tuple[DataFrame, np.ndarray]:
+    """(_id, n_tokens, p, rate, copies) of every row, and the totals aimed at."""
+    rows = predict_domains(docs, labels, id_col, text_col)
+    rate, reached, aim = fit_rates(rows, weights, max_rate, snap=snap)
+    missed = [f"{d}: {x:.0f} of {y:.0f}" for d, x, y in zip(DOMAINS, reached, aim, strict=True) if abs(x - y) > 0.05 * max(y, 1.0)]
+    if missed:
+        logging.getLogger(__name__).warning("rates miss the targets (tokens reached of target): %s", ", ".join(missed))
+    chance = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
+    kind = rows.schema["_id"].dataType.simpleString()
+    rows = rows.withColumn("rate", F.round(rate, 6)).select("_id", "n_tokens", "p", "rate", chance.alias("_chance"))
+    return rows.mapInArrow(copy_dealer(aim), f"_id {kind}, n_tokens long, p array<double>, rate double, copies long"), aim
+
+
 def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", max_rate: float = 1.0, snap: float = 0.25) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate, copies of every row."""
-    rows = predict_domains(docs, labels, id_col, text_col)
-    rate, _, _ = fit_rates(rows, weights, max_rate, snap=snap)
-    unit = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
-    copies = (F.floor("rate") + F.when(unit < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
-    return rows.withColumn("rate", F.round(rate, 6)).select(
-        F.col("_id").alias("doc_id"), "n_tokens", *[F.round(F.get("p", F.lit(k)), 6).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies.alias("copies")
-    )
+    rows, _ = _mixed(docs, labels, weights, id_col, text_col, max_rate, snap)
+    shares = [F.round(F.get("p", F.lit(k)), 6).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
+    return rows.select(F.col("_id").alias("doc_id"), "n_tokens", *shares, "rate", "copies")
+
+
+def mix_report(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", max_rate: float = 1.0, snap: float = 0.25) -> DataFrame:
+    """domain, tokens, target, by_rates, by_copies: expected tokens before the mix, aimed at, and after it."""
+    rows, aim = _mixed(docs, labels, weights, id_col, text_col, max_rate, snap)
+    total = lambda by, k: F.coalesce(F.sum(by * F.col("n_tokens") * F.get("p", F.lit(k))), F.lit(0.0))
+    one = rows.agg(F.array(*[
+        F.struct(F.lit(d).alias("domain"), total(F.lit(1.0), k).alias("tokens"), F.lit(float(aim[k])).alias("target"), total(F.col("rate"), k).alias("by_rates"), total(F.col("copies"), k).alias("by_copies"))
+        for k, d in enumerate(DOMAINS)
+    ]).alias("d"))
+    return one.select(F.inline("d"))
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
