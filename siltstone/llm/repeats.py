@@ -9,16 +9,22 @@ symbols long); three exchanges, none of which carries a suffix in full:
    batch, not once per copy.
 2. Anchors meet by seed.  Equal contexts: all but the first are covered.  A seed
    with several contexts leaves the first of each context *pending*.  The sorted
-   anchors stream by, so a large group costs no memory.
+   anchors stream by, so a large group costs no memory.  A seed that has more than
+   two contexts in one batch is sure to have several, so only two of them go to the
+   seed's own task; the others are dealt by context.  So a seed that a third of all
+   texts hold is no hot key.
 3. Pending anchors (about a tenth) fetch their context from the text and meet by
    seed again.  The contexts that meet are a shard: its suffix array or suffix
-   tree (:mod:`.suffix`) gives the windows that are equal, and one that starts
-   earlier covers the others.  A seed with over ``group_rows`` pending contexts is
-   too wide a prefix for one task: its windows travel one by one, grouped by all
-   their symbols instead, after each batch has settled its own.
-
-Spans go back to their documents by id.  The text is shuffled once: both joins
-read the same exchange.
+   tree (:mod:`.suffix`) gives the windows that are equal, symbol by symbol, and one
+   that starts earlier covers the others.  A seed with over ``group_rows`` pending
+   contexts is too wide a prefix for one task: its windows are halved by where the
+   seed lies in them, and each half has a longer prefix in common, by which it
+   meets.  Prefixes are lengthened until their groups fit; the longest is a whole
+   window, and such groups are plain aggregates.
+
+Contexts count as equal by two independent 64-bit hashes (and their seed's); pending
+contexts by their bytes.  Spans go back to their documents by id.  The text is shuffled
+once: both joins read the same exchange (twice if there are wide prefixes).
 """
 
 from __future__ import annotations
@@ -38,10 +44,14 @@ from .suffix import byte_window_classes, word_window_classes
 
 #: Symbols handled at once; numpy arrays of this length stay in the CPU's caches.
 BATCH = 1 << 20
-#: Stands for a null id: after all others.
-NULL_ID = (1 << 63) - 1
-
-BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Bytes of context that one Arrow batch carries, about.
+BODY_BYTES = 1 << 25
+#: Where a null id stands: after all others.
+LAST_ID = (1 << 63) - 1
+#: In the size of an anchor: its seed has several contexts for sure, it is dealt by context.
+SEVERAL = 1 << 16
+
+BYTE_CODES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -54,7 +64,7 @@ class Search:
     window: int
     seed: int
     other_doc: bool
-    group_rows: int = 200_000
+    group_rows: int = 4_096
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +88,26 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, cuts)
 
 
-def symbols_of(search: Search, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit symbols of the documents, and their offsets."""
-    codes = BYTE_CODE[data[offsets[0] : offsets[-1]]]
+def symbols_of(search: Search, data: np.ndarray, offsets: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit symbols of the documents, and their offsets; ``second``: other symbols, independent of the first."""
+    codes = BYTE_CODES[second][data[offsets[0] : offsets[-1]]]
     if search.unit == "byte":
         return codes, offsets - offsets[0]
     starts, ends, cuts = word_bounds(data, offsets)
-    return range_hash(prefix_hash(codes), starts, ends), cuts
+    return range_hash(prefix_hash(codes, second), starts, ends, second), cuts
+
+
+def spelled_out(search: Search, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start of each unit in them with one more at the end, units' offsets by document); words are joined by one space."""
+    part = data[offsets[0] : offsets[-1]]
+    if search.unit == "byte":
+        return part, np.arange(len(part) + 1), offsets - offsets[0]
+    starts, ends, cuts = word_bounds(data, offsets)
+    sizes = ends - starts
+    out = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
+    place = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)
+    out[place] = part[~IS_SPACE[part]]
+    return out, np.concatenate(([0], np.cumsum(sizes + 1))), cuts
 
 
 def in_parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -100,27 +123,47 @@ def pack(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left << 8 | right).astype(np.int32)
 
 
-FOUND = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
-FOUND_SQL = "key long, context long, doc long, at int, size int"
-SPAN_SQL = "doc long, span long"
+FOUND = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
+FOUND_SQL = "key long, context long, check long, doc long, twin long, at int, size int"
 
 
 def _batch(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=schema)
 
 
-def _settle(search: Search, key, context, doc, at):
-    """(order, first of each context, covered) over rows sorted by (key, context, doc, at).
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before; the first row does."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _heads(new: np.ndarray) -> np.ndarray:
+    """For each row the place of the last row marked new."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _covered(search: Search, new: np.ndarray, doc, twin, at) -> np.ndarray:
+    """Rows sorted by (group, doc, twin, at), ``new`` where a group starts: which have an earlier one in their group.
 
-    covered: an equal context starts earlier (or, with other_doc, in a smaller document).
+    Earlier: in a smaller document, or (unless other_doc) further left in the same one.
     """
-    order = np.lexsort((at, doc, context, key))
-    k, c, d, a = key[order], context[order], doc[order], at[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    covered = (d > d[head]) if search.other_doc else (d > d[head]) | (a > a[head])
-    return order, new, covered
+    covered = doc > doc[_heads(new)]
+    if not search.other_doc:
+        covered |= at > at[_heads(new | _changes(doc, twin))]
+    return covered
+
+
+def _settle(search: Search, key, context, check, doc, twin, at):
+    """(order, covered, place of the context among its key's) over rows sorted by (key, context, check, doc, twin, at)."""
+    order = np.lexsort((at, twin, doc, check, context, key)) if twin.any() else np.lexsort((at, doc, check, context, key))
+    k, c, x, d, t, a = (v[order] for v in (key, context, check, doc, twin, at))
+    new_key = _changes(k)
+    new = new_key | _changes(c, x)
+    nth = np.cumsum(new)
+    return order, _covered(search, new, d, t, a), nth - nth[_heads(new_key)]
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,38 +181,43 @@ def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return doc[first], start[first] << 32 | (reach[last] - (number[last] << 33))
 
 
+def _document_runs(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for documents named by (doc, twin); returns (doc, twin, span)."""
+    if not twin.any():
+        d, span = _runs(doc, start, end)
+        return d, np.zeros(len(d), np.int64), span
+    names, number = np.unique(np.stack([doc, twin]), axis=1, return_inverse=True)
+    n, span = _runs(number.ravel(), start, end)
+    return names[0][n], names[1][n], span
+
+
 def anchor_finder(search: Search):
-    """Texts -> anchors; spans that the batch settles itself travel along as rows with size -1 (context holds the span)."""
+    """(doc, twin, text) -> anchors; spans that the batch settles itself travel along as rows with size -1 (context holds the span)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = text_buffers(batch.column(1))
+            ids, twins = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, offsets = text_buffers(batch.column(2))
             parts = []
             for i, j in in_parts(offsets):
-                a = find_anchors(*symbols_of(search, data, offsets[i : j + 1]), search.window, search.seed)
-                base = symbol_base(search, a, data, offsets, i, j)
-                parts.append((a.seed.view(np.int64), a.context.view(np.int64), ids[a.doc + i], a.start - base, a.left, a.right))
+                symbols, cuts = symbols_of(search, data, offsets[i : j + 1])
+                a = find_anchors(symbols, cuts, search.window, search.seed, symbols_of(search, data, offsets[i : j + 1], True)[0])
+                parts.append((a.seed.view(np.int64), a.context.view(np.int64), a.check.view(np.int64), ids[a.doc + i], twins[a.doc + i], a.start - cuts[a.doc], a.left, a.right))
             if not parts:
                 continue
-            key, context, doc, at, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, _, covered = _settle(search, key, context, doc, at)
+            key, context, check, doc, twin, at, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, covered, nth = _settle(search, key, context, check, doc, twin, at)
             gone = order[covered]
-            d, span = _runs(doc[gone], at[gone] - left[gone], at[gone] + right[gone])
+            d, t, span = _document_runs(doc[gone], twin[gone], at[gone] - left[gone], at[gone] + right[gone])
             stay = order[~covered]
-            yield _batch(FOUND, key[stay], context[stay], doc[stay], at[stay].astype(np.int32), pack(left[stay], right[stay]))
+            size = pack(left[stay], right[stay]) | np.where(nth[~covered] > 1, SEVERAL, 0).astype(np.int32)
+            yield _batch(FOUND, key[stay], context[stay], check[stay], doc[stay], twin[stay], at[stay].astype(np.int32), size)
             if len(d):
-                yield _batch(FOUND, mix(d.view(np.uint64)).view(np.int64), span, d, np.zeros(len(d), np.int32), np.full(len(d), -1, np.int32))
+                yield _batch(FOUND, mix(d.view(np.uint64)).view(np.int64), span, np.zeros(len(d), np.int64), d, t, np.zeros(len(d), np.int32), np.full(len(d), -1, np.int32))
 
     return run
 
 
-def symbol_base(search: Search, a, data, offsets, i, j) -> np.ndarray:
-    """For each anchor the offset of its document among the part's symbols."""
-    cuts = offsets[i : j + 1] - offsets[i] if search.unit == "byte" else word_bounds(data, offsets[i : j + 1])[2]
-    return cuts[a.doc]
-
-
 def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
     """Tables that hold whole keys; the rows come sorted by key."""
     held: list[pa.RecordBatch] = []
@@ -190,174 +238,240 @@ def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-SETTLED = pa.schema([("doc", pa.int64()), ("span", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
-SETTLED_SQL = "doc long, span long, key long, at int, size int"
-
-
-def _head(search: Search, doc, at, first_doc, first_at):
-    return (doc > first_doc) if search.other_doc else (doc > first_doc) | ((doc == first_doc) & (at > first_at))
+SETTLED = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("span", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
+SETTLED_SQL = "doc long, twin long, span long, key long, at int, size int"
 
 
 def context_settler(search: Search):
-    """Anchors sorted by (key, context, doc, at) -> spans (size -1) and pending anchors (size >= 0).
+    """Anchors sorted by (key, context, check, doc, twin, at) -> spans (size -1) and pending anchors (size >= 0).
 
-    What is held between batches is the head of the last context, how many
-    contexts its key has had, and the uncovered rows of a key's first context
-    until a second one is met (one row, or those of one document).
+    What is held between batches is the head of the last context and of its last
+    document, how many contexts the last key has had, and the uncovered rows of a
+    key's first context until a second one is met (one row, or those of one
+    document).
     """
 
-    def waiting(doc, key, at, size):
-        return _batch(SETTLED, doc, np.zeros(len(doc), np.int64), key, at.astype(np.int32), size.astype(np.int32))
+    def waiting(doc, twin, key, at, size):
+        return _batch(SETTLED, doc, twin, np.zeros(len(doc), np.int64), key, at.astype(np.int32), (size & (SEVERAL - 1)).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_context = first_doc = first_at = contexts = 0  # contexts: of last_key so far
+        last: tuple | None = None  # key, context, check, doc, twin of the last row
+        first_doc = first_at = contexts = 0  # of the last context, of the last document in it; contexts of the last key so far
         held: list[tuple] = []
         for batch in batches:
-            key, context, doc, at, size = (batch.column(k).to_numpy() for k in range(5))
+            key, context, check, doc, twin, at, size = (batch.column(k).to_numpy() for k in range(7))
             span = size < 0
-            spans = [(doc[span], context[span])]
-            key, context, doc, at, size = (x[~span] for x in (key, context, doc, at.astype(np.int64), size.astype(np.int64)))
+            spans = [(doc[span], twin[span], context[span])]
+            key, context, check, doc, twin, at, size = (x[~span] for x in (key, context, check, doc, twin, at.astype(np.int64), size.astype(np.int64)))
             if len(key):
-                new_key = np.concatenate(([not contexts or key[0] != last_key], key[1:] != key[:-1]))
-                new_context = new_key | np.concatenate(([not contexts or context[0] != last_context], context[1:] != context[:-1]))
+                now = (key, context, check, doc, twin)
+                new_key, new_context, new_doc = _changes(*now[:1]), _changes(*now[:3]), _changes(*now)
+                if last is not None:  # does the batch go on where the one before ended?
+                    same = [a[0] == b for a, b in zip(now, last, strict=True)]
+                    new_key[0], new_context[0], new_doc[0] = not same[0], not all(same[:3]), not all(same)
                 if held and new_context.any():
                     if not new_key[: np.argmax(new_context) + 1].any():  # the held key has a second context
                         yield waiting(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
-                # Place of each row's context head; -1: the head of the batch before.
-                head = np.maximum.accumulate(np.where(new_context, np.arange(len(key)), -1))
-                covered = _head(search, doc, at, np.where(head < 0, first_doc, doc[head]), np.where(head < 0, first_at, at[head]))
+                # Places of each row's heads; -1: the head is in the batch before.
+                head, doc_head = (np.maximum.accumulate(np.where(x, np.arange(len(key)), -1)) for x in (new_context, new_doc))
+                covered = doc > np.where(head < 0, first_doc, doc[head])
+                if not search.other_doc:
+                    covered |= at > np.where(doc_head < 0, first_at, at[doc_head])
                 group = np.cumsum(new_key)  # 0: the key of the batch before
                 count = np.bincount(group, new_context, minlength=group[-1] + 1)
                 if not new_key[0]:
                     count[0] += contexts
-                several = count[group] > 1
+                sure = (size & SEVERAL) > 0
+                several = (count[group] > 1) | sure
                 stay = ~covered
                 lone = stay & ~several & (group == group[-1])  # the last key may still get a second context
                 if (stay & several).any():
                     k = stay & several
-                    yield waiting(doc[k], key[k], at[k], size[k])
+                    yield waiting(doc[k], twin[k], key[k], at[k], size[k])
                 if lone.any():
-                    held.append((doc[lone], key[lone], at[lone], size[lone]))
-                spans.append(_runs(doc[covered], at[covered] - (size[covered] >> 8), at[covered] + (size[covered] & 255)))
+                    held.append((doc[lone], twin[lone], key[lone], at[lone], size[lone]))
+                spans.append(_document_runs(doc[covered], twin[covered], at[covered] - (size[covered] >> 8 & 255), at[covered] + (size[covered] & 255)))
                 if head[-1] >= 0:
-                    first_doc, first_at = doc[head[-1]], at[head[-1]]
-                last_key, last_context, contexts = key[-1], context[-1], int(count[-1])
-            d, s = (np.concatenate(x) for x in zip(*spans, strict=True))
+                    first_doc = doc[head[-1]]
+                if doc_head[-1] >= 0:
+                    first_at = at[doc_head[-1]]
+                last, contexts = tuple(x[-1] for x in now), int(count[-1])
+            d, t, s = (np.concatenate(x) for x in zip(*spans, strict=True))
             if len(d):
-                yield _batch(SETTLED, d, s, d, np.zeros(len(d), np.int32), np.full(len(d), -1, np.int32))
+                yield _batch(SETTLED, d, t, s, d, np.zeros(len(d), np.int32), np.full(len(d), -1, np.int32))
 
     return run
 
 
-PENDING = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("body", pa.binary())])
-PENDING_SQL = "key long, doc long, at int, size int, body binary"
+#: Pieces of documents whose windows meet by ``key``: body starts at unit ``at``, its first window has the seed ``offset`` units in;
+#: low and high: the offsets that the key's group is about.  n: windows of the piece, or -1 for a span (in ``key``) that is settled.
+PIECE = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("offset", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("body", pa.binary())])
+PIECE_SQL = "key long, doc long, twin long, at int, n int, offset int, low int, high int, body binary"
 
 
-def word_codes(symbols: np.ndarray) -> np.ndarray:
-    return (symbols >> np.uint64(32)).astype(np.uint32)
+def _sliced(buffer: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[slice, pa.Array]]:
+    """Slices buffer[start:start + size] as binary arrays of about BODY_BYTES, with the rows that each holds."""
+    ends = np.cumsum(size)
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BODY_BYTES, "right")))
+        n, e = size[i:j], ends[i:j] - (ends[i - 1] if i else 0)
+        take = np.arange(int(e[-1])) - np.repeat(e - n, n) + np.repeat(start[i:j], n)
+        cuts = np.concatenate(([0], e)).astype(np.int32)
+        yield slice(i, j), pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(buffer[take]))])
+        i = j
 
 
-def context_fetcher(search: Search):
-    """(doc, text, [(key, at, size, wide)]) -> pending anchors with their symbols (bytes, or 32-bit codes of words).
+def _pieces(search: Search, buffer, bounds, key, doc, twin, at, n, offset, low, high, first) -> Iterator[pa.RecordBatch]:
+    """Piece batches; ``first``: the unit of the buffer that a piece starts with, ``bounds``: where units start in the buffer."""
+    units = n + search.window - 1
+    start, end = bounds[first], bounds[first + units] - (search.unit == "word")
+    for rows, body in _sliced(buffer, start, end - start):
+        columns = [pa.array(np.ascontiguousarray(x[rows]).astype(np.int64)) for x in (key, doc, twin)]
+        columns += [pa.array(np.ascontiguousarray(x[rows]).astype(np.int32)) for x in (at, n, offset, low, high)]
+        yield pa.RecordBatch.from_arrays([*columns, body], schema=PIECE)
 
-    A wide anchor is taken apart into its windows, each keyed by the hash of all
-    its symbols; the batch settles copies among them, and the spans it finds
-    travel along as rows with size -1 whose body is the end.
-    """
-    width = 1 if search.unit == "byte" else 4
 
-    def bodies(key, doc, at, size, buffer, start, n) -> pa.RecordBatch:
-        ends = np.cumsum(n)
-        take = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(start, n)
-        data = np.ascontiguousarray(buffer[take]).view(np.uint8)
-        cuts = np.concatenate(([0], ends * width)).astype(np.int32)
-        body = pa.BinaryArray.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), body], schema=PENDING)
+def context_fetcher(search: Search):
+    """(doc, twin, text, [(key, at, size)]) -> pieces: pending anchors with the text of their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = text_buffers(batch.column(1))
-            pending = batch.column(2)
+            ids, twins = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, offsets = text_buffers(batch.column(2))
+            pending = batch.column(3)
             row = np.repeat(np.arange(len(ids)), np.diff(pending.offsets.to_numpy()))
-            key, at, size, wide = (pending.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            left, right = size.astype(np.int64) >> 8, size.astype(np.int64) & 255
+            key, at, size = (pending.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            left, right = size >> 8, size & 255
             for i, j in in_parts(offsets):
-                part = np.arange(*np.searchsorted(row, [i, j]))
-                if not len(part):
-                    continue
-                symbols, cuts = symbols_of(search, data, offsets[i : j + 1])
-                buffer = data[offsets[i] : offsets[j]] if search.unit == "byte" else word_codes(symbols)
-                narrow, broad = part[~wide[part]], part[wide[part]]
-                if len(narrow):
-                    r = narrow
-                    yield bodies(key[r], ids[row[r]], at[r], size[r], buffer, cuts[row[r] - i] + at[r] - left[r], left[r] + right[r])
-                if len(broad):
-                    n = left[broad] + right[broad] - search.window + 1
-                    ends = np.cumsum(n)
-                    of = np.repeat(broad, n)
-                    start = np.arange(ends[-1]) - np.repeat(ends - n, n) + at[of] - left[of]
-                    where = cuts[row[of] - i] + start
-                    whole = range_hash(prefix_hash(symbols), where, where + search.window).view(np.int64)
-                    d = ids[row[of]]
-                    order, _, covered = _settle(search, whole, whole, d, start)
-                    o = order[~covered]
-                    full = np.full(len(o), search.window, np.int64)
-                    yield bodies(whole[o], d[o], start[o], full, buffer, where[o], full)
-                    gone = order[covered]
-                    gd, span = _runs(d[gone], start[gone], start[gone] + search.window)
-                    if len(gd):
-                        ends8 = np.ascontiguousarray(span & 0xFFFFFFFF).view(np.uint8)
-                        body = pa.BinaryArray.from_buffers(pa.binary(), len(gd), [None, pa.py_buffer(np.arange(0, 8 * len(gd) + 1, 8, dtype=np.int32)), pa.py_buffer(ends8)])
-                        yield pa.RecordBatch.from_arrays([pa.array(mix(gd.view(np.uint64)).view(np.int64)), pa.array(gd), pa.array((span >> 32).astype(np.int32)), pa.array(np.full(len(gd), -1, np.int32)), body], schema=PENDING)
+                r = np.arange(*np.searchsorted(row, [i, j]))
+                if len(r):
+                    buffer, bounds, cuts = spelled_out(search, data, offsets[i : j + 1])
+                    start, low = at[r] - left[r], np.zeros(len(r), np.int64)
+                    windows = left[r] + right[r] - search.window + 1
+                    yield from _pieces(search, buffer, bounds, key[r], ids[row[r]], twins[row[r]], start, windows, left[r], low, low + search.window - search.seed, cuts[row[r] - i] + start)
 
     return run
 
 
-SPANS = pa.schema([("doc", pa.int64()), ("span", pa.int64())])
+def piece_splitter(search: Search):
+    """Pieces of wide prefixes -> halves with longer ones; copies that a batch holds itself are settled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old, doc, twin, at, n, offset, low, high = (batch.column(k).to_numpy().astype(np.int64) for k in range(8))
+            data, cuts = text_buffers(batch.column(8))
+            buffer, bounds, units = spelled_out(search, data, cuts)
+            symbols, _ = symbols_of(search, data, cuts)
+            others, _ = symbols_of(search, data, cuts, True)
+            h, h2 = prefix_hash(symbols), prefix_hash(others, True)
+            middle, parts = (low + high) // 2, []
+            for a, b in ((low, middle), (middle + 1, high)):
+                x, y = np.maximum(a, offset - n + 1), np.minimum(b, offset)  # offsets of the windows of this half
+                r = np.flatnonzero(x <= y)
+                skip, seed = (offset - y)[r], (units[:-1] + offset)[r]
+                prefix = range_hash(h, seed - a[r], seed + search.window - b[r])
+                key = mix(prefix ^ mix(old[r].view(np.uint64) + a[r].astype(np.uint64))).view(np.int64)
+                parts.append((key, doc[r], twin[r], at[r] + skip, (y - x + 1)[r], y[r], a[r], b[r], units[:-1][r] + skip))
+            key, doc, twin, at, n, offset, low, high, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+            end = first + n + search.window - 1
+            order, covered, _ = _settle(search, key, range_hash(h, first, end).view(np.int64), range_hash(h2, first, end, True).view(np.int64), doc, twin, at)
+            gone, stay = order[covered], order[~covered]
+            yield from _pieces(search, buffer, bounds, *(x[stay] for x in (key, doc, twin, at, n, offset, low, high, first)))
+            d, t, span = _document_runs(doc[gone], twin[gone], at[gone], at[gone] + n[gone] + search.window - 1)
+            if len(d):
+                none = np.zeros(len(d), np.int32)
+                columns = [pa.array(np.ascontiguousarray(x)) for x in (span, d, t, none, none - 1, none, none, none)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([b""] * len(d), pa.binary())], schema=PIECE)
+
+    return run
 
 
-def later(search: Search, number, doc, row, start) -> np.ndarray:
-    """Which windows are not the first of their number: number, start and row (of doc) by window."""
-    _, place = np.unique(doc, return_inverse=True)
-    at = place[row].astype(np.int64) << 32 | start
-    first = np.full(int(number.max()) + 1 if len(number) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(first, number, at)
-    return at >> 32 > first[number] >> 32 if search.other_doc else at > first[number]
+SPANS = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("span", pa.int64())])
+SPAN_SQL = "doc long, twin long, span long"
 
 
 def window_settler(search: Search):
-    """Pending anchors by prefix -> spans of their windows that start earlier elsewhere."""
+    """Pieces sorted by key -> spans of their windows that start earlier elsewhere; windows are equal if their symbols are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, PENDING.names):
-            doc, at, size = (t.column(k).to_numpy() for k in range(1, 4))
-            body = t.column(4).combine_chunks()
+        for t in _by_key(batches, PIECE.names):
+            doc, twin, at, n = (t.column(k).to_numpy().astype(np.int64) for k in range(1, 5))
+            body = t.column(8).combine_chunks()
             body = body.chunks[0] if isinstance(body, pa.ChunkedArray) else body
-            settled = np.flatnonzero(size < 0)
-            if len(settled):
-                end = np.array([int.from_bytes(body[int(k)].as_py(), "little") for k in settled])
-                yield _batch(SPANS, doc[settled], at[settled].astype(np.int64) << 32 | end)
-                live = np.flatnonzero(size >= 0)
-                doc, at, size, body = doc[live], at[live], size[live], body.take(pa.array(live))
             data, offsets = text_buffers(body)
-            left, right = size.astype(np.int64) >> 8, size.astype(np.int64) & 255
-            n = left + right - search.window + 1  # windows of each context
             row = np.repeat(np.arange(len(doc)), n)
-            start = (at - left)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            start = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             if search.unit == "byte":
                 number = byte_window_classes(data, offsets, search.window)
             else:
-                number = word_window_classes(np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint32), (offsets - offsets[0]) // 4, search.window)
-            gone = np.flatnonzero(later(search, number, doc, row, start))
-            d, span = _runs(doc[row[gone]], start[gone], start[gone] + search.window)
-            if len(d):
-                yield _batch(SPANS, d, span)
+                number = word_window_classes(*exact_words(data, offsets), search.window)
+            order = np.lexsort((start, twin[row], doc[row], number))
+            d, w, s = doc[row][order], twin[row][order], start[order]
+            gone = _covered(search, _changes(number[order]), d, w, s)
+            out = _document_runs(d[gone], w[gone], s[gone], s[gone] + search.window)
+            if len(out[0]):
+                yield _batch(SPANS, *out)
 
     return run
 
 
+def exact_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, equal for equal words (compared byte by byte), and the words' offsets by text."""
+    part = data[offsets[0] : offsets[-1]]
+    starts, ends, cuts = word_bounds(data, offsets)
+    letters = np.ascontiguousarray(part[~IS_SPACE[part]])
+    bounds = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64), cuts
+
+
+def settle_windows(search: Search, pieces: DataFrame) -> DataFrame:
+    """Pieces of one window each -> spans of those that start earlier elsewhere, by plain aggregates over their bytes."""
+    first = pieces.groupBy("body").agg(F.min("doc").alias("first"))
+    judged = spread_join(pieces, first, ["body"], "inner")
+    late = F.col("doc") > F.col("first")
+    if not search.other_doc:
+        left = pieces.groupBy("body", "doc", "twin").agg(F.min("at").alias("left"))
+        judged = spread_join(judged, left, ["body", "doc", "twin"], "inner")
+        late = late | (F.col("at") > F.col("left"))
+    return judged.where(late).select("doc", "twin", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("at") + search.window).alias("span"))
+
+
+def wide_prefixes(rows: DataFrame, search: Search) -> DataFrame:
+    """(key, wide) of the keys with more rows than one task may gather."""
+    return rows.groupBy("key").count().where(F.col("count") > search.group_rows).select("key", F.lit(True).alias("wide"))
+
+
+def settle_pieces(search: Search, pieces: DataFrame) -> DataFrame:
+    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(window_settler(search), SPAN_SQL)
+
+
+def settle_wide(search: Search, pieces: DataFrame) -> DataFrame:
+    """Spans of pieces whose prefixes are too wide: prefixes are lengthened, level by level, until their groups fit."""
+    out, level, offsets = [], pieces, search.window - search.seed + 1
+    while True:
+        level = materialise(level.mapInArrow(piece_splitter(search), PIECE_SQL), "pieces")
+        out.append(level.where("n < 0").select("doc", "twin", F.col("key").alias("span")))
+        live, offsets = level.where("n > 0"), -(-offsets // 2)
+        if offsets == 1:
+            return union([*out, settle_windows(search, live)])
+        wide = wide_prefixes(live, search)
+        if wide.isEmpty():
+            return union([*out, settle_pieces(search, live)])
+        live = spread_join(live, wide, ["key"], "left")
+        out.append(settle_pieces(search, live.where("wide is null").drop("wide")))
+        level = live.where("wide").drop("wide")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     """Sorted disjoint spans of packed ones; touching spans become one."""
     _, packed = _runs(np.zeros(len(spans), np.int64), spans >> 32, spans & 0xFFFFFFFF)
@@ -406,8 +520,7 @@ def cutter(search: Search, with_text: bool):
                 n, gone, left = cut_text(search, text, spans)
                 for column, value in zip(out, (n, gone, len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace") if with_text else None), strict=True):
                     column.append(value)
-            back = pa.array([None if x == NULL_ID else x for x in ids.to_pylist()], pa.int64())
-            columns = [back, *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())]
+            columns = [ids, *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())]
             if with_text:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(out[4], pa.string())], schema=RESULT.append(pa.field("kept_text", pa.string())))
             else:
@@ -420,21 +533,32 @@ def remove_repeats(docs: DataFrame, search: Search, id_col: str = "doc_id", text
     """Per document: units, units removed, removed runs, digest of the rest (and the rest itself).
 
     A null text is empty.  Null ids come after all others.  Rows that repeat an
-    id count as one document: a span found in one of them is cut from each.
+    id with another text are documents of their own, none of which is earlier;
+    with the same text they are one.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), text_or_empty(text_col).alias("text"))
-    found = rows.mapInArrow(anchor_finder(search), FOUND_SQL)
-    settled = found.repartition("key").sortWithinPartitions("key", "context", "doc", "at").mapInArrow(context_settler(search), SETTLED_SQL)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), text_or_empty(text_col).alias("text"))
+    repeated = rows.groupBy("doc").count().where("count > 1").select("doc", F.lit(True).alias("again"))
+    if repeated.isEmpty():
+        rows = rows.select("id", "doc", F.lit(0).cast("long").alias("twin"), "text")
+    else:  # told apart by their texts
+        again = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0))
+        rows = spread_join(rows, repeated, ["doc"], "left").select("id", "doc", again.cast("long").alias("twin"), "text")
+    found = rows.select("doc", "twin", "text").mapInArrow(anchor_finder(search), FOUND_SQL)
+    dealt = F.when((F.col("size") > 0) & (F.col("size").bitwiseAND(F.lit(SEVERAL)) > 0), F.xxhash64("key", "context")).otherwise(F.col("key"))
+    settled = found.repartition(dealt).sortWithinPartitions("key", "context", "check", "doc", "twin", "at").mapInArrow(context_settler(search), SETTLED_SQL)
     settled = materialise(settled, "settled")
-    waiting = settled.where("size >= 0").select("doc", "key", "at", "size")
-    wide = waiting.groupBy("key").count().where(F.col("count") > search.group_rows).select("key").withColumn("wide", F.lit(True))
+    waiting = settled.where("size >= 0").select("doc", "twin", "key", "at", "size")
+
+    def pieces(anchors: DataFrame) -> DataFrame:
+        by_doc = anchors.groupBy("doc", "twin").agg(F.collect_list(F.struct("key", "at", "size")).alias("pending"))
+        return rows.join(by_doc, ["doc", "twin"]).select("doc", "twin", "text", "pending").mapInArrow(context_fetcher(search), PIECE_SQL)
+
+    spans, wide = [settled.where("size < 0").select("doc", "twin", "span")], wide_prefixes(waiting, search)
     if wide.isEmpty():
-        waiting = waiting.withColumn("wide", F.lit(False))
+        spans.append(settle_pieces(search, pieces(waiting)))
     else:
-        waiting = spread_join(waiting, wide, ["key"], "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
-    waiting = waiting.groupBy("doc").agg(F.collect_list(F.struct("key", "at", "size", "wide")).alias("pending"))
-    pending = rows.join(waiting, "doc").select("doc", "text", "pending").mapInArrow(context_fetcher(search), PENDING_SQL)
-    late = pending.repartition("key").sortWithinPartitions("key").mapInArrow(window_settler(search), SPAN_SQL)
-    spans = settled.where("size < 0").select("doc", "span").unionByName(late).groupBy("doc").agg(F.collect_list("span").alias("spans"))
-    joined = rows.join(spans, "doc", "left").select("doc", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
+        marked = spread_join(waiting, wide, ["key"], "left")
+        spans += [settle_pieces(search, pieces(marked.where("wide is null"))), settle_wide(search, pieces(marked.where("wide")))]
+    spans = union(spans).groupBy("doc", "twin").agg(F.collect_list("span").alias("spans"))
+    joined = rows.join(spans, ["doc", "twin"], "left").select("id", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
     return joined.mapInArrow(cutter(search, with_text), RESULT_SQL + (", kept_text string" if with_text else ""))

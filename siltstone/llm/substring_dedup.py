@@ -11,8 +11,8 @@ is missed by that), and only those whose prefix is met with several contexts
 carry words (:mod:`.repeats`).
 
 Edge cases: a null text has no words; texts of fewer words than ``length`` keep
-all; null ids come after all others; rows that repeat an id count as one
-document; an empty table gives an empty result; extra columns are ignored.
+all; null ids come after all others; rows that repeat an id with another text are
+documents of their own, none earlier than the other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ anchors are shuffled, and only contexts whose prefix is met with several
 contexts reach a shard; no repeat is missed by that (:mod:`.repeats`).
 
 Edge cases: a null text is empty; texts shorter than ``length`` keep all bytes;
-null ids come after all others; rows that repeat an id count as one document;
+null ids come after all others; rows that repeat an id with another text are
+documents of their own, none earlier than the other, with the same text one document;
 kept text is decoded with U+FFFD where a removed run cuts a character (the digest
 is of the bytes); an empty table gives an empty result; extra columns are ignored.
 """
