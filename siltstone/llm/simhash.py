@@ -10,11 +10,20 @@ Manhattan bound comes first, then the exact distance.
 
 Only distinct fingerprints are compared.  A cell emits the edges of a spanning
 forest, never all pairs: a search from each unvisited fingerprint takes all its
-neighbours out of the cell at once.  Components then run over those edges.
+neighbours out of the cell at once.  Components then run over those edges.  GROUPS
+follows from the number of fingerprints, so that the fullest cell of independent
+ones stays within CELL_ROWS (:func:`groups_for`); the links are the same for any.
+
+:func:`link_similar` is the same at a wider reach, for a similarity of shingle
+sets: fingerprints of 256 bits, cells of the popcounts of a few segments each, the
+distance within a cell, then the exact similarity of the pairs found.  Copies with
+``distance`` bits between them share a cell with a probability that
+:func:`cell_rounds` sets; pairs within 128 / segments - 1 bits always do.
 
 Edge cases: null and empty texts have fingerprint zero, linked like any other;
-a null id is never a component's name unless all its ids are null; repeated rows
-get one result each; an empty table gives an empty result.
+a null id is never a component's name unless all its ids are null (in
+:func:`link_similar` rows without an id have no links and stay); repeated rows get
+one result each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import mix
 from .common import keep, only, spread_join, text_or_empty
 from .components import components
 from .repeats import _by_key, text_buffers
@@ -39,6 +49,12 @@ SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder
 COUNTER_ROWS = 255
 SEGMENTS = 32
 PAIRS_OF_BITS = 0x5555555555555555
+#: Rows that the fullest cell may hold if fingerprints are independent.
+CELL_ROWS = 1 << 14
+#: 64-bit words of a wide fingerprint.
+WORDS = ["w0", "w1", "w2", "w3"]
+#: Largest number of rows of a cell whose distances are taken all at once.
+AT_ONCE = 512
 
 
 def shingle_hashes(text: bytes, size: int, lower: bool = True) -> list[int]:
@@ -166,10 +182,19 @@ def near_edges(prints: DataFrame, distance: int, groups: int) -> DataFrame:
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(forest(distance), "a long, b long")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, groups: int = 7) -> DataFrame:
-    """doc_id, fingerprint, component_id (least doc_id reachable), group_size of every row."""
+def groups_for(prints: int, distance: int) -> int:
+    """Least number of groups for which the fullest cell (one set bit in each segment, half of all) keeps to CELL_ROWS."""
+    groups = distance + 2
+    while prints * 2.0 ** -(SEGMENTS * (groups - distance) / groups) > CELL_ROWS and groups < SEGMENTS:
+        groups += 1
+    return groups
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, groups: int | None = None) -> DataFrame:
+    """doc_id, fingerprint, component_id (least doc_id reachable), group_size of every row; ``groups`` by the number of fingerprints if not given."""
     rows = keep(fingerprints(docs, id_col, text_col, shingle))
     classes = keep(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    groups = groups or groups_for(classes.count(), distance)
     labels = components(near_edges(classes.select("print"), distance, groups))
     named = classes.join(labels, classes["print"] == labels["node"], "left").select("print", "least", "n", F.coalesce("label", "print").alias("label"))
     named = keep(named)
@@ -180,9 +205,176 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distan
     )
 
 
+def wide_words(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Fingerprints of 256 bits: the majority of the hashes, and of three scrambles of them."""
+    return [majority(mix(hashes + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) if k else hashes, counts) for k in range(len(WORDS))]
+
+
+def _hash_sets(batch: pa.RecordBatch, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    data, offsets = text_buffers(batch.column(1))
+    whole = memoryview(data)
+    hashes = [np.array(shingle_hashes(bytes(whole[a:b]), size), np.uint64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return hashes, np.array([len(h) for h in hashes], np.int64)
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED) - (1 << 63)
+
+
+def wide_fingerprinter(size: int):
+    """(doc_id, text) -> doc_id, digest of the set of shingles, wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, counts = _hash_sets(batch, size)
+            words = wide_words(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts)
+            digests = pa.array([set_digest(h) for h in hashes], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, *(pa.array(w.view(np.int64)) for w in words)], names=["doc_id", "digest", *WORDS])
+
+    return run
+
+
+def shingle_sets(size: int):
+    """(doc_id, text) -> doc_id, digest, the set of shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, _ = _hash_sets(batch, size)
+            sets = pa.array([np.unique(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_digest(h) for h in hashes], pa.int64()), sets], names=["doc_id", "digest", "shingles"])
+
+    return run
+
+
+def cell_rounds(prints: int, bit: float = 0.15, miss: float = 0.05) -> tuple[int, int]:
+    """(segments of a cell, rounds of cells) for so many fingerprints: cells of independent ones keep to CELL_ROWS, and a pair
+    whose bits differ with probability ``bit`` shares none with probability ``miss`` at most."""
+    segments = 8
+    while prints * 2.0**-segments > CELL_ROWS and segments < 32:
+        segments += 2
+    agree = ((1 - bit) ** 2 + bit**2 / 2) ** segments  # both bits equal, or exchanged
+    cells = int(np.ceil(np.log(miss) / np.log1p(-agree)))
+    return segments, -(-cells // (len(WORDS) * SEGMENTS // segments))
+
+
+def cell_masks(segments: int, rounds: int) -> list[list[int]]:
+    """For each cell its segments as masks of the words; a round deals all segments once, in another order each time."""
+    total, out = len(WORDS) * SEGMENTS, []
+    for r in range(rounds):
+        order = [(i * (2 * (37 * r + 5) + 1) + 11 * r) % total for i in range(total)]
+        for k in range(0, total - segments + 1, segments):
+            masks = [0] * len(WORDS)
+            for s in order[k : k + segments]:
+                masks[s // SEGMENTS] |= 3 << (2 * (s % SEGMENTS))
+            out.append(masks)
+    return out
+
+
+def wide_distance(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(many ^ one).sum(axis=-1, dtype=np.int64)
+
+
+def wide_forest(distance: int):
+    """Cells of wide fingerprints -> edges that connect those within ``distance`` bits of each other, as a star where one is in reach of all."""
+
+    def embed(x: np.ndarray) -> np.ndarray:
+        return x - ((x >> np.uint64(1)) & np.uint64(PAIRS_OF_BITS))
+
+    def of_cell(x: np.ndarray) -> list[tuple[int, int]]:
+        if len(x) <= AT_ONCE:
+            near = wide_distance(x[:, None], x[None]) <= distance
+            np.fill_diagonal(near, False)
+            left = np.flatnonzero(near.any(axis=1))
+        else:
+            near, left = None, np.arange(len(x))
+        counts, edges = embed(x) if near is None else None, []
+        while len(left) > 1:
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                i = queue.pop()
+                if near is not None:
+                    hit = near[i, left]
+                else:
+                    hit = manhattan(counts[left], counts[i]).sum(axis=1, dtype=np.int64) <= distance  # a lower bound of the distance
+                    hit[hit] = wide_distance(x[left[hit]], x[i]) <= distance
+                found = left[hit]
+                edges += [(i, int(j)) for j in found]
+                queue += found.tolist()
+                left = left[~hit]
+        return edges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_key(batches, ["cell", "node", *WORDS]):
+            cell, node = t.column(0).to_numpy(), t.column(1).to_numpy()
+            x = np.stack([t.column(2 + k).to_numpy().view(np.uint64) for k in range(len(WORDS))], axis=1)
+            cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+            a, b = [], []
+            for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
+                mine = node[cuts[k] : cuts[k + 1]]
+                for i, j in of_cell(x[cuts[k] : cuts[k + 1]]):
+                    a.append(int(mine[i]))
+                    b.append(int(mine[j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def cell_dealer(masks: list[list[int]]):
+    """(node, w0..w3) -> a row for each cell of each node: cell, node, w0..w3."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [batch.column(1 + k).to_numpy().view(np.uint64) for k in range(len(WORDS))]
+            counts = [w - ((w >> np.uint64(1)) & np.uint64(PAIRS_OF_BITS)) for w in words]
+            for k, mask in enumerate(masks):
+                cell = np.full(batch.num_rows, k, np.uint64)
+                for c, m in zip(counts, mask, strict=True):
+                    cell = mix((cell ^ (c & np.uint64(m))) * np.uint64(0x9E3779B97F4A7C15))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *(batch.column(c) for c in range(1 + len(WORDS)))], names=["cell", "node", *WORDS])
+
+    return run
+
+
+def similar_edges(nodes: DataFrame, distance: int, segments: int, rounds: int) -> DataFrame:
+    """Edges (a, b) between nodes (node, w0..w3) that share a cell and lie within ``distance`` bits."""
+    schema = "cell long, node long, " + ", ".join(f"{w} long" for w in WORDS)
+    dealt = nodes.select("node", *WORDS).mapInArrow(cell_dealer(cell_masks(segments, rounds)), schema)
+    return dealt.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(wide_forest(distance), "a long, b long").distinct()
+
+
+def link_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 46) -> DataFrame:
+    """doc_id, component_id (least doc_id reachable) of every row with an id.
+
+    A link: wide fingerprints within ``distance`` bits, found through a cell, and
+    Jaccard similarity of the sets of ``shingle``-word shingles of ``similarity`` or
+    more.  Rows with equal sets are one node.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id is not null")
+    rows = keep(texts.mapInArrow(wide_fingerprinter(shingle), "doc_id long, digest long, " + ", ".join(f"{w} long" for w in WORDS)))
+    nodes = keep(rows.groupBy("digest", *WORDS).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("digest", *WORDS)))
+    found = keep(similar_edges(nodes, distance, *cell_rounds(nodes.count())))
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = ends.join(nodes.select("node", "least", "digest"), "node").select("node", F.col("least").alias("doc_id"), "digest")
+    sets = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(shingle_sets(shingle), "doc_id long, digest long, shingles array<long>")
+    sets = keep(sets.join(wanted, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles"))
+    sides = spread_join(found, sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), ["a"], "inner")
+    sides = spread_join(sides, sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), ["b"], "inner")
+    both = F.size(F.array_intersect("sa", "sb"))
+    edges = sides.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    named = nodes.join(components(edges), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    named = keep(named)
+    names = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_node = spread_join(named.select("node", "label"), names, ["label"], "inner").select("node", "component_id")
+    return spread_join(rows.select("doc_id", F.xxhash64("digest", *WORDS).alias("node")), of_node, ["node"], "inner").select("doc_id", "component_id")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """One row of each component stays (the least id), with all its columns."""
-    return only(docs, link(docs, id_col, text_col, **parameters).where("doc_id <=> component_id").select("doc_id").distinct(), id_col)
+    """One row of each component of :func:`link_similar` stays (the least id), with all its columns; rows without an id stay."""
+    linked = link_similar(docs, id_col, text_col, **parameters)
+    stay = linked.where("doc_id = component_id").select("doc_id").distinct()
+    ids = stay.unionByName(docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id")).limit(1))
+    return only(docs, ids, id_col)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -59,8 +59,67 @@ def test_link_matches_brute_force(spark):
     for i, r in zip(ids, root, strict=True):
         least[r] = min(i, least.get(r, i))
     assert {i: got[i]["component_id"] for i in ids} == {i: least[r] for i, r in zip(ids, root, strict=True)}
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_similar_texts_match_brute_force(spark):
+    """Five-word shingles, Jaccard similarity of 0.8 or more; one of each component stays."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = [None, "", "one two", "One  two", "one two three", "z " * 60_000]
+    for k in range(14):
+        base = rng.choices(vocab, k=rng.randint(60, 500))
+        texts.append(" ".join(base))
+        for c in range(rng.randint(0, 5) if k else 40):
+            copy = list(base)
+            for _ in range(max(1, len(base) // (100 if c % 2 else 25))):  # similarity about 0.9, or 0.7 and less
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            texts.append(" ".join(copy))
+    ids = rng.sample(range(1000), len(texts))
+    docs = spark.createDataFrame([*[(i, t, "clash", 0) for i, t in zip(ids, texts, strict=True)], (None, "one two", "", 1), (ids[9], texts[9], "again", 2)], SCHEMA).repartition(3)
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8 or not ((texts[a] or "").split() or (texts[b] or "").split())]
+    assert len(links) > 100
+    least, root = {}, parents(len(ids), links)
+    for i, r in zip(ids, root, strict=True):
+        least[r] = min(i, least.get(r, i))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.link_similar(docs).collect()}
+    assert got == {i: least[r] for i, r in zip(ids, root, strict=True)}
     kept = simhash.drop_near_copies(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(least.values())
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(least.values()) | {None}
+    assert simhash.link_similar(docs.limit(0)).count() == 0
+
+
+def test_large_cells_match_small_ones():
+    """The search by rows of a large cell and the one by all distances of a small cell find the same components."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
+    x = np.repeat(base, 30, axis=0)
+    for _ in range(9):
+        x[np.arange(len(x)), rng.integers(0, 4, len(x))] ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * len(x)), pa.array(range(len(x))), *(pa.array(x[:, k].view(np.int64)) for k in range(4))], names=["cell", "node", *simhash.WORDS])
+    found = []
+    for at_once in (0, 5000):
+        simhash.AT_ONCE, before = at_once, simhash.AT_ONCE
+        edges = [(r["a"], r["b"]) for t in simhash.wide_forest(12)(iter([batch])) for r in t.to_pylist()]
+        simhash.AT_ONCE = before
+        found.append(parents(len(x), edges))
+    want = parents(len(x), [(a, b) for a in range(len(x)) for b in range(a) if np.bitwise_count(x[a] ^ x[b]).sum() <= 12])
+    assert len(set(zip(*found, want, strict=True))) == len(set(want))
+
+
+def test_cells_by_size():
+    assert [simhash.groups_for(n, 4) for n in (0, 10**5, 10**8, 10**10)] == [6, 6, 7, 11]
+    assert simhash.cell_rounds(1000) == (8, 3) and simhash.cell_rounds(10**9)[0] == 16
+    assert all(sum(m.bit_count() for m in masks) == 16 for masks in simhash.cell_masks(8, 3))
 
 
 def test_edges_join_all_links(spark):
