@@ -143,3 +143,27 @@ EVIDENCE_CODES = [
 # A window of values: two numbers and a unit, or two numbers before a word that says so.
 WINDOW_UNIT = r"(?i)(\d+(?:\.\d+)?)\s*[-–—~～至到]\s*(\d+(?:\.\d+)?)\s*(?:kJ/mol|kJ mol|kJ·mol|kcal/mol|J/mol|kWh/kg|mmol/g|mmol/cm3|mol/kg|mg/g|wt%|m2/g|bar|kPa|MPa|K|%|eV|h|min)"
 WINDOW_WORD = r"(?i)(\d+(?:\.\d+)?)\s*[-–—~～至到]\s*(\d+(?:\.\d+)?)\s*(?=窗口|区间|范围|甜点|window|range|sweet)"
+
+# What counts as a quantity, a source, a conclusion, a placeholder in a memory entry.
+QUANTITY = (
+    r"(?:\d+(?:\.\d+)?\s*(?:"
+    r"mmol/g|mol/g|mg/g|ml/g|mL/g|µg/g|ug/g|wt%|wt\.%|at%|vol%|"
+    r"K\b|°C|℃|eV|kJ/mol|kJ\s?mol|kcal/mol|cal/mol|kJ·mol|"
+    r"MPa|GPa|kPa|Pa\b|bar\b|Torr|mmHg|"
+    r"nm\b|µm|μm|mm\b|cm\b|Å\b|cm−1|cm-1|"
+    r"s\b|min\b|h\b|day\b|yr\b|"
+    r"%\b|ppm|ppb|RH\b|m²/g|m2/g|cc/g|cm³/g|cm3/g))"
+    r"|\d+\.\d+"
+    r"|\d+(?:\.\d+)?\s*[-–—→↔~]\s*\d+(?:\.\d+)?"
+    r"|\d+\s*[万亿]"
+    r"|\d+(?:\.\d+)?\s*(?:篇|个|种|例|组|轮|倍|次|天|小时|分钟)"
+)
+SOURCE = (
+    r"\[[0-9]+\]|\b[pP]\s?\d{1,4}\b|\barXiv[:\s/]|\bdoi\b|doi\.org|https?://|[（(]\s*(?:19|20)\d{2}\s*[)）]|\b(?:19|20)\d{2}\b"
+    r"|文献|参考文献|\bJACS\b|\bNature\b|\bScience\b|\bAngew\b|\bACS\b|\bRSC\b|\bElsevier\b|\bWiley\b|\bSpringer\b"
+)
+CONCLUSION = (
+    r"发现|表明|显示|说明|证实|验证|确证|揭示|结论|意味着|推断|推测|优于|高于|低于|好于|大于|小于|提升|提高|增强|减弱|下降|降低|"
+    r"达到|突破|创纪录|显著|稳定|支持|驳斥|反驳|[-–—→↔↑↓><≥≤=]|\bvs\.?\b|相比|对比|强于|不如|弱于"
+)
+PLACEHOLDER = r"(?i)待补充|待完善|待更新|后续补充|稍后补充|此处补|补记|省略|\bTBD\b|\bTODO\b|\bFIXME\b|placeholder|占位|未完成|稍后更新|lorem ipsum|内容待|细节待"

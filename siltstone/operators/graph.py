@@ -37,16 +37,17 @@ def fuse_sets(left: DataFrame, right: DataFrame, key: str, items: str) -> DataFr
 def containment_links(entities: DataFrame, group: str, name: str, least: int = 3) -> DataFrame:
     """(group_a, group_b, key) of entities of two groups that are equal or contain one another.
 
-    The contained name is at least ``least`` characters long and starts
-    somewhere in the other, so the two share the window of its first ``least``
-    characters: names join on those windows instead of all pairs, and the
-    containment is checked afterwards.
+    The contained name is at least ``least`` characters long, so each of its
+    windows of that many characters lies in the other name as well: names join on
+    the rarest of them instead of all pairs, and the containment is checked
+    afterwards.  A window that most names hold is no key unless nothing rarer is.
     """
     # Distinct names first: a name met in many groups is compared once.
     names = entities.select(F.col(name).alias("k")).distinct().where(F.length("k") > 0)
-    head = names.where(F.length("k") >= least).select(F.col("k").alias("inner"), F.left("k", F.lit(least)).alias("g"))
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("k") - (least - 1)), lambda i: F.col("k").substr(i, F.lit(least)))))
-    bodies = names.where(F.length("k") >= least).select(F.col("k").alias("outer"), grams.alias("g"))
+    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("k") - (least - 1)), lambda i: F.col("k").substr(i, F.lit(least))))).alias("g")
+    bodies = names.where(F.length("k") >= least).select(F.col("k").alias("outer"), grams)
+    held = bodies.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    head = bodies.join(held, "g").groupBy(F.col("outer").alias("inner")).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
     inside = bodies.join(head, "g").where(F.expr("contains(outer, inner)")).select("inner", "outer").distinct()
     short = names.where(F.length("k") < least).select(F.col("k").alias("inner"), F.col("k").alias("outer"))
     inside = inside.unionByName(short)
@@ -67,14 +68,32 @@ def link_strength(links: DataFrame, evidence: DataFrame, group: str, name: str,
     return n.withColumn("strength", F.when(F.col("n_evidence") >= 4, "high").when(F.col("n_evidence") >= 2, "medium").otherwise("low"))
 
 
-def unexplored_pairs(members: DataFrame, known: DataFrame, entity: str, structure: str, prop: str) -> DataFrame:
-    """Properties known for another entity of the same structure but not for this one."""
+def unexplored_pairs(members: DataFrame, known: DataFrame, entity: str, structure: str, prop: str, asked: DataFrame | None = None) -> DataFrame:
+    """Properties known for another entity of the same structure but not for this one; ``asked``: only for these entities.
+
+    For all entities the result has a row for each missing pair: :func:`unexplored_counts` counts them without making them.
+    """
     have = known.select(entity, prop).distinct()
-    of_structure = members.select(entity, structure).distinct().join(have, entity).select(structure, prop).distinct()
-    wanted = members.select(entity, structure).distinct().join(of_structure, structure).select(entity, prop).distinct()
+    of = members.select(entity, structure).distinct()
+    of_structure = of.join(have, entity).select(structure, prop).distinct()
+    of = of if asked is None else of.join(asked.select(entity).distinct(), entity, "left_semi")
+    wanted = of.join(of_structure, structure).select(entity, prop).distinct()
     return wanted.join(have, [entity, prop], "left_anti")
 
 
+def unexplored_counts(members: DataFrame, known: DataFrame, entity: str, structure: str, prop: str) -> DataFrame:
+    """J12 counted: (entity, n, total): how many properties of its structure an entity lacks, and their sum (of a numeric property).
+
+    What a structure has less what the entity has: no pair is made.  An entity belongs to one structure.
+    """
+    have = known.select(entity, prop).distinct()
+    of = members.select(entity, structure).distinct()
+    of_structure = of.join(have, entity).select(structure, prop).distinct().groupBy(structure).agg(F.count(F.lit(1)).alias("_all"), F.sum(prop).alias("_sum"))
+    own = have.groupBy(entity).agg(F.count(F.lit(1)).alias("_own"), F.sum(prop).alias("_part"))
+    out = of.join(of_structure, structure).join(own, entity, "left").na.fill(0, ["_own", "_part"])
+    return out.select(entity, (F.col("_all") - F.col("_own")).alias("n"), (F.col("_sum") - F.col("_part")).alias("total"))
+
+
 def bridges(facts: DataFrame, entity: str, prop: str, first: str, second: str) -> DataFrame:
     """Entities that occur with both properties."""
     names = facts.select(entity).distinct()

@@ -15,9 +15,18 @@ def postings(docs: DataFrame, id_col: str, text_col: str, unicode: bool = True)
     return docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(tokenize(text_col, unicode))).alias("term"))
 
 
-def inverted_index(posts: DataFrame) -> DataFrame:
-    """A1: term -> ordered list of documents.  The list of a frequent term is as long as its documents; joins use the exploded form."""
-    return posts.groupBy("term").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+def naming_any(docs: DataFrame, text_col: str, query: str) -> DataFrame:
+    """The documents that hold one of the query's terms as a string: what a search has to tokenise (terms are letters, digits and dashes of the lower-cased text)."""
+    spark = docs.sparkSession
+    terms = spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(tokenize("q", False))).alias("t")).collect()  # terms of a query
+    low = F.lower(text_col)
+    return docs.where(reduce(lambda a, b: a | b, [low.contains(r["t"]) for r in terms], F.lit(False)))
+
+
+def inverted_index(posts: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """A1: (term, part) -> ordered list of documents, ``width`` ids a part: a frequent term has many bounded lists."""
+    part = F.floor(F.col("doc") / width).cast("long").alias("part")
+    return posts.groupBy("term", part).agg(F.array_sort(F.collect_list("doc")).alias("docs"))
 
 
 def term_statistics(posts: DataFrame) -> DataFrame:

@@ -66,9 +66,18 @@ def bridge_semi_join(t: Tables) -> DataFrame:
 SELECT count(*) AS n_pairs, count(DISTINCT part) AS n_parts, sum(part * 1000 + supp)::BIGINT AS checksum FROM (SELECT DISTINCT m.part, w.supp FROM m JOIN w USING (brand) EXCEPT SELECT part, supp FROM f)""")
 def unexplored_pairs(t: Tables) -> DataFrame:
     """Suppliers known for a part's brand but not for the part, counted and summed."""
-    facts = t.lineitem.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).distinct()
-    gaps = graph.unexplored_pairs(t.part.select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand")), facts, "part", "brand", "supp")
-    return gaps.agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("part").alias("n_parts"), F.sum(F.col("part") * 1000 + F.col("supp")).alias("checksum"))
+    facts = t.lineitem.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
+    gaps = graph.unexplored_counts(t.part.select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand")), facts, "part", "brand", "supp").where("n > 0")
+    return gaps.agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_parts"), F.sum(F.col("n") * F.col("part") * 1000 + F.col("total")).alias("checksum"))
+
+
+@query(f"""WITH f AS ({FACTS}), m AS (SELECT DISTINCT p_partkey AS part, p_brand AS brand FROM part), w AS (SELECT DISTINCT brand, supp FROM m JOIN f USING (part))
+SELECT m.part, w.supp FROM m JOIN w USING (brand) JOIN (SELECT p_partkey AS part FROM part WHERE p_size = 50) USING (part) EXCEPT SELECT part, supp FROM f""")
+def unexplored_of(t: Tables) -> DataFrame:
+    """J12 for the parts asked about, those of the largest size."""
+    facts = t.lineitem.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
+    members = t.part.select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"), "p_size")
+    return graph.unexplored_pairs(members, facts, "part", "brand", "supp", asked=members.where("p_size = 50"))
 
 
 @query("""WITH b AS (SELECT s_suppkey, s_acctbal / 10000 AS confidence FROM supplier WHERE s_acctbal / 10000 > 0.6 ORDER BY confidence DESC, s_suppkey LIMIT 8) SELECT n_nationkey, s_suppkey, round(confidence, 6) AS confidence FROM nation, b""")
@@ -102,7 +111,7 @@ def with_position(rows: DataFrame, key: str, width: int = 1 << 12, group: tuple[
 # --- claims: parts claim a price range by brand; line items are evidence ---
 
 CLAIMS = "SELECT p_partkey AS claim, p_brand AS unit, p_retailprice AS lo, p_retailprice * 1.05 AS hi FROM part"
-EVIDENCE = "SELECT l_orderkey * 10 + l_linenumber AS item, p_brand AS unit, l_extendedprice / l_quantity AS value FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 400"
+EVIDENCE = "SELECT l_orderkey * 10 + l_linenumber AS item, p_brand AS unit, l_extendedprice / l_quantity AS value FROM lineitem JOIN part ON p_partkey = l_partkey"
 
 
 def _claims(t: Tables) -> DataFrame:
@@ -143,9 +152,9 @@ def claim_roll_up(t: Tables) -> DataFrame:
 # --- scores ---
 
 
-@query("""WITH v AS (SELECT p_partkey, p_brand, p_retailprice AS x FROM part WHERE p_partkey < 500), k AS (SELECT p_brand, list_sort(list(p_retailprice)) AS ks FROM part WHERE p_partkey >= 1500 GROUP BY p_brand),
-j AS (SELECT p_partkey, x, ks, list_aggregate(ks, 'median') AS med FROM v JOIN k USING (p_brand)), g AS (SELECT *, CASE WHEN len(list_filter(ks, lambda y: y >= med * 0.02 AND y <= med * 50)) > 0 THEN list_filter(ks, lambda y: y >= med * 0.02 AND y <= med * 50) ELSE ks END AS gs FROM j)
-SELECT p_partkey, round(least(0.6 / (1 + list_min(list_transform(gs, lambda y: abs(x - y) / greatest(abs(y), 1e-6)))) + 0.4 * len(list_filter(gs, lambda y: abs(x - y) / greatest(abs(y), 1e-6) <= 0.25)) / len(gs), 1.0), 6) AS prior,
+@query("""WITH v AS (SELECT a.p_partkey, any_value(a.p_retailprice) AS x, list_sort(list(b.p_retailprice) FILTER (WHERE b.p_partkey IS NOT NULL)) AS ks FROM part a LEFT JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey GROUP BY a.p_partkey),
+j AS (SELECT p_partkey, x, ks, list_aggregate(ks, 'median') AS med FROM v), g AS (SELECT *, CASE WHEN len(list_filter(ks, lambda y: y >= med * 0.02 AND y <= med * 50)) > 0 THEN list_filter(ks, lambda y: y >= med * 0.02 AND y <= med * 50) ELSE ks END AS gs FROM j)
+SELECT p_partkey, coalesce(round(least(0.6 / (1 + list_min(list_transform(gs, lambda y: abs(x - y) / greatest(abs(y), 1e-6)))) + 0.4 * len(list_filter(gs, lambda y: abs(x - y) / greatest(abs(y), 1e-6) <= 0.25)) / len(gs), 1.0), 6), 0) AS prior,
  round(list_min(list_transform(ks, lambda y: abs(x - y) / greatest(abs(y), 1e-6))), 6) AS nearest FROM g""")
 def literature_prior(t: Tables) -> DataFrame:
     """Prior of each part's price given the prices of the other parts of its brand."""

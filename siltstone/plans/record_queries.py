@@ -126,7 +126,7 @@ def label_bands(t: Tables) -> DataFrame:
     return t.events.select("event_id", entities.novelty_label(F.col("value") / 100, inc).alias("label"), verdict(F.col("value") / 100, F.lit(0.5)).alias("verdict"))
 
 
-@query("""SELECT doc_id, list_distinct(string_split(left(text, 200), ' ')) IS NOT NULL AS ok, len(list_distinct(list_filter(string_split(left(text, 200), ' '), lambda w: w <> ''))) AS n FROM documents""")
+@query("""SELECT doc_id, list_distinct(string_split(text, ' ')) IS NOT NULL AS ok, len(list_distinct(list_filter(string_split(text, ' '), lambda w: w <> ''))) AS n FROM documents""")
 def ordered_distinct(t: Tables) -> DataFrame:
     """E7."""
     w = F.filter(F.split("text", " "), lambda x: x != "")

@@ -26,14 +26,15 @@ def _postings(t: Tables) -> DataFrame:
 SELECT doc AS doc_id, sum(n)::DOUBLE AS raw, least(sum(n) / 10.0, 1.0)::DOUBLE AS score FROM p JOIN q USING (term) GROUP BY doc ORDER BY raw DESC, doc LIMIT 20""")
 def retrieval_topk(t: Tables) -> DataFrame:
     """The twenty best documents for a query."""
-    hits = retrieval.search(_postings(t), QUERY, unicode=False).withColumnRenamed("doc", "doc_id")
+    posts = retrieval.postings(retrieval.naming_any(t.documents, "text", QUERY), "doc_id", "text", unicode=False)
+    hits = retrieval.search(posts, QUERY, unicode=False).withColumnRenamed("doc", "doc_id")
     return retrieval.top(hits, 20, F.col("raw").desc(), F.col("doc_id"))
 
 
-@query(f"SELECT term, list_sort(list(doc)) AS docs FROM ({POSTS}) GROUP BY term")
+@query(f"SELECT term, doc // 65536 AS part, list_sort(list(doc)) AS docs FROM ({POSTS}) GROUP BY 1, 2")
 def inverted_index(t: Tables) -> DataFrame:
-    """A1."""
-    return retrieval.inverted_index(_postings(t))
+    """A1: lists of at most 65 536 documents, by term and range of ids."""
+    return retrieval.inverted_index(_postings(t), 1 << 16)
 
 
 @query(f"SELECT term, count(*) AS df FROM ({POSTS}) GROUP BY term")
@@ -107,7 +108,7 @@ def survivorship_merge(t: Tables) -> DataFrame:
 GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
 
 
-@query(f"""WITH b AS (SELECT item_id, left(text, 60) AS title, {GRAMS.format('left(text, 60)')} AS g FROM benchmark),
+@query(f"""WITH b AS (SELECT item_id, {GRAMS.format('text')} AS g FROM benchmark),
 s AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE AS similarity FROM b a JOIN b b ON a.item_id < b.item_id)
 SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.2""")
 def trigram_similarity(t: Tables) -> DataFrame:
@@ -173,7 +174,7 @@ def federated_union(t: Tables) -> DataFrame:
     return retrieval.federate(parts).select("source", "id", "lang", "role")
 
 
-@query(rf"""WITH f AS (SELECT doc_id, trim(coalesce(text, '')) AS x, regexp_matches(text, '{quality.QUANTITY}') AS q, regexp_matches(text, '{quality.SOURCE}') AS s, regexp_matches(text, '{quality.CONCLUSION}') AS c, regexp_matches(text, '{quality.PLACEHOLDER}') AS p,
+@query(rf"""WITH f AS (SELECT doc_id, trim(coalesce(text, '')) AS x, regexp_matches(text, '{fixed.QUANTITY}') AS q, regexp_matches(text, '{fixed.SOURCE}') AS s, regexp_matches(text, '{fixed.CONCLUSION}') AS c, regexp_matches(text, '{fixed.PLACEHOLDER}') AS p,
  length(regexp_replace(trim(coalesce(text, '')), '\s+', '', 'g')) AS n FROM documents)
 SELECT doc_id, round(greatest(0, 1 - CASE WHEN p AND NOT q THEN 0.6 ELSE 0 END - CASE WHEN n < {quality.TOO_SHORT} THEN 0.3 ELSE 0 END - CASE WHEN NOT q THEN 0.2 ELSE 0 END - CASE WHEN NOT c THEN 0.15 ELSE 0 END - CASE WHEN NOT s THEN 0.15 ELSE 0 END), 3)::DOUBLE AS score, n AS body_chars FROM f""")
 def memory_quality(t: Tables) -> DataFrame:
@@ -181,7 +182,7 @@ def memory_quality(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", quality.entry_quality("text").alias("q")).select("doc_id", "q.score", "q.body_chars")
 
 
-@query(rf"""WITH f AS (SELECT lang, regexp_matches(text, '{quality.QUANTITY}') AS q, regexp_matches(text, '{quality.SOURCE}') AS s, regexp_matches(text, '{quality.CONCLUSION}') AS c, regexp_matches(text, '{quality.PLACEHOLDER}') AS p,
+@query(rf"""WITH f AS (SELECT lang, regexp_matches(text, '{fixed.QUANTITY}') AS q, regexp_matches(text, '{fixed.SOURCE}') AS s, regexp_matches(text, '{fixed.CONCLUSION}') AS c, regexp_matches(text, '{fixed.PLACEHOLDER}') AS p,
  length(regexp_replace(trim(coalesce(text, '')), '\s+', '', 'g')) AS n FROM documents),
 g AS (SELECT *, round(greatest(0, 1 - CASE WHEN p AND NOT q THEN 0.6 ELSE 0 END - CASE WHEN n < {quality.TOO_SHORT} THEN 0.3 ELSE 0 END - CASE WHEN NOT q THEN 0.2 ELSE 0 END - CASE WHEN NOT c THEN 0.15 ELSE 0 END - CASE WHEN NOT s THEN 0.15 ELSE 0 END), 3)::DOUBLE AS score FROM f)
 SELECT lang, count(*) AS n, round(avg(score), 6) AS mean_score, count(*) FILTER (WHERE score < 0.35 OR (p AND NOT q)) AS n_low FROM g GROUP BY lang""")
@@ -216,7 +217,7 @@ def markup_stripped(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.strip_markup("html").alias("plain"))
 
 
-@query(f"""WITH p AS (SELECT doc_id AS pid, list_distinct({TOKENS.format('text')}) AS w FROM documents), b AS (SELECT DISTINCT unnest({TOKENS.format('text')}) AS name FROM benchmark WHERE item_id < 5),
+@query(f"""WITH p AS (SELECT doc_id AS pid, list_distinct({TOKENS.format('text')}) AS w FROM documents), b AS (SELECT DISTINCT unnest({TOKENS.format('text')}) AS name FROM benchmark),
 x AS (SELECT pid, unnest(w) AS t FROM p), h AS (SELECT x.pid, name FROM x JOIN b ON t = name)
 SELECT name, list_sort(list(DISTINCT word)) AS words FROM h JOIN (SELECT pid, t AS word FROM x WHERE t IN ('license', 'idiot', 'scum', 'token', 'trash')) USING (pid) GROUP BY name""")
 def paragraph_cooccurrence(t: Tables) -> DataFrame:
@@ -230,10 +231,10 @@ def paragraph_cooccurrence(t: Tables) -> DataFrame:
 @query("""WITH n AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
 k AS (SELECT * FROM n WHERE rn = 1 OR n - rn < greatest(floor(n / 2.0), 4)),
 s AS (SELECT *, sum(CASE WHEN role <> 'tool' AND rn > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM k)
-SELECT conv_id, turn, role, left(text, 100) AS text FROM s WHERE role <> 'tool' OR seen > 0""")
+SELECT conv_id, turn, role, left(text, 4000) AS text FROM s WHERE role <> 'tool' OR seen > 0""")
 def conversation_compaction(t: Tables) -> DataFrame:
     """E13."""
-    return windows.compact(t.conversations, "conv_id", "turn", "role", "text", least=4, width=100)
+    return windows.compact(t.conversations, "conv_id", "turn", "role", "text", least=4, width=4000)
 
 
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS preceding FROM conversations""")
@@ -249,7 +250,7 @@ def rollup_counts(t: Tables) -> DataFrame:
     return t.documents.rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("""SELECT doc_id, 'SPR-' || lang || '-' || printf('%02d', row_number() OVER (PARTITION BY lang ORDER BY doc_id)) AS label FROM documents WHERE n_chars > 3000""")
+@query("""SELECT doc_id, 'SPR-' || lang || '-' || printf('%02d', row_number() OVER (PARTITION BY lang ORDER BY doc_id)) AS label FROM documents""")
 def positional_labels(t: Tables) -> DataFrame:
     """T9."""
     rows = with_position(t.documents.select("doc_id", "lang", F.coalesce("lang", F.lit("")).alias("_g")), "doc_id", group=("_g",)).withColumn("r", F.col("pos") + 1)
