@@ -167,3 +167,15 @@ CONCLUSION = (
     r"达到|突破|创纪录|显著|稳定|支持|驳斥|反驳|[-–—→↔↑↓><≥≤=]|\bvs\.?\b|相比|对比|强于|不如|弱于"
 )
 PLACEHOLDER = r"(?i)待补充|待完善|待更新|后续补充|稍后补充|此处补|补记|省略|\bTBD\b|\bTODO\b|\bFIXME\b|placeholder|占位|未完成|稍后更新|lorem ipsum|内容待|细节待"
+
+# Words that say nothing to a novelty search, and property words that do.
+QUERY_STOPWORDS = """a an the and or of to in on at for with from by via that this these those their there its it is are was were be been
+based using used use method methods approach approaches system systems study studies research material materials property properties relationship
+relationships discovery analysis analyses design designs tool tools gap gaps paper papers result results effect effects impact role
+toward towards about between after before during through new novel high low higher lower large small significant strong weak potential possible
+general specific overall related relation depend dependence dependency influence trend mechanism mechanisms predict prediction correlate correlation
+model modeling simulation simulated computational calculation calculated important key vs under over into as if but not no than
+determined expected found show shown demonstrate""".split()
+PROPERTY_TERMS = """adsorption capacity selectivity uptake loading stability isotherm enthalpy qst diffusion permeability conductivity barrier moisture humidity
+pressure temperature composition ratio defect bandgap porosity pore kinetics selective recovery regeneration energy cycling hydrophobicity
+hydrophilicity surface capture metastability""".split()

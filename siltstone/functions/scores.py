@@ -227,3 +227,52 @@ def diversity_bonus(point: Column, explored: Column, most: float = 0.10) -> Colu
     distance = lambda q: F.sqrt(F.aggregate(F.zip_with(point, q, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
     near = F.array_min(F.transform(explored, distance))
     return F.when(F.size(explored) > 0, most * F.least(near / 0.3, F.lit(1.0))).otherwise(most)
+
+
+def blended(score: Column, plausibility: Column | None, weight: float = 0.35) -> Column:
+    """A score and a plausibility of weight 0.35, where there is one; at most 1."""
+    both = score if plausibility is None else F.coalesce(score * (1 - weight) + plausibility * weight, score)
+    return F.least(both, F.lit(1.0))
+
+
+def text_score(materials: Column, prop: Column, text: Column, value: Column, known: Column, plausibility: Column | None = None) -> Column:
+    """M16, by texts: 0.30, 0.20 for the share of materials named, 0.15 for the property, 0.30 for the prior."""
+    low = F.lower(text)
+    hits = F.size(F.filter(materials, lambda m: low.contains(F.lower(m)))) / F.greatest(F.size(materials), F.lit(1))
+    named = F.when((prop != "") & low.contains(F.lower(prop)), 0.15).otherwise(0.0)
+    return blended(F.least(0.30 + 0.20 * hits + named + 0.30 * literature_prior(value, known), F.lit(1.0)), plausibility)
+
+
+def graph_score(n_similar: Column, value: Column, known: Column, plausibility: Column | None = None) -> Column:
+    """M16, by graphs: 0.30, 0.30 for the prior, 0.10 for each similar material."""
+    return blended(F.least(0.30 + 0.30 * literature_prior(value, known) + 0.10 * n_similar, F.lit(1.0)), plausibility)
+
+
+#: Weights of :func:`block_score`: base, coverage, cooccurrence, nearness of values, share of the window.
+TOOL, BASELINE = (0.15, 0.25, 0.20, 0.35, 0.0), (0.15, 0.20, 0.15, 0.25, 0.30)
+
+
+def block_score(n_blocks: Column, n_named: Column, n_both: Column, value: Column, known: Column, bonus: Column, weights: tuple[float, ...], window: Column | None = None) -> Column:
+    """M16, by blocks of evidence (all, naming a material, naming the property as well): TOOL or BASELINE weights.
+
+    Nearness is the mean of the three nearest known values; bonuses add up to 1, then the window takes its share.
+    """
+    base, cover, joint, near, share = weights
+    close = F.slice(F.array_sort(F.transform(known, lambda k: -1 / (1 + F.abs(value - k) / F.greatest(k, F.lit(1e-6))))), 1, 3)
+    mean = -F.aggregate(close, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(close), F.lit(1))
+    nearness = F.when((F.size(known) > 0) & (value != 0), near * mean).otherwise(0.0)
+    found = F.when(n_named > 0, cover * n_named / n_blocks + joint * n_both / F.greatest(n_named, F.lit(1)) + nearness).otherwise(0.0)
+    score = F.when(n_blocks == 0, base).otherwise(F.least(base + found + bonus, F.lit(1.0)))
+    return score if window is None or not share else F.when(window.isNull() | (n_blocks == 0), score).otherwise((1 - share) * score + share * window)
+
+
+def window_score(value: Column, window: Column, mode: str = "trapezoid") -> Column:
+    """struct(score, lo, hi): 0 without a window or a positive value."""
+    shape = gaussian if mode == "gaussian" else trapezoid
+    inside = F.when(window.isNull() | value.isNull() | (value <= 0), 0.0).otherwise(shape(value, window["lo"], window["hi"]))
+    return F.struct(inside.alias("score"), window["lo"].alias("lo"), window["hi"].alias("hi"))
+
+
+def by_version(new: Column, old: Column, setting: str = "true") -> Column:
+    """the second version of a score unless the setting switches it off."""
+    return old if setting.strip().lower() in ("false", "0", "no", "off") else new

@@ -87,3 +87,34 @@ def survivors(papers: DataFrame, key: Column, order: list[Column]) -> DataFrame:
 def dedupe_by_doi(papers: DataFrame, order: list[Column]) -> DataFrame:
     """E1, first stage: papers with the same normalised DOI merge; the others stay."""
     return survivors(papers, normalize_doi("doi"), order)
+
+
+def available_sources(parts: dict[str, DataFrame | None], always: tuple[str, ...] = ("arxiv", "semantic_scholar")) -> list[str]:
+    """Names of the sources that can be asked: those that always can, then those that are there."""
+    return [*always, *[name for name in sorted(parts) if name not in always and parts[name] is not None]]
+
+
+def federated_search(parts: dict[str, DataFrame], order: str, top_k: int = 30, failures: DataFrame | None = None, breaker: int = 3, similar: float = 0.9) -> DataFrame:
+    """Results of all sources (title, doi, score, ... and an ``order`` column), merged by DOI and title, best first.
+
+    failures (source, streak): sources with ``breaker`` or more failures in a row are left out.
+    """
+    from .resolve import dedupe_papers
+
+    rows = federate(parts)
+    if failures is not None:
+        rows = rows.join(failures.where(F.col("streak") >= breaker).select("source"), "source", "left_anti")
+    rows = rows.withColumnRenamed(order, "ord")
+    into = dedupe_papers(rows, least=similar).where("id <> into").toDF("_id", "_into")
+    named = rows.join(into, F.col("ord") == F.col("_id"), "left").withColumn("_group", F.coalesce("_into", "ord")).drop("_id", "_into")
+    merged = survivors(named, F.col("_group").cast("string"), [F.col("ord")]).drop("_group")
+    return top(merged, top_k, F.col("score").desc(), F.col("ord"))
+
+
+def smart_query(title: Column | str, abstract: Column | str | None = None) -> Column:
+    """What a search for a question or a paper asks for: the start of the title, its materials and properties."""
+    from ..functions.entities import document_entities, formulas
+
+    whole = F.concat_ws(". ", title, abstract) if abstract is not None else F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit(""))
+    start = F.left(F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit("")), F.lit(100))
+    return F.concat_ws(" ", start, F.get(formulas(whole), F.lit(0)), F.get(document_entities(whole, "properties"), F.lit(0)))

@@ -142,3 +142,11 @@ def tree_search(children: Callable[[tuple], list[tuple]], score: Callable[[tuple
             nodes[at]["total"] += s
             at = nodes[at]["parent"]
     return {"best": best, "score": best_score, "nodes": len(nodes), "visits": nodes[root]["visits"]}
+
+
+def top_visited(nodes: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
+    """The most visited nodes (node, visits, value) of each search with their mean value."""
+    from .resolve import capped
+
+    best = capped(nodes, keys, [F.col("visits").desc(), F.col("node")], n)
+    return best.select(*keys, "node", "visits", (F.col("value") / F.greatest("visits", F.lit(1))).alias("value"))

@@ -324,3 +324,15 @@ def sign_test(above: int, below: int) -> float:
     """Two-sided sign test."""
     n, k = above + below, min(above, below)
     return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+
+
+def classical_fit(name: str, points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """A classical model by its name: (keys, model, n, r2, rmse); vegard is linear."""
+    fits = {
+        "linear": lambda: ols(points, keys, x, y), "vegard": lambda: ols(points, keys, x, y), "quadratic": lambda: polynomial(points, keys, x, y, 2), "power": lambda: transformed_fit(points, keys, x, y, "power"),
+    }
+    wanted = name.strip().lower()
+    if wanted not in fits:
+        raise ValueError(f"unknown model {name!r}; known: {', '.join(sorted(fits))}")
+    fit = fits[wanted]()
+    return fit.select(*keys, F.lit(wanted).alias("model"), *[F.col(c) for c in ("n", "r2", "rmse") if c in fit.columns])

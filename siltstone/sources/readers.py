@@ -126,3 +126,8 @@ def documents(spark: SparkSession, folder: str, pattern: str = "*.{md,txt,html}"
 def slice_text(text: Column | str, offset: int, limit: int) -> Column:
     """S8."""
     return F.substring(text, offset + 1, limit)
+
+
+def run_folders(paths: DataFrame, column: str = "path") -> DataFrame:
+    """folders of runs whose own name holds neither test nor smoke."""
+    return paths.where(~F.lower(F.element_at(F.split(F.rtrim(F.col(column), F.lit("/")), "/"), -1)).rlike("test|smoke"))

@@ -52,3 +52,15 @@ def backfill(rows: DataFrame, scores: DataFrame, key: str, column: str = "best_s
     new = scores.select(key, F.col(column).alias("_new"))
     old = F.col(column)
     return rows.join(new, key, "left").withColumn(column, F.when(old.isNull() | (old <= 0), F.coalesce("_new", old)).otherwise(old)).drop("_new")
+
+
+def cached(spark, folder: str, parameters: dict, build) -> DataFrame:
+    """What ``build()`` gives, kept under the MD5 of the parameters; an entry counts once it is written whole."""
+    import hashlib
+    import json
+
+    path = f"{folder.rstrip('/')}/{hashlib.md5(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
