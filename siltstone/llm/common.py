@@ -53,6 +53,15 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.withColumn(name, bucket).join(right.withColumn(name, bucket), [name, *keys], how).drop(name)
 
 
+#: Rows up to which the small side of a join may be broadcast, once counted.
+BROADCAST_ROWS = 100_000
+
+
+def marked_join(left: DataFrame, few: DataFrame, rows: int, keys: list[str]) -> DataFrame:
+    """Left join with a table of ``rows`` narrow rows: broadcast up to BROADCAST_ROWS, else both sides are shuffled."""
+    return left.join(F.broadcast(few), keys, "left") if rows <= BROADCAST_ROWS else spread_join(left, few, keys, "left")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import find_anchors, mix, prefix_hash, range_hash
-from .common import materialise, spread_join, text_or_empty
+from .common import marked_join, materialise, spread_join, text_or_empty
 from .suffix import byte_window_classes, word_window_classes
 
 #: Symbols handled at once; numpy arrays of this length stay in the CPU's caches.
@@ -64,7 +64,7 @@ class Search:
     window: int
     seed: int
     other_doc: bool
-    group_rows: int = 4_096
+    group_rows: int = 1_024
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -458,9 +458,9 @@ def settle_wide(search: Search, pieces: DataFrame) -> DataFrame:
         if offsets == 1:
             return union([*out, settle_windows(search, live)])
         wide = wide_prefixes(live, search)
-        if wide.isEmpty():
+        if not (n := wide.count()):
             return union([*out, settle_pieces(search, live)])
-        live = spread_join(live, wide, ["key"], "left")
+        live = marked_join(live, wide, n, ["key"])
         out.append(settle_pieces(search, live.where("wide is null").drop("wide")))
         level = live.where("wide").drop("wide")
 
@@ -538,11 +538,11 @@ def remove_repeats(docs: DataFrame, search: Search, id_col: str = "doc_id", text
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), text_or_empty(text_col).alias("text"))
     repeated = rows.groupBy("doc").count().where("count > 1").select("doc", F.lit(True).alias("again"))
-    if repeated.isEmpty():
+    if not (n := repeated.count()):
         rows = rows.select("id", "doc", F.lit(0).cast("long").alias("twin"), "text")
     else:  # told apart by their texts
         again = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0))
-        rows = spread_join(rows, repeated, ["doc"], "left").select("id", "doc", again.cast("long").alias("twin"), "text")
+        rows = marked_join(rows, repeated, n, ["doc"]).select("id", "doc", again.cast("long").alias("twin"), "text")
     found = rows.select("doc", "twin", "text").mapInArrow(anchor_finder(search), FOUND_SQL)
     dealt = F.when((F.col("size") > 0) & (F.col("size").bitwiseAND(F.lit(SEVERAL)) > 0), F.xxhash64("key", "context")).otherwise(F.col("key"))
     settled = found.repartition(dealt).sortWithinPartitions("key", "context", "check", "doc", "twin", "at").mapInArrow(context_settler(search), SETTLED_SQL)
@@ -554,10 +554,10 @@ def remove_repeats(docs: DataFrame, search: Search, id_col: str = "doc_id", text
         return rows.join(by_doc, ["doc", "twin"]).select("doc", "twin", "text", "pending").mapInArrow(context_fetcher(search), PIECE_SQL)
 
     spans, wide = [settled.where("size < 0").select("doc", "twin", "span")], wide_prefixes(waiting, search)
-    if wide.isEmpty():
+    if not (n := wide.count()):
         spans.append(settle_pieces(search, pieces(waiting)))
     else:
-        marked = spread_join(waiting, wide, ["key"], "left")
+        marked = marked_join(waiting, wide, n, ["key"])
         spans += [settle_pieces(search, pieces(marked.where("wide is null"))), settle_wide(search, pieces(marked.where("wide")))]
     spans = union(spans).groupBy("doc", "twin").agg(F.collect_list("span").alias("spans"))
     joined = rows.join(spans, ["doc", "twin"], "left").select("id", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
