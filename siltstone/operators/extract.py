@@ -79,6 +79,43 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, least: int = 60) -> Data
     return docs.select(F.col(id_col).alias("doc"), F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array(t))).alias("block", "text"))
 
 
+# Names of materials in running text.
+_MATERIAL = r"\b(?:[A-Z][a-z]?\d+[A-Za-z0-9]*(?:-[A-Za-z0-9]+)*|ZIF-\d+|UiO-\d+|MIL-\d+|HKUST-\d+|IRMOF-\d+|MOF-\d+)\b"
+
+
+def evidence_index(docs: DataFrame, id_col: str, text_col: str, hyps: DataFrame, most: int = 500) -> DataFrame:
+    """(id, blocks, material_tokens, keywords, values) of hypotheses (id, doc, materials, property) over the text of their document.
+
+    Values stand within 120 characters before and 160 behind a keyword of the property, or anywhere in a block if the
+    property has units; with units only theirs count.  Distinct to four places, ascending, ``most`` at most (the cap is the index's).
+    """
+    from ..functions.entities import property_keywords
+    from ..functions.text import accepted_units
+
+    parts = blocks(docs, id_col, text_col).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("block", F.trim("text").alias("text")))).alias("b"))
+    whole = docs.select(F.col(id_col).alias("doc"), F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_MATERIAL), F.lit(0)), F.lower)).alias("named"))
+    rows = hyps.join(parts, "doc").join(whole, "doc").select(
+        "id", "materials", "named", F.transform("b", lambda x: x["text"]).alias("blocks"), property_keywords("property").alias("keywords"), accepted_units("property").alias("units")
+    )
+    own = F.transform(F.flatten(F.transform(F.coalesce("materials", F.array().cast("array<string>")), lambda m: F.split(m, r"[/\s,，、]+"))), lambda p: F.lower(F.trim(p)))
+    tokens = F.array_sort(F.array_distinct(F.concat(F.filter(own, lambda p: (F.length(p) >= 3) & ~p.rlike(r"^\d+$")), "named")))
+    rows = rows.withColumn("material_tokens", tokens)
+    low = rows.select("id", "units", "keywords", F.explode("blocks").alias("t")).withColumn("t", F.lower("t"))
+    near = low.select("id", "units", "t", F.explode("keywords").alias("k")).where(F.col("t").contains(F.col("k")))
+    # Where a keyword starts: the lengths of what stands between its mentions.
+    cuts = F.transform(F.split("t", F.concat(F.lit(r"\Q"), F.col("k"), F.lit(r"\E"))), lambda x: F.length(x))
+    step = lambda a, n: F.struct((a["at"] + n + F.length("k")).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out"))
+    starts = F.aggregate(F.slice(cuts, 1, F.size(cuts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+    windows = near.select("id", "units", "k", "t", F.explode(starts).alias("s"))
+    first = F.greatest(F.col("s") - 120, F.lit(0))
+    windows = windows.select("id", "units", F.col("t").substr(first + 1, F.col("s") + F.length("k") + 160 - first).alias("w"))
+    texts = windows.unionByName(low.where("units is not null").select("id", "units", F.col("t").alias("w")))
+    found = texts.select("id", "units", F.explode(find_all(F.col("w"), fixed.VALUE_UNIT, 2)).alias("m")).select("id", "units", F.col("m.g1").cast("double").alias("v"), unit_a("m.g2").alias("u"))
+    found = found.where((F.col("units").isNull() | F.array_contains("units", F.col("u"))) & (F.col("v") > 0) & (F.col("v") < 1e6))
+    values = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.round("v", 4))), 1, most).alias("values"))
+    return rows.select("id", "blocks", "material_tokens", "keywords").join(values, "id", "left").withColumn("values", F.coalesce("values", F.array().cast("array<double>")))
+
+
 def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A flat section tree: heading, level, first and last line, parent's number (0: none)."""
     lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line", "s"))

@@ -117,4 +117,4 @@ def smart_query(title: Column | str, abstract: Column | str | None = None) -> Co
 
     whole = F.concat_ws(". ", title, abstract) if abstract is not None else F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit(""))
     start = F.left(F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit("")), F.lit(100))
-    return F.concat_ws(" ", start, F.get(formulas(whole), F.lit(0)), F.get(document_entities(whole, "properties"), F.lit(0)))
+    return F.concat_ws(" ", start, F.get(formulas(whole), F.lit(0))["name"], F.get(document_entities(whole, "properties"), F.lit(0)))

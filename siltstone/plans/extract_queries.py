@@ -92,16 +92,10 @@ def paper_dedupe(t: Tables) -> DataFrame:
 
 
 
-@query()
-def slack_fit(t: Tables) -> DataFrame:
-    """The grid fit per brand, size as temperature."""
-    return resampling.slack_grid(t.part, "p_brand", "p_size", "p_retailprice", [5.0, 10.0, 20.0, 40.0, 80.0])
-
-
 @query()
 def bootstrap_ci(t: Tables) -> DataFrame:
     """Intervals per nation, over the suppliers' key and balance."""
-    return resampling.bootstrap(t.supplier, "s_nationkey", "s_suppkey", "s_acctbal", n_boot=100)
+    return resampling.bootstrap(t.supplier, "s_nationkey", "s_suppkey", "s_acctbal", n_boot=500)
 
 
 @query()
