@@ -46,6 +46,10 @@ from .suffix import byte_window_classes, word_window_classes
 BATCH = 1 << 20
 #: Bytes of context that one Arrow batch carries, about.
 BODY_BYTES = 1 << 25
+#: Anchors that a batch settles at once, and contexts of a shard, about.
+SETTLED_AT_ONCE, SHARD_ROWS = 1 << 18, 1 << 12
+#: Pieces that one file of a level holds, about.
+PIECES_PER_FILE = 1 << 16
 #: Where a null id stands: after all others.
 LAST_ID = (1 << 63) - 1
 #: In the size of an anchor: its seed has several contexts for sure, it is dealt by context.
@@ -198,26 +202,44 @@ def anchor_finder(search: Search):
         for batch in batches:
             ids, twins = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offsets = text_buffers(batch.column(2))
-            parts = []
+            parts, n = [], 0
             for i, j in in_parts(offsets):
                 symbols, cuts = symbols_of(search, data, offsets[i : j + 1])
                 a = find_anchors(symbols, cuts, search.window, search.seed, symbols_of(search, data, offsets[i : j + 1], True)[0])
                 parts.append((a.seed.view(np.int64), a.context.view(np.int64), a.check.view(np.int64), ids[a.doc + i], twins[a.doc + i], a.start - cuts[a.doc], a.left, a.right))
-            if not parts:
-                continue
-            key, context, check, doc, twin, at, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, covered, nth = _settle(search, key, context, check, doc, twin, at)
-            gone = order[covered]
-            d, t, span = _document_runs(doc[gone], twin[gone], at[gone] - left[gone], at[gone] + right[gone])
-            stay = order[~covered]
-            size = pack(left[stay], right[stay]) | np.where(nth[~covered] > 1, SEVERAL, 0).astype(np.int32)
-            yield _batch(FOUND, key[stay], context[stay], check[stay], doc[stay], twin[stay], at[stay].astype(np.int32), size)
-            if len(d):
-                yield _batch(FOUND, mix(d.view(np.uint64)).view(np.int64), span, np.zeros(len(d), np.int64), d, t, np.zeros(len(d), np.int32), np.full(len(d), -1, np.int32))
+                n += len(a.start)
+                if n >= SETTLED_AT_ONCE:
+                    yield from settled(parts)
+                    parts, n = [], 0
+            if parts:
+                yield from settled(parts)
+
+    def settled(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, context, check, doc, twin, at, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, covered, nth = _settle(search, key, context, check, doc, twin, at)
+        gone = order[covered]
+        d, t, span = _document_runs(doc[gone], twin[gone], at[gone] - left[gone], at[gone] + right[gone])
+        stay = order[~covered]
+        size = pack(left[stay], right[stay]) | np.where(nth[~covered] > 1, SEVERAL, 0).astype(np.int32)
+        yield _batch(FOUND, key[stay], context[stay], check[stay], doc[stay], twin[stay], at[stay].astype(np.int32), size)
+        if len(d):
+            yield _batch(FOUND, mix(d.view(np.uint64)).view(np.int64), span, np.zeros(len(d), np.int64), d, t, np.zeros(len(d), np.int32), np.full(len(d), -1, np.int32))
 
     return run
 
 
+def _in_shards(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+    """Tables of whole keys in slices of about SHARD_ROWS rows, cut between keys."""
+    for t in tables:
+        key = t.column(0).to_numpy()
+        at = 0
+        while at < len(key):
+            end = min(at + SHARD_ROWS, len(key))
+            end = int(np.searchsorted(key, key[end - 1], "right"))
+            yield t.slice(at, end - at).combine_chunks()
+            at = end
+
+
 def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
     """Tables that hold whole keys; the rows come sorted by key."""
     held: list[pa.RecordBatch] = []
@@ -396,7 +418,7 @@ def window_settler(search: Search):
     """Pieces sorted by key -> spans of their windows that start earlier elsewhere; windows are equal if their symbols are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, PIECE.names):
+        for t in _in_shards(_by_key(batches, PIECE.names)):
             doc, twin, at, n = (t.column(k).to_numpy().astype(np.int64) for k in range(1, 5))
             body = t.column(8).combine_chunks()
             body = body.chunks[0] if isinstance(body, pa.ChunkedArray) else body
@@ -439,28 +461,31 @@ def settle_windows(search: Search, pieces: DataFrame) -> DataFrame:
     return judged.where(late).select("doc", "twin", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("at") + search.window).alias("span"))
 
 
-def wide_prefixes(rows: DataFrame, search: Search) -> DataFrame:
-    """(key, wide) of the keys with more rows than one task may gather."""
-    return rows.groupBy("key").count().where(F.col("count") > search.group_rows).select("key", F.lit(True).alias("wide"))
+def wide_prefixes(rows: DataFrame, search: Search) -> tuple[DataFrame, int, int]:
+    """(key, wide) of the keys with more rows than one task may gather; how many keys, how many rows."""
+    counts = rows.groupBy("key").count().where(F.col("count") > search.group_rows)
+    keys, n = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    return counts.select("key", F.lit(True).alias("wide")), keys, n
 
 
 def settle_pieces(search: Search, pieces: DataFrame) -> DataFrame:
     return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(window_settler(search), SPAN_SQL)
 
 
-def settle_wide(search: Search, pieces: DataFrame) -> DataFrame:
-    """Spans of pieces whose prefixes are too wide: prefixes are lengthened, level by level, until their groups fit."""
+def settle_wide(search: Search, pieces: DataFrame, rows: int) -> DataFrame:
+    """Spans of ``rows`` pieces whose prefixes are too wide: prefixes are lengthened, level by level, until their groups fit."""
     out, level, offsets = [], pieces, search.window - search.seed + 1
     while True:
-        level = materialise(level.mapInArrow(piece_splitter(search), PIECE_SQL), "pieces")
+        level = level.mapInArrow(piece_splitter(search), PIECE_SQL).coalesce(max(level.sparkSession.sparkContext.defaultParallelism, rows // PIECES_PER_FILE))
+        level = materialise(level, "pieces")
         out.append(level.where("n < 0").select("doc", "twin", F.col("key").alias("span")))
         live, offsets = level.where("n > 0"), -(-offsets // 2)
         if offsets == 1:
             return union([*out, settle_windows(search, live)])
-        wide = wide_prefixes(live, search)
-        if not (n := wide.count()):
+        wide, keys, rows = wide_prefixes(live, search)
+        if not keys:
             return union([*out, settle_pieces(search, live)])
-        live = marked_join(live, wide, n, ["key"])
+        live = marked_join(live, wide, keys, ["key"])
         out.append(settle_pieces(search, live.where("wide is null").drop("wide")))
         level = live.where("wide").drop("wide")
 
@@ -553,12 +578,13 @@ def remove_repeats(docs: DataFrame, search: Search, id_col: str = "doc_id", text
         by_doc = anchors.groupBy("doc", "twin").agg(F.collect_list(F.struct("key", "at", "size")).alias("pending"))
         return rows.join(by_doc, ["doc", "twin"]).select("doc", "twin", "text", "pending").mapInArrow(context_fetcher(search), PIECE_SQL)
 
-    spans, wide = [settled.where("size < 0").select("doc", "twin", "span")], wide_prefixes(waiting, search)
-    if not (n := wide.count()):
+    spans = [settled.where("size < 0").select("doc", "twin", "span")]
+    wide, keys, n = wide_prefixes(waiting, search)
+    if not keys:
         spans.append(settle_pieces(search, pieces(waiting)))
     else:
-        marked = marked_join(waiting, wide, n, ["key"])
-        spans += [settle_pieces(search, pieces(marked.where("wide is null"))), settle_wide(search, pieces(marked.where("wide")))]
+        marked = marked_join(waiting, wide, keys, ["key"])
+        spans += [settle_pieces(search, pieces(marked.where("wide is null"))), settle_wide(search, pieces(marked.where("wide")), n)]
     spans = union(spans).groupBy("doc", "twin").agg(F.collect_list("span").alias("spans"))
     joined = rows.join(spans, ["doc", "twin"], "left").select("id", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
     return joined.mapInArrow(cutter(search, with_text), RESULT_SQL + (", kept_text string" if with_text else ""))
