@@ -95,9 +95,19 @@ def release() -> None:
         _kept.pop().unpersist()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a table in the shared folder; survives lost executors."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Cut lineage by a table in the shared folder, which survives lost executors; and where it is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    return written(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of :func:`written` that nothing reads any more, with its folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -3,7 +3,8 @@
 Each round points every node's larger neighbours, then its smaller ones, at the
 least node it sees; the least label of a component reaches all its nodes in a
 logarithmic number of rounds.  Edges stay in the cluster: only two sums come to
-the driver, and every round is a table in the shared folder.
+the driver, and every round is a table in the shared folder; the one before it is
+deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spread_join
+from .common import discard, spread_join, written
 
 
 ROWS_PER_FILE = 1_000_000
@@ -30,7 +31,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) of every node that has an edge (a, b); label: the least node of its component."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs = materialise(pairs, "edges")
+    spark = edges.sparkSession
+    pairs, path = written(pairs, "edges")
     before = (pairs.count(), None)
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,7 +40,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         pairs = _star(large, small=True)
         if before:  # as many files as the edges need
             pairs = pairs.coalesce(1 + before[0] // ROWS_PER_FILE)
-        pairs = materialise(pairs, "edges")
+        last = path
+        pairs, path = written(pairs, "edges")
+        discard(spark, last)
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break
