@@ -36,7 +36,8 @@ def random_search(hypotheses: DataFrame, bounds: dict[str, tuple[float, float]],
     """``budget`` uniform draws per hypothesis (hash of hypothesis, draw and name: the same on every run), best score."""
     draws = hypotheses.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(budget - 1))))
     for name, (lo, hi) in bounds.items():
-        unit = F.pmod(F.xxhash64(*[F.col(c) for c in hypotheses.columns], F.col("draw"), F.lit(f"{seed}:{name}")), F.lit(1 << 30)) / float(1 << 30)
+        key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in hypotheses.columns], F.col("draw").cast("string"), F.lit(f"{seed}:{name}")))
+        unit = F.conv(F.left(key, F.lit(7)), 16, 10).cast("long") / float(1 << 28)
         draws = draws.withColumn(name, lo + unit * (hi - lo))
     return draws.withColumn("score", score({n: F.col(n) for n in bounds}))
 

@@ -13,30 +13,6 @@ from .registry import Tables, query
 UNITS = "', '".join(sorted(set(fixed.UNITS_A.values())))
 
 
-@query()
-def values_in_text(t: Tables) -> DataFrame:
-    """Every number with a unit, in its context."""
-    return extract.values_with_context(t.documents, "doc_id", "text")
-
-
-@query()
-def claims_in_text(t: Tables) -> DataFrame:
-    """Claims as intervals."""
-    return extract.claimed_values(t.documents, "doc_id", "text")
-
-
-@query()
-def evidence_in_text(t: Tables) -> DataFrame:
-    """U19."""
-    return extract.evidence_values(t.documents, "doc_id", "text")
-
-
-@query()
-def xy_pairs(t: Tables) -> DataFrame:
-    """All pairs of every document (no cap)."""
-    return extract.xy_pairs(t.documents, "doc_id", "text", most=None)
-
-
 @query()
 def model_comparison(t: Tables) -> DataFrame:
     """Pairs, line against parabola, nested F, verdict; over a table rendered from the parts of each brand."""
@@ -46,19 +22,6 @@ def model_comparison(t: Tables) -> DataFrame:
     return discovery.compare_models(docs, "p_brand", "text", ["K"], ["mmol/g"])
 
 
-@query()
-def section_tree(t: Tables) -> DataFrame:
-    """Sections of documents whose longer lines are taken for headings."""
-    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.length(x) < 40, F.concat(F.repeat(F.lit("#"), (i % 3 + 1).cast("int")), F.lit(" "), x)).otherwise(x)), "\n")
-    return extract.sections(t.documents.select("doc_id", marked.alias("text")), "doc_id", "text")
-
-
-@query()
-def text_blocks(t: Tables) -> DataFrame:
-    """U26."""
-    return extract.blocks(t.documents, "doc_id", "text").select("doc", "block", F.length("text").alias("n_chars"))
-
-
 @query(r"""WITH e AS (SELECT doc_id, list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(text, '(?i)\b(?:stability|degradation|lifetime|durability|cyclability|coulombic efficiency)\b'), regexp_extract_all(text, '(?i)\b(?:band gap|conductivity|resistivity|capacitance|dielectric|permittivity)\b'),
  regexp_extract_all(text, '(?i)\b(?:thermal conductivity|thermal expansion|specific heat|heat capacity)\b'), regexp_extract_all(text, '(?i)\b(?:figure of merit|ZT|Seebeck coefficient|carrier mobility|carrier concentration)\b'), regexp_extract_all(text, '(?i)\b(?:adsorption capacity|uptake|permeability|permeance|separation factor)\b')), lambda x: lower(x)))) AS p FROM documents)
 SELECT doc_id, array_to_string(p[1:50], ',') AS properties FROM e""")
@@ -67,12 +30,6 @@ def document_properties(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(entities.document_entities("text", "properties"), ",").alias("properties"))
 
 
-@query()
-def document_entities(t: Tables) -> DataFrame:
-    """Formulas, methods, ids and codes of every document."""
-    return t.documents.select("doc_id", F.size(entities.formulas("text")).alias("n_formulas"), entities.document_entities("text", "methods").alias("methods"), entities.paper_ids("text").alias("ids"), F.size(entities.evidence_codes("text")).alias("n_codes"))
-
-
 @query()
 def candidate_scores(t: Tables) -> DataFrame:
     """Parts scored against the known prices of their brand and a text of their types."""
@@ -111,12 +68,6 @@ def symbolic_fit(t: Tables) -> DataFrame:
     return symbolic.symbolic_regression(n, "n_regionkey", "n", "b", generations=5, size=20)
 
 
-@query()
-def fit_diagnostics(t: Tables) -> DataFrame:
-    """R2, R19."""
-    return stats.diagnostics(t.part, ["p_brand"], "p_size", "p_retailprice")
-
-
 @query(r"""SELECT event_id, CASE WHEN value < 20 THEN 'k' WHEN value < 60 THEN 'mmol/g' ELSE 'parsec' END AS unit, CASE WHEN value < 20 THEN 'temperature' WHEN value < 60 THEN 'capacity' ELSE 'parsec' END AS category, round(CASE WHEN value < 20 THEN value + 273.15 ELSE value END, 6) AS base FROM events""")
 def unit_table(t: Tables) -> DataFrame:
     """Spellings to units, categories and base units."""

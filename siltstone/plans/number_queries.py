@@ -241,6 +241,14 @@ def loocv(t: Tables) -> DataFrame:
     return fit.select("p_brand", "n", F.round("loo_rmse", 4).alias("loo_rmse"), F.round("loo_r2", 6).alias("loo_r2"))
 
 
+@query(LINE + """, c AS (SELECT p_brand, n, e, h, syy, b, a, r2, sse, n >= 4 AND nx >= 3 AND e * e / (2 * CASE WHEN sse > 0 THEN sse / (n - 2) ELSE 1 END) * h / (1 - h + 1e-12) > 4.0 / n AS influential FROM e)
+SELECT p_brand, any_value(n) AS n, round(any_value(b), 6) AS slope, round(any_value(r2), 6) AS r2, round(1 - (1 - any_value(r2)) * (any_value(n) - 1) / (any_value(n) - 2), 6) AS adjusted_r2, round(sqrt(sum((e / (1 - h)) ** 2) / count(*)), 4) AS loo_rmse, count(*) FILTER (WHERE influential) AS n_influential FROM c GROUP BY 1""")
+def line_diagnostics(t: Tables) -> DataFrame:
+    """The line of each brand with adjusted R², cross-validation and influential points."""
+    d = stats.diagnostics(t.part, ["p_brand"], "p_size", "p_retailprice")
+    return d.select("p_brand", "n", *[F.round(c, k).alias(c) for c, k in (("slope", 6), ("r2", 6), ("adjusted_r2", 6), ("loo_rmse", 4))], "n_influential")
+
+
 @query(LINE + """, c AS (SELECT p_partkey, h, n, e * e / (2 * CASE WHEN sse > 0 THEN sse / (n - 2) ELSE 1 END) * h / (1 - h + 1e-12) AS cook FROM e WHERE n >= 4 AND nx >= 3)
 SELECT p_partkey, round(h, 8) AS leverage, round(cook, 8) AS cook, cook > 4.0 / n AS influential FROM c""")
 def cooks(t: Tables) -> DataFrame:
@@ -339,13 +347,15 @@ def bayesian_search(t: Tables) -> DataFrame:
     return search_space.search_all(h, 2, score_of, [(0.0, 1.0), (200.0, 800.0)], iterations=10).groupBy("hypothesis", "seed").agg(F.max("best_score").alias("best_score"), F.count(F.lit(1)).alias("evaluations"))
 
 
-@query()
+@query("""WITH d AS (SELECT n_nationkey AS hypothesis, unnest(range(0, 40)) AS draw FROM nation),
+v AS (SELECT hypothesis, ('0x' || left(md5(hypothesis || '|' || draw || '|7:x'), 7))::BIGINT / 268435456.0 AS x, 200 + ('0x' || left(md5(hypothesis || '|' || draw || '|7:y'), 7))::BIGINT / 268435456.0 * 600 AS y FROM d)
+SELECT hypothesis, round(max(1 - (x - (hypothesis + 1) / 26.0) ** 2 - 0.1 * abs(y - 400) / 400), 6) AS best_score FROM v GROUP BY 1""")
 def random_search(t: Tables) -> DataFrame:
     """B6."""
     h = t.nation.select(F.col("n_nationkey").alias("hypothesis"))
     at = (F.col("hypothesis") + 1) / 26
     draws = search_space.random_search(h, {"x": (0.0, 1.0), "y": (200.0, 800.0)}, lambda v: 1 - F.pow(v["x"] - at, 2) - 0.1 * F.abs(v["y"] - 400) / 400, 40, 7)
-    return draws.groupBy("hypothesis").agg(F.max("score").alias("best_score"))
+    return draws.groupBy("hypothesis").agg(F.round(F.max("score"), 6).alias("best_score"))
 
 
 # --- event logs ---

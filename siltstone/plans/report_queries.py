@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import entities, scores
 from ..operators import extract, hypotheses, parsing, reports, retrieval, search_space, stats
 from . import discovery
 from .registry import Tables, query
@@ -42,18 +42,18 @@ def flat_sections(t: Tables) -> DataFrame:
     return parsing.flat_sections(_headed(t), "doc_id", "text").select("doc", "section", "heading", "n_lines", F.length("text").alias("n_chars"))
 
 
-@query(HEADINGS + r""" h AS (SELECT doc, line, length(regexp_extract(s, '^(#+)', 1)) AS level, row_number() OVER w AS section, lead(line) OVER w - 1 AS until FROM m WHERE regexp_matches(s, '^#{1,6}\s+\S') WINDOW w AS (PARTITION BY doc ORDER BY line)),
+@query(HEADINGS + r""" h AS (SELECT doc, line, length(regexp_extract(s, '^(#+)', 1)) AS level, trim(regexp_replace(s, '^#+\s+', '')) AS title, row_number() OVER w AS section, lead(line) OVER w - 1 AS until FROM m WHERE regexp_matches(s, '^#{1,6}\s+\S') WINDOW w AS (PARTITION BY doc ORDER BY line)),
 e AS (SELECT doc, max(line) AS last FROM m GROUP BY doc), b AS (SELECT h.*, last FROM h JOIN e USING (doc))
-SELECT b.doc, b.section, b.level, b.line AS first_line, coalesce(b.until, b.last) AS last_line, coalesce((SELECT max(a.section) FROM h a WHERE a.doc = b.doc AND a.section < b.section AND a.level < b.level), 0) AS parent FROM b""")
-def section_parents(t: Tables) -> DataFrame:
-    """The section tree, without titles."""
-    return extract.sections(_headed(t), "doc_id", "text").drop("title")
+SELECT b.doc, b.section, b.level, b.title, b.line AS first_line, coalesce(b.until, b.last) AS last_line, coalesce((SELECT max(a.section) FROM h a WHERE a.doc = b.doc AND a.section < b.section AND a.level < b.level), 0) AS parent FROM b""")
+def section_tree(t: Tables) -> DataFrame:
+    """U21, D6."""
+    return extract.sections(_headed(t), "doc_id", "text")
 
 
 @query(r"""WITH m AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\n(#{1,3} )', chr(1) || '\1', 'g'), chr(1)) AS p FROM documents), k AS (SELECT doc_id, p, list_filter(p, lambda x: length(trim(x)) > 60) AS q FROM m),
 r AS (SELECT doc_id, CASE WHEN len(q) > 0 THEN q ELSE p END AS q FROM k)
 SELECT doc_id AS doc, unnest(range(0, len(q)))::INT AS block, length(unnest(q)) AS n_chars FROM r""")
-def block_sizes(t: Tables) -> DataFrame:
+def text_blocks(t: Tables) -> DataFrame:
     """Blocks of documents (none of which holds two headings in a row)."""
     return extract.blocks(t.documents, "doc_id", "text").select("doc", "block", F.length("text").alias("n_chars"))
 
@@ -103,6 +103,18 @@ def parse_fallback(t: Tables) -> DataFrame:
     return parsing.first_engine(rows, [("cloud", "cloud", "cloud_error"), ("local", "local", "local_error")], ("plain", "plain")).select("doc_id", "parse_engine", "text")
 
 
+@query("""SELECT p_partkey, 'BaTiO3,Li' || p_size || 'O2' AS formulas, 'p' || p_size || ',10.1234/x' || p_partkey AS ids, 'conductivity,thermal conductivity' AS properties, 'BaTiO3' AS material, 'Thermal Conductivity' AS property, 'sol-gel' AS method FROM part""")
+def named_entities(t: Tables) -> DataFrame:
+    """Formulas, ids, properties and the first hit of each class in sentences about the parts."""
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("BaTiO3 and Li"), size, F.lit("O2 and BaTiO₃ made by sol-gel show Thermal Conductivity, see p"), size, F.lit(" and 10.1234/x"), F.col("p_partkey").cast("string"))
+    e = t.part.select("p_partkey", text.alias("text")).withColumn("q", entities.query_entities("text"))
+    return e.select(
+        "p_partkey", F.array_join(F.transform(entities.formulas("text"), lambda f: f["name"]), ",").alias("formulas"), F.array_join(entities.paper_ids("text"), ",").alias("ids"),
+        F.array_join(entities.document_entities("text", "properties"), ",").alias("properties"), "q.material", "q.property", "q.method",
+    )
+
+
 # --- pairs ---
 
 
@@ -117,7 +129,7 @@ PAIRS = "SELECT DISTINCT p_brand AS doc, p_size::DOUBLE AS x, round(p_retailpric
 
 
 @query(f"""SELECT doc, x, y, 'k' AS x_unit, 'mmol/g' AS y_unit, 'table_row' AS source FROM ({PAIRS}) UNION ALL SELECT DISTINCT p_brand, 300.0, 5.5, 'k', 'mmol/g', 'sentence_pair' FROM part WHERE p_size > 0""")
-def table_pairs(t: Tables) -> DataFrame:
+def xy_pairs(t: Tables) -> DataFrame:
     """Pairs of rendered tables and sentences, all of them."""
     return extract.xy_pairs(_rendered(t), "p_brand", "text", most=None).select("doc", "x", "y", "x_unit", "y_unit", "source")
 
