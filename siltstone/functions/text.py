@@ -176,11 +176,24 @@ def truncated(text: Column | str, n: int) -> Column:
     return F.when(F.length(t) <= n, t).otherwise(F.concat(F.left(t, F.lit(n - 1)), F.lit("…")))
 
 
+def _balanced(depth: int) -> str:
+    """A pattern for objects and arrays nested up to ``depth`` levels; strings may hold any bracket."""
+    string, inner = r'"(?:[^"\\\\]|\\\\.)*+"'.replace("\\\\", "\\"), ""
+    for _ in range(depth):
+        deeper = f"|{inner}" if inner else ""
+        inner = rf'(?:\{{(?:[^{{}}\[\]"]|{string}{deeper})*+\}}|\[(?:[^{{}}\[\]"]|{string}{deeper})*+\])'
+    return inner
+
+
 def parsed_json(text: Column | str) -> Column:
-    """The text as JSON, else its first fenced part; null if neither parses."""
-    t = F.regexp_replace(F.trim(col(text)), "^﻿", "")
+    """The text as JSON, else its first fenced part, else the first object or array in it that parses, else all between the
+    first and the last brace (bracket); null if none parses.  Values inside prose are found up to six levels deep."""
+    t = F.regexp_replace(F.trim(col(text)), "^\ufeff", "")
     fenced = F.regexp_extract(t, r"```(?:json)?\s*([\s\S]*?)```", 1)
-    return F.coalesce(F.try_parse_json(filled(t)), F.try_parse_json(filled(fenced)))
+    inside = F.regexp_extract_all(t, F.lit(_balanced(6)), F.lit(0))
+    first = F.get(F.filter(F.transform(inside, lambda x: F.try_parse_json(x)), lambda v: v.isNotNull()), F.lit(0))
+    greedy = [F.try_parse_json(filled(F.regexp_extract(t, p, 0))) for p in (r"\{[\s\S]*\}", r"\[[\s\S]*\]")]
+    return F.coalesce(F.try_parse_json(filled(t)), F.try_parse_json(filled(fenced)), first, *greedy)
 
 
 def parameter_hash(**parts: Column | str) -> Column:

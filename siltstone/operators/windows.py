@@ -53,3 +53,27 @@ def compact(frame: DataFrame, key: str, position: str, role: str, text: str, lea
     kept = kept.withColumn("_seen", F.sum(F.when((F.col(role) != "tool") & (F.col("_at") > 1), 1).otherwise(0)).over(w.orderBy(position)))
     kept = kept.where((F.col(role) != "tool") | (F.col("_seen") > 0))
     return kept.withColumn(text, F.left(text, F.lit(width))).drop("_n", "_at", "_seen")
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
+    """Each row of ``left`` with the values of the last row of ``right`` at or before it (right rows of one time: the greatest).
+
+    Both sides are one stream per key: the last right row seen is carried on.  No pair is made.
+    """
+    last = right.groupBy(*keys, at).agg(F.max(F.struct(*values)).alias("_v"))
+    rows = left.withColumn("_side", F.lit(1)).unionByName(last.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    seen = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = rows.withColumn("_seen", seen).where("_side = 1")
+    return out.select(*[c for c in left.columns], *[F.col(f"_seen.{v}").alias(v) for v in values])
+
+
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Pairs of rows (lo, hi) whose closed intervals meet, through buckets of ``width``; right columns end with _r.
+
+    A pair is taken in the first bucket that both reach, so it comes once.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width)
+    spread = lambda d: d.withColumn("_b", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
+    r = right.select(*keys, *[F.col(c).alias(f"{c}_r") for c in right.columns if c not in keys], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(bucket("lo"), bucket("hi"))).alias("_b"))
+    both = spread(left).join(r, [*keys, "_b"]).where((F.col("lo") <= F.col("_hi")) & (F.col("_lo") <= F.col("hi")))
+    return both.where(F.col("_b") == F.greatest(F.floor(F.col("lo") / width), F.floor(F.col("_lo") / width))).drop("_b", "_lo", "_hi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import entities, scores
-from ..operators import extract, hypotheses, parsing, reports, retrieval, search_space, stats
+from ..operators import extract, hypotheses, parsing, reports, retrieval, search_space, stats, windows
 from . import discovery
 from .registry import Tables, query
 
@@ -336,3 +336,30 @@ def discovery_report(t: Tables) -> DataFrame:
     """Lines of a report over the suppliers."""
     rows = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("title"), F.when(F.col("s_acctbal") > 5000, "validated").otherwise("inconclusive").alias("status"), F.col("s_acctbal").alias("best_score"))
     return reports.discovery_lines(rows).select("id", "n", "line")
+
+
+# --- joins in time and totals ---
+
+
+@query("""WITH c AS (SELECT user_id, ts, max(event_id) AS click FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+SELECT e.event_id, c.click FROM events e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts WHERE e.event_type = 'error'""")
+def last_click(t: Tables) -> DataFrame:
+    """Each error with its user's last click at or before it."""
+    e = t.events
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click"))
+    return windows.as_of(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", ["click"]).select("event_id", "click")
+
+
+@query("""WITH a AS (SELECT p_brand, p_partkey, p_size AS lo, p_size + p_partkey % 7 AS hi FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_brand, p_partkey, p_size AS lo, p_size + p_partkey % 7 AS hi FROM part WHERE p_partkey % 2 = 1)
+SELECT a.p_partkey, b.p_partkey AS p_partkey_r FROM a JOIN b ON a.p_brand = b.p_brand AND a.lo <= b.hi AND b.lo <= a.hi""")
+def meeting_ranges(t: Tables) -> DataFrame:
+    """Ranges of sizes of even and odd parts of a brand that meet."""
+    rows = t.part.select("p_brand", "p_partkey", F.col("p_size").cast("long").alias("lo"), (F.col("p_size") + F.col("p_partkey") % 7).cast("long").alias("hi"))
+    even, odd = rows.where("p_partkey % 2 = 0"), rows.where("p_partkey % 2 = 1")
+    return windows.overlaps(even, odd, ["p_brand"], 4.0).select("p_partkey", "p_partkey_r")
+
+
+@query("SELECT lang, source, count(*) AS n, sum(n_chars) AS chars, grouping(lang) AS g FROM documents GROUP BY CUBE (lang, source)")
+def cube_counts(t: Tables) -> DataFrame:
+    """Counts by language and source, with all totals."""
+    return t.documents.cube("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.grouping("lang").cast("long").alias("g"))

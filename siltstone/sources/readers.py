@@ -37,6 +37,13 @@ def _any(variant: Column, names: list[str], kind: str = "string") -> Column:
     return text if kind == "string" else text.try_cast(kind)
 
 
+def any_doi(v: Column) -> Column:
+    """The DOI under any of its names, in the ids of an entry, or behind doi.org/ in its address."""
+    url = F.try_variant_get(v, "$.url", "string")
+    behind = F.when(url.contains("doi.org"), F.substring_index(url, "doi.org/", -1))
+    return normalize_doi(F.coalesce(_any(v, ["doi", "DOI", "Doi", "ids.DOI", "ids.doi", "external_ids.DOI", "external_ids.doi"]), filled(behind)))
+
+
 def search_response(spark: SparkSession, path: str, list_names: tuple[str, ...] = ("results", "data", "papers", "items")) -> DataFrame:
     """Responses of several shapes to papers; rows without a title are skipped."""
     body = F.try_parse_json("value")
@@ -45,7 +52,7 @@ def search_response(spark: SparkSession, path: str, list_names: tuple[str, ...]
     v = F.col("v")
     rows = item.select(
         _any(v, ["title", "Title", "name"]).alias("title"), _any(v, ["abstract", "summary", "snippet"]).alias("abstract"),
-        _any(v, ["year", "publication_year", "published_year"], "int").alias("year"), normalize_doi(_any(v, ["doi", "DOI", "Doi"])).alias("doi"),
+        _any(v, ["year", "publication_year", "published_year"], "int").alias("year"), any_doi(v).alias("doi"),
         _any(v, ["url", "link"]).alias("url"), _any(v, ["score", "relevance"], "double").alias("score"),
         F.coalesce(_any(v, ["citation_count", "citationCount", "citations"], "bigint"), F.lit(0)).alias("citation_count"),
         _any(v, ["journal", "venue"]).alias("journal"), _any(v, ["paper_id", "paperId", "id"]).alias("paper_id"),

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.functions import fixed
+from siltstone.functions import fixed, text
 from siltstone.operators import extract, hypotheses, parsing, reports, retrieval, stats
 from siltstone.sources import readers, writers
 
@@ -68,6 +68,22 @@ def test_report_phrases(spark):
     assert one(spark, reports.model_summary(F.lit("supported"), none("double"), F.lit(True))) == "支持，F 检验通过"
 
 
+def test_json_in_prose(spark):
+    cases = {
+        '\ufeff {"a": 1} ': '{"a":1}', 'x ```json\n[1, 2]\n``` y': "[1,2]", 'see {bad} and {"a": {"b": ["}", "\\"{"]}} tail }': '{"a":{"b":["}","\\"{"]}}', "so [1, {\"k\": [2]}] it": '[1,{"k":[2]}]',
+        "none": None, "": None, "{open": None, 'deep {"a":{"b":{"c":{"d":{"e":1}}}}} end': '{"a":{"b":{"c":{"d":{"e":1}}}}}',
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = [r["j"] for r in frame.orderBy("i").select(F.to_json(text.parsed_json("t")).alias("j")).collect()]
+    assert got == list(cases.values())
+
+
+def test_dois_of_any_name(spark):
+    items = ['{"DOI": "10.1/A."}', '{"ids": {"doi": "doi:10.2/b"}}', '{"external_ids": {"DOI": "10.3/c"}}', '{"url": "https://doi.org/10.4/D"}', '{"url": "http://x"}']
+    frame = spark.createDataFrame(list(enumerate(items)), "i int, t string").select("i", F.parse_json("t").alias("v"))
+    assert [r["d"] for r in frame.orderBy("i").select(readers.any_doi(F.col("v")).alias("d")).collect()] == ["10.1/a", "10.2/b", "10.3/c", "10.4/d", None]
+
+
 def test_sources(spark, tmp_path):
     calls = []
 
