@@ -55,3 +55,9 @@ def test_carry_ids_and_empty(spark):
     row = bpe.encode_texts(docs, v, carry=("lang",), with_ids=True).collect()[0]
     assert row["lang"] == "en" and len(row["ids"]) == row["n_tokens"] == 2 and bpe.decode(v, __import__("numpy").array(row["ids"])) == b"ab ab"
     assert bpe.encode_texts(docs.limit(0), v).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "ab ab"), (None, None), (4, "x"), (4, "x"), (4, "y")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in bpe.encode_texts(docs, bpe.load_vocabulary(bpe.public_vocabulary())).collect()), key=str)
+    assert got == sorted([(None, 2), (None, 0), (4, 1), (4, 1), (4, 1)], key=str)
