@@ -62,6 +62,11 @@ def marked_join(left: DataFrame, few: DataFrame, rows: int, keys: list[str]) ->
     return left.join(F.broadcast(few), keys, "left") if rows <= BROADCAST_ROWS else spread_join(left, few, keys, "left")
 
 
+def rows_named(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among ``ids`` (one column, distinct): broadcast up to BROADCAST_ROWS of them, else both sides are shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_semi")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import mix
-from .common import keep, only, spread_join, text_or_empty
+from .common import keep, only, rows_named, spread_join, text_or_empty
 from .components import components
 from .repeats import _by_key, text_buffers
 
@@ -355,8 +355,8 @@ def link_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = keep(rows.groupBy("digest", *WORDS).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("digest", *WORDS)))
     found = keep(similar_edges(nodes, distance, *cell_rounds(nodes.count())))
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(nodes.select("node", "least", "digest"), "node").select("node", F.col("least").alias("doc_id"), "digest")
-    sets = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(shingle_sets(shingle), "doc_id long, digest long, shingles array<long>")
+    wanted = keep(ends.join(nodes.select("node", "least", "digest"), "node").select("node", F.col("least").alias("doc_id"), "digest"))
+    sets = rows_named(texts, wanted.select("doc_id").distinct(), "doc_id").mapInArrow(shingle_sets(shingle), "doc_id long, digest long, shingles array<long>")
     sets = keep(sets.join(wanted, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles"))
     sides = spread_join(found, sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), ["a"], "inner")
     sides = spread_join(sides, sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), ["b"], "inner")
