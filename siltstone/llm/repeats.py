@@ -47,7 +47,7 @@ BATCH = 1 << 20
 #: Bytes of context that one Arrow batch carries, about.
 BODY_BYTES = 1 << 25
 #: Anchors that a batch settles at once, and contexts of a shard, about.
-SETTLED_AT_ONCE, SHARD_ROWS = 1 << 18, 1 << 12
+SETTLED_AT_ONCE, SHARD_ROWS = 1 << 18, 1 << 13
 #: Pieces that one file of a level holds, about.
 PIECES_PER_FILE = 1 << 16
 #: Where a null id stands: after all others.
@@ -68,7 +68,7 @@ class Search:
     window: int
     seed: int
     other_doc: bool
-    group_rows: int = 1_024
+    group_rows: int = 4_096
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -476,7 +476,9 @@ def settle_wide(search: Search, pieces: DataFrame, rows: int) -> DataFrame:
     """Spans of ``rows`` pieces whose prefixes are too wide: prefixes are lengthened, level by level, until their groups fit."""
     out, level, offsets = [], pieces, search.window - search.seed + 1
     while True:
-        level = level.mapInArrow(piece_splitter(search), PIECE_SQL).coalesce(max(level.sparkSession.sparkContext.defaultParallelism, rows // PIECES_PER_FILE))
+        level = level.mapInArrow(piece_splitter(search), PIECE_SQL)
+        if out:  # levels after the first read pieces alone, not texts
+            level = level.coalesce(max(level.sparkSession.sparkContext.defaultParallelism, rows // PIECES_PER_FILE))
         level = materialise(level, "pieces")
         out.append(level.where("n < 0").select("doc", "twin", F.col("key").alias("span")))
         live, offsets = level.where("n > 0"), -(-offsets // 2)
