@@ -5,8 +5,10 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .bpe import op4_bpe
+from .clustered_layout import OP11_SQL, op11_clustered_layout
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_extract import op6_html_extract
+from .importance_resampling import OP12_SQL, op12_importance_resampling
 from .license_scan import OP1_SQL, op1_license_scan
 from .mixing import op8_mixing
 from .quality_rules import op5_quality_rules
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
+    "op11_clustered_layout": op11_clustered_layout,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE = {
@@ -35,6 +39,8 @@ ORACLE = {
     "op3_suffix_array_dedup": OP3_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op10_secret_scan": OP10_SQL,
+    "op11_clustered_layout": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:
