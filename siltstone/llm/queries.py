@@ -13,6 +13,7 @@ from .license_scan import OP1_SQL, op1_license_scan
 from .mixing import op8_mixing
 from .quality_rules import op5_quality_rules
 from .secret_scan import OP10_SQL, op10_secret_scan
+from .sentence_pieces import op13_sentencepiece
 from .simhash import op9_simhash
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .suffix_array_dedup import OP3_SQL, op3_suffix_array_dedup
@@ -31,6 +32,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_clustered_layout": op11_clustered_layout,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE = {
