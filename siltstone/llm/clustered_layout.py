@@ -204,15 +204,16 @@ def clustered(rows: DataFrame, dims: list[str], reach: list[int], id_col: str =
     cells = segments.groupBy("z", *coords).agg(F.min("file").alias("first_file"), F.max("file").alias("last_file"))
 
     by_exact = [coords[d] for d in exact]
-    matched = cells.groupBy(*by_exact).applyInPandas(
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    matched = cells.repartition(tasks, *by_exact).groupBy(*by_exact).applyInPandas(
         lambda group: pd.DataFrame({"z": group["z"], "files_matching": files_in_boxes(group, reach, bits)}), "z long, files_matching long"
     )
     touched = touched_files(cells.select("z", *coords), bounds, coords, reach, bits)
-    answers = touched.join(matched, "z")
-    told = spread_join(segments.select("file", "z"), answers, ["z"], "inner").join(
-        bounds.select("file", F.concat_ws(",", *[F.col(f"{side}_{c}").cast("string") for c in coords for side in ("low", "high")]).alias("file_bounds")), "file"
-    )
-    out = placed.join(told, ["file", "z"])
+    answers = touched.join(matched.hint("merge"), "z")
+    shown = bounds.select("file", F.concat_ws(",", *[F.col(f"{side}_{c}").cast("string") for c in coords for side in ("low", "high")]).alias("file_bounds"))
+    # Merge joins throughout: however small a side is now, it grows with the rows and is not broadcast.
+    told = spread_join(segments.select("file", "z"), answers.hint("merge"), ["z"], "inner").join(shown.hint("merge"), "file")
+    out = placed.join(told.hint("merge"), ["file", "z"])
     return out.select(F.col("_id").alias(id_col), "z", "position", "file", "files_touched", "files_matching", "file_bounds", *cell_coords)
 
 
@@ -230,7 +231,7 @@ def touched_files(queries: DataFrame, bounds: DataFrame, coords: list[str], reac
         boxes = boxes.withColumn(c, F.explode(F.sequence(F.greatest(F.col(f"low_{c}") - r, F.lit(0)), F.least(F.col(f"high_{c}") + r, F.lit(most)))))
     last, r = coords[-1], reach[-1]
     boxes = boxes.select(*coords[:-1], "files", (F.col(f"low_{last}") - r).alias("_from"), (F.col(f"high_{last}") + r).alias("_to"))
-    met = spread_join(queries, boxes, coords[:-1], "inner").where(F.col(last).between(F.col("_from"), F.col("_to")))
+    met = spread_join(queries, boxes.hint("merge"), coords[:-1], "inner").where(F.col(last).between(F.col("_from"), F.col("_to")))
     return met.groupBy("z").agg(F.sum("files").alias("files_touched"))
 
 
