@@ -179,3 +179,29 @@ determined expected found show shown demonstrate""".split()
 PROPERTY_TERMS = """adsorption capacity selectivity uptake loading stability isotherm enthalpy qst diffusion permeability conductivity barrier moisture humidity
 pressure temperature composition ratio defect bandgap porosity pore kinetics selective recovery regeneration energy cycling hydrophobicity
 hydrophilicity surface capture metastability""".split()
+
+# --- points of a property in literature ---
+
+# A value with one of the units that a property may have; a structure variable: temperature, pressure, composition, percentage.
+POINT_VALUE = (
+    r"(?i)(\d+(?:\.\d+)?)\s*(mmol/g|mol/kg|mmol/cm3|mg/g|kJ/mol|wt%|m2/g|bar|K|%|h|min|eV|"
+    r"µV/K|uV/K|μV/K|W/m·K|W/mK|mW/m·K|mW/mK|S/cm|mS/cm|S/m)\b"
+)
+POINT_X = (
+    r"(?i)(\d+(?:\.\d+)?)\s*(?:K|°C|℃)\b|(\d+(?:\.\d+)?)\s*(?:bar|atm|kPa|GPa|MPa)\b|"
+    r"(?:x\s*[:=：]\s*|比例\s*[:=：]\s*|组分\s*[:=：]\s*|composition\s*[:=：]\s*|doping\s*[:=：])\s*(\d+(?:\.\d+)?)|"
+    r"(\d+(?:\.\d+)?)\s*%(?!\s*(?:RH|rh|湿度))"
+)
+# A number on its own, what stands in brackets, the ends of a sentence, "from A to B" of a structure variable.
+BARE_NUMBER = r"(?<![a-z0-9.\-])(\d+(?:\.\d+)?)(?![\d.eE])"
+BRACKETED = r"[（(]([^）)]+)[）)]"
+POINT_SENTENCE = r"[.!?。！？;；\n]+"
+X_FROM_TO = r"(?i)\bfrom\s+(\d+(?:\.\d+)?)\s+to\s+(\d+(?:\.\d+)?)\s*(K|°C|℃|bar|atm|kPa)\b"
+# Words in the head of a column of x or of y, and of its kinds; what a column of figures of merit is called.
+X_HEAD = r"temp|temperature|温度|pressure|压力|composition|组分|比例|doping|\bt\b"
+PRESSURE_HEAD, COMPOSITION_HEAD = r"pressure|压力", r"composition|组分|比例|doping"
+Y_HEAD = (
+    r"capacity|uptake|adsorption|loading|capture|selectivity|容量|吸附|摄取|焓|enthalpy|heat|qst|效率|efficiency|zt|热电优值|figure of merit|"
+    r"seebeck|塞贝克|热电势|功率因子|power factor|热导率|电导率|thermal conductivity|electrical conductivity"
+)
+MERIT_HEAD = r"\bzt\b|热电优值|figure\s*of\s*merit"

@@ -19,8 +19,11 @@ def let(value: Column, body) -> Column:
 
 def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
     """A small literal map; a missing key gives ``default`` (null if none)."""
-    flat = [F.lit(x) for pair in table.items() for x in pair]
-    found = F.try_element_at(F.create_map(*flat), key)
+    if table and all(isinstance(x, str) for pair in table.items() for x in pair):  # one literal: plans that name it often stay short
+        known = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x01"))
+    else:
+        known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    found = F.try_element_at(known, key)
     return found if default is None else F.coalesce(found, default)
 
 
@@ -135,9 +138,9 @@ def unit_category(unit: Column | str) -> Column:
 
 def unit_range(unit: Column | str) -> Column:
     """struct(lo, hi) of plausible values, null if unknown."""
-    return F.coalesce(
-        *[F.when(F.lower(F.trim(col(unit))) == k, F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))) for k, (lo, hi) in fixed.UNIT_RANGE.items()]
-    )
+    both = lookup(F.lower(F.trim(col(unit))), {k: f"{lo};{hi}" for k, (lo, hi) in fixed.UNIT_RANGE.items()})
+    ends = [F.substring_index(both, ";", side).cast("double").alias(name) for side, name in ((1, "lo"), (-1, "hi"))]
+    return F.when(both.isNotNull(), F.struct(*ends))
 
 
 def unit_from_header(cell: Column | str) -> Column:

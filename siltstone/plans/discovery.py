@@ -22,24 +22,6 @@ def compare_models(docs: DataFrame, id_col: str, text_col: str, x_units: list[st
     return tested.withColumn("verdict", resampling.model_verdict(F.col("r2_curve"), F.col("r2_line"), F.col("p") < 0.05, F.lit(None).cast("double")))
 
 
-def literature_points(docs: DataFrame, id_col: str, text_col: str, prop: str, per_block: int = 60, per_doc: int = 200, least: int = 3) -> DataFrame:
-    """Points of a property with provenance and block: pairs by block, units of the property's bucket, the dominant unit, first of equal points.
-
-    Documents keep the points of their dominant kind of x if it has ``least``
-    distinct x; the caps are those of the extraction.
-    """
-    wanted = docs.sparkSession.range(1).select(accepted_units(F.lit(prop)).alias("u")).first()["u"]
-    parts = extract.blocks(docs, id_col, text_col).withColumn("id", F.struct("doc", "block"))
-    pairs = extract.xy_pairs(parts.select(F.to_json("id").alias("id"), "text"), "id", "text", None, wanted, per_block)
-    pairs = pairs.withColumn("k", F.from_json("doc", f"doc {docs.schema[id_col].dataType.simpleString()}, block int")).select("k.doc", "k.block", *[c for c in pairs.columns if c != "doc"])
-    unit = stats.mode(pairs.withColumn("_at", F.col("block") * 1000 + F.col("pair")), ["doc"], "y_unit", "_at").select("doc", "y_unit")
-    rows = pairs.join(unit, ["doc", "y_unit"])
-    tier = F.when(F.col("source") == "table_row", "table").when(F.col("source") == "sequence", "sequence").when(F.col("source") == "sentence_pair", "explicit").otherwise("implicit")
-    rows = resolve.first_wins(rows.withColumn("provenance", tier), ["doc", "x_unit", "x", "y"], [F.col("block"), F.col("pair")])
-    usable = extract.usable_points(rows, "doc", least)
-    return resolve.capped(usable, ["doc"], [F.col("block"), F.col("pair")], per_doc)
-
-
 def tiered_fit(points: DataFrame) -> DataFrame:
     """A line per document and tier: A tables, B sequences and explicit pairs, C the rest."""
     tier = F.when(F.col("provenance") == "table", "A").when(F.col("provenance").isin("sequence", "explicit"), "B").otherwise("C")

@@ -220,12 +220,14 @@ def test_json_repair(spark):
     assert [r["j"] for r in rows] == ["[1]", None]
 
 
-def test_literature_points(spark):
+def test_tiered_points(spark):
+    from siltstone.operators import points
+
     table = "## Data on several materials in one table\n| Material | T (K) | Capacity (mmol/g) |\n|---|---|---|\n" + "\n".join(f"| m{t} | {t} | {9 - t / 100} |" for t in (200, 300, 400, 200))
-    text = table + "\n## More data in sentences about it\nAt 500 K the uptake was 3.1 mmol/g. At 600 K the uptake was 2.0 mmol/g. Heat was 30 kJ/mol at 300 K."
-    docs = spark.createDataFrame([(1, text), (2, "At 300 K the uptake was 1.0 mmol/g.")], "id long, text string")
-    p = discovery.literature_points(docs, "id", "text", "CO2 uptake capacity").orderBy("block", "pair").collect()
-    assert [(r["doc"], r["x"], r["y"], r["provenance"], r["y_unit"]) for r in p] == [
-        (1, 200.0, 7.0, "table", "mmol/g"), (1, 300.0, 6.0, "table", "mmol/g"), (1, 400.0, 5.0, "table", "mmol/g"), (1, 500.0, 3.1, "explicit", "mmol/g"), (1, 600.0, 2.0, "explicit", "mmol/g"),
-    ]
-    assert [(r["tier"], r["n"]) for r in discovery.tiered_fit(discovery.literature_points(docs, "id", "text", "capacity")).collect()] == [("A", 3)]
+    text = table + "\n## More data in sentences about it\nAt 500 K the uptake was 3 mmol/g. At 600 K the uptake was 2 mmol/g. Heat was 30 kJ/mol at 300 K."
+    docs = spark.createDataFrame([(1, text), (2, "At 300 K the uptake was 1 mmol/g.")], "id long, text string")
+    p = points.literature_points(docs, "id", "text", "CO2 uptake capacity")
+    assert [(r["x"], r["y"]) for r in p.where("provenance = 'table'").orderBy("x").collect()] == [(200.0, 7.0), (300.0, 6.0), (400.0, 5.0)]
+    assert [(r["x"], r["y"]) for r in p.where("provenance = 'sequence'").orderBy("x").collect()] == [(500.0, 3.0), (600.0, 2.0)]
+    tiers = {r["tier"]: r["n"] for r in discovery.tiered_fit(p).collect()}
+    assert tiers["A"] == 3 and p.where("doc = 2").count() == 0
