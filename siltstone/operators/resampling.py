@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .resolve import capped
 from .stats import f_tail
 
 
@@ -68,6 +70,66 @@ def slack_grid(points: DataFrame, key: str, t: str, e: str, thetas: list[float])
     return best.select(key, "b.*")
 
 
+#: Bounds of theta and of the coupling; how many starts are followed, and how many thetas a bracket gets in a round.
+THETA_BOUNDS, COUPLING_BOUNDS, STARTS, RUNGS = (5.0, 10000.0), (1e-9, 100.0), 4, 17
+
+
+def _slack_errors(sums: DataFrame, tried: DataFrame) -> DataFrame:
+    """_key, start, theta, e0, s, sse of every theta tried: e0 and s from the normal equations, which are grouped sums.
+
+    ``sums`` has a row for each temperature of a group: t, n, sum and sum of
+    squares of energies less the group's mean.
+    """
+    u = F.col("theta") / F.col("t")
+    g = 8.617333262e-5 * F.col("theta") * F.when(u > 700, 0.0).otherwise(2 / F.expm1(F.least(u, F.lit(700.0))))
+    rows = sums.join(tried, "_key").withColumn("g", g)
+    total = rows.groupBy("_key", "start", "theta").agg(
+        F.sum("n").alias("n"), F.sum("sy").alias("y"), F.sum("syy").alias("yy"), F.sum(F.col("n") * F.col("g")).alias("g"), F.sum(F.col("n") * F.col("g") ** 2).alias("gg"), F.sum(F.col("sy") * F.col("g")).alias("yg")
+    )
+    n, y, yy, sg, gg, yg = (F.col(c) for c in ("n", "y", "yy", "g", "gg", "yg"))
+    spread = gg - sg * sg / n
+    free = F.when(spread > 1e-18, -(yg - sg * y / n) / spread).otherwise(COUPLING_BOUNDS[0])
+    solved = total.withColumn("s", F.greatest(F.least(free, F.lit(COUPLING_BOUNDS[1])), F.lit(COUPLING_BOUNDS[0]))).withColumn("e0", (y + F.col("s") * sg) / n)
+    e0, s = F.col("e0"), F.col("s")
+    sse = yy - 2 * e0 * y + 2 * s * yg + n * e0 * e0 - 2 * e0 * s * sg + s * s * gg
+    return solved.select("_key", "start", "theta", "n", "yy", "e0", "s", F.greatest(sse, F.lit(0.0)).alias("sse"))
+
+
+def slack_fit(points: DataFrame, key: str, t: str, e: str, rounds: int = 9, least: int = 4) -> DataFrame:
+    """e0, s, theta, r2, rmse, n of each group, from several starts, all groups and starts in each round.
+
+    For a given theta the model is linear, so a theta is tried by a sum over the
+    group.  A first round tries 120 of them (the fallback grid's number) between
+    the bounds; the best STARTS local minima are brackets, each round tries RUNGS
+    thetas inside every bracket and keeps the two beside the best.  Points of
+    one temperature are added up once, before the rounds.  Groups with fewer
+    than ``least`` points or no temperature above zero give no row; constant
+    energies have r2 1.
+    """
+    rows = points.select(F.col(key).alias("_key"), F.col(t).cast("double").alias("t"), F.col(e).cast("double").alias("e")).where("t > 0 AND e IS NOT NULL")
+    means = rows.groupBy("_key").agg(F.avg("e").alias("_mean"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    y = F.col("e") - F.col("_mean")
+    sums = cut(rows.join(means, "_key").groupBy("_key", "t").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")))
+    low, high = (math.log(x) for x in THETA_BOUNDS)
+    width = (high - low) / 119
+    ladder = F.explode(F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: F.exp(F.lit(low) + i * width)))
+    first = _slack_errors(sums, means.select("_key", F.lit(0).alias("start"), ladder.alias("theta")))
+    w = Window.partitionBy("_key").orderBy("theta")
+    bottoms = first.withColumns({"_b": F.lag("sse").over(w), "_a": F.lead("sse").over(w)}).where("(_b IS NULL OR sse <= _b) AND (_a IS NULL OR sse <= _a)")
+    best = capped(bottoms, ["_key"], [F.col("sse"), F.col("theta")], STARTS)
+    brackets = cut(best.select("_key", F.row_number().over(Window.partitionBy("_key").orderBy("sse", "theta")).alias("start"), F.log("theta").alias("at"), F.lit(width).alias("half")))
+    for _ in range(rounds):
+        rung = F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNGS - 1)), lambda i: F.col("at") + F.col("half") * (i * (2.0 / (RUNGS - 1)) - 1)))
+        tried = brackets.select("_key", "start", "half", rung.alias("at")).where(F.col("at").between(low - 1e-12, high + 1e-12)).withColumn("theta", F.exp("at"))
+        errors = _slack_errors(sums, tried.select("_key", "start", "theta"))
+        better = errors.groupBy("_key", "start").agg(F.min_by(F.struct("theta", "e0", "s", "sse", "n", "yy"), F.struct("sse", "theta")).alias("b"))
+        width /= (RUNGS - 1) / 2
+        brackets = cut(better.select("_key", "start", F.log("b.theta").alias("at"), F.lit(width).alias("half"), "b"))
+    won = brackets.groupBy("_key").agg(F.min_by("b", F.struct("b.sse", "start")).alias("b")).join(means, "_key")
+    r2 = F.when(F.col("b.yy") > 0, 1 - F.col("b.sse") / F.col("b.yy")).otherwise(1.0)
+    return won.select(F.col("_key").alias(key), (F.col("b.e0") + F.col("_mean")).alias("e0"), F.col("b.s").alias("s"), F.col("b.theta").alias("theta"), r2.alias("r2"), F.sqrt(F.col("b.sse") / F.col("b.n")).alias("rmse"), F.col("_n").alias("n"))
+
+
 def gaussian_peak(points: DataFrame, key: str, x: str, y: str, rounds: int = 200) -> DataFrame:
     """Height, centre, width and offset of a peak, by damped least squares, one Python task per group."""
     kind = points.schema[key].dataType.simpleString()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions, scores
-from ..operators import claims, graph, quality, resolve, search_space, stats, windows
+from ..operators import claims, graph, quality, resampling, resolve, search_space, stats, windows
 from .registry import Tables, query
 
 # --- graphs: a part is a material, its brand a structure, suppliers its properties ---
@@ -344,7 +345,33 @@ def bayesian_search(t: Tables) -> DataFrame:
         at = (int(row["hypothesis"]) + 1) / 26
         return lambda x: float(1 - (x[0] - at) ** 2 - 0.1 * abs(x[1] - 400) / 400)
 
-    return search_space.search_all(h, 2, score_of, [(0.0, 1.0), (200.0, 800.0)], iterations=10).groupBy("hypothesis", "seed").agg(F.max("best_score").alias("best_score"), F.count(F.lit(1)).alias("evaluations"))
+    return search_space.search_all(h, 10, score_of, [(0.0, 1.0), (200.0, 800.0)], iterations=30).groupBy("hypothesis", "seed").agg(F.max("best_score").alias("best_score"), F.count(F.lit(1)).alias("evaluations"))
+
+
+def _grid_steps(states: np.ndarray) -> np.ndarray:
+    """45 neighbours of a state: five shares, three temperatures and three pressures around it."""
+    steps = np.array([(a, b, c) for a in (-0.2, -0.1, 0.0, 0.1, 0.2) for b in (-50.0, 0.0, 50.0) for c in (-1.0, 0.0, 1.0)])
+    return states[:, None, :] + steps[None]
+
+
+@query()
+def tree_search(t: Tables) -> DataFrame:
+    """A tree search for every item, whose best share and temperature follow from its price and size; the ten most visited nodes."""
+    h = t.items.where("item_id IS NOT NULL").groupBy("item_id").agg(F.coalesce(F.max("price"), F.lit(0.0)).alias("price"), F.coalesce(F.max("size"), F.lit(0)).alias("size"))
+
+    def score(rows, states):
+        share, warm = rows["price"].to_numpy() % 100 / 100, 300 + rows["size"].to_numpy() * 4.0
+        return 1 / (1 + 4 * (states[:, 0] - share) ** 2 + ((states[:, 1] - warm) / 200) ** 2 + 0.05 * (states[:, 2] - 2) ** 2)
+
+    nodes = search_space.tree_search(h, "item_id", ["share", "temperature", "pressure"], [0.5, 350.0, 1.0], _grid_steps, score, 100)
+    return search_space.top_visited(nodes.withColumn("value", F.col("value") * F.col("visits")), ["item_id"])
+
+
+@query()
+def slack_fit(t: Tables) -> DataFrame:
+    """Each item's amounts over quantities, taken as energies over temperatures, from several starts."""
+    rows = t.sale_lines.select("item_id", (F.col("quantity") * 10.0).alias("t"), (F.col("amount") / F.nullif("quantity", F.lit(0))).alias("e"))
+    return resampling.slack_fit(rows.where("item_id IS NOT NULL AND e > 0"), "item_id", "t", "e")
 
 
 @query("""WITH d AS (SELECT n_nationkey AS hypothesis, unnest(range(0, 40)) AS draw FROM nation),

@@ -12,10 +12,15 @@ from ..streaming import logs
 from .registry import Tables, query
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream has written once its input is used up.  The sink and the stream's own checkpoint lie in the shared folder."""
+def fresh_folder(t: Tables) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    return f"{checkpoint_folder(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, mode: str = "append", top: str | None = None) -> DataFrame:
+    """What a stream has written once its input is used up.  The sink and the stream's own checkpoint lie in the shared folder; a second run on the same one goes on where the first ended."""
     spark = stream.sparkSession
-    top = f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    top = top or f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{top}/out")
@@ -56,3 +61,44 @@ def stream_breaker(t: Tables) -> DataFrame:
 def stream_notices(t: Tables) -> DataFrame:
     """Which limits each user's values fall below."""
     return drained(logs.budget_notices(_events(t))).select("run", "below")
+
+
+@query("""SELECT l.sale_id, s.sold_at AS started, l.shipped_at AS ended, (epoch_us(l.shipped_at) - epoch_us(s.sold_at))::DOUBLE / 1000000 AS seconds
+FROM sales s JOIN sale_lines l ON s.sale_id = l.sale_id AND l.shipped_at >= s.sold_at AND l.shipped_at <= s.sold_at + INTERVAL 20 DAY""")
+def stream_durations(t: Tables) -> DataFrame:
+    """Every sale with the shipping of its lines, 20 days later at most: a join of two streams, whose state the watermarks bound."""
+    sales = t.spark.readStream.schema(t.sales.schema).parquet(f"{t.folder}/sales.parq*").withColumn("ts", F.col("sold_at").cast("timestamp"))
+    lines = t.spark.readStream.schema(t.sale_lines.schema).parquet(f"{t.folder}/sale_lines.parq*").withColumn("ts", F.col("shipped_at").cast("timestamp"))
+    rows = drained(logs.durations(sales, lines, "sale_id", "20 days"))
+    return rows.select("sale_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")], "seconds")
+
+
+#: What an event asks for, as a state.
+WANTED = {"view": "running", "click": "tool_executing", "signup": "paused", "error": "error", "purchase": "done"}
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS run, event_id, map_extract(MAP {WANTED}, event_type)[1] AS wanted, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT run, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::VARCHAR AS before, NULL::VARCHAR AS wanted, false AS accepted, 'idle' AS now FROM (SELECT DISTINCT run FROM e)
+UNION ALL SELECT e.run, e.k, e.event_id, s.now, e.wanted, list_contains(map_extract(MAP {logs.TRANSITIONS}, s.now)[1], e.wanted), CASE WHEN list_contains(map_extract(MAP {logs.TRANSITIONS}, s.now)[1], e.wanted) THEN e.wanted ELSE s.now END
+FROM s JOIN e ON e.run = s.run AND e.k = s.k + 1)
+SELECT run, event_id, before, wanted, accepted FROM s WHERE k > 0""")
+def stream_states(t: Tables) -> DataFrame:
+    """Every event as a wish for a state; wishes that the state they find does not allow are rejected."""
+    kind = F.col("event_type")
+    wanted = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in WANTED.items()])
+    return drained(logs.state_machine(_events(t).withColumn("wanted", wanted), target="wanted")).select("run", "event_id", "before", "wanted", "accepted")
+
+
+@query("""SELECT user_id AS run, sum(CASE WHEN gap <= 21600000000 THEN gap ELSE 0 END)::BIGINT AS active, count(*) AS n
+FROM (SELECT user_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS gap FROM events WHERE ts IS NOT NULL) GROUP BY 1""")
+def stream_resumed(t: Tables) -> DataFrame:
+    """Activity per user; the stream sees the earlier part of the log, ends, and a second one goes on from its checkpoint with the rest."""
+    source = f"{fresh_folder(t)}/in"
+    middle = t.events.agg(F.timestamp_micros(F.avg(F.unix_micros(F.col("ts").cast("timestamp"))).cast("long")).cast("timestamp_ntz").alias("at")).first()["at"]
+    rows, top = None, fresh_folder(t)
+    for early in (True, False):
+        part = t.events.where((F.col("ts") < F.lit(middle)) == early) if middle is not None else t.events.where(F.lit(early))
+        part.write.mode("append").parquet(source)
+        rows = drained(logs.accrued(logs.read_events(t.spark, source, t.events.schema), pause=6 * 3600), "update", top)
+    last = rows.groupBy("run").agg(F.max_by(F.struct("active", "n"), "_batch").alias("r"))
+    return last.select("run", "r.active", "r.n")

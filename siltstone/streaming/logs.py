@@ -82,6 +82,28 @@ def state_machine(events: DataFrame, key: str = "user_id", target: str = "event_
     return events.groupBy(key).applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def accrued(events: DataFrame, key: str = "user_id", pause: int = 3600) -> DataFrame:
+    """Microseconds of activity per key so far: gaps between its events of ``pause`` seconds or less.
+
+    The last event's time and the sum are state, so a run that stops and starts
+    again on its checkpoint goes on where it was.  Each batch gives a row for
+    every key it met; events of a later batch must not be earlier.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, total, n = state.get if state.exists else (None, 0, 0)
+        times = _ordered(frames)["ts"].astype("datetime64[us]").astype("int64").tolist()
+        for t in times:
+            if last is not None and 0 <= t - last <= pause * 1_000_000:
+                total += t - last
+            last = t
+        n += len(times)
+        state.update((last, total, n))
+        yield pd.DataFrame([(k[0], total, n)], columns=["run", "active", "n"])
+
+    return events.where("ts IS NOT NULL").groupBy(key).applyInPandasWithState(step, "run long, active long, n long", "last long, total long, n long", "update", GroupStateTimeout.NoTimeout)
+
+
 def breaker(events: DataFrame, key: str = "user_id", limit: int = 3) -> DataFrame:
     """A row when a key reaches ``limit`` failures in a row; a success resets it."""
 

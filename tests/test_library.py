@@ -140,8 +140,6 @@ def test_search(spark):
     assert best == sorted(best) and best[-1] > -0.01 and len(log) == 18
     kept = search_space.bayesian_search(lambda v: float(v[0]), [(0.0, 1.0)], 1, iterations=5, pruned=[(0, 0.5, 1.0)])
     assert max(r["score"] for r in kept[10:]) <= 0.5
-    tree = search_space.tree_search(lambda s: [(*s, k) for k in range(3)] if len(s) < 2 else [], lambda s: float(sum(s)), (), 40)
-    assert tree["best"] == (2, 2)
 
 
 def test_sources(spark, tmp_path):
