@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, ngrams
+from ..functions.text import jaccard, let, ngrams
 from ..session import cut
 
 
@@ -34,26 +36,64 @@ def missing_keys(used: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return used.select(key).distinct().join(known.select(key), key, "left_anti")
 
 
-def similar_titles(left: DataFrame, right: DataFrame, least: float = 0.9, n: int = 3) -> DataFrame:
-    """Pairs (a, b, similarity) with n-gram Jaccard of at least ``least``.
+#: Similarity from which pairs are found by parts of gram sets that agree, and not by rare grams.
+BY_PARTS = 0.8
 
-    Both sides have (id, title).  Sets with Jaccard t share one of the
-    floor((1 - t) * size) + 1 rarest grams of either set, so only those prefixes
-    are joined (rarest first: the cells of frequent grams stay empty), and the
-    exact similarity is checked afterwards.  No pair is missed.
-    """
-    a = left.select(F.col("id").alias("a"), ngrams("title", n).alias("ga"))
-    b = right.select(F.col("id").alias("b"), ngrams("title", n).alias("gb"))
-    rows = a.select(F.explode("ga").alias("g")).unionByName(b.select(F.explode("gb").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
 
-    def prefix(side: DataFrame, key: str, grams: str) -> DataFrame:
-        exploded = side.select(key, F.size(grams).alias("n"), F.explode(grams).alias("g")).join(rows, "g")
-        w = Window.partitionBy(key).orderBy("df", "g")
+def _parted(side: DataFrame, key: str, least: float) -> DataFrame:
+    """key, level, part, mark: what two gram sets of Jaccard ``least`` or more have in common at least once.
+
+    Such sets differ in few grams, K of them at most for their sizes.  Dealt into
+    K + 1 parts by hash, one part at least is the same in both, so its mark (size
+    and exclusive or of hashes) is.  Sizes fall into levels that grow by 1 / least;
+    a pair lies in one level or in two that touch, so a set is marked at its own
+    and the level below.  A part that is empty in both says little: its mark is
+    joined by the first grams in hash order, of which such sets share one.
+    """
+    step = -math.log(least)
+    sized = side.select(key, F.size("g").alias("n"), F.transform("g", lambda x: F.xxhash64(x)).alias("h"))  # no grams: no level
+    own = F.floor(F.log("n") / step + 1e-9)
+    levels = sized.withColumn("level", F.explode(F.array(own, own - 1)))
+    # The largest pair of a level: a set at its upper end with one 1 / least as large.
+    most = F.ceil(F.exp((F.col("level") + 1) * step)) + 1
+    rows = levels.withColumn("m", F.floor((1 - least) / least * most + 1e-9) + 1)
+    each = rows.select(key, "level", "m", F.explode("h").alias("h"))
+    marks = each.groupBy(key, "level", "m", F.pmod("h", F.col("m")).alias("part")).agg(F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("h"))).alias("mark"))
+    parts = let(F.struct("h", "m"), lambda s: F.array_distinct(F.transform(s["h"], lambda x: F.pmod(x, s["m"]))))
+    held = rows.select(key, "level", "m", parts.alias("held"), F.slice(F.array_sort("h"), F.lit(1), (F.floor((1 - least) * F.col("n") + 1e-9) + 1).cast("int")).alias("ahead"))
+    # Outer, for a plain explode makes Spark test the array's size below, and compute it twice.
+    empty = held.select(key, "level", "ahead", F.explode_outer(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), "held")).alias("part"))
+    empty = empty.where("part IS NOT NULL").select(key, "level", "part", F.explode_outer("ahead").alias("gram")).select(key, "level", "part", F.concat(F.lit("-:"), F.col("gram").cast("string")).alias("mark"))
+    return marks.select(key, "level", "part", "mark").unionByName(empty)
+
+
+def _rare(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Candidate pairs by the floor((1 - least) * size) + 1 rarest grams of either set, one of which is shared."""
+    rows = a.select(F.explode("g").alias("x")).unionByName(b.select(F.explode("g").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(side: DataFrame, key: str) -> DataFrame:
+        exploded = side.select(key, F.size("g").alias("n"), F.explode("g").alias("x")).join(rows, "x")
+        w = Window.partitionBy(key).orderBy("df", "x")
         length = F.floor((1 - least) * F.col("n") + 1e-9) + 1
-        return exploded.withColumn("r", F.row_number().over(w)).where(F.col("r") <= length).select(key, "g")
+        return exploded.withColumn("r", F.row_number().over(w)).where(F.col("r") <= length).select(key, "x")
 
-    pairs = prefix(a, "a", "ga").join(prefix(b, "b", "gb"), "g").select("a", "b").distinct()
-    scored = pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity"))
+    return prefix(a, "a").join(prefix(b, "b"), "x").select("a", "b")
+
+
+def similar_titles(left: DataFrame, right: DataFrame, least: float = 0.9, n: int = 3) -> DataFrame:
+    """Pairs (a, b, similarity) with n-gram Jaccard of at least ``least``.
+
+    Both sides have (id, title); an id has one title.  From BY_PARTS on, sets
+    meet where a hashed part of one is the same in the other, so titles that
+    merely look alike (one template, one alphabet) do not; below, sets meet by
+    their rarest grams.  Either way no pair is missed, and the exact similarity
+    is checked afterwards.  Titles without grams are similar to none.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = [cut(side.repartition(tasks, "id").select("id", ngrams("title", n).alias("g"))) for side in ([left] if right is left else [left, right])]  # read three times each
+    a, b = sets[0].withColumnRenamed("id", "a"), sets[-1].withColumnRenamed("id", "b")
+    met = _parted(a, "a", least).join(_parted(b, "b", least), ["level", "part", "mark"]).select("a", "b") if least >= BY_PARTS else _rare(a, b, least)
+    scored = met.distinct().join(a.withColumnRenamed("g", "ga"), "a").join(b.withColumnRenamed("g", "gb"), "b").select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity"))
     return scored.where(F.col("similarity") >= least)
 
 
@@ -62,11 +102,10 @@ def dedupe_papers(papers: DataFrame, order_col: str = "ord", least: float = 0.9)
 
     A DOI merges only with the same DOI.  A row without one merges into the
     first earlier survivor whose title is over ``least`` similar; a later row
-    with a DOI never merges into it.  Whether a row survives depends on earlier
-    rows alone, so the recurrence is solved by rounds: rows whose similar
-    earlier rows are all settled get settled.  Each round halves nothing but
-    ends after the longest chain of near-equal titles (a few in practice); the
-    pair table, not the papers, is what every round reads.
+    with a DOI never merges into it.  Rows that are similar to no earlier row
+    survive at once, and so do the rows of the pair table; only rows with a
+    similar row before them are settled in rounds, a round for each link of the
+    longest chain of them.  Rounds read the pair table, not the papers.
     """
     from ..functions.text import normalize_doi, normalize_title
 
@@ -74,11 +113,12 @@ def dedupe_papers(papers: DataFrame, order_col: str = "ord", least: float = 0.9)
     with_doi = rows.where("doi is not null").withColumn("into", F.min("id").over(Window.partitionBy("doi"))).select("id", "title", "into")
     plain = rows.where("doi is null").select("id", "title")
     heads = with_doi.where("id = into").select("id", "title")
-    pairs = similar_titles(plain, heads.unionByName(plain), least).where("b < a and similarity > " + str(least)).select("a", "b")
-    # 0: open, 1: survives, 2: merged.  Heads with a DOI survive from the start.
-    state = heads.select("id", F.lit(1).alias("state"), F.col("id").alias("into")).unionByName(plain.select("id", F.lit(0).alias("state"), F.col("id").alias("into")))
-    state, pairs = cut(state), cut(pairs)
-    while True:
+    pairs = cut(similar_titles(plain, heads.unionByName(plain), least).where("b < a and similarity > " + str(least)).select("a", "b"))
+    # 0: open, 1: survives, 2: merged.  What has no similar row before it survives from the start.
+    later = pairs.select(F.col("a").alias("id")).distinct().withColumn("state", F.lit(0))
+    first = pairs.select(F.col("b").alias("id")).distinct().join(later.select("id"), "id", "left_anti").withColumn("state", F.lit(1))
+    state = cut(later.unionByName(first).withColumn("into", F.col("id")))
+    while state.where("state = 0").limit(1).count():
         near = pairs.join(state.withColumnRenamed("id", "b"), "b").groupBy("a").agg(
             F.min(F.when(F.col("state") == 1, F.col("b"))).alias("live"), F.min(F.when(F.col("state") == 0, F.col("b"))).alias("open")
         )
@@ -86,9 +126,9 @@ def dedupe_papers(papers: DataFrame, order_col: str = "ord", least: float = 0.9)
         step = state.join(near.withColumnRenamed("a", "id"), "id", "left")
         now = F.when(F.col("state") != 0, F.col("state")).otherwise(settled)
         state = cut(step.select("id", now.alias("state"), F.when((F.col("state") == 0) & (now == 2), F.col("live")).otherwise(F.col("into")).alias("into")))
-        if not state.where("state = 0").limit(1).count():
-            break
-    return with_doi.where("id <> into").select("id", "into").unionByName(state.select("id", "into"))
+    merged = state.where("id <> into").select("id", "into")
+    alone = heads.select("id").unionByName(plain.select("id")).join(merged.select("id"), "id", "left_anti")
+    return with_doi.where("id <> into").select("id", "into").unionByName(merged).unionByName(alone.select("id", F.col("id").alias("into")))
 
 
 def last_sections(sections: DataFrame, doc: str, heading: str, position: str) -> DataFrame:
