@@ -31,7 +31,8 @@ def write_segment(docs: DataFrame, id_col: str, text_col: str, path: str, segmen
     """The postings of ``docs`` as segment ``segment`` of the index at ``path``."""
     rows = docs.where(F.col(id_col).isNotNull())
     posts = postings(rows, id_col, text_col, unicode).select("term", F.col("doc").cast("long").alias("doc")).distinct().withColumn("bucket", bucket_of("term", buckets))
-    posts.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/posts/segment={segment}")
+    # Dealt by bucket, and by document within it: few files a bucket, and none of a frequent term's is large.
+    posts.repartition("bucket", F.pmod("doc", F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/posts/segment={segment}")
     rows.select(F.col(id_col).cast("long").alias("doc")).distinct().write.mode("overwrite").parquet(f"{path}/ids/segment={segment}")
 
 

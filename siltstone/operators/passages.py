@@ -33,11 +33,13 @@ def passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def phrase_places(parts: DataFrame, phrases: DataFrame) -> DataFrame:
     """Query, doc, chunk, at: every place where the words of a phrase (query, words) stand in a row."""
     wanted = phrases.select("query", F.col("words").alias("phrase"), F.posexplode("words").alias("offset", "word"))
-    places = parts.select("doc", "chunk", "words", F.posexplode("words").alias("pos", "word"))
+    places = parts.select("doc", "chunk", F.posexplode("words").alias("pos", "word"))
     frequency = places.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rarest = first_wins(wanted.join(frequency, "word"), ["query"], [F.col("df"), F.col("offset")]).select("query", "phrase", "offset", "word")
     # A phrase with a word that no passage has was joined by its other words; the comparison below rejects it.
-    met = places.join(rarest, "word").withColumn("at", F.col("pos") - F.col("offset")).where("at >= 0")
+    # Merge joins: exploded words look small to the estimate, which goes by compressed files, and are not.
+    met = places.hint("merge").join(rarest, "word").withColumn("at", F.col("pos") - F.col("offset")).where("at >= 0")
+    met = met.join(parts.hint("merge"), ["doc", "chunk"])
     same = F.slice("words", F.col("at") + 1, F.size("phrase")) == F.col("phrase")
     return met.where(same).select("query", "doc", "chunk", "at")
 
@@ -49,7 +51,7 @@ def search(parts: DataFrame, queries: DataFrame, most: int | None = None) -> Dat
     passage's distinct words that the query names.
     """
     hits = phrase_places(parts, queries).groupBy("query", "doc", "chunk").agg(F.count(F.lit(1)).alias("hits"))
-    rows = hits.join(parts, ["doc", "chunk"]).join(queries.withColumnRenamed("words", "phrase"), "query")
+    rows = hits.join(parts.hint("merge"), ["doc", "chunk"]).join(queries.withColumnRenamed("words", "phrase"), "query")
     shared = F.size(F.array_intersect("words", "phrase"))
     scored = rows.select("query", "doc", "chunk", "hits", shared.alias("shared"), (F.least("hits", F.lit(2)) * 0.5 + shared / F.size(F.array_distinct("words"))).alias("score"))
     return capped(scored, ["query"], [F.col("score").desc(), F.col("doc"), F.col("chunk")], most) if most else scored
