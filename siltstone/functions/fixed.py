@@ -205,3 +205,10 @@ Y_HEAD = (
     r"seebeck|塞贝克|热电势|功率因子|power factor|热导率|电导率|thermal conductivity|electrical conductivity"
 )
 MERIT_HEAD = r"\bzt\b|热电优值|figure\s*of\s*merit"
+
+# --- pairs without units ---
+
+# Heads of numeric columns; "X K, Y mmol/g"; "V1, V2 mmol/g".
+NUMERIC_HEAD = r"[\(（].*[\)）]|[Kk]|[Jj]/mol|mmol|eV|bar|W/m|值|温度|容量|比例|组分|浓度|带隙|ZT|电导"
+PAIR_AT = r"(?i)(\d+\.?\d*)\s*(?:K|°C|℃)\s*(?:[,，]?\s*)?(\d+\.?\d*)\s*(?:mmol/g|kJ/mol|eV|wt%|bar)"
+PAIR_LIST = r"(\d+\.?\d*)\s*[,，]\s*(\d+\.?\d*)\s*(?:mmol/g|kJ/mol)"

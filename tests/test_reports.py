@@ -42,10 +42,18 @@ def test_round_text(spark):
     assert one(spark, parsing.touched_files(tools)) == ["x.py"]
 
 
-def test_plain_pairs():
+def test_plain_pairs(spark):
     table = "| T (K) | Cap (mmol/g) |\n|---|---|\n| 300 | 1,5 |\n| x | 2 |\n| 310 | 2.5 |\n\n"
-    assert parsing.plain_pairs(table + "at 298 K, 4.5 mmol/g and 3, 5 kJ/mol") == [(300, 1.5, "table"), (310, 2.5, "table"), (298, 4.5, "sentence"), (3, 5, "list_pair")]
-    assert parsing.plain_pairs("| a | b | c |\n|--|--|--|\n| n | 1 | 2 |\n\n") == [(1, 2, "table")] and parsing.plain_pairs(None) == [] and parsing.plain_pairs("| a |\n|--|\n") == []
+    texts = [
+        table + "at 298 K, 4.5 mmol/g and 3, 5 kJ/mol", "| a | b | c |\n|--|--|--|\n| n | 1 | 2 |\n\n", None, "", "| a |\n|--|\n", "| a | b |\n|--|--|\n| only | words |",
+        "said | K | eV |\n|-|-|\n| 1 | 2 |\n## next\n| x | y | z |\n|-|-|-|\n" + "| n | m | o |\n" * 5 + "| 7 | 8 | 9 |", "| p (bar) | q |\n|-|-|\nno bars here\n| 1 | | 4 |\n| 5 |",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {}
+    for r in parsing.own_pairs(docs, "id", "t").orderBy("doc", "pair").collect():
+        got.setdefault(r["doc"], []).append((r["x"], r["y"], r["source"]))
+    assert got == {0: [(300, 1.5, "table"), (310, 2.5, "table"), (298, 4.5, "sentence"), (3, 5, "list_pair")], 1: [(1, 2, "table")], 6: [(1, 2, "table")], 7: [(1, 4, "table")]}
+    assert parsing.own_pairs(docs.limit(0), "id", "t").count() == 0
 
 
 def test_query_entities(spark):
