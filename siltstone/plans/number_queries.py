@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions, scores
-from ..operators import claims, graph, quality, resampling, resolve, search_space, stats, windows
+from ..operators import claims, graph, quality, resampling, resolve, runs, search_space, stats, windows
 from .registry import Tables, query
 
 # --- graphs: a part is a material, its brand a structure, suppliers its properties ---
@@ -160,7 +160,7 @@ SELECT p_partkey, coalesce(round(least(0.6 / (1 + list_min(list_transform(gs, la
 def literature_prior(t: Tables) -> DataFrame:
     """Prior of each part's price given the prices of the other parts of its brand."""
     at = t.part.select("p_partkey", "p_brand", F.col("p_retailprice").alias("x"))
-    return scores.prior_among_others(at, "p_brand", "x").select("p_partkey", F.round("prior", 6).alias("prior"), F.round("nearest", 6).alias("nearest"))
+    return runs.prior_among_others(at, "p_brand", "x").select("p_partkey", F.round("prior", 6).alias("prior"), F.round("nearest", 6).alias("nearest"))
 
 
 @query("""WITH s AS (SELECT c_custkey, (c_acctbal + 1000) / 11003 AS s, (c_custkey % 100) / 99.0 AS u FROM customer)

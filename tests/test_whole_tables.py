@@ -7,6 +7,7 @@ import pytest
 
 from siltstone import plans
 from siltstone.functions import fixed
+from siltstone.operators import runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,11 +58,9 @@ def test_priors_of_all_parts(spark, tables):
 
 
 def test_priors_guard_outliers(spark):
-    from siltstone.functions import scores
-
     values = [10.0, 10.0, 12.0, 1000.0, 0.1, 11.0, -3.0, None]
     rows = spark.createDataFrame([(i, "g", v) for i, v in enumerate(values)] + [(9, "one", 5.0)], "id long, g string, v double")
-    out = {r["id"]: r for r in scores.prior_among_others(rows, "g", "v").collect()}
+    out = {r["id"]: r for r in runs.prior_among_others(rows, "g", "v").collect()}
     assert out[9]["prior"] == out[6]["prior"] == out[7]["prior"] == 0 and out[9]["nearest"] is None
     for i, v in enumerate(values[:6]):
         known = np.array([x for j, x in enumerate(values[:6]) if j != i])
