@@ -212,3 +212,10 @@ MERIT_HEAD = r"\bzt\b|热电优值|figure\s*of\s*merit"
 NUMERIC_HEAD = r"[\(（].*[\)）]|[Kk]|[Jj]/mol|mmol|eV|bar|W/m|值|温度|容量|比例|组分|浓度|带隙|ZT|电导"
 PAIR_AT = r"(?i)(\d+\.?\d*)\s*(?:K|°C|℃)\s*(?:[,，]?\s*)?(\d+\.?\d*)\s*(?:mmol/g|kJ/mol|eV|wt%|bar)"
 PAIR_LIST = r"(\d+\.?\d*)\s*[,，]\s*(\d+\.?\d*)\s*(?:mmol/g|kJ/mol)"
+
+# Words of a property that ask for the known range of a kind.
+RANGE_WORDS = {
+    "capacity": ["co2", "capacity", "adsorption", "吸附"],
+    "heat": ["qst", "heat of adsorption", "binding energy", "吸附热", "结合能", "isosteric"],
+    "area": ["surface area", "bet", "porosity", "比表面积", "表面积", "孔隙"],
+}

@@ -208,6 +208,14 @@ def blended(score: Column, plausibility: Column | None, weight: float = 0.35) ->
     return F.least(both, F.lit(1.0))
 
 
+def first_score(materials: Column, prop: Column, text: Column, prior: Column) -> Column:
+    """0.15, 0.25 for the share of materials named, 0.20 for the property, 0.35 for the prior."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    share = F.size(F.filter(materials, lambda m: low.contains(F.lower(m)))) / F.greatest(F.size(materials), F.lit(1))
+    named = F.when((F.size(materials) > 0) & (prop != "") & low.contains(F.lower(prop)), 0.20).otherwise(0.0)
+    return F.least(0.15 + 0.25 * share + named + 0.35 * prior, F.lit(1.0))
+
+
 def text_score(materials: Column, prop: Column, text: Column, value: Column, known: Column, plausibility: Column | None = None) -> Column:
     """M16, by texts: 0.30, 0.20 for the share of materials named, 0.15 for the property, 0.30 for the prior."""
     low = F.lower(text)

@@ -108,6 +108,54 @@ def strong_relations(gaps: DataFrame, relations: DataFrame, gap: str, order: lis
     return gaps.select(gap).crossJoin(F.broadcast(best))
 
 
+#: Names whose windows are broadcast to the texts; with more of them, texts and names meet by a shuffle of windows.
+BROADCAST_NAMES = 100_000
+
+
+def _windows(c: Column, width: int) -> Column:
+    """All windows of so many characters, in one pass (``substr`` would count from the start for each)."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
+
+
+def named_in(texts: DataFrame, id_col: str, text_col: str, names: DataFrame, name: str) -> DataFrame:
+    """(id, name): the texts that contain a name in either case, as a word, a part of one or several words.
+
+    Each name looks for its rarest window of three characters (rarest among names; a shorter name for itself) in the
+    windows of a text; only ids and names meet there, and the texts join the candidates by id, where containment is
+    checked.  Texts and names that are null or empty, and null ids, name nothing; repeated ones count once.
+    """
+    low = texts.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_text")).where("_id is not null and _text <> ''")
+    keys = names.select(F.col(name).alias("name"), F.lower(name).alias("k")).where("name <> ''").distinct()
+    grams = keys.select("name", "k", F.explode(F.when(F.length("k") < 3, F.array("k")).otherwise(F.array_distinct(_windows(F.col("k"), 3)))).alias("g"))
+    held = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    head = grams.join(held, "g").groupBy("name", "k").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    size = head.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min(F.length("g")), F.lit(3)).alias("least")).first()
+    widths = range(min(size["least"], 3), 4)  # windows of one or two characters only where a name is as short
+    at = low.select("_id", F.explode(F.array_distinct(F.concat(*[_windows(F.col("_text"), w) for w in widths]))).alias("g"))
+    met = at.join(F.broadcast(head) if size["n"] <= BROADCAST_NAMES else head, "g").select(F.col("_id").alias("id"), "name", "k")
+    return met.join(low, (F.col("id") == F.col("_id")) & F.contains("_text", "k")).select("id", "name").distinct()
+
+
+def either_holds(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
+    """(a, b): pairs of names of which one contains the other, in either case; null and empty ones never."""
+    one = named_in(left.select(a).distinct(), a, a, right.select(b).distinct(), b).select(F.col("id").alias(a), F.col("name").alias(b))
+    two = named_in(right.select(b).distinct(), b, b, left.select(a).distinct(), a).select(F.col("name").alias(a), F.col("id").alias(b))
+    return one.unionByName(two).distinct()
+
+
+def evidence_or_topic(entities: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Entities (entity, topic) with the sorted distinct items of evidence (entity, item), else those of their topic; from_topic says which.
+
+    An entity of several topics has a row for each; one without evidence in a topic without any gets an empty set.
+    """
+    sets = evidence.where("item is not null").groupBy("entity").agg(F.array_sort(F.collect_set("item")).alias("_own"))
+    rows = entities.distinct().join(sets, "entity", "left")
+    # Sets of items are merged, not their rows: a topic's set holds each item once.
+    topics = rows.select("topic", F.explode("_own").alias("item")).groupBy("topic").agg(F.array_sort(F.collect_set("item")).alias("_all"))
+    none = F.array().cast(sets.schema["_own"].dataType)
+    return rows.join(topics, "topic", "left").select("entity", "topic", F.coalesce("_own", "_all", none).alias("evidence"), F.col("_own").isNull().alias("from_topic"))
+
+
 def cooccurrence(paragraphs: DataFrame, names: DataFrame, words: DataFrame) -> DataFrame:
     """Name -> sorted set of words that share a paragraph with it.
 

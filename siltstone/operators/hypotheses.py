@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import PROPERTY_TERMS, QUERY_STOPWORDS
 from ..functions.text import col, filled
+from ..session import cut
+from .graph import named_in
 from .resolve import capped
+from .runs import ranks
 
 # Substantial words of phrases in Chinese, and names with digits.
 _SUBSTANCE = "吸附|容量|选择性|稳定性|热|亲水|疏水|比例|湿|效率|浓度|再生|能耗|缺陷|位点"
@@ -36,22 +39,36 @@ def from_gaps(gaps: DataFrame, materials: DataFrame, properties: DataFrame, para
     gaps (doc, gap, type, severity, title, description, entities), materials (material), properties (property, ord),
     paragraphs (text).  Unexplored: materials without the gap's property, ten at most.  Missing link: materials that
     share paragraphs with both of the first two entities, else the first five materials; eight at most.  Contradiction:
-    one.  Names are taken in order; ids count by report and type.
+    one.  Names are taken in order; ids count by report and type.  Names count wherever a text contains them, in either case;
+    null and empty ones never.
     """
     most = {"unexplored": 10, "missing_link": 8, "contradiction": 1} | (most or {})
-    gaps = severe(gaps).withColumn("_low", F.lower("description"))
+    gaps = severe(gaps)
     # The first known property that a gap's description names.
-    named = gaps.select("doc", "gap", "_low").join(F.broadcast(properties), F.col("_low").contains(F.lower("property")))  # a list of property names
-    target = named.groupBy("doc", "gap").agg(F.min_by("property", "ord").alias("property"))
+    told = gaps.select(F.struct("doc", "gap").alias("at"), "description")
+    named = named_in(told, "at", "description", properties, "property").join(properties, F.col("name") == F.col("property"))
+    target = named.groupBy("id.doc", "id.gap").agg(F.min_by("property", "ord").alias("property"))
     gaps = gaps.join(target, ["doc", "gap"], "left").withColumn("property", F.coalesce("property", F.lit("")))
-    low = paragraphs.select(F.monotonically_increasing_id().alias("p"), F.lower("text").alias("t"))
-    names = materials.select("material").distinct()
-    words = low.select("p", "t", F.explode(F.array_distinct(F.split("t", r"[^a-z0-9]+"))).alias("k"))
-    at = words.join(names.select("material", F.lower("material").alias("k")), "k").select("p", "material", "t")
-    has = at.join(F.broadcast(properties), F.col("t").contains(F.lower("property"))).select("material", "property").distinct()
 
+    links = gaps.where((F.col("type") == "missing_link") & (F.size("entities") >= 2)).select("doc", "gap", "type", "title", F.get("entities", F.lit(0)).alias("a"), F.get("entities", F.lit(1)).alias("b"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
+    names = materials.select("material").where("material <> ''").distinct()
+    # Paragraphs by a digest of what they say; one pass over them finds names of all three kinds.
+    told = paragraphs.select(F.unhex(F.md5(F.lower("text"))).alias("at"), "text")
+    looked = names.select(F.col("material").alias("name")).unionByName(properties.select(F.col("property").alias("name"))).unionByName(ends.select(F.col("entity").alias("name")))
+    found = cut(named_in(told, "at", "text", looked, "name"))
+    at = found.join(names, F.col("name") == F.col("material")).select("id", "material")
+    has = at.join(found, "id").join(properties, F.col("name") == F.col("property")).select("material", "property").distinct()
+
+    # The first names without a property are among as many names as have it, and those asked for.
     asked = gaps.where("type = 'unexplored'")
-    lacking = asked.select("property").distinct().join(names, how="cross").join(has, ["material", "property"], "left_anti")  # properties of gaps by names: the ten first are kept
+    ordered = ranks(names, "material")
+    width = 1000
+    counts = asked.select("property").distinct().join(has.groupBy("property").agg(F.count(F.lit(1)).alias("n")), "property", "left")
+    counts = counts.select("property", (F.coalesce("n", F.lit(0)) + most["unexplored"]).alias("reach"))
+    blocks = counts.select("property", "reach", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("reach") - 1) / width))).alias("b"))
+    reached = blocks.select("property", F.explode(F.sequence(F.col("b") * width + 1, F.least(F.col("b") * width + width, "reach"))).alias("rank"))
+    lacking = reached.join(ordered, "rank").join(has, ["material", "property"], "left_anti").drop("rank")
     lacking = capped(lacking, ["property"], [F.col("material")], most["unexplored"])
     what = lambda other: F.coalesce(filled("property"), F.lit(other))
     unexplored = asked.join(lacking, "property").select(
@@ -59,12 +76,10 @@ def from_gaps(gaps: DataFrame, materials: DataFrame, properties: DataFrame, para
         F.array(F.lower("material")).alias("materials"), what("unknown").alias("property"), F.lit(0.4).alias("confidence"), F.lit(0.8).alias("novelty_score"),
     )
 
-    links = gaps.where((F.col("type") == "missing_link") & (F.size("entities") >= 2)).select("doc", "gap", "type", "title", F.get("entities", F.lit(0)).alias("a"), F.get("entities", F.lit(1)).alias("b"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
-    met = at.join(ends, F.col("t").contains(F.lower("entity"))).select("material", "entity").distinct()
+    met = at.join(found, "id").join(ends, F.col("name") == F.col("entity")).select("material", "entity").distinct()
     one, two = (met.withColumnRenamed("entity", x) for x in ("a", "b"))
     bridges = links.join(one, "a").join(two, ["b", "material"]).select("doc", "gap", "type", "title", "a", "b", "material")
-    first = names.orderBy("material").limit(5)
+    first = ordered.where("rank <= 5").select("material")
     others = links.join(bridges.select("doc", "gap").distinct(), ["doc", "gap"], "left_anti").crossJoin(F.broadcast(first))  # five names
     bridges = capped(bridges.unionByName(others.select(*bridges.columns)), ["doc", "gap"], [F.col("material")], most["missing_link"])
     linked = bridges.select(

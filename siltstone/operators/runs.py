@@ -34,6 +34,15 @@ def later(group: str) -> Window:
     return Window.partitionBy(group).orderBy("_run").rowsBetween(1, Window.unboundedFollowing)
 
 
+def ranks(rows: DataFrame, order: str) -> DataFrame:
+    """Adds rank, 1, 2, 3 ... of the rows in ascending order (equal rows in any order), without one task for all of them."""
+    runs = sorted_runs(rows, order)
+    sizes = runs.groupBy("_run").agg(F.count(F.lit(1)).alias("n"))  # one row for each partition
+    starts = sizes.select("_run", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    at = F.col("_start") + F.row_number().over(Window.partitionBy("_run").orderBy(order))
+    return runs.join(starts, "_run").withColumn("rank", at).drop("_run", "_start")
+
+
 def _relative(v: Column, k: Column) -> Column:
     return F.abs(v - k) / F.greatest(F.abs(k), F.lit(_FLOOR))
 

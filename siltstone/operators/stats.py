@@ -138,6 +138,20 @@ def endpoint_line(points: DataFrame, keys: list[str], x: str, y: str) -> DataFra
     return s.select(*keys, "slope", "intercept", r_squared(F.col("_sse"), F.col("_syy")).alias("r2"))
 
 
+def audit_fits(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, linear, quadratic, end_points): r2 of a line, a parabola and the mixing line of each group, for shares x in 0 .. 1.
+
+    The mixing line goes from the y of the least x, put at 0, to the y of the greatest x, put at 1.
+    """
+    first, last = (f(_c(y), F.struct(_c(x), _c(y))) for f in (F.min_by, F.max_by))
+    ends = points.groupBy(*keys).agg(first.alias("_y0"), last.alias("_y1"), F.avg(_c(y)).alias("_my"))
+    e = _c(y) - F.col("_y0") - (F.col("_y1") - F.col("_y0")) * _c(x)
+    sums = points.join(ends, keys).groupBy(*keys).agg(F.sum(e * e).alias("_sse"), F.sum(F.pow(_c(y) - F.col("_my"), 2)).alias("_syy"))
+    mixed = sums.select(*keys, r_squared(F.col("_sse"), F.col("_syy")).alias("end_points"))
+    fits = [classical_fit(n, points, keys, x, y).select(*keys, F.col("r2").alias(n)) for n in ("linear", "quadratic")]
+    return fits[0].join(fits[1], keys).join(mixed, keys)
+
+
 def _line_rows(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Each point with its group's line: _n, _sxx, _e (residual), _h (leverage), _sse."""
     g = points.groupBy(*keys).agg(

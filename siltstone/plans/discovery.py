@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores
-from ..functions.text import accepted_units, formula_key
-from ..operators import claims, extract, graph, resampling, resolve, search_space, stats
+from ..functions import fixed, scores
+from ..functions.text import accepted_units, col
+from ..operators import claims, extract, graph, resampling, runs, search_space, stats
 
 
 def compare_models(docs: DataFrame, id_col: str, text_col: str, x_units: list[str] | None = None, y_units: list[str] | None = None) -> DataFrame:
@@ -51,27 +51,64 @@ def settle(rows: DataFrame) -> DataFrame:
 
 
 def plausibility(rows: DataFrame) -> DataFrame:
-    """0.3 for up to five pieces of evidence, 0.3 for verification, 0.4 for confidence."""
+    """Adds plausibility: 0.3 for up to five pieces of evidence, 0.3 for verification, 0.4 for confidence.
+
+    rows (evidence_chain array, share of claims found, n_claims, n_unverified, confidence).  Where half of the claims or
+    more were not found, verification counts a quarter at most and 0.10 + 0.15 of their share is taken off.  Without a
+    share, verification and confidence count a half each and nothing is taken off.  The result lies in 0 .. 1.
+    """
     e = F.least(F.size(F.coalesce("evidence_chain", F.array().cast("array<string>"))) / 5, F.lit(1.0))
-    return rows.withColumn("plausibility", 0.30 * e + 0.30 * F.coalesce("share", F.lit(0.0)) + 0.40 * F.coalesce("confidence", F.lit(0.0)))
+    found = F.coalesce("share", F.lit(0.5))
+    lost = F.when(F.col("share").isNull(), 0.0).otherwise(F.coalesce(F.try_divide("n_unverified", "n_claims"), 1 - F.col("share")))
+    doubted = lost >= 0.5
+    score = 0.30 * e + 0.30 * F.when(doubted, F.least(found, F.lit(0.25))).otherwise(found) + 0.40 * F.coalesce("confidence", F.lit(0.5))
+    score = score - F.when(doubted, 0.15 * lost + 0.10).otherwise(0.0)
+    return rows.withColumn("plausibility", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
+def _spelled(name: Column | str) -> Column:
+    return F.lower(F.regexp_replace(col(name), "[ -]", ""))
+
+
+def proxies_of(hyps: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(id, proxy): stand-ins (dictionary: name, proxy) of the materials of hypotheses (id, materials): a name that
+    contains a material or is part of one, without blanks and hyphens, in either case."""
+    materials = hyps.select("id", F.explode("materials").alias("m")).select("id", _spelled("m").alias("m")).distinct()
+    known = dictionary.select(_spelled("name").alias("k"), "proxy").distinct()
+    return materials.join(graph.either_holds(materials, "m", known, "k"), "m").join(known, "k").select("id", "proxy").distinct()
 
 
 def known_ranges(hyps: DataFrame, known: DataFrame) -> DataFrame:
-    """Hypotheses (id, material, value) against a table of known ranges (formula, lo, hi) by normalised formula."""
-    h = hyps.withColumn("_k", formula_key("material"))
-    k = known.select(formula_key("formula").alias("_k"), "lo", "hi")
-    hit = h.join(k, "_k", "left")
-    return hit.groupBy("id").agg(F.bool_or(F.col("value").between(F.col("lo"), F.col("hi"))).alias("match"), F.count("lo").alias("checked")).select(
-        "id", F.when(F.col("match"), "validated").when(F.col("checked") > 0, "inconclusive").otherwise("pending").alias("validation_status")
-    )
-
-
-def score_candidates(candidates: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
-    """Candidates scored by the literature prior of their group, best per group."""
-    known = values.groupBy(key).agg(F.slice(F.array_sort(F.collect_set(F.round("value", 4))), 1, 500).alias("_known"))  # the cap of the evidence index
-    rows = candidates.join(known, key, "left")
-    prior = scores.literature_prior(F.col(value), F.col("_known"))
-    return search_space.best_of(rows.withColumn("prior", prior).drop("_known"), [key], scores.stretch(F.lit(0.15) + 0.35 * F.col("prior")), [F.col(value)])
+    """Hypotheses (id, materials, property) against known ranges (name, kind, lo, hi): id, found (names met), entries
+    (lines of the ranges that the property asks for, in order) and validation_status.
+
+    Names meet as in :func:`proxies_of`; the words of a property select kinds (``fixed.RANGE_WORDS``), several if it
+    names several.  An entry validates, a name without one leaves the matter inconclusive, no name leaves it pending.
+    """
+    rows = hyps.select("id", F.lower(F.coalesce("property", F.lit(""))).alias("_p"), F.explode_outer("materials").alias("m")).select("id", "_p", _spelled("m").alias("m")).distinct()
+    ranges = known.select("name", "kind", "lo", "hi", _spelled("name").alias("k"))
+    hit = rows.join(graph.either_holds(rows, "m", ranges, "k"), "m", "left").join(ranges, "k", "left")
+    asked = F.lit(False)
+    for kind, words in fixed.RANGE_WORDS.items():
+        asked = asked | (F.col("kind") == kind) & F.coalesce(F.col("lo"), F.col("hi")).isNotNull() & F.col("_p").rlike("|".join(words))
+    line = F.when(asked, F.concat("name", F.lit(": "), "kind", F.lit(" = "), F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string")))
+    out = hit.groupBy("id").agg(F.countDistinct("name").alias("found"), F.array_sort(F.collect_set(line)).alias("entries"))
+    return out.withColumn("validation_status", F.when(F.size("entries") > 0, "validated").when(F.col("found") > 0, "inconclusive").otherwise("pending"))
+
+
+def score_candidates(candidates: DataFrame, group: str, value: str, materials: Column, prop: Column, text: Column, canonical: Column, judged: Column | None = None) -> DataFrame:
+    """Adds prior, nearest, degraded and score, the values of the group's other candidates being the literature.
+
+    Without any, the score is the stable one of ``canonical`` and degraded is true.  ``judged``: a plausibility of weight 0.35.
+    """
+    rows = runs.prior_among_others(candidates, group, value).withColumn("degraded", F.col("nearest").isNull())
+    score = F.when(F.col("degraded"), scores.empty_evidence(canonical)).otherwise(scores.first_score(materials, prop, text, F.col("prior")))
+    return rows.withColumn("score", scores.blended(score, judged))
+
+
+def best_candidates(scored: DataFrame, group: str, order: str) -> DataFrame:
+    """The best candidate of each group, the greatest ``order`` of equal ones."""
+    return search_space.best_of(scored.withColumnRenamed("score", "_score"), [group], F.round("_score", 9), [F.col(order)]).drop("_score")
 
 
 def link_topics(entities: DataFrame, evidence: DataFrame, most: int = 24) -> DataFrame:

@@ -160,19 +160,15 @@ def model_comparison_fits(t: Tables) -> DataFrame:
     return got.select("doc", "n", F.round("r2_line", 6).alias("r2_line"), F.round("r2_curve", 6).alias("r2_curve"))
 
 
-@query("""WITH p(x, y) AS (VALUES (0.33::DOUBLE, 95.0::DOUBLE), (0.50, 92.0), (0.60, 90.0), (0.80, 85.0), (0.83, 82.0), (1.00, 70.0)), m AS (SELECT avg(x) AS m, avg(y) AS my FROM p),
-u AS (SELECT x - m AS u, x, y, my FROM p, m), s AS (SELECT count(*)::DOUBLE AS n, sum(u) AS s1, sum(u**2) AS s2, sum(u**3) AS s3, sum(u**4) AS s4, sum(y) AS t0, sum(u*y) AS t1, sum(u*u*y) AS t2, sum(y*y) AS yy, sum((y - my)**2) AS syy, regr_r2(y, u) AS r2, sum((y - 95 + 25 * x)**2) AS end_sse FROM u),
+@query("""WITH p AS (SELECT p_brand, p_size / 50.0::DOUBLE AS x, p_retailprice AS y FROM part), m AS (SELECT p_brand, avg(x) AS m, avg(y) AS my, arg_min(y, (x, y)) AS y0, arg_max(y, (x, y)) AS y1 FROM p GROUP BY 1),
+u AS (SELECT p_brand, x - m AS u, x, y, my, y0, y1 FROM p JOIN m USING (p_brand)), s AS (SELECT p_brand, count(*)::DOUBLE AS n, sum(u) AS s1, sum(u**2) AS s2, sum(u**3) AS s3, sum(u**4) AS s4, sum(y) AS t0, sum(u*y) AS t1, sum(u*u*y) AS t2, sum(y*y) AS yy, sum((y - my)**2) AS syy, regr_r2(y, u) AS r2, sum((y - y0 - (y1 - y0) * x)**2) AS end_sse FROM u GROUP BY 1),
 d AS (SELECT *, n*(s2*s4 - s3*s3) - s1*(s1*s4 - s3*s2) + s2*(s1*s3 - s2*s2) AS det FROM s),
 k AS (SELECT *, (t0*(s2*s4 - s3*s3) - s1*(t1*s4 - s3*t2) + s2*(t1*s3 - s2*t2)) / det AS d0, (n*(t1*s4 - t2*s3) - t0*(s1*s4 - s3*s2) + s2*(s1*t2 - t1*s2)) / det AS d1, (n*(s2*t2 - s3*t1) - s1*(s1*t2 - t1*s2) + t0*(s1*s3 - s2*s2)) / det AS d2 FROM d)
-SELECT round(r2, 3) AS linear, round(1 - (yy - d0*t0 - d1*t1 - d2*t2) / syy, 3) AS quadratic, round(1 - end_sse / syy, 3) AS end_points FROM k""")
+SELECT p_brand, round(r2, 6) AS linear, round(1 - (yy - d0*t0 - d1*t1 - d2*t2) / syy, 6) AS quadratic, round(1 - end_sse / syy, 6) AS end_points FROM k""")
 def retention_audit(t: Tables) -> DataFrame:
-    """Published fits of six literal points, computed again: 0.887, 0.983 and -0.032."""
-    # Nickel content and retention after a hundred cycles.
-    points = t.spark.createDataFrame([("a", x, y) for x, y in ((0.33, 95.0), (0.50, 92.0), (0.60, 90.0), (0.80, 85.0), (0.83, 82.0), (1.00, 70.0))], "k string, x double, y double")
-    fits = {n: stats.classical_fit(n, points, ["k"], "x", "y").select("k", F.round("r2", 3).alias(n)) for n in ("linear", "quadratic")}
-    mean = points.agg(F.avg("y").alias("m"))
-    ends = points.crossJoin(mean).groupBy("k").agg(F.round(1 - F.sum(F.pow(F.col("y") - 95 + 25 * F.col("x"), 2)) / F.sum(F.pow(F.col("y") - F.col("m"), 2)), 3).alias("end_points"))  # one row
-    return fits["linear"].join(fits["quadratic"], "k").join(ends, "k").drop("k")
+    """Line, parabola and mixing line of each brand, computed again from its parts."""
+    fits = stats.audit_fits(t.part.select("p_brand", (F.col("p_size") / 50).alias("x"), "p_retailprice"), ["p_brand"], "x", "p_retailprice")
+    return fits.select("p_brand", *[F.round(c, 6).alias(c) for c in ("linear", "quadratic", "end_points")])
 
 
 @query("""SELECT p_brand, 'vegard' AS model, count(*) AS n, round(regr_r2(p_retailprice, p_size), 6) AS r2 FROM part GROUP BY 1
@@ -209,15 +205,9 @@ def gap_hypotheses(t: Tables) -> DataFrame:
     )
     properties = t.spark.createDataFrame([("brass", 0), ("polished", 1)], "property string, ord int")
     brands = t.part.select("p_brand", "p_type").distinct()
-    code = F.regexp_replace("p_brand", "[^A-Za-z0-9]", "")  # a word in the paragraph
-    paragraphs = brands.select(F.concat(code, F.lit(" "), "p_type").alias("text"))
-    names = brands.select(code.alias("material"), F.col("p_brand").alias("brand")).distinct()
-    out = hypotheses.from_gaps(gaps, names.select("material"), properties, paragraphs)
-    lines = F.array_join("materials", ",")
-    spelled = out.select("doc", "gap", "id", "title", lines.alias("materials"), "property")
-    code_of = F.regexp_replace
-    fix = lambda c: code_of(code_of(c, r"Brand(\d+)", "Brand#$1"), r"brand(\d+)", "brand#$1")
-    return spelled.withColumns({"title": fix("title"), "materials": fix("materials")})
+    paragraphs = brands.select(F.concat("p_brand", F.lit(" "), "p_type").alias("text"))
+    out = hypotheses.from_gaps(gaps, brands.select(F.col("p_brand").alias("material")), properties, paragraphs)
+    return out.select("doc", "gap", "id", "title", F.array_join("materials", ",").alias("materials"), "property")
 
 
 @query("""SELECT o_orderkey, o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 AS degraded, CASE WHEN o_orderkey % 5 = 0 THEN 'explanation unavailable' WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN 'placeholder frame' END AS degraded_reason FROM orders""")

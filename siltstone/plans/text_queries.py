@@ -262,3 +262,11 @@ def positional_labels(t: Tables) -> DataFrame:
 def per_group_top(t: Tables) -> DataFrame:
     """T5."""
     return resolve.capped(t.documents, ["source"], [F.col("n_chars").desc(), F.col("doc_id")], 3).select("source", "doc_id", "n_chars")
+
+
+@query("""WITH n AS (SELECT DISTINCT name FROM (SELECT unnest(string_split(text, ' ')) AS name FROM benchmark) WHERE name <> ''), d AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT name, count(*) AS n FROM n JOIN d ON contains(t, lower(name)) GROUP BY name""")
+def name_mentions(t: Tables) -> DataFrame:
+    """Documents that contain each word of the passages, be it part of another word."""
+    names = t.benchmark.select(F.explode(F.split("text", " ")).alias("name"))
+    return graph.named_in(t.documents, "doc_id", "text", names, "name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))

@@ -128,3 +128,10 @@ def test_evidence_index_windows(spark):
         texts = [low[max(0, m.start() - 120) : m.end() + 160] for k in r["keywords"] for m in re.finditer(re.escape(k), low)] + ([low] if units else [])
         want |= {round(float(m[1]), 4) for t in texts for m in re.finditer(fixed.VALUE_UNIT, t) if units is None or m[2] in units}
     assert r["values"] == sorted(v for v in want if 0 < v < 1e6)
+
+
+def test_published_fits(spark):
+    # Nickel content and retention after a hundred cycles, and the r2 published for them.
+    points = spark.createDataFrame([("a", x, y) for x, y in ((0.33, 95.0), (0.50, 92.0), (0.60, 90.0), (0.80, 85.0), (0.83, 82.0), (1.00, 70.0))], "k string, x double, y double")
+    r = stats.audit_fits(points, ["k"], "x", "y").first()
+    assert (round(r["linear"], 3), round(r["quadratic"], 3), round(r["end_points"], 3)) == (0.887, 0.983, -0.032)
