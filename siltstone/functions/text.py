@@ -94,6 +94,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def plain_upper(text: Column | str) -> Column:
+    """Upper case letter by letter, as SQL has it: one that has no single upper-case letter (ß) stays."""
+    letters = F.filter(F.split(col(text), ""), lambda c: c != "")
+    return F.array_join(F.transform(letters, lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
 def match_key(text: Column | str) -> Column:
     """P10: lower case without separators and brackets."""
     return F.regexp_replace(F.lower(col(text)), r"[\s\-_/()（）\[\].,，、:：;；]+", "")
