@@ -121,9 +121,9 @@ def verification_plan(expression: Column | str) -> Column:
     return out.otherwise("literature review")
 
 
-def novelty_label(score: Column, increment: Column) -> Column:
-    """P46."""
-    return F.when(score >= 0.80, "high").when(score >= 0.65, "medium").when(F.length(F.trim(increment)) > 0, "incremental").otherwise("low")
+def novelty_label(score: Column, increment: Column, scale: float = 1.0) -> Column:
+    """P46; ``scale``: how many times larger than a share the score is."""
+    return F.when(score >= 0.80 * scale, "high").when(score >= 0.65 * scale, "medium").when(F.length(F.trim(increment)) > 0, "incremental").otherwise("low")
 
 
 def evidence_class(item: Column | str) -> Column:

@@ -171,10 +171,10 @@ def search_all(hypotheses: DataFrame, seeds: int, score_of: Callable[[pd.Series]
     return tasks.groupBy("hypothesis", "seed").applyInPandas(run, f"hypothesis {kind}, seed int, iteration int, score double, best_score double")
 
 
-def verdict(bayesian: Column, random: Column) -> Column:
-    """By the difference of the medians."""
+def verdict(bayesian: Column, random: Column, scale: float = 1.0) -> Column:
+    """By the difference of the medians; ``scale``: how many times larger than shares both are."""
     d = bayesian - random
-    return F.when(d >= 0.008, "bayesian_wins").when(d <= -0.003, "random_wins").otherwise("parity")
+    return F.when(d >= 0.008 * scale, "bayesian_wins").when(d <= -0.003 * scale, "random_wins").otherwise("parity")
 
 
 #: Hypotheses whose trees a task holds at once.

@@ -123,7 +123,7 @@ def label_bands(t: Tables) -> DataFrame:
     from ..operators.search_space import verdict
 
     inc = F.when(F.col("event_type") == "click", "x").otherwise("")
-    return t.events.select("event_id", entities.novelty_label(F.col("value") / 100, inc).alias("label"), verdict(F.col("value") / 100, F.lit(0.5)).alias("verdict"))
+    return t.events.select("event_id", entities.novelty_label(F.col("value"), inc, 100).alias("label"), verdict(F.col("value"), F.lit(50.0), 100).alias("verdict"))
 
 
 @query("""SELECT doc_id, list_distinct(string_split(text, ' ')) IS NOT NULL AS ok, len(list_distinct(list_filter(string_split(text, ' '), lambda w: w <> ''))) AS n FROM documents""")
