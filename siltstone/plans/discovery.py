@@ -10,9 +10,9 @@ from ..functions.text import accepted_units, col
 from ..operators import claims, extract, graph, resampling, runs, search_space, stats
 
 
-def compare_models(docs: DataFrame, id_col: str, text_col: str, x_units: list[str] | None = None, y_units: list[str] | None = None) -> DataFrame:
-    """Pairs out of text, a line against a parabola per document, nested F, verdict."""
-    points = extract.usable_points(extract.xy_pairs(docs, id_col, text_col, x_units, y_units))
+def compare_models(docs: DataFrame, id_col: str, text_col: str, x_units: list[str] | None = None, y_units: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Pairs out of text (all, or the first ``most`` of a document), a line against a parabola per document, nested F, verdict."""
+    points = extract.usable_points(extract.xy_pairs(docs, id_col, text_col, x_units, y_units, most))
     line = stats.ols(points, ["doc"], "x", "y").select("doc", "n", F.col("r2").alias("r2_line"), F.col("rmse").alias("rmse_line"))
     curve = stats.polynomial(points, ["doc"], "x", "y", 2).select("doc", F.col("r2").alias("r2_curve"), F.col("rmse").alias("rmse_curve"))
     both = line.join(curve, "doc")
