@@ -34,10 +34,13 @@ def document_properties(t: Tables) -> DataFrame:
 def candidate_scores(t: Tables) -> DataFrame:
     """Parts scored against the known prices of their brand and a text of their types."""
     known = t.part.where("p_partkey % 4 = 0").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_retailprice")).alias("known"), F.array_join(F.array_sort(F.collect_set("p_type")), "\n").alias("text"))
-    rows = t.part.where("p_partkey % 4 <> 0").join(known, "p_brand")
+    rows = t.part.where("p_partkey % 4 <> 0")
+    inputs = ["p_brand", "p_type", "p_retailprice"]  # what a score depends on: equal ones are scored once
     window = F.struct(F.lit(1000.0).alias("lo"), F.lit(1500.0).alias("hi"))
     s = scores.evidence_score(F.array(F.substring_index("p_type", " ", 1)), F.substring_index("p_type", " ", -1), F.col("text"), F.col("p_retailprice"), F.col("known"), F.col("p_type"), window, F.lit(0.0))
-    return rows.select("p_partkey", s.alias("s")).select("p_partkey", "s.*")
+    scored = rows.select(*inputs).distinct().join(known, "p_brand").select(*[F.col(c).alias(f"_{c}") for c in inputs], s.alias("s"))
+    same = [rows[c].eqNullSafe(scored[f"_{c}"]) for c in inputs]
+    return rows.join(scored, same).select("p_partkey", "s.*")
 
 
 @query()
