@@ -61,10 +61,18 @@ def containment_links(entities: DataFrame, group: str, name: str, least: int = 3
 def link_strength(links: DataFrame, evidence: DataFrame, group: str, name: str, item: str) -> DataFrame:
     """Evidence of each link and its band: four or more high, two or more medium."""
     e = evidence.select(F.col(group).alias("grp"), F.col(name).alias("key"), F.col(item).alias("item")).distinct()
-    both = links.join(e.withColumnRenamed("grp", "group_a"), ["group_a", "key"]).select("group_a", "group_b", "key", "item").unionByName(
-        links.join(e.withColumnRenamed("grp", "group_b"), ["group_b", "key"]).select("group_a", "group_b", "key", "item")
-    )
-    n = both.groupBy("group_a", "group_b", "key").agg(F.countDistinct("item").alias("n_evidence"))
+    # Items of both groups less those that both have: no item is copied to each link of its group.
+    sizes = e.groupBy("grp", "key").agg(F.count("item").alias("n"))
+    several = e.where("item is not null").groupBy("key", "item").agg(F.collect_set("grp").alias("grps")).where(F.size("grps") > 1)
+    one = several.select("key", "grps", F.explode("grps").alias("one"))
+    shared = one.select("key", "one", F.explode("grps").alias("two")).where("one < two").groupBy("key", "one", "two").agg(F.count(F.lit(1)).alias("n_both"))
+    n = links.select("group_a", "group_b", "key").distinct()
+    for side in ("a", "b"):
+        n = n.join(sizes.select(F.col("grp").alias(f"group_{side}"), "key", F.col("n").alias(f"n_{side}")), [f"group_{side}", "key"], "left")
+    n = n.where("n_a is not null or n_b is not null").withColumns({"one": F.least("group_a", "group_b"), "two": F.greatest("group_a", "group_b")}).join(shared, ["key", "one", "two"], "left")
+    same = F.when(F.col("group_a") == F.col("group_b"), F.col("n_b"))
+    total = F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0)) - F.coalesce(same, "n_both", F.lit(0))
+    n = n.select("group_a", "group_b", "key", total.alias("n_evidence"))
     return n.withColumn("strength", F.when(F.col("n_evidence") >= 4, "high").when(F.col("n_evidence") >= 2, "medium").otherwise("low"))
 
 
