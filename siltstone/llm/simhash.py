@@ -16,7 +16,9 @@ ones stays within CELL_ROWS (:func:`groups_for`); the links are the same for any
 
 :func:`link_similar` is the same at a wider reach, for a similarity of shingle
 sets: fingerprints of 256 bits, cells of the popcounts of a few segments each, the
-distance within a cell, then the exact similarity of the pairs found.  Copies with
+distance within a cell, then the exact similarity of the pairs found: first of the
+edges of a forest, then of all near pairs between the parts into which that leaves
+a tree (their number is the square of such parts, if they are large).  Copies with
 ``distance`` bits between them share a cell with a probability that
 :func:`cell_rounds` sets; pairs within 128 / segments - 1 bits always do.
 
@@ -53,6 +55,8 @@ PAIRS_OF_BITS = 0x5555555555555555
 CELL_ROWS = 1 << 14
 #: 64-bit words of a wide fingerprint.
 WORDS = ["w0", "w1", "w2", "w3"]
+#: Pairs of different labels that a task holds before it hands them on.
+REST_PAIRS = 1 << 16
 #: Largest number of rows of a cell whose distances are taken all at once.
 AT_ONCE = 512
 
@@ -336,6 +340,56 @@ def cell_dealer(masks: list[list[int]]):
     return run
 
 
+def wide_rest(distance: int):
+    """Cells of wide fingerprints with labels -> all pairs within ``distance`` bits whose labels differ, in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_key(batches, ["cell", "node", *WORDS, "label"]):
+            cell, node, label = (t.column(k).to_numpy() for k in (0, 1, 2 + len(WORDS)))
+            x = np.stack([t.column(2 + k).to_numpy().view(np.uint64) for k in range(len(WORDS))], axis=1)
+            cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+            a, b, held = [], [], 0
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                names, size = np.unique(label[lo:hi], return_counts=True)
+                if len(names) == 1:
+                    continue
+                most = names[size.argmax()]  # its members are met by those of the other labels
+                for i in (lo + np.flatnonzero(label[lo:hi] != most)).tolist():
+                    other = (label[lo:hi] == most) | ((label[lo:hi] != label[i]) & (node[lo:hi] > node[i]))
+                    found = lo + np.flatnonzero(other)
+                    found = found[wide_distance(x[found], x[i]) <= distance]
+                    if len(found):
+                        a.append(np.minimum(node[found], node[i]))
+                        b.append(np.maximum(node[found], node[i]))
+                        held += len(found)
+                    if held > REST_PAIRS:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                        a, b, held = [], [], 0
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
+
+
+def rest_dealer(masks: list[list[int]]):
+    """As :func:`cell_dealer`, with the label after the words."""
+    deal = cell_dealer(masks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in deal(iter([batch])):
+                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(1 + len(WORDS))], names=[*out.schema.names, "label"])
+
+    return run
+
+
+def rest_edges(nodes: DataFrame, distance: int, segments: int, rounds: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, w0..w3, label) that share a cell, lie within ``distance`` bits and have two labels."""
+    schema = "cell long, node long, " + ", ".join(f"{w} long" for w in WORDS) + ", label long"
+    dealt = nodes.select("node", *WORDS, "label").mapInArrow(rest_dealer(cell_masks(segments, rounds)), schema)
+    return dealt.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(wide_rest(distance), "a long, b long").distinct()
+
+
 def similar_edges(nodes: DataFrame, distance: int, segments: int, rounds: int) -> DataFrame:
     """Edges (a, b) between nodes (node, w0..w3) that share a cell and lie within ``distance`` bits."""
     schema = "cell long, node long, " + ", ".join(f"{w} long" for w in WORDS)
@@ -353,17 +407,30 @@ def link_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id is not null")
     rows = keep(texts.mapInArrow(wide_fingerprinter(shingle), "doc_id long, digest long, " + ", ".join(f"{w} long" for w in WORDS)))
     nodes = keep(rows.groupBy("digest", *WORDS).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("digest", *WORDS)))
-    found = keep(similar_edges(nodes, distance, *cell_rounds(nodes.count())))
+    cells = cell_rounds(nodes.count())
+    found = keep(similar_edges(nodes, distance, *cells))
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = keep(ends.join(nodes.select("node", "least", "digest"), "node").select("node", F.col("least").alias("doc_id"), "digest"))
     sets = rows_named(texts, wanted.select("doc_id").distinct(), "doc_id").mapInArrow(shingle_sets(shingle), "doc_id long, digest long, shingles array<long>")
     sets = keep(sets.join(wanted, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles"))
-    sides = spread_join(found, sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), ["a"], "inner")
-    sides = spread_join(sides, sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), ["b"], "inner")
-    both = F.size(F.array_intersect("sa", "sb"))
-    edges = sides.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    named = nodes.join(components(edges), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    named = keep(named)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        sides = spread_join(pairs, sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), ["a"], "inner")
+        sides = spread_join(sides, sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), ["b"], "inner")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return sides.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+    named = keep(nodes.join(components(similar(found)), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"), *WORDS))
+    # A tree of near pairs that the similarity cuts may miss pairs of two of its branches: there all pairs are judged.
+    label = named.select("node", "label")
+    cut = found.join(label.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b").where("la <> lb")
+    loose = keep(cut.select(F.explode(F.array("la", "lb")).alias("label")).distinct())
+    if not loose.isEmpty():
+        rest = keep(similar(rest_edges(named.join(loose, "label"), distance, *cells)))
+        if not rest.isEmpty():
+            merged = rest.join(label.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
+            merged = components(merged.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+            named = keep(named.join(merged, "label", "left").select("node", "least", F.coalesce("_to", "label").alias("label")))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = spread_join(named.select("node", "label"), names, ["label"], "inner").select("node", "component_id")
     return spread_join(rows.select("doc_id", F.xxhash64("digest", *WORDS).alias("node")), of_node, ["node"], "inner").select("doc_id", "component_id")
