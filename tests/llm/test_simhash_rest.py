@@ -25,24 +25,22 @@ def by_all_pairs(texts, shingle=5, similarity=0.8, distance=46):
     return label
 
 
-def test_links_cut_from_the_forest_are_found(spark):
+def repeated_texts():
+    """Texts of one phrase that fills most of their fingerprints, and a part of their own that decides their similarity."""
     rng, texts = random.Random(5), []
-
-    def changed(words, n):
-        words = list(words)
-        for k in rng.sample(range(400), n):
-            words[k] = f"x{rng.randrange(10**9)}"
-        return words
-
-    for _ in range(30):  # a text with near ones just below the similarity, each with one just above it beside it
-        hub = [f"w{rng.randrange(10**6)}" for _ in range(400)]
-        texts.append(" ".join(hub))
-        for _ in range(6):
-            one = changed(hub, 10)
-            texts += [" ".join(one), " ".join(changed(one, 8))]
+    for group in range(6):
+        own = [f"g{group}w{k}" for k in range(80)]
+        for copy in range(4):
+            texts.append(" ".join([f"p{k}" for k in range(21)] * 60 + own[:79] + [f"c{copy}"]))
     rng.shuffle(texts)
+    return texts
+
+
+def test_links_cut_from_the_forest_are_found(spark):
+    texts = repeated_texts()
+    want = by_all_pairs(texts)
     got = {r["doc_id"]: r["component_id"] for r in simhash.link_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(len(texts))] == by_all_pairs(texts)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 6
 
 
 def test_pairs_of_two_labels(spark):
