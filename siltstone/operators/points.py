@@ -27,16 +27,21 @@ PAIR = "struct<kind:string,x:double,y:double>"
 PER_BLOCK, PER_DOC, PER_SIDE = 60, 200, 12
 
 
+def each(rows: DataFrame, keys: list[str], array: Column, pos: str, value: str) -> DataFrame:
+    """keys, pos, value of every element.  Outer, for a plain explode makes Spark test the array's size below it, and compute the array there again, and again for each name in it."""
+    return rows.select(*keys, F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
 def block_cells(blocks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """U6 by rows: keys, table (number in the block), line, col, cell of every cell of every table; rules (| --- |) are left out."""
-    lines = blocks.select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "s")).withColumn("s", F.trim("s"))
+    lines = each(blocks, keys, F.split(text, "\n"), "line", "s").withColumn("s", F.trim("s"))
     is_row = F.col("s").startswith("|") & (F.regexp_count("s", F.lit(r"\|")) >= 2)
     # Lines of one table have as many other lines before them.
     before = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("table", F.count_if(~is_row).over(before)).where(is_row)
     cells = F.transform(F.split(F.regexp_replace("s", r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
     rule = F.forall(cells, lambda c: (c == "") | c.rlike(r"^:?-{2,}:?$"))
-    return rows.where(~rule).select(*keys, "table", "line", F.posexplode(cells).alias("col", "cell"))
+    return each(rows.where(~rule), [*keys, "table", "line"], cells, "col", "cell")
 
 
 def table_heads(cells: DataFrame, keys: list[str], y_unit: Column, wanted: Column) -> DataFrame:
@@ -97,26 +102,40 @@ def matches(text: Column, pattern: str, groups: int) -> Column:
 
 
 def structure_values(text: Column, scaled: bool) -> Column:
-    """Structure variables of a text in order, as array<struct<kind, x>>; ``scaled``: MPa and GPa become bar too."""
+    """Structure variables of a text in order, as array<struct<kind, x>>; ``scaled``: MPa and GPa become bar too.
+
+    The text is searched once: how a match begins and ends says which of the pattern's forms it has.
+    """
 
     def one(m: Column) -> Column:
-        whole = F.lower(m["g0"])
-        has = lambda k: m[f"g{k}"] != ""
-        v = F.coalesce(*[F.nullif(m[f"g{k}"], F.lit("")) for k in (1, 2, 3, 4)]).cast("double")
-        bar = F.when(whole.contains("kpa"), v / 100)
+        whole = F.lower(m)
+        v = F.regexp_extract(m, r"\d+(?:\.\d+)?", 0).cast("double")
+        bar = F.when(whole.endswith("kpa"), v / 100)
         if scaled:
-            bar = bar.when(whole.contains("gpa"), v * 10000).when(whole.contains("mpa"), v * 10)
-        kind = F.when(has(1), "temperature").when(has(2), "pressure").when(has(3), "composition").otherwise("percentage")
-        x = F.when(has(1), F.round(v + F.when(whole.contains("°c") | whole.contains("℃"), 273.15).otherwise(0.0), 3)).when(has(2), F.round(bar.otherwise(v), 5)).otherwise(v)
+            bar = bar.when(whole.endswith("gpa"), v * 10000).when(whole.endswith("mpa"), v * 10)
+        named, percent = ~F.left(m, F.lit(1)).between("0", "9"), whole.endswith("%")
+        pressure = whole.endswith("bar") | whole.endswith("atm") | whole.endswith("pa")
+        kind = F.when(named, "composition").when(percent, "percentage").when(pressure, "pressure").otherwise("temperature")
+        x = F.when(named | percent, v).when(pressure, F.round(bar.otherwise(v), 5)).otherwise(F.round(v + F.when(whole.endswith("°c") | whole.endswith("℃"), 273.15).otherwise(0.0), 3))
         return F.struct(kind.alias("kind"), x.alias("x"))
 
-    return F.transform(matches(text, fixed.POINT_X, 4), one)
+    return F.transform(F.regexp_extract_all(text, F.lit(fixed.POINT_X), F.lit(0)), one)
+
+
+def value_units(text: Column) -> Column:
+    """Values with a unit in order, as array<struct<v, u>>: numbers as they stand and spelled units.  The text is searched once; no unit begins with a digit, so a match parts in one way."""
+
+    def two(m: Column) -> Column:
+        number = F.regexp_extract(m, r"^\d+(?:\.\d+)?", 0)
+        return F.struct(number.alias("v"), F.regexp_replace(F.substring(m, F.length(number) + 1, F.length(m)), r"^\s+", "").alias("u"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(fixed.POINT_VALUE), F.lit(0)), two)
 
 
 def unit_values(text: Column, y_unit: Column) -> Column:
     """The values of a text that stand with the unit, in order."""
-    found = F.filter(matches(text, fixed.POINT_VALUE, 2), lambda m: unit_b(m["g2"]) == y_unit)
-    return F.filter(F.transform(found, lambda m: m["g1"].cast("double")), lambda v: (v > 0) & (v < 1e6))
+    found = F.filter(value_units(text), lambda m: unit_b(m["u"]) == y_unit)
+    return F.filter(F.transform(found, lambda m: m["v"].cast("double")), lambda v: (v > 0) & (v < 1e6))
 
 
 def without_structure(text: Column) -> Column:
@@ -135,12 +154,14 @@ def sentence_pairs(blocks: DataFrame, keys: list[str], y_unit: Column, text: str
 
     ``ends`` parts sentences; the fixed one also parts at a decimal point.
     """
-    sentences = blocks.select("*", F.posexplode(F.split(F.lower(text), ends)).alias("_s", "_raw")).withColumn("_t", F.trim(F.regexp_replace("_raw", r"^\s+|\s+$", "")))
+    extra = [c for c in blocks.columns if c not in (*keys, text)]
+    sentences = each(blocks, [*keys, *extra], F.split(F.lower(text), ends), "_s", "_raw").withColumn("_t", F.trim(F.regexp_replace("_raw", r"^\s+|\s+$", "")))
     sentences = sentences.where(F.length("_t") >= 8)
     t = F.col("_t")
     spelled = F.array_join(F.regexp_extract_all(y_unit, F.lit(r"[a-z]+|\d+|%|[^\x00-\x7F]"), F.lit(0)), r"[\s/]*")
     y_range = F.concat(F.lit(r"(?i)\bfrom\s+(\d+(?:\.\d+)?)\s+to\s+(\d+(?:\.\d+)?)\s*"), spelled, F.lit(r"(?!\w)"))
-    group = lambda pattern, g: F.regexp_extract_all(t, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(g))
+    told = t.contains("from")  # sentences are in lower case
+    group = lambda pattern, g: F.when(told, F.regexp_extract_all(t, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(g))).otherwise(F.array().cast("array<string>"))
     xa, xb, xu, ya, yb = group(fixed.X_FROM_TO, 1), group(fixed.X_FROM_TO, 2), group(fixed.X_FROM_TO, 3), group(y_range, 1), group(y_range, 2)
 
     def ranges(z: Column) -> Column:
@@ -153,7 +174,7 @@ def sentence_pairs(blocks: DataFrame, keys: list[str], y_unit: Column, text: str
     equal = (F.size("_x") == F.size("_y")) & F.size("_x").between(1, 4)
     zipped = F.zip_with("_x", "_y", lambda x, y: F.struct(x["kind"].alias("kind"), x["x"].alias("x"), y.alias("y")).cast(PAIR))
     pairs = F.concat("_ranges", F.when(equal, zipped).otherwise(F.array().cast(f"array<{PAIR}>")))
-    return rows.select(*keys, "_s", F.posexplode(pairs).alias("_p", "pair")).select(*keys, (F.col("_s") * 1000 + F.col("_p")).alias("place"), "pair.*")
+    return each(rows, [*keys, "_s"], pairs, "_p", "pair").select(*keys, (F.col("_s") * 1000 + F.col("_p")).alias("place"), "pair.*")
 
 
 def dominant_unit(blocks: DataFrame, wanted: Column, merit: Column) -> DataFrame:
@@ -199,10 +220,13 @@ def literature_points(
     units = source.select("_prop").distinct().withColumn("_units", F.coalesce(accepted_units("_prop"), F.array().cast("array<string>")))
     named = source.drop("_text").join(F.broadcast(units) if literal else units, source["_prop"].eqNullSafe(units["_prop"])).drop(units["_prop"])
     parts = extract.blocks(source, "doc", "_text").join(named, "doc")
+    # Rows are what counts here, not bytes: a given number of tasks keeps adaptive execution from reading many short texts in few of them.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = related_blocks(parts, "_materials" if materials else None)
     parts = parts.withColumn("merit", F.array_contains("_units", "dimensionless")).withColumn("wanted", F.array_remove("_units", "dimensionless"))
     wanted, merit, y_unit, keys = F.col("wanted"), F.col("merit"), F.col("y_unit"), ["doc", "block"]
-    blocks = cut(parts.join(dominant_unit(parts, wanted, merit), "doc"))  # read in three ways below
+    parts = cut(parts.repartition(tasks, "doc"))  # read for values, for heads, for bare numbers and for themselves
+    blocks = cut(parts.join(dominant_unit(parts, wanted, merit), "doc").repartition(tasks, *keys))  # read in three ways below
     low = F.lower("text")
 
     tables = table_pairs(blocks.select(*keys, "text", "y_unit", "wanted"), keys, y_unit, wanted, carry)
@@ -235,8 +259,9 @@ def literature_points(
     rest = F.when(F.col("merit"), no_pairs).otherwise(F.slice(crossed, 1, per_block))
     way = lambda pairs, provenance: F.transform(pairs, lambda p: F.struct(p["kind"].alias("kind"), p["x"].alias("x"), p["y"].alias("y"), provenance.alias("provenance")))
     every = F.concat(way("_t", F.lit("table")), way("_s", F.lit("sequence")), way("_ends", F.lit("sequence")), way(rest, F.when(F.col("_implicit"), "implicit").otherwise("explicit")))
-    pairs = rows.select(*keys, every.alias("_every")).select(*keys, F.posexplode(F.slice("_every", 1, per_block)).alias("place", "p")).select(*keys, "place", "p.*")
+    pairs = each(rows.select(*keys, F.slice(every, 1, per_block).alias("_every")), keys, F.col("_every"), "place", "p").select(*keys, "place", "p.*")
     pairs = resolve.first_wins(pairs, ["doc", "kind", "x", "y"], [F.col("block"), F.col("place")])
+    pairs = cut(pairs)  # read for the kinds and for the points
     kinds = pairs.groupBy("doc", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("nx"), F.min(F.struct("x", "y")).alias("first"))
     best = resolve.first_wins(kinds.where(F.col("nx") >= least), ["doc"], [F.col("n").desc(), F.col("first")]).select("doc", "kind")
     points = resolve.capped(pairs.join(best, ["doc", "kind"]), ["doc"], [F.col("x"), F.col("y")], per_doc)
