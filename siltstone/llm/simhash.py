@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import mix
-from .common import keep, only, rows_named, spread_join, text_or_empty
+from .common import keep, materialise, only, rows_named, spread_join, text_or_empty
 from .components import components
 from .repeats import _by_key, text_buffers
 
@@ -408,11 +408,12 @@ def link_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = keep(texts.mapInArrow(wide_fingerprinter(shingle), "doc_id long, digest long, " + ", ".join(f"{w} long" for w in WORDS)))
     nodes = keep(rows.groupBy("digest", *WORDS).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("digest", *WORDS)))
     cells = cell_rounds(nodes.count())
-    found = keep(similar_edges(nodes, distance, *cells))
+    # Tables that the later steps name often are written, so that no plan holds the plans of all steps before it.
+    found = materialise(similar_edges(nodes, distance, *cells), "near")
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = keep(ends.join(nodes.select("node", "least", "digest"), "node").select("node", F.col("least").alias("doc_id"), "digest"))
     sets = rows_named(texts, wanted.select("doc_id").distinct(), "doc_id").mapInArrow(shingle_sets(shingle), "doc_id long, digest long, shingles array<long>")
-    sets = keep(sets.join(wanted, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles"))
+    sets = materialise(sets.join(wanted, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
         sides = spread_join(pairs, sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), ["a"], "inner")
@@ -420,17 +421,17 @@ def link_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         both = F.size(F.array_intersect("sa", "sb"))
         return sides.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
-    named = keep(nodes.join(components(similar(found)), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"), *WORDS))
+    named = materialise(nodes.join(components(similar(found)), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"), *WORDS), "named")
     # A tree of near pairs that the similarity cuts may miss pairs of two of its branches: there all pairs are judged.
     label = named.select("node", "label")
     cut = found.join(label.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b").where("la <> lb")
-    loose = keep(cut.select(F.explode(F.array("la", "lb")).alias("label")).distinct())
+    loose = materialise(cut.select(F.explode(F.array("la", "lb")).alias("label")).distinct(), "loose")
     if not loose.isEmpty():
-        rest = keep(similar(rest_edges(named.join(loose, "label"), distance, *cells)))
+        rest = materialise(similar(rest_edges(named.join(loose, "label"), distance, *cells)), "rest")
         if not rest.isEmpty():
             merged = rest.join(label.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
             merged = components(merged.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("_to"))
-            named = keep(named.join(merged, "label", "left").select("node", "least", F.coalesce("_to", "label").alias("label")))
+            named = materialise(named.join(merged, "label", "left").select("node", "least", F.coalesce("_to", "label").alias("label")), "merged")
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = spread_join(named.select("node", "label"), names, ["label"], "inner").select("node", "component_id")
     return spread_join(rows.select("doc_id", F.xxhash64("digest", *WORDS).alias("node")), of_node, ["node"], "inner").select("doc_id", "component_id")

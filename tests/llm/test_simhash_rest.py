@@ -51,3 +51,10 @@ def test_pairs_of_two_labels(spark):
     got = sorted((r["a"], r["b"]) for t in simhash.wide_rest(8)(iter([batch])) for r in t.to_pylist())
     want = sorted((i, j) for i in range(15) for j in range(i + 1, 15) if label[i] != label[j] and simhash.wide_distance(x[i][None], x[j])[0] <= 8)
     assert got == want and want
+
+
+def test_plans_do_not_hold_the_steps_before_them(spark):
+    linked = simhash.link_similar(spark.createDataFrame(list(enumerate(repeated_texts())), "doc_id long, text string"))
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    print("plan", len(plan), plan.count("InMemoryTableScan"))
+    assert plan.count("InMemoryTableScan") < 8
