@@ -329,6 +329,10 @@ class Encoder:
         self.user = re.compile(f"({user})") if user else None
         self.plain = model.charmap is None and not model.remove_spaces and self.user is None
         self.forget()
+        kinds = np.array(model.kinds)
+        self.is_byte = kinds == BYTE
+        self.goes_on = np.array([k == BYTE and 0x80 <= model.bytes_of[n][0] < 0xC0 for n, k in enumerate(model.kinds)])
+        self.widths = np.array([0 if k == CONTROL else 1 if k == UNKNOWN else len(model.spelled[n]) for n, k in enumerate(model.kinds)], np.int64)
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
@@ -365,6 +369,16 @@ class Encoder:
         cut = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], ends))].tolist()
         return [[*ids[a:b], self.m.eos_id] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
+    def plain_spans(self, text: str, ids: list[int]) -> np.ndarray:
+        """:meth:`spans` as rows (start, end), all at once, of a model that changes nothing but spaces."""
+        raw, i = np.frombuffer(text.encode(), np.uint8), np.array(ids, np.int64)
+        front = [0] if self.m.dummy_prefix and text else []
+        origin = np.concatenate((np.array(front, np.int64), np.flatnonzero((raw & 0xC0) != 0x80), [len(raw)]))
+        last = self.is_byte[i]
+        last[:-1] &= ~self.goes_on[i[1:]]
+        at = np.concatenate(([0], np.cumsum(np.where(self.is_byte[i], last, self.widths[i]))))
+        return np.stack((origin[at[:-1]], origin[at[1:]]), axis=1)
+
     def spans(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """For each id, the bytes of ``text`` that it stands for; of byte pieces the last of a character has them, the end id none."""
         norm, origin = normalised(self.m, text)
@@ -406,7 +420,7 @@ def decode(m: Model, ids: list[int]) -> bytes:
     return raw
 
 
-RESULT_SQL = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+RESULT_SQL = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
 
 
 def encoder_of(model: Model, detail: bool, carried: int):
@@ -422,8 +436,10 @@ def encoder_of(model: Model, detail: bool, carried: int):
                 columns["n_tokens"] = pa.array([len(x) for x in ids], pa.int64())
                 columns["ids_sha256"] = pa.array([hashlib.sha256(" ".join(map(numbers.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string())
                 columns["decoded_sha256"] = pa.array([hashlib.sha256(decode(model, x)).hexdigest() for x in ids], pa.string())
+                spans_of = encoder.plain_spans if encoder.plain else encoder.spans
+                spans = [spans_of(t, x) for t, x in zip(texts[i:j], ids, strict=True)]
+                columns["spans_sha256"] = pa.array([hashlib.sha256(np.asarray(x, "<u8").tobytes()).hexdigest() for x in spans], pa.string())
                 if detail:
-                    spans = [encoder.spans(t, x) for t, x in zip(texts[i:j], ids, strict=True)]
                     columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
                     columns["starts"] = pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int64()))
                     columns["ends"] = pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int64()))
@@ -439,7 +455,7 @@ def load_model(path: str) -> Model:
 
 
 def encode_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), detail: bool = False) -> DataFrame:
-    """id, carried columns, n_tokens, ids_sha256, decoded_sha256, without a shuffle; ``detail`` adds ids and their byte spans (starts, ends)."""
+    """id, carried columns, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (byte spans as pairs of little-endian unsigned 64-bit integers), without a shuffle; ``detail`` adds ids and their byte spans (starts, ends)."""
     names = list(dict.fromkeys([id_col, *carry]))
     rows = docs.select(*[F.col(c) for c in names], text_or_empty(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
