@@ -58,3 +58,65 @@ def test_plans_do_not_hold_the_steps_before_them(spark):
     plan = linked._jdf.queryExecution().executedPlan().toString()
     print("plan", len(plan), plan.count("InMemoryTableScan"))
     assert plan.count("InMemoryTableScan") < 8
+
+
+def in_blocks(x, label, sets, sides, masks, distance=8, similarity=0.8):
+    """What block_forest makes of one tree, each two sides being one key."""
+    rows = [(a * 9 + b, sides[k], k) for a in set(sides) for b in set(sides) if a <= b for k in range(len(x)) if sides[k] in (a, b)]
+    rows.sort()
+    at = [k for _, _, k in rows]
+    arrays = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(at), *(pa.array(x[at, k].view(np.int64)) for k in range(4))]
+    batch = pa.RecordBatch.from_arrays([*arrays, pa.array(label[at]), pa.array([sets[k] for k in at], pa.list_(pa.int64()))], names=["key", "side", "node", *simhash.WORDS, "label", "shingles"])
+    return [(r["a"], r["b"]) for t in simhash.block_forest(distance, similarity, masks)(iter([batch.slice(0, 7), batch.slice(7)])) for r in t.to_pylist()]
+
+
+def joined(n, label, pairs):
+    out = label.tolist()
+    for i, j in pairs:
+        out = [min(out[i], out[j]) if v in (out[i], out[j]) else v for v in out]
+    return out
+
+
+def test_labels_of_similar_pairs_are_joined_by_a_forest():
+    rng = np.random.default_rng(3)
+    n, masks = 60, simhash.cell_masks(8, 2)
+    x = np.repeat(rng.integers(0, 2**63, (3, 4), np.uint64), n // 3, axis=0) ^ (np.uint64(1) << rng.integers(0, 63, (n, 4)).astype(np.uint64))
+    label = np.arange(n) // 20 * 20 + rng.integers(0, 18, n)
+    sets = [sorted({int(v) for v in 100 * (k // 20) + rng.integers(0, 14, 10)}) for k in range(n)]
+    sets[7] = []
+    counts = x - ((x >> np.uint64(1)) & np.uint64(simhash.PAIRS_OF_BITS))
+    pairs = []
+    for i in range(n):
+        for j in range(i + 1, n):
+            both = len(set(sets[i]) & set(sets[j]))
+            shares = any(all((int(c) ^ int(d)) & m == 0 for c, d, m in zip(counts[i], counts[j], mask)) for mask in masks)
+            if shares and simhash.wide_distance(x[i][None], x[j])[0] <= 8 and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                pairs.append((i, j))
+    want = joined(n, label, pairs)
+    assert len(set(label.tolist())) > len(set(want)) > 3
+    for sides in ([0] * n, rng.integers(0, 3, n).tolist()):
+        edges = in_blocks(x, label, sets, sides, masks)
+        assert joined(n, label, edges) == want and set((min(e), max(e)) for e in edges) <= set(pairs)
+    assert len(in_blocks(x, label, sets, [0] * n, masks)) == len(set(label.tolist())) - len(set(want))
+
+
+def test_large_trees_of_near_pairs_make_no_product(spark):
+    """Texts of one phrase and 200 parts of their own: all near, few similar; tasks make fewer rows than there are texts."""
+    rng = random.Random(8)
+    phrase = " ".join([f"p{k}" for k in range(21)] * 60)
+    texts = [" ".join([phrase, *[f"g{rng.randrange(30)}w{k}" for k in range(60)]]) for _ in range(200)]
+    texts += [t + " end" for t in texts[:5]]
+    made = []
+    old = simhash.rest_edges
+    try:
+        simhash.rest_edges = lambda *a: made.append(old(*a)) or made[-1]
+        got = {r["doc_id"]: r["component_id"] for r in simhash.link_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    finally:
+        simhash.rest_edges = old
+    assert [got[i] for i in range(len(texts))] == by_all_pairs(texts)
+    assert made and made[0].count() < len(texts)
+
+
+def test_blocks_of_a_large_tree_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 1 << 10)
+    test_links_cut_from_the_forest_are_found(spark)
