@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, normalize_doi, tokenize
+from ..session import cut
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, unicode: bool = True) -> DataFrame:
@@ -23,6 +24,15 @@ def naming_any(docs: DataFrame, text_col: str, query: str) -> DataFrame:
     return docs.where(reduce(lambda a, b: a | b, [low.contains(r["t"]) for r in terms], F.lit(False)))
 
 
+def postings_of(docs: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
+    """The postings of a query's terms only, as ``postings(..., unicode=False)`` has them: a text is searched once for all of them, not cut into words."""
+    terms = docs.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(tokenize("q", False))).alias("t")).collect()  # terms of a query
+    words = "|".join(sorted((r["t"] for r in terms), key=len, reverse=True))  # letters, digits and hyphens
+    pattern = f"(?<![a-z0-9-])(?:{words})(?![a-z0-9-])" if words else "(?!)"
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(pattern), F.lit(0))
+    return docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(found)).alias("term"))
+
+
 def inverted_index(posts: DataFrame, width: int = 1 << 16) -> DataFrame:
     """A1: (term, part) -> ordered list of documents, ``width`` ids a part: a frequent term has many bounded lists."""
     part = F.floor(F.col("doc") / width).cast("long").alias("part")
@@ -50,7 +60,7 @@ def search_idf(posts: DataFrame, query: str, n_docs: int, unicode: bool = True)
     """Q1's separate function: the same with a real inverse document frequency."""
     spark = posts.sparkSession
     terms = spark.createDataFrame([(query,)], "q string").select(F.explode(tokenize("q", unicode)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    hits = posts.join(F.broadcast(terms), "term")
+    hits = cut(posts.join(F.broadcast(terms), "term"))  # read twice
     idf = hits.groupBy("term").agg(F.log(F.lit(float(n_docs)) / F.count(F.lit(1))).alias("idf"))
     return hits.join(F.broadcast(idf), "term").groupBy("doc").agg(F.sum(F.col("n") * F.col("idf")).alias("score"))  # a row per query term
 
