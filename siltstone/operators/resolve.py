@@ -105,7 +105,9 @@ def dedupe_papers(papers: DataFrame, order_col: str = "ord", least: float = 0.9)
     with a DOI never merges into it.  Rows that are similar to no earlier row
     survive at once, and so do the rows of the pair table; only rows with a
     similar row before them are settled in rounds, a round for each link of the
-    longest chain of them.  Rounds read the pair table, not the papers.
+    longest chain of them.  Rounds read the pair table, not the papers.  Rows of
+    one title without a DOI fare alike, as a later one meets what the first met
+    and the first itself: only the first of each title is compared.
     """
     from ..functions.text import normalize_doi, normalize_title
 
@@ -113,7 +115,10 @@ def dedupe_papers(papers: DataFrame, order_col: str = "ord", least: float = 0.9)
     with_doi = rows.where("doi is not null").withColumn("into", F.min("id").over(Window.partitionBy("doi"))).select("id", "title", "into")
     plain = rows.where("doi is null").select("id", "title")
     heads = with_doi.where("id = into").select("id", "title")
-    pairs = cut(similar_titles(plain, heads.unionByName(plain), least).where("b < a and similarity > " + str(least)).select("a", "b"))
+    # Copies of a title would meet in all pairs of them; titles without grams are similar to none, not even to their copies.
+    one = lambda side: side.where(F.size(ngrams("title", 3)) > 0).groupBy("title").agg(F.min("id").alias("id")).select("id", "title")
+    firsts = cut(one(plain))
+    pairs = cut(similar_titles(firsts, one(heads).unionByName(firsts), least).where("b < a and similarity > " + str(least)).select("a", "b"))
     # 0: open, 1: survives, 2: merged.  What has no similar row before it survives from the start.
     later = pairs.select(F.col("a").alias("id")).distinct().withColumn("state", F.lit(0))
     first = pairs.select(F.col("b").alias("id")).distinct().join(later.select("id"), "id", "left_anti").withColumn("state", F.lit(1))
@@ -127,6 +132,10 @@ def dedupe_papers(papers: DataFrame, order_col: str = "ord", least: float = 0.9)
         now = F.when(F.col("state") != 0, F.col("state")).otherwise(settled)
         state = cut(step.select("id", now.alias("state"), F.when((F.col("state") == 0) & (now == 2), F.col("live")).otherwise(F.col("into")).alias("into")))
     merged = state.where("id <> into").select("id", "into")
+    if least < 1:
+        copies = plain.join(firsts.withColumnRenamed("id", "first"), "title").where("id > first").select("id", "first").distinct()
+        met = copies.join(merged.withColumnRenamed("id", "first"), "first", "left")
+        merged = cut(merged.unionByName(met.select("id", F.coalesce("into", "first").alias("into"))))
     alone = heads.select("id").unionByName(plain.select("id")).join(merged.select("id"), "id", "left_anti")
     return with_doi.where("id <> into").select("id", "into").unionByName(merged).unionByName(alone.select("id", F.col("id").alias("into")))
 

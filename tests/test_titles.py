@@ -78,3 +78,20 @@ def test_candidates_of_one_template_stay_few(spark):
     frame = spark.createDataFrame(rows, "id long, title string").select("id", resolve.ngrams("title", 3).alias("g"))
     marks = resolve._parted(frame, "id", 0.9)
     assert marks.join(marks.withColumnRenamed("id", "other"), ["level", "part", "mark"]).where("id < other").select("id", "other").distinct().count() < 3000
+
+
+def test_copies_of_a_title_do_not_meet_in_pairs(spark, monkeypatch):
+    rng, rows = random.Random(9), []
+    base = ["".join(rng.choices("abcdefghij ", k=60)) for _ in range(3)]
+    for i in range(240):
+        t = rng.choice(base) if i % 4 else "no"
+        rows.append((i, t if rng.random() < 0.9 else t[:-1] + "z", f"10.1/{rng.randint(1, 9)}" if rng.random() < 0.2 else None))
+    made, plain = [], resolve.similar_titles
+    monkeypatch.setattr(resolve, "similar_titles", lambda *a: made.append(plain(*a)) or made[-1])
+    from siltstone.functions.text import normalize_title
+
+    frame = spark.createDataFrame(rows, "ord long, title string, doi string")
+    clean = {r["ord"]: r["t"] for r in frame.select("ord", normalize_title("title").alias("t")).collect()}
+    got = resolve.dedupe_papers(frame.unionByName(spark.createDataFrame([(None, base[0], None)], frame.schema))).collect()
+    assert {r["id"]: r["into"] for r in got if r["id"] is not None} == plain_survivors([(i, clean[i], d) for i, _, d in rows])
+    assert len(got) == len(rows) + 1 and made[0].count() < 100
