@@ -75,7 +75,9 @@ def proxies_of(hyps: DataFrame, dictionary: DataFrame) -> DataFrame:
     contains a material or is part of one, without blanks and hyphens, in either case."""
     materials = hyps.select("id", F.explode("materials").alias("m")).select("id", _spelled("m").alias("m")).distinct()
     known = dictionary.select(_spelled("name").alias("k"), "proxy").distinct()
-    return materials.join(graph.either_holds(materials, "m", known, "k"), "m").join(known, "k").select("id", "proxy").distinct()
+    # Names settle their stand-ins first: an id is not multiplied by all names that meet its material.
+    met = graph.either_holds(materials, "m", known, "k").join(known, "k").select("m", "proxy").distinct()
+    return materials.join(met, "m").select("id", "proxy").distinct()
 
 
 def known_ranges(hyps: DataFrame, known: DataFrame) -> DataFrame:
