@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def running_best(frame: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
     """Best value so far."""
@@ -67,13 +69,33 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: l
     return out.select(*[c for c in left.columns], *[F.col(f"_seen.{v}").alias(v) for v in values])
 
 
+#: Rows of one side of a bucket that meet in one block, and pairs that a task tries.
+BLOCK_ROWS, TASK_PAIRS = 2048, 1 << 24
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Pairs of rows (lo, hi) whose closed intervals meet, through buckets of ``width``; right columns end with _r.
 
-    A pair is taken in the first bucket that both reach, so it comes once.
+    A pair is taken in the first bucket that both reach, so it comes once.  A full bucket is cut into blocks on both
+    sides and each two of them meet by themselves: tasks follow from the pairs to be tried, not from the size of the
+    sides, and a hot key is as many tasks as its pairs need.
     """
+    at = [*keys, "_b"]
     bucket = lambda c: F.floor(F.col(c) / width)
     spread = lambda d: d.withColumn("_b", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
-    r = right.select(*keys, *[F.col(c).alias(f"{c}_r") for c in right.columns if c not in keys], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(bucket("lo"), bucket("hi"))).alias("_b"))
-    both = spread(left).join(r, [*keys, "_b"]).where((F.col("lo") <= F.col("_hi")) & (F.col("_lo") <= F.col("hi")))
-    return both.where(F.col("_b") == F.greatest(F.floor(F.col("lo") / width), F.floor(F.col("_lo") / width))).drop("_b", "_lo", "_hi")
+    counted = [spread(d).groupBy(*at).agg(F.count(F.lit(1)).alias(n)) for d, n in ((left, "_n"), (right, "_m"))]
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    counts = cut(counted[0].join(counted[1], at).select(*at, blocks("_n").alias("_p"), blocks("_m").alias("_q"), (F.col("_n") * F.col("_m")).alias("_pairs")))
+    pairs = counts.agg(F.sum(F.col("_pairs").cast("double"))).first()[0] or 0.0
+    tasks = int(min(max(pairs / TASK_PAIRS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000))
+
+    def dealt(side: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*side.columns), F.col(own_n)).cast("int")
+        rows = spread(side).join(counts.drop("_pairs"), at).withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+        return rows.drop("_p", "_q").repartition(tasks, *at, "_i", "_j")
+
+    a = dealt(left, "_i", "_p", "_j", "_q")
+    b = dealt(right, "_j", "_q", "_i", "_p")
+    b = b.select(*at, "_i", "_j", *[F.col(c).alias(f"{c}_r") for c in right.columns if c not in keys], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    both = a.join(b, [*at, "_i", "_j"]).where((F.col("lo") <= F.col("_hi")) & (F.col("_lo") <= F.col("hi")))
+    return both.where(F.col("_b") == F.greatest(F.floor(F.col("lo") / width), F.floor(F.col("_lo") / width))).drop("_b", "_lo", "_hi", "_i", "_j")
