@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .resolve import first_wins
 
 
@@ -76,17 +79,42 @@ def link_strength(links: DataFrame, evidence: DataFrame, group: str, name: str,
     return n.withColumn("strength", F.when(F.col("n_evidence") >= 4, "high").when(F.col("n_evidence") >= 2, "medium").otherwise("low"))
 
 
+#: Properties of a structure in a block, and pairs that a task makes.
+BLOCK_PROPS, TASK_PAIRS = 1024, 1 << 23
+
+
 def unexplored_pairs(members: DataFrame, known: DataFrame, entity: str, structure: str, prop: str, asked: DataFrame | None = None) -> DataFrame:
     """Properties known for another entity of the same structure but not for this one; ``asked``: only for these entities.
 
     For all entities the result has a row for each missing pair: :func:`unexplored_counts` counts them without making them.
+    Properties lie in blocks by their hash, those of a structure and those of an entity alike: an entity's blocks meet the
+    structure's and what it has is taken out there, so pairs are made last and not shuffled.  Only pairs of entities of
+    several structures are, for two of those may give the same one.
     """
     have = known.select(entity, prop).distinct()
     of = members.select(entity, structure).distinct()
-    of_structure = of.join(have, entity).select(structure, prop).distinct()
+    of_structure = cut(of.join(have, entity).select(structure, prop).distinct())
     of = of if asked is None else of.join(asked.select(entity).distinct(), entity, "left_semi")
-    wanted = of.join(of_structure, structure).select(entity, prop).distinct()
-    return wanted.join(have, [entity, prop], "left_anti")
+    several = F.count(F.lit(1)).over(Window.partitionBy(entity)) > 1
+    of = cut(of.where(F.col(structure).isNotNull()).withColumn("_several", several))
+    sizes = of_structure.groupBy(structure).agg(F.count(F.lit(1)).alias("_n"))
+    told = of.groupBy(structure).agg(F.count(F.lit(1)).alias("_e")).join(sizes, structure).agg(F.max("_n").alias("n"), F.sum(F.col("_n").cast("double") * F.col("_e")).alias("pairs")).first()
+    n_blocks = max(math.ceil((told["n"] or 0) / BLOCK_PROPS), 1)
+    tasks = int(min(max((told["pairs"] or 0) / TASK_PAIRS, int(of.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000))
+    block = F.pmod(F.xxhash64(prop), F.lit(n_blocks)).cast("int")
+    every = F.transform(F.collect_list(F.struct(prop)), lambda x: x[prop])  # nulls as well, which a list of values leaves out
+    theirs = of_structure.groupBy(structure, block.alias("_b")).agg(every.alias("_all"))
+    own = have.join(of.select(entity).distinct(), entity, "left_semi").groupBy(entity, block.alias("_b")).agg(every.alias("_own"))
+    # A block with all entities of a structure is dealt over as many tasks as its share asks for.
+    deals = max(math.ceil(tasks * 4 / n_blocks), 1)
+    deal = F.pmod(F.xxhash64(entity), F.lit(deals)).cast("int")
+    rows = of.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(own, [entity, "_b"], "left").withColumn("_d", deal)
+    rows = rows.repartition(tasks, structure, "_b", "_d")
+    theirs = theirs.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    none = F.array().cast(own.schema["_own"].dataType)
+    out = rows.join(theirs, [structure, "_b", "_d"]).select(entity, "_several", F.explode(F.array_except("_all", F.coalesce("_own", none))).alias(prop))
+    alone, shared = out.where("not _several").drop("_several"), out.where("_several").drop("_several").distinct()
+    return alone.unionByName(shared) if not of.where("_several").isEmpty() else alone
 
 
 def unexplored_counts(members: DataFrame, known: DataFrame, entity: str, structure: str, prop: str) -> DataFrame:
