@@ -16,7 +16,9 @@ def _stated(t: Tables) -> DataFrame:
     text = F.concat(
         F.lit("The uptake of "), half, F.lit(" mmol/g at a temperature of "), (200 + F.col("p_size")).cast("string"), F.lit(" K falls; the capacity of 3.5-"), (4 + F.col("p_size")).cast("string"), F.lit(" mmol/g holds.")
     )
-    return t.part.select("p_partkey", text.alias("text"))
+    # Rows are dealt before they become texts: many parts lie in few bytes, which one task would read and search.
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return t.part.select("p_partkey", "p_size").repartition(tasks).select("p_partkey", text.alias("text"))
 
 
 VALUES = f"""SELECT p_partkey AS doc, (p_size / 2.0)::DOUBLE AS value, 'mmol/g' AS unit, {UPTAKE} || ' mmol/g' AS raw FROM part UNION ALL SELECT p_partkey, {KELVIN}, 'k', ({KELVIN}) || ' K' FROM part
