@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 from .resolve import first_wins
@@ -153,15 +157,61 @@ def _windows(c: Column, width: int) -> Column:
     return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
 
 
+def _held(low: DataFrame, names: list[str]) -> DataFrame:
+    """_id, held: for each text (_id, _text) the places in ``names`` of those that its words contain; names have no blank."""
+    place = {k: i for i, k in enumerate(names)}
+    starts = {k[:n] for k in names for n in range(1, len(k) + 1)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=100_000)
+        def inside(word: str) -> frozenset[int]:
+            found = set()
+            for i in range(len(word)):
+                n = i + 1
+                while n <= len(word) and (w := word[i:n]) in starts:
+                    if w in place:
+                        found.add(place[w])
+                    n += 1
+            return frozenset(found)
+
+        for b in batches:
+            held = [sorted(frozenset().union(*map(inside, set(text.split(" "))))) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.int32()))], ["_id", "held"])
+
+    return low.select("_id", "_text").mapInArrow(run, T.StructType([low.schema["_id"], T.StructField("held", T.ArrayType(T.IntegerType()))]))
+
+
 def named_in(texts: DataFrame, id_col: str, text_col: str, names: DataFrame, name: str) -> DataFrame:
     """(id, name): the texts that contain a name in either case, as a word, a part of one or several words.
 
-    Each name looks for its rarest window of three characters (rarest among names; a shorter name for itself) in the
-    windows of a text; only ids and names meet there, and the texts join the candidates by id, where containment is
-    checked.  Texts and names that are null or empty, and null ids, name nothing; repeated ones count once.
+    A name without a blank lies in a single word (between two blanks) of a text, so the distinct words of a text are
+    looked at, each word's names being known after it was met once; a text gives its names as one row and no pair is
+    shuffled unless ids repeat.  The others, and all if there are more than BROADCAST_NAMES, look by windows
+    (:func:`_named_by_windows`).  Texts and names that are null or empty, and null ids, name nothing; repeated ones count once.
     """
     low = texts.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_text")).where("_id is not null and _text <> ''")
     keys = names.select(F.col(name).alias("name"), F.lower(name).alias("k")).where("name <> ''").distinct()
+    words = keys.where(~F.contains("k", F.lit(" ")))
+    listed = [r["k"] for r in words.select("k").distinct().orderBy("k").limit(BROADCAST_NAMES + 1).collect()]
+    if not listed or len(listed) > BROADCAST_NAMES:
+        return _named_by_windows(low, keys)
+    spark = texts.sparkSession
+    at = F.broadcast(spark.createDataFrame(list(enumerate(listed)), "place int, k string").join(words, "k").select("place", "name"))
+    found = _held(low, listed).select(F.col("_id").alias("id"), F.explode("held").alias("place")).join(at, "place").select("id", "name")
+    ids = texts.select(F.col(id_col).alias("_id")).where("_id is not null")
+    if not ids.groupBy("_id").count().where("count > 1").isEmpty():
+        found = found.distinct()
+    phrases = keys.where(F.contains("k", F.lit(" ")))
+    return found if phrases.isEmpty() else found.unionByName(_named_by_windows(low, phrases))
+
+
+def _named_by_windows(low: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, name) of texts (_id, _text) and names (name, k) in lower case.
+
+    Each name looks for its rarest window of three characters (rarest among names; a shorter name for itself) in the
+    windows of a text; only ids and names meet there, and the texts join the candidates by id, where containment is
+    checked.
+    """
     grams = keys.select("name", "k", F.explode(F.when(F.length("k") < 3, F.array("k")).otherwise(F.array_distinct(_windows(F.col("k"), 3)))).alias("g"))
     held = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     head = grams.join(held, "g").groupBy("name", "k").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
