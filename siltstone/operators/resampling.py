@@ -73,8 +73,11 @@ def slack_grid(points: DataFrame, key: str, t: str, e: str, thetas: list[float])
 #: Bounds of theta and of the coupling; how many starts are followed, and how many thetas a bracket gets in a round.
 THETA_BOUNDS, COUPLING_BOUNDS, STARTS, RUNGS = (5.0, 10000.0), (1e-9, 100.0), 4, 17
 
+#: Rows of temperatures and thetas that a task of a round makes.
+TASK_ROWS = 1 << 24
 
-def _slack_errors(sums: DataFrame, tried: DataFrame) -> DataFrame:
+
+def _slack_errors(sums: DataFrame, tried: DataFrame, tasks: int) -> DataFrame:
     """_key, start, theta, e0, s, sse of every theta tried: e0 and s from the normal equations, which are grouped sums.
 
     ``sums`` has a row for each temperature of a group: t, n, sum and sum of
@@ -82,7 +85,7 @@ def _slack_errors(sums: DataFrame, tried: DataFrame) -> DataFrame:
     """
     u = F.col("theta") / F.col("t")
     g = 8.617333262e-5 * F.col("theta") * F.when(u > 700, 0.0).otherwise(2 / F.expm1(F.least(u, F.lit(700.0))))
-    rows = sums.join(tried, "_key").withColumn("g", g)
+    rows = sums.repartition(tasks, "_key").join(tried.repartition(tasks, "_key"), "_key").withColumn("g", g)
     total = rows.groupBy("_key", "start", "theta").agg(
         F.sum("n").alias("n"), F.sum("sy").alias("y"), F.sum("syy").alias("yy"), F.sum(F.col("n") * F.col("g")).alias("g"), F.sum(F.col("n") * F.col("g") ** 2).alias("gg"), F.sum(F.col("sy") * F.col("g")).alias("yg")
     )
@@ -110,10 +113,13 @@ def slack_fit(points: DataFrame, key: str, t: str, e: str, rounds: int = 9, leas
     means = rows.groupBy("_key").agg(F.avg("e").alias("_mean"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     y = F.col("e") - F.col("_mean")
     sums = cut(rows.join(means, "_key").groupBy("_key", "t").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")))
+    # Every temperature of a group becomes a row for each theta: tasks follow from those rows, not from the few bytes before.
+    rungs = max(120, STARTS * RUNGS)
+    tasks = int(min(max(sums.count() * rungs / TASK_ROWS, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000))
     low, high = (math.log(x) for x in THETA_BOUNDS)
     width = (high - low) / 119
     ladder = F.explode(F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: F.exp(F.lit(low) + i * width)))
-    first = _slack_errors(sums, means.select("_key", F.lit(0).alias("start"), ladder.alias("theta")))
+    first = _slack_errors(sums, means.select("_key", F.lit(0).alias("start"), ladder.alias("theta")), tasks)
     w = Window.partitionBy("_key").orderBy("theta")
     bottoms = first.withColumns({"_b": F.lag("sse").over(w), "_a": F.lead("sse").over(w)}).where("(_b IS NULL OR sse <= _b) AND (_a IS NULL OR sse <= _a)")
     best = capped(bottoms, ["_key"], [F.col("sse"), F.col("theta")], STARTS)
@@ -121,7 +127,7 @@ def slack_fit(points: DataFrame, key: str, t: str, e: str, rounds: int = 9, leas
     for _ in range(rounds):
         rung = F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNGS - 1)), lambda i: F.col("at") + F.col("half") * (i * (2.0 / (RUNGS - 1)) - 1)))
         tried = brackets.select("_key", "start", "half", rung.alias("at")).where(F.col("at").between(low - 1e-12, high + 1e-12)).withColumn("theta", F.exp("at"))
-        errors = _slack_errors(sums, tried.select("_key", "start", "theta"))
+        errors = _slack_errors(sums, tried.select("_key", "start", "theta"), tasks)
         better = errors.groupBy("_key", "start").agg(F.min_by(F.struct("theta", "e0", "s", "sse", "n", "yy"), F.struct("sse", "theta")).alias("b"))
         width /= (RUNGS - 1) / 2
         brackets = cut(better.select("_key", "start", F.log("b.theta").alias("at"), F.lit(width).alias("half"), "b"))
