@@ -23,8 +23,6 @@ from ..session import cut
 from . import extract, resolve
 
 PAIR = "struct<kind:string,x:double,y:double>"
-#: How many pairs of a block, points of a document, and candidates of each side are kept.
-PER_BLOCK, PER_DOC, PER_SIDE = 60, 200, 12
 
 
 def each(rows: DataFrame, keys: list[str], array: Column, pos: str, value: str) -> DataFrame:
@@ -150,7 +148,7 @@ def bare_values(text: Column, low: Column, high: Column) -> Column:
 
 
 def sentence_pairs(blocks: DataFrame, keys: list[str], y_unit: Column, text: str = "text", ends: str = fixed.POINT_SENTENCE) -> DataFrame:
-    """U16: keys, place, kind, x, y: "from A to B" of x with the "from A to B" of y in the same place, and as many values of x as of y (four at most) in order.
+    """U16: keys, place, kind, x, y: "from A to B" of x with the "from A to B" of y in the same place, and as many values of x as of y in order.
 
     ``ends`` parts sentences; the fixed one also parts at a decimal point.
     """
@@ -171,7 +169,7 @@ def sentence_pairs(blocks: DataFrame, keys: list[str], y_unit: Column, text: str
 
     both = F.filter(F.arrays_zip(xa.alias("xa"), xb.alias("xb"), xu.alias("u"), ya.alias("ya"), yb.alias("yb")), lambda z: z["xa"].isNotNull() & z["ya"].isNotNull())
     rows = sentences.withColumn("_ranges", F.flatten(F.transform(both, ranges))).withColumn("_x", structure_values(t, False)).withColumn("_y", unit_values(t, y_unit))
-    equal = (F.size("_x") == F.size("_y")) & F.size("_x").between(1, 4)
+    equal = F.size("_x") == F.size("_y")
     zipped = F.zip_with("_x", "_y", lambda x, y: F.struct(x["kind"].alias("kind"), x["x"].alias("x"), y.alias("y")).cast(PAIR))
     pairs = F.concat("_ranges", F.when(equal, zipped).otherwise(F.array().cast(f"array<{PAIR}>")))
     return each(rows, [*keys, "_s"], pairs, "_p", "pair").select(*keys, (F.col("_s") * 1000 + F.col("_p")).alias("place"), "pair.*")
@@ -202,7 +200,7 @@ def related_blocks(blocks: DataFrame, materials: str | None) -> DataFrame:
 
 
 def literature_points(
-    docs: DataFrame, id_col: str, text_col: str, prop: Column | str, materials: str | None = None, carry: tuple[str, ...] = (), ends: str = fixed.POINT_SENTENCE, least: int = 3, per_block: int = PER_BLOCK, per_doc: int = PER_DOC
+    docs: DataFrame, id_col: str, text_col: str, prop: Column | str, materials: str | None = None, carry: tuple[str, ...] = (), ends: str = fixed.POINT_SENTENCE, least: int = 3, per_doc: int | None = None
 ) -> DataFrame:
     """Doc, block, x_kind, x, y, provenance, y_unit of each document's points.
 
@@ -210,7 +208,8 @@ def literature_points(
     composition range (band gaps only), and every x with every y of a block (not
     for figures of merit), whose candidates the tables back-fill.  A pair counts
     once, where it comes first; the kind of x with most pairs and ``least``
-    distinct x stays.  ``prop`` is a literal or a column of ``docs``.
+    distinct x stays, with all of its points (``per_doc``: the first so many by
+    x and y).  ``prop`` is a literal or a column of ``docs``.
     """
     literal = isinstance(prop, str)
     prop = F.lit(prop) if literal else prop
@@ -232,7 +231,7 @@ def literature_points(
     tables = table_pairs(blocks.select(*keys, "text", "y_unit", "wanted"), keys, y_unit, wanted, carry)
     tables = resolve.first_wins(tables, [*keys, "kind", "x", "y"], [F.col("table"), F.col("line")])
     sentences = sentence_pairs(blocks.select(*keys, "text", "y_unit"), keys, y_unit, ends=ends)
-    listed = lambda frame, order: F.slice(F.array_sort(F.collect_list(F.struct(*order, F.struct("kind", "x", "y").cast(PAIR).alias("pair")))), 1, per_block)
+    listed = lambda frame, order: F.array_sort(F.collect_list(F.struct(*order, F.struct("kind", "x", "y").cast(PAIR).alias("pair"))))
     of_tables = tables.groupBy(*keys).agg(listed(tables, ["table", "line"]).alias("_t"))
     of_sentences = sentences.groupBy(*keys).agg(listed(sentences, ["place"]).alias("_s"))
 
@@ -254,17 +253,18 @@ def literature_points(
     # Back-fill: what tables say joins the candidates of the text.
     all_x = F.concat("_x", F.array_except("_tx", "_x"), axis("_ends"))
     all_y = F.concat("_y", F.array_except("_ty", "_y"), F.transform("_ends", lambda p: p["y"]))
-    rows = rows.withColumns({"_all_x": F.slice(all_x, 1, PER_SIDE), "_all_y": F.slice(all_y, 1, PER_SIDE)})
+    rows = rows.withColumns({"_all_x": F.array_distinct(all_x), "_all_y": F.array_distinct(all_y)})
     crossed = let(F.struct("_all_x", "_all_y"), lambda b: F.flatten(F.transform(b["_all_x"], lambda x: F.transform(b["_all_y"], lambda y: F.struct(x["kind"].alias("kind"), x["x"].alias("x"), y.alias("y")).cast(PAIR)))))
-    rest = F.when(F.col("merit"), no_pairs).otherwise(F.slice(crossed, 1, per_block))
+    rest = F.when(F.col("merit"), no_pairs).otherwise(crossed)
     way = lambda pairs, provenance: F.transform(pairs, lambda p: F.struct(p["kind"].alias("kind"), p["x"].alias("x"), p["y"].alias("y"), provenance.alias("provenance")))
     every = F.concat(way("_t", F.lit("table")), way("_s", F.lit("sequence")), way("_ends", F.lit("sequence")), way(rest, F.when(F.col("_implicit"), "implicit").otherwise("explicit")))
-    pairs = each(rows.select(*keys, F.slice(every, 1, per_block).alias("_every")), keys, F.col("_every"), "place", "p").select(*keys, "place", "p.*")
+    pairs = each(rows.select(*keys, every.alias("_every")), keys, F.col("_every"), "place", "p").select(*keys, "place", "p.*")
     pairs = resolve.first_wins(pairs, ["doc", "kind", "x", "y"], [F.col("block"), F.col("place")])
     pairs = cut(pairs)  # read for the kinds and for the points
     kinds = pairs.groupBy("doc", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("nx"), F.min(F.struct("x", "y")).alias("first"))
     best = resolve.first_wins(kinds.where(F.col("nx") >= least), ["doc"], [F.col("n").desc(), F.col("first")]).select("doc", "kind")
-    points = resolve.capped(pairs.join(best, ["doc", "kind"]), ["doc"], [F.col("x"), F.col("y")], per_doc)
+    points = pairs.join(best, ["doc", "kind"])
+    points = points if per_doc is None else resolve.capped(points, ["doc"], [F.col("x"), F.col("y")], per_doc)
     return points.join(blocks.select("doc", "y_unit").distinct(), "doc").select("doc", "block", F.col("kind").alias("x_kind"), "x", "y", "provenance", "y_unit")
 
 
