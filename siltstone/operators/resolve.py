@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, let, ngrams
+from ..functions.text import let, ngrams
 from ..session import cut
 
 
@@ -80,8 +80,8 @@ def _rare(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     return prefix(a, "a").join(prefix(b, "b"), "x").select("a", "b")
 
 
-def similar_titles(left: DataFrame, right: DataFrame, least: float = 0.9, n: int = 3) -> DataFrame:
-    """Pairs (a, b, similarity) with n-gram Jaccard of at least ``least``.
+def similar_titles(left: DataFrame, right: DataFrame, least: float = 0.9, n: int = 3, earlier: bool = False) -> DataFrame:
+    """Pairs (a, b, similarity) with n-gram Jaccard of at least ``least``; ``earlier``: of those only the ones whose b is less than a.
 
     Both sides have (id, title); an id has one title.  From BY_PARTS on, sets
     meet where a hashed part of one is the same in the other, so titles that
@@ -93,7 +93,10 @@ def similar_titles(left: DataFrame, right: DataFrame, least: float = 0.9, n: int
     sets = [cut(side.repartition(tasks, "id").select("id", ngrams("title", n).alias("g"))) for side in ([left] if right is left else [left, right])]  # read three times each
     a, b = sets[0].withColumnRenamed("id", "a"), sets[-1].withColumnRenamed("id", "b")
     met = _parted(a, "a", least).join(_parted(b, "b", least), ["level", "part", "mark"]).select("a", "b") if least >= BY_PARTS else _rare(a, b, least)
-    scored = met.distinct().join(a.withColumnRenamed("g", "ga"), "a").join(b.withColumnRenamed("g", "gb"), "b").select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity"))
+    met = (met.where("b < a") if earlier else met).distinct()
+    both = met.join(a.withColumnRenamed("g", "ga"), "a").join(b.withColumnRenamed("g", "gb"), "b")
+    shared, sizes = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")  # sets, so their union needs no search
+    scored = both.select("a", "b", let(F.struct(shared.alias("n"), sizes.alias("of")), lambda x: F.coalesce(F.try_divide(x["n"], x["of"] - x["n"]), F.lit(0.0))).alias("similarity"))
     return scored.where(F.col("similarity") >= least)
 
 
@@ -111,14 +114,15 @@ def dedupe_papers(papers: DataFrame, order_col: str = "ord", least: float = 0.9)
     """
     from ..functions.text import normalize_doi, normalize_title
 
-    rows = papers.select(F.col(order_col).alias("id"), normalize_title("title").alias("title"), normalize_doi("doi").alias("doi"))
+    # Read for titles, for heads, for copies and for what is alone: normalised once, and not wherever a gram of a title is named.
+    rows = cut(papers.select(F.col(order_col).alias("id"), normalize_title("title").alias("title"), normalize_doi("doi").alias("doi")))
     with_doi = rows.where("doi is not null").withColumn("into", F.min("id").over(Window.partitionBy("doi"))).select("id", "title", "into")
     plain = rows.where("doi is null").select("id", "title")
     heads = with_doi.where("id = into").select("id", "title")
     # Copies of a title would meet in all pairs of them; titles without grams are similar to none, not even to their copies.
-    one = lambda side: side.where(F.size(ngrams("title", 3)) > 0).groupBy("title").agg(F.min("id").alias("id")).select("id", "title")
+    one = lambda side: side.where(F.length("title") >= 3).groupBy("title").agg(F.min("id").alias("id")).select("id", "title")
     firsts = cut(one(plain))
-    pairs = cut(similar_titles(firsts, one(heads).unionByName(firsts), least).where("b < a and similarity > " + str(least)).select("a", "b"))
+    pairs = cut(similar_titles(firsts, one(heads).unionByName(firsts), least, 3, True).where("similarity > " + str(least)).select("a", "b"))
     # 0: open, 1: survives, 2: merged.  What has no similar row before it survives from the start.
     later = pairs.select(F.col("a").alias("id")).distinct().withColumn("state", F.lit(0))
     first = pairs.select(F.col("b").alias("id")).distinct().join(later.select("id"), "id", "left_anti").withColumn("state", F.lit(1))
