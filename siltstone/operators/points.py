@@ -1,11 +1,11 @@
 """Points (x, y) of a property out of texts: tables column by column, sequences, sentences, and what is left over.
 
-A text is cut into blocks; everything else is rows.  Lines of tables are
-exploded to cells, a table's head is the first line whose cells name an x and a
-y, and windows over lines carry the head (and, where asked, the last known value
-of a column) down to the rows below it.  Sentences and numbers are matched by
-built-in functions over whole blocks.  No step holds more than a block at once,
-and the only shuffles are by document and block.
+A text is cut into blocks, and what a block says is read inside its row, by
+built-in functions over arrays: lines of tables become cells, a table's head is
+the first line whose cells name an x and a y, and the rows below it give pairs.
+Only pairs become rows of their own.  So a text is shuffled by nothing here, and
+pairs only if the documents do not lie by their id already; every x of a block
+meets every y in rows, never in an array.
 
 Edge cases: a null or empty text has no points; ragged rows lack the cells they
 lack; a document without a dominant unit, or whose kinds of x all have too few
@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import accepted_units, let, unit_b, unit_range
-from ..session import cut
 from . import extract, resolve
 
 PAIR = "struct<kind:string,x:double,y:double>"
+#: Kinds of x, and how a pair was found; of equal pairs of a document the first in the text stays.
+KINDS, WAYS = ("temperature", "pressure", "composition", "percentage"), ("table", "sequence", "explicit", "implicit")
 
 
 def each(rows: DataFrame, keys: list[str], array: Column, pos: str, value: str) -> DataFrame:
@@ -30,68 +31,106 @@ def each(rows: DataFrame, keys: list[str], array: Column, pos: str, value: str)
     return rows.select(*keys, F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())
 
 
-def block_cells(blocks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """U6 by rows: keys, table (number in the block), line, col, cell of every cell of every table; rules (| --- |) are left out."""
-    lines = each(blocks, keys, F.split(text, "\n"), "line", "s").withColumn("s", F.trim("s"))
-    is_row = F.col("s").startswith("|") & (F.regexp_count("s", F.lit(r"\|")) >= 2)
-    # Lines of one table have as many other lines before them.
-    before = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("table", F.count_if(~is_row).over(before)).where(is_row)
-    cells = F.transform(F.split(F.regexp_replace("s", r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
-    rule = F.forall(cells, lambda c: (c == "") | c.rlike(r"^:?-{2,}:?$"))
-    return each(rows.where(~rule), [*keys, "table", "line"], cells, "col", "cell")
+def once(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The columns ``keep`` and new ones, each computed once a row: Spark copies no expression over a generator, but does over a projection."""
+    one = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return rows.select(*keep, F.explode_outer(one).alias("_once")).select(*keep, "_once.*")
 
 
-def table_heads(cells: DataFrame, keys: list[str], y_unit: Column, wanted: Column) -> DataFrame:
-    """Of each table the first line that names an x and a y: keys, table, head, x_col, x_kind, y_col.
+def tables_of(text: Column) -> Column:
+    """The tables of a text, each an array of struct(line, cells) without its rules (| --- |)."""
+    is_row = lambda s: s.startswith("|") & (F.regexp_count(s, F.lit(r"\|")) >= 2)
+    # A row with its number before it; other lines are empty, so tables lie between empty lines.
+    numbered = F.transform(F.split(text, "\n"), lambda s, i: let(F.trim(s), lambda s: F.when(is_row(s), F.concat(i.cast("string"), s)).otherwise("")))
+    tables = F.split(F.regexp_replace(F.array_join(numbered, "\n"), r"^\n+|\n+$", ""), r"\n\n+")
+    cells = lambda s: F.transform(F.split(F.regexp_replace(s, r"^\d+\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+    rows = lambda table: F.transform(F.split(table, "\n"), lambda s: F.struct(F.substring_index(s, "|", 1).try_cast("int").alias("line"), cells(s).alias("cells")))
+    rule = lambda r: F.forall(r["cells"], lambda c: (c == "") | c.rlike(r"^:?-{2,}:?$"))
+    return F.transform(tables, lambda table: F.filter(rows(table), lambda r: ~rule(r)))
+
+
+HEAD = "struct<at:int,x_col:int,x_kind:string,y_col:int>"
+
+
+def table_head(rows: Column, y_unit: Column, wanted: Column) -> Column:
+    """Of a table the first line that names an x and a y, as struct(at, x_col, x_kind, y_col); null if none does.  Lines behind it are not looked at.
 
     ``wanted``: the units of the property (empty: any).  The last column that
     names an x counts, and the first that names a y.
     """
-    low, inside = F.lower("cell"), F.regexp_extract("cell", fixed.BRACKETED, 1)
-    unit = F.when(F.col("cell").rlike(fixed.BRACKETED), unit_b(inside))
     filtered = F.size(wanted) > 0
-    known = unit_range(F.coalesce(unit, F.lit(""))).isNotNull()
-    y_like = F.coalesce(F.when(filtered, F.array_contains(wanted, unit)).otherwise(known), F.lit(False))
-    is_x = F.coalesce(unit.isin("k", "bar", "atm", "kpa"), F.lit(False)) | (low.rlike(fixed.X_HEAD) & ~y_like)
-    kind = (
-        F.when(unit == "k", "temperature").when(unit.isin("bar", "atm", "kpa") | low.rlike(fixed.PRESSURE_HEAD), "pressure").when(low.rlike(fixed.COMPOSITION_HEAD), "composition").otherwise("temperature")
-    )
-    by_unit = F.coalesce(F.when(filtered, F.array_contains(wanted, unit)).otherwise(unit == y_unit), F.lit(False))
-    by_word = low.rlike(fixed.Y_HEAD) & ((y_unit != "dimensionless") | low.rlike(fixed.MERIT_HEAD))
-    marked = cells.where("cell <> ''").select(*keys, "table", "line", "col", is_x.alias("is_x"), kind.alias("kind"), (~is_x & (by_unit | by_word)).alias("is_y"))
-    heads = marked.groupBy(*keys, "table", "line").agg(
-        F.max(F.when(F.col("is_x"), F.struct("col", "kind"))).alias("x"), F.min(F.when(F.col("is_y"), F.col("col"))).alias("y_col")
-    )
-    named = heads.where("x IS NOT NULL AND y_col IS NOT NULL")
-    first = named.groupBy(*keys, "table").agg(F.min(F.struct(F.col("line").alias("head"), F.col("x.col").alias("x_col"), F.col("x.kind").alias("x_kind"), "y_col")).alias("h"))
-    return first.select(*keys, "table", "h.*")
 
+    def named(c: Column, col: Column) -> Column:
+        def of(h: Column) -> Column:
+            unit, low = h["unit"], h["low"]
+            known = unit_range(F.coalesce(unit, F.lit(""))).isNotNull()
+            y_like = F.coalesce(F.when(filtered, F.array_contains(wanted, unit)).otherwise(known), F.lit(False))
+            is_x = F.coalesce(unit.isin("k", "bar", "atm", "kpa"), F.lit(False)) | (low.rlike(fixed.X_HEAD) & ~y_like)
+            kind = (
+                F.when(unit == "k", "temperature").when(unit.isin("bar", "atm", "kpa") | low.rlike(fixed.PRESSURE_HEAD), "pressure").when(low.rlike(fixed.COMPOSITION_HEAD), "composition").otherwise("temperature")
+            )
+            by_unit = F.coalesce(F.when(filtered, F.array_contains(wanted, unit)).otherwise(unit == y_unit), F.lit(False))
+            by_word = low.rlike(fixed.Y_HEAD) & ((y_unit != "dimensionless") | low.rlike(fixed.MERIT_HEAD))
+            given = low != ""
+            return F.struct(col.alias("col"), F.when(given & is_x, kind).alias("kind"), (given & ~is_x & (by_unit | by_word)).alias("is_y"))
 
-def table_pairs(blocks: DataFrame, keys: list[str], y_unit: Column, wanted: Column, carry: tuple[str, ...] = (), text: str = "text") -> DataFrame:
-    """Keys, table, line, kind, x, y of the rows below each table's head.
+        return let(F.struct(F.when(c.rlike(fixed.BRACKETED), unit_b(F.regexp_extract(c, fixed.BRACKETED, 1))).alias("unit"), F.lower(c).alias("low")), of)
+
+    def head(cells: Column, at: Column) -> Column:
+        def of(names: Column) -> Column:
+            x = F.array_max(F.transform(F.filter(names, lambda n: n["kind"].isNotNull()), lambda n: F.struct(n["col"].alias("col"), n["kind"].alias("kind"))))
+            y = F.array_min(F.transform(F.filter(names, lambda n: n["is_y"]), lambda n: n["col"]))
+            both = let(F.struct(x.alias("x"), y.alias("y")), lambda b: F.when(b["x"].isNotNull() & b["y"].isNotNull(), F.struct(at.alias("at"), b["x"]["col"].alias("x_col"), b["x"]["kind"].alias("x_kind"), b["y"].alias("y_col"))))
+            return both.cast(HEAD)
+
+        return let(F.transform(cells, named), of)
+
+    state = f"struct<n:int,head:{HEAD}>"
+    step = lambda s, r: F.when(s["head"].isNotNull(), s).otherwise(F.struct((s["n"] + 1).alias("n"), head(r["cells"], s["n"]).alias("head")).cast(state))
+    return F.aggregate(rows, F.struct(F.lit(0).alias("n"), F.lit(None).cast(HEAD).alias("head")).cast(state), step, lambda s: s["head"])
+
+
+def filled_down(cells: Column) -> Column:
+    """Empty and missing cells as the last one above that is neither; null before the first.  Cells hold no line feed."""
+    told = F.concat(F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), "\n"), F.lit("\n"))
+    runs = F.transform(F.regexp_extract_all(told, F.lit(r"[^\n]+\n+"), F.lit(0)), lambda m: let(F.rtrim(m, F.lit("\n")), lambda c: F.array_repeat(c, F.length(m) - F.length(c))))
+    return F.concat(F.array_repeat(F.lit(None).cast("string"), F.length(F.regexp_extract(told, r"^\n*", 0))), F.flatten(runs))
+
+
+def pairs_of_tables(text: Column, y_unit: Column, wanted: Column, carry: tuple[str, ...] = ()) -> Column:
+    """array<struct(table, line, kind, x, y)> of the rows below each table's head, in order.
 
     Cells in degrees Celsius become kelvin, in kPa bar.  Columns named in
     ``carry`` ("x", "y") are half empty: an empty cell repeats the last value
     above it in its table, as a merged cell is read.  Otherwise a row without
     both numbers gives no pair.
     """
-    cells = block_cells(blocks, keys, text)
-    extra = [c for c in blocks.columns if c not in (*keys, text)]
-    heads = table_heads(cells.join(blocks.select(*keys, *extra), keys) if extra else cells, keys, y_unit, wanted)
-    rows = cells.join(heads, [*keys, "table"]).where("line > head").groupBy(*keys, "table", "line", "x_kind").agg(
-        F.max(F.when(F.col("col") == F.col("x_col"), F.col("cell"))).alias("x_cell"), F.max(F.when(F.col("col") == F.col("y_col"), F.col("cell"))).alias("y_cell")
-    )
-    above = Window.partitionBy(*keys, "table").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    for side in carry:
-        rows = rows.withColumn(f"{side}_cell", F.last(F.nullif(f"{side}_cell", F.lit("")), ignorenulls=True).over(above))
     number = lambda c: F.regexp_extract(c, r"\d+(?:\.\d+)?", 0).try_cast("double")
-    low = F.lower("x_cell")
-    x = number("x_cell")
-    x = F.when(F.col("x_kind") == "temperature", F.round(x + F.when(low.contains("°c") | low.contains("℃"), 273.15).otherwise(0.0), 3)).otherwise(
-        F.round(F.when((F.col("x_kind") == "pressure") & low.contains("kpa"), x / 100).otherwise(x), 5)
-    )
-    return rows.select(*keys, "table", "line", F.col("x_kind").alias("kind"), x.alias("x"), number("y_cell").alias("y")).where("x IS NOT NULL AND y > 0 AND y < 1e6")
+
+    def pair(r: Column, table: Column, kind: Column) -> Column:
+        low, x = F.lower(r["x"]), number(r["x"])
+        x = F.when(kind == "temperature", F.round(x + F.when(low.contains("°c") | low.contains("℃"), 273.15).otherwise(0.0), 3)).otherwise(
+            F.round(F.when((kind == "pressure") & low.contains("kpa"), x / 100).otherwise(x), 5)
+        )
+        return F.struct(table.alias("table"), r["line"].alias("line"), kind.alias("kind"), x.alias("x"), number(r["y"]).alias("y"))
+
+    def below(rows: Column, table: Column) -> Column:
+        def of(h: Column) -> Column:
+            under = F.slice(rows, h["at"] + 2, F.size(rows))
+            column = lambda side: F.transform(under, lambda r: F.get(r["cells"], h[f"{side}_col"]))
+            sides = [(filled_down(column(side)) if side in carry else column(side)).alias(side) for side in ("x", "y")]
+            pairs = F.transform(F.arrays_zip(F.transform(under, lambda r: r["line"]).alias("line"), *sides), lambda r: pair(r, table, h["x_kind"]))
+            return F.when(h.isNotNull(), F.filter(pairs, lambda p: p["x"].isNotNull() & (p["y"] > 0) & (p["y"] < 1e6)))
+
+        found = let(table_head(rows, y_unit, wanted), of)
+        return F.coalesce(found, F.array().cast("array<struct<table:int,line:int,kind:string,x:double,y:double>>"))
+
+    return F.flatten(F.transform(tables_of(text), below))
+
+
+def table_pairs(blocks: DataFrame, keys: list[str], y_unit: Column, wanted: Column, carry: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """keys, table, line, kind, x, y of :func:`pairs_of_tables`."""
+    return each(blocks, keys, pairs_of_tables(F.col(text), y_unit, wanted, carry), "_p", "pair").select(*keys, "pair.*")
 
 
 def matches(text: Column, pattern: str, groups: int) -> Column:
@@ -147,19 +186,11 @@ def bare_values(text: Column, low: Column, high: Column) -> Column:
     return F.filter(numbers, lambda v: v.between(low, high) & ~((v == F.floor(v)) & (v > 10000)))
 
 
-def sentence_pairs(blocks: DataFrame, keys: list[str], y_unit: Column, text: str = "text", ends: str = fixed.POINT_SENTENCE) -> DataFrame:
-    """U16: keys, place, kind, x, y: "from A to B" of x with the "from A to B" of y in the same place, and as many values of x as of y in order.
-
-    ``ends`` parts sentences; the fixed one also parts at a decimal point.
-    """
-    extra = [c for c in blocks.columns if c not in (*keys, text)]
-    sentences = each(blocks, [*keys, *extra], F.split(F.lower(text), ends), "_s", "_raw").withColumn("_t", F.trim(F.regexp_replace("_raw", r"^\s+|\s+$", "")))
-    sentences = sentences.where(F.length("_t") >= 8)
-    t = F.col("_t")
+def pairs_of_sentence(t: Column, y_unit: Column) -> Column:
+    """U16: array<PAIR> of a sentence in lower case: "from A to B" of x with the "from A to B" of y, and as many values of x as of y in order."""
     spelled = F.array_join(F.regexp_extract_all(y_unit, F.lit(r"[a-z]+|\d+|%|[^\x00-\x7F]"), F.lit(0)), r"[\s/]*")
     y_range = F.concat(F.lit(r"(?i)\bfrom\s+(\d+(?:\.\d+)?)\s+to\s+(\d+(?:\.\d+)?)\s*"), spelled, F.lit(r"(?!\w)"))
-    told = t.contains("from")  # sentences are in lower case
-    group = lambda pattern, g: F.when(told, F.regexp_extract_all(t, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(g))).otherwise(F.array().cast("array<string>"))
+    group = lambda pattern, g: F.regexp_extract_all(t, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(g))
     xa, xb, xu, ya, yb = group(fixed.X_FROM_TO, 1), group(fixed.X_FROM_TO, 2), group(fixed.X_FROM_TO, 3), group(y_range, 1), group(y_range, 2)
 
     def ranges(z: Column) -> Column:
@@ -167,36 +198,46 @@ def sentence_pairs(blocks: DataFrame, keys: list[str], y_unit: Column, text: str
         kind = F.when(warm, "temperature").otherwise("pressure")
         return F.array(*[F.struct(kind.alias("kind"), F.round(z[x].cast("double") + F.when(hot, 273.15).otherwise(0.0), 5).alias("x"), z[y].cast("double").alias("y")).cast(PAIR) for x, y in (("xa", "ya"), ("xb", "yb"))])
 
+    none = F.array().cast(f"array<{PAIR}>")
     both = F.filter(F.arrays_zip(xa.alias("xa"), xb.alias("xb"), xu.alias("u"), ya.alias("ya"), yb.alias("yb")), lambda z: z["xa"].isNotNull() & z["ya"].isNotNull())
-    rows = sentences.withColumn("_ranges", F.flatten(F.transform(both, ranges))).withColumn("_x", structure_values(t, False)).withColumn("_y", unit_values(t, y_unit))
-    equal = F.size("_x") == F.size("_y")
-    zipped = F.zip_with("_x", "_y", lambda x, y: F.struct(x["kind"].alias("kind"), x["x"].alias("x"), y.alias("y")).cast(PAIR))
-    pairs = F.concat("_ranges", F.when(equal, zipped).otherwise(F.array().cast(f"array<{PAIR}>")))
-    return each(rows, [*keys, "_s"], pairs, "_p", "pair").select(*keys, (F.col("_s") * 1000 + F.col("_p")).alias("place"), "pair.*")
-
-
-def dominant_unit(blocks: DataFrame, wanted: Column, merit: Column) -> DataFrame:
-    """doc, y_unit: the unit most values have (of equals the one met first); where none has one, the unit most heads name; "dimensionless" for a figure of merit."""
-    at = F.col("block").cast("long") * (1 << 32) + F.col("k")
-    fits = (F.size(wanted) == 0) | F.array_contains(wanted, F.col("unit"))
-    shown = blocks.where(~merit).select("doc", "block", wanted.alias("wanted"), F.posexplode(F.regexp_extract_all("text", F.lit(fixed.POINT_VALUE), F.lit(2))).alias("k", "raw"))
-    shown = shown.withColumn("unit", unit_b("raw")).where(fits)
-    heads = blocks.where(~merit).select("doc", "block", wanted.alias("wanted"), F.posexplode(F.regexp_extract_all("text", F.lit(r"\(([^)]+)\)"), F.lit(1))).alias("k", "raw"))
-    heads = heads.withColumn("unit", unit_b("raw")).where(fits & unit_range("unit").isNotNull())
-    bare = blocks.where(merit).select("doc", "block", F.lit(0).alias("k"), F.lit("dimensionless").alias("unit"), bare_values(F.lower("text"), F.lit(0.01), F.lit(20.0)).alias("n")).where(F.size("n") > 0)
-    shown, heads, bare = (x.select("doc", "unit", at.alias("at")) for x in (shown, heads, bare))
-    every = shown.select("doc", "unit", "at", F.lit(0).alias("rank")).unionByName(heads.withColumn("rank", F.lit(1))).unionByName(bare.withColumn("rank", F.lit(0)))
-    n = every.groupBy("doc", "rank", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    return n.groupBy("doc").agg(F.max_by("unit", F.struct(-F.col("rank"), F.col("n"), -F.col("first"))).alias("y_unit"))
-
-
-def related_blocks(blocks: DataFrame, materials: str | None) -> DataFrame:
-    """The blocks that name a material of the document (column of lower-case words), if three or more do; else all."""
-    if not materials:
-        return blocks
-    hit = F.exists(F.filter(F.coalesce(materials, F.array().cast("array<string>")), lambda w: F.length(w) >= 3), lambda w: F.contains(F.lower("text"), w))
-    counted = blocks.withColumn("_hit", hit).withColumn("_n", F.count_if("_hit").over(Window.partitionBy("doc")))
-    return counted.where((F.col("_n") < 3) | F.col("_hit")).drop("_hit", "_n", materials)
+    told = F.when(t.contains("from"), F.flatten(F.transform(both, ranges))).otherwise(none)  # sentences are in lower case
+    pair = lambda x, y: F.struct(x["kind"].alias("kind"), x["x"].alias("x"), y.alias("y")).cast(PAIR)
+    zipped = lambda v: F.when(F.size(v["x"]) == F.size(v["y"]), F.zip_with(v["x"], v["y"], pair)).otherwise(none)
+    return F.concat(told, let(F.struct(structure_values(t, False).alias("x"), unit_values(t, y_unit).alias("y")), zipped))
+
+
+def sentences_of(text: Column, ends: str) -> Column:
+    """The sentences of a text, in lower case and trimmed; one of fewer than eight characters is empty."""
+    return F.transform(F.split(F.lower(text), ends), lambda s: let(F.trim(F.regexp_replace(s, r"^\s+|\s+$", "")), lambda t: F.when(F.length(t) >= 8, t).otherwise("")))
+
+
+def sentence_pairs(blocks: DataFrame, keys: list[str], y_unit: Column, text: str = "text", ends: str = fixed.POINT_SENTENCE) -> DataFrame:
+    """keys, place, kind, x, y of the pairs of each sentence (:func:`pairs_of_sentence`).
+
+    ``ends`` parts sentences; the fixed one also parts at a decimal point.
+    """
+    extra = [c for c in blocks.columns if c not in (*keys, text)]
+    sentences = each(blocks, [*keys, *extra], sentences_of(F.col(text), ends), "_s", "_t").where("_t <> ''")
+    return each(sentences, [*keys, "_s"], pairs_of_sentence(F.col("_t"), y_unit), "_p", "pair").select(*keys, (F.col("_s") * 1000 + F.col("_p")).alias("place"), "pair.*")
+
+
+def dominant_unit(texts: Column, wanted: Column, merit: Column) -> Column:
+    """The unit most values of the texts have (of equals the one met first); where none has one, the unit most heads name; "dimensionless" for a figure of merit."""
+    fits = lambda u: (F.size(wanted) == 0) | F.array_contains(wanted, u)
+    units = lambda pattern, g: F.transform(F.flatten(F.transform(texts, lambda b: F.regexp_extract_all(b, F.lit(pattern), F.lit(g)))), lambda raw: unit_b(raw))
+    count = lambda found, u: F.struct(F.size(F.filter(found, lambda v: v == u)).alias("n"), (-F.array_position(found, u)).alias("first"), u.alias("unit"))
+    most = lambda found: let(found, lambda a: F.array_max(F.transform(F.array_distinct(a), lambda u: count(a, u)))["unit"])
+    shown = F.filter(units(fixed.POINT_VALUE, 2), fits)
+    heads = F.filter(units(r"\(([^)]+)\)", 1), lambda u: fits(u) & unit_range(u).isNotNull())
+    bare = F.exists(texts, lambda b: F.size(bare_values(F.lower(b), F.lit(0.01), F.lit(20.0))) > 0)
+    return F.when(merit, F.when(bare, "dimensionless")).otherwise(F.coalesce(most(shown), most(heads)))
+
+
+def related_blocks(parts: Column, materials: Column) -> Column:
+    """Of blocks, an array of struct(block, text), those that name a material of the document (lower-case words), if three or more do; else all."""
+    words = F.filter(F.coalesce(materials, F.array().cast("array<string>")), lambda w: F.length(w) >= 3)
+    hits = let(words, lambda ws: F.filter(parts, lambda p: let(F.lower(p["text"]), lambda low: F.exists(ws, lambda w: F.contains(low, w)))))
+    return let(hits, lambda h: F.when(F.size(h) >= 3, h).otherwise(parts))
 
 
 def literature_points(
@@ -211,61 +252,54 @@ def literature_points(
     distinct x stays, with all of its points (``per_doc``: the first so many by
     x and y).  ``prop`` is a literal or a column of ``docs``.
     """
-    literal = isinstance(prop, str)
-    prop = F.lit(prop) if literal else prop
-    extra = [F.col(materials).alias("_materials")] if materials else []
-    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"), prop.alias("_prop"), *extra)
-    # Units by distinct property, so that their long expression is evaluated there and not wherever a plan names it.
-    units = source.select("_prop").distinct().withColumn("_units", F.coalesce(accepted_units("_prop"), F.array().cast("array<string>")))
-    named = source.drop("_text").join(F.broadcast(units) if literal else units, source["_prop"].eqNullSafe(units["_prop"])).drop(units["_prop"])
-    parts = extract.blocks(source, "doc", "_text").join(named, "doc")
-    # Rows are what counts here, not bytes: a given number of tasks keeps adaptive execution from reading many short texts in few of them.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = related_blocks(parts, "_materials" if materials else None)
-    parts = parts.withColumn("merit", F.array_contains("_units", "dimensionless")).withColumn("wanted", F.array_remove("_units", "dimensionless"))
-    wanted, merit, y_unit, keys = F.col("wanted"), F.col("merit"), F.col("y_unit"), ["doc", "block"]
-    parts = cut(parts.repartition(tasks, "doc"))  # read for values, for heads, for bare numbers and for themselves
-    blocks = cut(parts.join(dominant_unit(parts, wanted, merit), "doc").repartition(tasks, *keys))  # read in three ways below
-    low = F.lower("text")
-
-    tables = table_pairs(blocks.select(*keys, "text", "y_unit", "wanted"), keys, y_unit, wanted, carry)
-    tables = resolve.first_wins(tables, [*keys, "kind", "x", "y"], [F.col("table"), F.col("line")])
-    sentences = sentence_pairs(blocks.select(*keys, "text", "y_unit"), keys, y_unit, ends=ends)
-    listed = lambda frame, order: F.array_sort(F.collect_list(F.struct(*order, F.struct("kind", "x", "y").cast(PAIR).alias("pair"))))
-    of_tables = tables.groupBy(*keys).agg(listed(tables, ["table", "line"]).alias("_t"))
-    of_sentences = sentences.groupBy(*keys).agg(listed(sentences, ["place"]).alias("_s"))
-
-    # Candidates of each block: from its text, then from its tables.
-    rows = blocks.withColumn("_x", structure_values(low, True))
-    plain = without_structure(low)
-    known, head = F.col("_known"), unit_b(F.regexp_extract("text", fixed.BRACKETED, 1))
-    rows = rows.withColumns({"_shown": unit_values(low, y_unit), "_known": unit_range(y_unit)})
-    bare = F.when(known.isNotNull() & (head == y_unit) & F.col("text").rlike(fixed.BRACKETED), bare_values(plain, known["lo"], known["hi"]))
-    none = F.array().cast("array<double>")
-    ys = F.when(merit, bare_values(F.regexp_replace(plain, fixed.POINT_VALUE, "a"), F.lit(0.01), F.lit(20.0))).when(F.size("_shown") > 0, F.col("_shown")).otherwise(F.coalesce(bare, none))
-    rows = rows.withColumn("_y", ys).withColumn("_implicit", ~merit & (F.size("_shown") == 0) & (F.size("_y") > 0))
-    no_pairs = F.array().cast(f"array<{PAIR}>")
-    vegard = F.when(F.lower("_prop").rlike(_band_gap()) & ~merit, range_points(low)).otherwise(no_pairs)
-    rows = rows.select(*keys, "merit", "_x", "_y", "_implicit", vegard.alias("_ends")).join(of_tables, keys, "left").join(of_sentences, keys, "left")
-    rows = rows.withColumns({c: F.coalesce(F.transform(c, lambda p: p["pair"]), no_pairs) for c in ("_t", "_s")})
-    axis = lambda name: F.transform(name, lambda p: F.struct(p["kind"].alias("kind"), p["x"].alias("x")))
-    rows = rows.withColumns({"_x": axis("_x"), "_tx": F.array_distinct(axis("_t")), "_ty": F.array_distinct(F.transform("_t", lambda p: p["y"]))})
-    # Back-fill: what tables say joins the candidates of the text.
-    all_x = F.concat("_x", F.array_except("_tx", "_x"), axis("_ends"))
-    all_y = F.concat("_y", F.array_except("_ty", "_y"), F.transform("_ends", lambda p: p["y"]))
-    rows = rows.withColumns({"_all_x": F.array_distinct(all_x), "_all_y": F.array_distinct(all_y)})
-    crossed = let(F.struct("_all_x", "_all_y"), lambda b: F.flatten(F.transform(b["_all_x"], lambda x: F.transform(b["_all_y"], lambda y: F.struct(x["kind"].alias("kind"), x["x"].alias("x"), y.alias("y")).cast(PAIR)))))
-    rest = F.when(F.col("merit"), no_pairs).otherwise(crossed)
-    way = lambda pairs, provenance: F.transform(pairs, lambda p: F.struct(p["kind"].alias("kind"), p["x"].alias("x"), p["y"].alias("y"), provenance.alias("provenance")))
-    every = F.concat(way("_t", F.lit("table")), way("_s", F.lit("sequence")), way("_ends", F.lit("sequence")), way(rest, F.when(F.col("_implicit"), "implicit").otherwise("explicit")))
-    pairs = each(rows.select(*keys, every.alias("_every")), keys, F.col("_every"), "place", "p").select(*keys, "place", "p.*")
-    pairs = resolve.first_wins(pairs, ["doc", "kind", "x", "y"], [F.col("block"), F.col("place")])
-    pairs = cut(pairs)  # read for the kinds and for the points
-    kinds = pairs.groupBy("doc", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("nx"), F.min(F.struct("x", "y")).alias("first"))
-    best = resolve.first_wins(kinds.where(F.col("nx") >= least), ["doc"], [F.col("n").desc(), F.col("first")]).select("doc", "kind")
-    points = pairs.join(best, ["doc", "kind"])
+    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"), (F.lit(prop) if isinstance(prop, str) else prop).alias("_prop"), *([F.col(materials).alias("_materials")] if materials else []))
+    parts = F.transform(extract.block_texts(F.col("_text")), lambda b, i: F.struct(i.alias("block"), b.alias("text")))
+    named = once(source, ["doc", "_prop", *(["_materials"] if materials else [])], _units=F.coalesce(accepted_units("_prop"), F.array().cast("array<string>")), _parts=parts)
+    if materials:
+        named = once(named, ["doc", "_prop", "_units"], _parts=related_blocks(F.col("_parts"), F.col("_materials")))
+    wanted, merit, y_unit = F.col("wanted"), F.col("merit"), F.col("y_unit")
+    named = once(named, ["doc", "_parts"], wanted=F.array_remove("_units", "dimensionless"), merit=F.array_contains("_units", "dimensionless"), gaps=F.lower("_prop").rlike(_band_gap()))
+    known = once(named, named.columns, y_unit=dominant_unit(F.transform("_parts", lambda p: p["text"]), wanted, merit))
+    keys = ["doc", "y_unit", "block"]
+    blocks = each(known, ["doc", "y_unit", "wanted", "merit", "gaps"], F.when(y_unit.isNotNull(), F.col("_parts")), "_k", "_b").select("doc", "y_unit", "wanted", "merit", "gaps", "_b.*")
+
+    # What a block says, each once: pairs of its tables, of its sentences and of its ranges, and candidates of its text.
+    low, pairs = F.lower("text"), f"array<{PAIR}>"
+    rows = once(
+        blocks, [*keys, "merit", "text"],
+        _t=pairs_of_tables(F.col("text"), y_unit, wanted, carry), _s=F.flatten(F.transform(sentences_of(F.col("text"), ends), lambda t: F.when(t != "", pairs_of_sentence(t, y_unit)).otherwise(F.array().cast(pairs)))),
+        _ends=F.when(F.col("gaps") & ~merit, range_points(low)).otherwise(F.array().cast(pairs)), _x=structure_values(low, True), _shown=unit_values(low, y_unit),
+    )
+    bounds, head, plain = unit_range(y_unit), unit_b(F.regexp_extract("text", fixed.BRACKETED, 1)), without_structure(low)
+    bare = F.when(bounds.isNotNull() & (head == y_unit) & F.col("text").rlike(fixed.BRACKETED), bare_values(plain, bounds["lo"], bounds["hi"]))
+    ys = F.when(merit, bare_values(F.regexp_replace(plain, fixed.POINT_VALUE, "a"), F.lit(0.01), F.lit(20.0))).when(F.size("_shown") > 0, F.col("_shown")).otherwise(F.coalesce(bare, F.array().cast("array<double>")))
+    rows = once(rows, [*keys, "merit", "_t", "_s", "_ends", "_x", "_shown"], _y=ys)
+    # Back-fill: what tables and ranges say joins the candidates of the text.  Kind by kind, for numbers are told apart by hash and structs one by one.
+    said = [F.col(c) for c in ("_x", "_t", "_ends")]
+    of_kind = lambda kind: F.array_distinct(F.flatten(F.array(*[F.transform(F.filter(c, lambda p: p["kind"] == kind), lambda p: p["x"]) for c in said])))
+    item = lambda kind, x, y, way: F.struct(kind.alias("kind"), x.alias("x"), y.alias("y"), way.alias("way")).cast("struct<kind:string,x:double,y:double,way:int>")
+    of_pairs = lambda c, way: F.transform(c, lambda p: item(p["kind"], p["x"], p["y"], F.lit(way)))
+    left_over = F.when(~merit & (F.size("_shown") == 0), 3).otherwise(2)
+    alone = lambda kind: F.transform(of_kind(kind), lambda x: item(F.lit(kind), x, F.lit(None), left_over))
+    crossed = F.concat(*map(alone, KINDS))
+    no_items = F.array().cast("array<struct<kind:string,x:double,y:double,way:int>>")
+    items = F.concat(of_pairs("_t", 0), of_pairs("_s", 1), of_pairs("_ends", 1), F.when(merit, no_items).otherwise(crossed))
+    all_y = F.array_distinct(F.concat(F.col("_y"), F.transform("_t", lambda p: p["y"]), F.transform("_ends", lambda p: p["y"])))
+    rows = once(rows, keys, _items=items, _all_y=all_y, _implicit=F.size("_y") > 0)
+    found = each(rows, [*keys, "_all_y", "_implicit"], F.col("_items"), "_place", "p")
+    way = F.when((F.col("p.way") == 3) & ~F.col("_implicit"), 2).otherwise(F.col("p.way"))
+    # block, place and way in one number: a text of 2^31 bytes has fewer than 2^29 blocks.
+    at = F.shiftleft(F.col("block").cast("long"), 34) + F.shiftleft(F.col("_place").cast("long"), 2) + way
+    found = found.select("doc", "y_unit", "p.kind", "p.x", at.alias("at"), F.explode_outer(F.when(F.col("p.way") >= 2, F.col("_all_y")).otherwise(F.array("p.y"))).alias("y")).where("y IS NOT NULL")
+    points = found.groupBy("doc", "y_unit", "kind", "x", "y").agg(F.min("at").alias("at"))
+    of_kind, of_doc = Window.partitionBy("doc", "kind"), Window.partitionBy("doc")
+    points = points.withColumn("_nth", F.dense_rank().over(of_kind.orderBy("x")))
+    points = points.withColumns({"_n": F.count(F.lit(1)).over(of_kind), "_nx": F.max("_nth").over(of_kind), "_first": F.min(F.struct("x", "y")).over(of_kind)})
+    best = F.min(F.when(F.col("_nx") >= least, F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("first"), F.col("kind").alias("kind")))).over(of_doc)
+    points = points.withColumn("_best", best).where("kind = _best.kind")
     points = points if per_doc is None else resolve.capped(points, ["doc"], [F.col("x"), F.col("y")], per_doc)
-    return points.join(blocks.select("doc", "y_unit").distinct(), "doc").select("doc", "block", F.col("kind").alias("x_kind"), "x", "y", "provenance", "y_unit")
+    provenance = F.element_at(F.array(*map(F.lit, WAYS)), (F.col("at").bitwiseAND(F.lit(3)) + 1).cast("int"))
+    return points.select("doc", F.shiftright("at", 34).cast("int").alias("block"), F.col("kind").alias("x_kind"), "x", "y", provenance.alias("provenance"), "y_unit")
 
 
 def _band_gap() -> str:
