@@ -71,10 +71,11 @@ def table_head(rows: Column, y_unit: Column, wanted: Column) -> Column:
             )
             by_unit = F.coalesce(F.when(filtered, F.array_contains(wanted, unit)).otherwise(unit == y_unit), F.lit(False))
             by_word = low.rlike(fixed.Y_HEAD) & ((y_unit != "dimensionless") | low.rlike(fixed.MERIT_HEAD))
-            given = low != ""
-            return F.struct(col.alias("col"), F.when(given & is_x, kind).alias("kind"), (given & ~is_x & (by_unit | by_word)).alias("is_y"))
+            # An x has a kind, and what is no x may be a y: neither is asked of an empty cell.
+            return let(F.when(is_x, kind), lambda k: F.struct(col.alias("col"), k.alias("kind"), (k.isNull() & (by_unit | by_word)).alias("is_y")))
 
-        return let(F.struct(F.when(c.rlike(fixed.BRACKETED), unit_b(F.regexp_extract(c, fixed.BRACKETED, 1))).alias("unit"), F.lower(c).alias("low")), of)
+        nothing = F.struct(col.alias("col"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("is_y"))
+        return F.when(c == "", nothing).otherwise(let(F.struct(F.when(c.rlike(fixed.BRACKETED), unit_b(F.regexp_extract(c, fixed.BRACKETED, 1))).alias("unit"), F.lower(c).alias("low")), of))
 
     def head(cells: Column, at: Column) -> Column:
         def of(names: Column) -> Column:
@@ -202,8 +203,9 @@ def pairs_of_sentence(t: Column, y_unit: Column) -> Column:
     both = F.filter(F.arrays_zip(xa.alias("xa"), xb.alias("xb"), xu.alias("u"), ya.alias("ya"), yb.alias("yb")), lambda z: z["xa"].isNotNull() & z["ya"].isNotNull())
     told = F.when(t.contains("from"), F.flatten(F.transform(both, ranges))).otherwise(none)  # sentences are in lower case
     pair = lambda x, y: F.struct(x["kind"].alias("kind"), x["x"].alias("x"), y.alias("y")).cast(PAIR)
-    zipped = lambda v: F.when(F.size(v["x"]) == F.size(v["y"]), F.zip_with(v["x"], v["y"], pair)).otherwise(none)
-    return F.concat(told, let(F.struct(structure_values(t, False).alias("x"), unit_values(t, y_unit).alias("y")), zipped))
+    zipped = lambda x, y: F.when(F.size(x) == F.size(y), F.zip_with(x, y, pair)).otherwise(none)
+    # Most sentences have no value of the unit: they are not searched for structure variables.
+    return F.concat(told, let(unit_values(t, y_unit), lambda y: F.when(F.size(y) > 0, let(structure_values(t, False), lambda x: zipped(x, y))).otherwise(none)))
 
 
 def sentences_of(text: Column, ends: str) -> Column:
@@ -224,11 +226,17 @@ def sentence_pairs(blocks: DataFrame, keys: list[str], y_unit: Column, text: str
 def dominant_unit(texts: Column, wanted: Column, merit: Column) -> Column:
     """The unit most values of the texts have (of equals the one met first); where none has one, the unit most heads name; "dimensionless" for a figure of merit."""
     fits = lambda u: (F.size(wanted) == 0) | F.array_contains(wanted, u)
-    units = lambda pattern, g: F.transform(F.flatten(F.transform(texts, lambda b: F.regexp_extract_all(b, F.lit(pattern), F.lit(g)))), lambda raw: unit_b(raw))
-    count = lambda found, u: F.struct(F.size(F.filter(found, lambda v: v == u)).alias("n"), (-F.array_position(found, u)).alias("first"), u.alias("unit"))
-    most = lambda found: let(found, lambda a: F.array_max(F.transform(F.array_distinct(a), lambda u: count(a, u)))["unit"])
-    shown = F.filter(units(fixed.POINT_VALUE, 2), fits)
-    heads = F.filter(units(r"\(([^)]+)\)", 1), lambda u: fits(u) & unit_range(u).isNotNull())
+    # Spellings are counted first, so that each is read as a unit once: spellings of one unit add up.
+    spelled = lambda found, raw: F.struct(unit_b(raw).alias("unit"), F.size(F.filter(found, lambda v: v == raw)).alias("n"), F.array_position(found, raw).alias("first"))
+    of_unit = lambda counts, u: let(F.filter(counts, lambda c: c["unit"] == u), lambda own: F.struct(F.aggregate(own, F.lit(0), lambda n, c: n + c["n"]).alias("n"), (-F.array_min(F.transform(own, lambda c: c["first"]))).alias("first"), u.alias("unit")))
+    most = lambda counts: let(counts, lambda cs: F.array_max(F.transform(F.array_distinct(F.transform(cs, lambda c: c["unit"])), lambda u: of_unit(cs, u)))["unit"])
+
+    def units(pattern: str, g: int) -> Column:
+        found = F.flatten(F.transform(texts, lambda b: F.regexp_extract_all(b, F.lit(pattern), F.lit(g))))
+        return let(found, lambda a: F.transform(F.array_distinct(a), lambda raw: spelled(a, raw)))
+
+    shown = F.filter(units(fixed.POINT_VALUE, 2), lambda c: fits(c["unit"]))
+    heads = F.filter(units(r"\(([^)]+)\)", 1), lambda c: fits(c["unit"]) & unit_range(c["unit"]).isNotNull())
     bare = F.exists(texts, lambda b: F.size(bare_values(F.lower(b), F.lit(0.01), F.lit(20.0))) > 0)
     return F.when(merit, F.when(bare, "dimensionless")).otherwise(F.coalesce(most(shown), most(heads)))
 
