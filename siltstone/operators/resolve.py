@@ -40,8 +40,28 @@ def missing_keys(used: DataFrame, known: DataFrame, key: str) -> DataFrame:
 BY_PARTS = 0.8
 
 
+#: Words of 64 bits in the sign of a gram set.
+SIGN = 4
+
+
+def _sign(grams: Column) -> Column:
+    """struct(n, w0, ...): the size of a gram set, and bits that each gram turns over, so that the bits in which two signs differ are no more than the grams in which the sets do."""
+    turn = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 22).bitwiseAND(F.lit(63)).cast("int"))
+    own = lambda h, w: F.shiftright(h, 20).bitwiseAND(F.lit(SIGN - 1)) == w
+    word = lambda hs, w: F.aggregate(hs, F.lit(0).cast("long"), lambda bits, h: F.when(own(h, w), bits.bitwiseXOR(turn(h))).otherwise(bits))
+    return let(F.transform(grams, lambda x: F.xxhash64(x)), lambda hs: F.struct(F.size(hs).alias("n"), *[word(hs, w).alias(f"w{w}") for w in range(SIGN)]))
+
+
+def _met(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Candidate pairs by parts that agree, without those whose signs differ in more bits than sets of Jaccard ``least`` may in grams."""
+    marked = lambda side, key, sign: _parted(side, key, least).withColumnRenamed("sign", sign)
+    differ = sum((F.bit_count(F.col(f"_a.w{w}").bitwiseXOR(F.col(f"_b.w{w}"))) for w in range(SIGN)), F.lit(0))
+    may = F.floor((1 - least) / least * F.least("_a.n", "_b.n") + 1e-9)
+    return marked(a, "a", "_a").join(marked(b, "b", "_b"), ["level", "part", "mark"]).where(differ <= may).select("a", "b")
+
+
 def _parted(side: DataFrame, key: str, least: float) -> DataFrame:
-    """key, level, part, mark: what two gram sets of Jaccard ``least`` or more have in common at least once.
+    """key, sign, level, part, mark: what two gram sets of Jaccard ``least`` or more have in common at least once, and the set's sign.
 
     Such sets differ in few grams, K of them at most for their sizes.  Dealt into
     K + 1 parts by hash, one part at least is the same in both, so its mark (size
@@ -51,20 +71,20 @@ def _parted(side: DataFrame, key: str, least: float) -> DataFrame:
     joined by the first grams in hash order, of which such sets share one.
     """
     step = -math.log(least)
-    sized = side.select(key, F.size("g").alias("n"), F.transform("g", lambda x: F.xxhash64(x)).alias("h"))  # no grams: no level
+    sized = side.select(key, _sign(F.col("g")).alias("sign"), F.size("g").alias("n"), F.transform("g", lambda x: F.xxhash64(x)).alias("h"))  # no grams: no level
     own = F.floor(F.log("n") / step + 1e-9)
     levels = sized.withColumn("level", F.explode(F.array(own, own - 1)))
     # The largest pair of a level: a set at its upper end with one 1 / least as large.
     most = F.ceil(F.exp((F.col("level") + 1) * step)) + 1
     rows = levels.withColumn("m", F.floor((1 - least) / least * most + 1e-9) + 1)
-    each = rows.select(key, "level", "m", F.explode("h").alias("h"))
-    marks = each.groupBy(key, "level", "m", F.pmod("h", F.col("m")).alias("part")).agg(F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("h"))).alias("mark"))
+    each = rows.select(key, "sign", "level", "m", F.explode("h").alias("h"))
+    marks = each.groupBy(key, "sign", "level", "m", F.pmod("h", F.col("m")).alias("part")).agg(F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("h"))).alias("mark"))
     parts = let(F.struct("h", "m"), lambda s: F.array_distinct(F.transform(s["h"], lambda x: F.pmod(x, s["m"]))))
-    held = rows.select(key, "level", "m", parts.alias("held"), F.slice(F.array_sort("h"), F.lit(1), (F.floor((1 - least) * F.col("n") + 1e-9) + 1).cast("int")).alias("ahead"))
+    held = rows.select(key, "sign", "level", "m", parts.alias("held"), F.slice(F.array_sort("h"), F.lit(1), (F.floor((1 - least) * F.col("n") + 1e-9) + 1).cast("int")).alias("ahead"))
     # Outer, for a plain explode makes Spark test the array's size below, and compute it twice.
-    empty = held.select(key, "level", "ahead", F.explode_outer(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), "held")).alias("part"))
-    empty = empty.where("part IS NOT NULL").select(key, "level", "part", F.explode_outer("ahead").alias("gram")).select(key, "level", "part", F.concat(F.lit("-:"), F.col("gram").cast("string")).alias("mark"))
-    return marks.select(key, "level", "part", "mark").unionByName(empty)
+    empty = held.select(key, "sign", "level", "ahead", F.explode_outer(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), "held")).alias("part"))
+    empty = empty.where("part IS NOT NULL").select(key, "sign", "level", "part", F.explode_outer("ahead").alias("gram")).select(key, "sign", "level", "part", F.concat(F.lit("-:"), F.col("gram").cast("string")).alias("mark"))
+    return marks.select(key, "sign", "level", "part", "mark").unionByName(empty)
 
 
 def _rare(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
@@ -92,7 +112,7 @@ def similar_titles(left: DataFrame, right: DataFrame, least: float = 0.9, n: int
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = [cut(side.repartition(tasks, "id").select("id", ngrams("title", n).alias("g"))) for side in ([left] if right is left else [left, right])]  # read three times each
     a, b = sets[0].withColumnRenamed("id", "a"), sets[-1].withColumnRenamed("id", "b")
-    met = _parted(a, "a", least).join(_parted(b, "b", least), ["level", "part", "mark"]).select("a", "b") if least >= BY_PARTS else _rare(a, b, least)
+    met = _met(a, b, least) if least >= BY_PARTS else _rare(a, b, least)
     met = (met.where("b < a") if earlier else met).distinct()
     both = met.join(a.withColumnRenamed("g", "ga"), "a").join(b.withColumnRenamed("g", "gb"), "b")
     shared, sizes = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")  # sets, so their union needs no search
